@@ -1,0 +1,164 @@
+"""Column functions on payload text: prompts, responses, truncation, SSE
+bodies, number formatting.  All are built-in expressions (JVM-side);
+JSON type tests use VARIANT type names (``schema_of_variant``)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Fixed values of the published behaviour.
+PROMPT_MAX_CHARS = 8000
+TRUNCATE_LIMIT = 4000
+TRUNCATE_MARK = "…[truncated]"
+
+
+def _c(col) -> Column:
+    return F.col(col) if isinstance(col, str) else col
+
+
+def vtype(v: Column) -> Column:
+    """JSON type name of a VARIANT value (STRING, BIGINT, ARRAY<...>, OBJECT<...>,
+    VOID for JSON null, null when absent)."""
+    return F.schema_of_variant(v)
+
+
+def _is(v: Column, kind: str) -> Column:
+    t = vtype(v)
+    if kind in ("ARRAY", "OBJECT"):
+        return t.startswith(kind)
+    return t == kind
+
+
+def _parts_text(arr: Column) -> Column:
+    """'[role] text' lines of a message list (content or parts; a string
+    content, or text blocks / string items of a list content)."""
+    msgs = F.try_variant_get(arr, "$", "array<variant>")
+
+    def lines(m: Column) -> Column:
+        role = F.coalesce(F.try_variant_get(m, "$.role", "string"), F.lit("?"))
+        content0 = F.variant_get(m, "$.content")
+        falsy = (content0.isNull() | (vtype(content0) == "VOID")
+                 | (F.try_variant_get(content0, "$", "string") == "")
+                 | (F.coalesce(F.size(F.try_variant_get(content0, "$", "array<variant>")), F.lit(-1)) == 0))
+        content = F.when(falsy, F.variant_get(m, "$.parts")).otherwise(content0)
+        items = F.try_variant_get(content, "$", "array<variant>")
+        item_lines = F.transform(
+            F.filter(items, lambda c: (_is(c, "OBJECT") & _is(F.variant_get(c, "$.text"), "STRING"))
+                     | _is(c, "STRING")),
+            lambda c: F.concat(F.lit("["), role, F.lit("] "),
+                               F.when(_is(c, "STRING"), F.variant_get(c, "$", "string"))
+                               .otherwise(F.variant_get(c, "$.text", "string"))))
+        return (F.when(~_is(m, "OBJECT"), F.array().cast("array<string>"))
+                .when(_is(content, "STRING"),
+                      F.array(F.concat(F.lit("["), role, F.lit("] "), F.variant_get(content, "$", "string"))))
+                .when(_is(content, "ARRAY"), item_lines)
+                .otherwise(F.array().cast("array<string>")))
+
+    return F.array_join(F.flatten(F.transform(msgs, lines)), "\n")
+
+
+def prompt_text(inputs, max_chars: int = PROMPT_MAX_CHARS) -> Column:
+    """Prompt of an llm-call: ``prompt`` string -> ``contents`` (string or
+    message list) -> ``messages`` (string or list) as '[role] text' lines;
+    cut to ``max_chars`` (the defined output size); '' when none."""
+    v = F.try_parse_json(_c(inputs))
+    p, c, m = F.variant_get(v, "$.prompt"), F.variant_get(v, "$.contents"), F.variant_get(v, "$.messages")
+
+    def s(x: Column) -> Column:
+        return F.variant_get(x, "$", "string")
+
+    text = (F.when(_is(p, "STRING"), s(p))
+            .when(_is(c, "STRING"), s(c)).when(_is(c, "ARRAY"), _parts_text(c))
+            .when(_is(m, "STRING"), s(m)).when(_is(m, "ARRAY"), _parts_text(m))
+            .otherwise(F.lit("")))
+    return F.substring(text, 1, max_chars)
+
+
+def response_text(outputs, max_chars: int = PROMPT_MAX_CHARS) -> Column:
+    """``outputs.text`` if a string, else ``outputs.answer``, else ''."""
+    v = F.try_parse_json(_c(outputs))
+    t, a = F.variant_get(v, "$.text"), F.variant_get(v, "$.answer")
+    text = (F.when(_is(t, "STRING"), F.variant_get(t, "$", "string"))
+            .when(_is(a, "STRING"), F.variant_get(a, "$", "string")).otherwise(F.lit("")))
+    return F.substring(text, 1, max_chars)
+
+
+def truncate_text(col, limit: int = TRUNCATE_LIMIT) -> Column:
+    """Text longer than ``limit`` -> first ``limit`` chars + '…[truncated]'."""
+    x = _c(col)
+    return F.when(F.length(x) > limit, F.concat(F.substring(x, 1, limit), F.lit(TRUNCATE_MARK))).otherwise(x)
+
+
+def format_usd(cost) -> Column:
+    """'—' unknown, '$0.00' zero, '<$0.0001' tiny, 4 decimals below 1,
+    else thousands separators and 2 decimals (half-even like Python's
+    format)."""
+    x = _c(cost)
+    return (F.when(x.isNull(), F.lit("—"))
+            .when(x == 0, F.lit("$0.00"))
+            .when(x < 0.0001, F.lit("<$0.0001"))
+            .when(x < 1, F.concat(F.lit("$"), F.format_string("%.4f", x)))
+            .otherwise(F.concat(F.lit("$"), F.format_number(F.bround(x, 2), 2))))
+
+
+def format_duration(ms) -> Column:
+    """Milliseconds for display: '—' null, 'N ms' under 1 s, 'N.N s' under a
+    minute, else 'Nm Ss'."""
+    x = _c(ms)
+    return (F.when(x.isNull(), F.lit("—"))
+            .when(x < 1000, F.concat(F.round(x).cast("bigint").cast("string"), F.lit(" ms")))
+            .when(x < 60000, F.concat(F.format_string("%.1f", x / 1000), F.lit(" s")))
+            .otherwise(F.concat((x / 60000).cast("bigint").cast("string"), F.lit("m "),
+                                ((x % 60000) / 1000).cast("bigint").cast("string"), F.lit("s"))))
+
+
+def human_bytes(n) -> Column:
+    """Bytes for display: B under 1 KiB, else one decimal KB / MB / GB (1024 steps)."""
+    x = _c(n).cast("double")
+    return (F.when(x.isNull(), F.lit("—"))
+            .when(x < 1024, F.concat(x.cast("bigint").cast("string"), F.lit(" B")))
+            .when(x < 1024 ** 2, F.concat(F.format_string("%.1f", x / 1024), F.lit(" KB")))
+            .when(x < 1024 ** 3, F.concat(F.format_string("%.1f", x / 1024 ** 2), F.lit(" MB")))
+            .otherwise(F.concat(F.format_string("%.1f", x / 1024 ** 3), F.lit(" GB"))))
+
+
+def parse_duration_seconds(text) -> Column:
+    """'7d' / '24h' / '30m' / '3600s' / '90' -> seconds (double); anything
+    else, or negative, -> null."""
+    x = F.lower(F.trim(_c(text)))
+    m = F.regexp_extract(x, r"^([0-9]+(?:\.[0-9]+)?)([dhms]?)$", 1)
+    u = F.regexp_extract(x, r"^([0-9]+(?:\.[0-9]+)?)([dhms]?)$", 2)
+    mult = (F.when(u == "d", 86400).when(u == "h", 3600).when(u == "m", 60).otherwise(1))
+    return F.when(m != "", m.cast("double") * mult)
+
+
+def safe_int(json_text, json_type: Column | None = None) -> Column:
+    """Integer of a JSON value: bool -> null, int kept, float truncated, text
+    parsed; anything else null.  ``json_type`` (a VARIANT type name) lets
+    booleans be told apart from the text 'true'."""
+    x = _c(json_text)
+    val = F.coalesce(x.try_cast("bigint"), F.trim(x).try_cast("double").try_cast("bigint"))
+    if json_type is not None:
+        return F.when(json_type == "BOOLEAN", F.lit(None).cast("bigint")).otherwise(val)
+    return val
+
+
+def sse_text(body) -> Column:
+    """Concatenated text deltas of a server-sent-event body: lines starting
+    'data:' (prefix and spaces stripped), '[DONE]' and bad JSON skipped;
+    the Anthropic ``delta.text``, OpenAI ``choices[0].delta.content`` and
+    Gemini ``candidates[0].content.parts[0].text`` shapes."""
+    lines = F.split(_c(body), "\r?\n")
+    data = F.transform(F.filter(lines, lambda l: l.startswith("data:")),
+                       lambda l: F.trim(F.substring(l, 6, 1 << 30)))
+    payloads = F.filter(data, lambda d: (d != "[DONE]") & F.try_parse_json(d).isNotNull())
+
+    def piece(d: Column) -> Column:
+        v = F.try_parse_json(d)
+        return F.coalesce(F.try_variant_get(v, "$.delta.text", "string"),
+                          F.try_variant_get(v, "$.choices[0].delta.content", "string"),
+                          F.try_variant_get(v, "$.candidates[0].content.parts[0].text", "string"),
+                          F.lit(""))
+
+    return F.array_join(F.transform(payloads, piece), "")

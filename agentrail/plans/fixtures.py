@@ -142,6 +142,52 @@ FROM conversations GROUP BY conv_id
 """)
 
 
+view("ev_prefixes", ["ev_traces"], """
+SELECT DISTINCT substr(trace_id, 1, 7) AS prefix FROM ev_traces
+UNION ALL SELECT trace_id FROM ev_traces
+UNION ALL SELECT 'x' || substr(trace_id, 2, 17) FROM ev_traces
+UNION ALL SELECT '' UNION ALL SELECT '../' || min(trace_id) FROM ev_traces
+UNION ALL SELECT '.' || min(trace_id) FROM ev_traces UNION ALL SELECT 'u0*' 
+""")
+
+view("ev_requests", ["ev_traces"], """
+SELECT batch_id,
+  CAST(row_number() OVER (PARTITION BY batch_id ORDER BY trace_id) - 1 AS BIGINT) AS req_pos, id
+FROM (SELECT CASE WHEN CAST(substr(trace_id, 17, 2) AS INT) <= 4 THEN 0
+                  ELSE CAST(substr(trace_id, 17, 2) AS INT) END AS batch_id, trace_id,
+  CASE WHEN CAST(substr(trace_id, 2, 6) AS INT) % 7 = 0 THEN '  '
+       WHEN CAST(substr(trace_id, 2, 6) AS INT) % 5 = 0 THEN substr(trace_id, 1, 7)
+       WHEN CAST(substr(trace_id, 2, 6) AS INT) % 3 = 0 THEN 'z' || trace_id
+       ELSE ' ' || trace_id || ' ' END AS id
+FROM ev_traces) r
+""")
+
+view("ev_groups", ["ev_traces"], """
+SELECT substr(trace_id, 9, 10) || '/' || CAST(IDIV(CAST(substr(trace_id, 2, 6) AS INT), 3) AS STRING)
+  AS group_id, trace_id
+FROM ev_traces
+""")
+
+view("ev_pairs", ["ev_traces"], """
+SELECT left_id, right_id FROM (
+  SELECT trace_id AS left_id,
+    lead(trace_id) OVER (PARTITION BY substr(trace_id, 1, 7) ORDER BY trace_id) AS right_id
+  FROM ev_traces) p
+WHERE right_id IS NOT NULL
+""")
+
+view("run_starts", ["ev_steps"], """
+SELECT step_id AS run_id, trace_id, kind, name, started_at FROM ev_steps
+""")
+
+view("run_ends", ["ev_steps"], """
+SELECT step_id AS run_id, ended_at, error, outputs FROM ev_steps WHERE ended_at IS NOT NULL
+UNION ALL
+SELECT 'orphan-' || step_id, ended_at, error, outputs FROM ev_steps
+WHERE ended_at IS NOT NULL AND step_index = 0
+""")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 
