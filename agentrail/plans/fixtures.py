@@ -188,6 +188,44 @@ WHERE ended_at IS NOT NULL AND step_index = 0
 """)
 
 
+view("wire_files", ["ev_traces", "ev_steps"], """
+SELECT 'traces/' || trace_id || '.jsonl' AS file, STRAGG(line, chr(10), k) || chr(10) AS text
+FROM (
+  SELECT trace_id, CAST(0 AS BIGINT) AS k,
+    '{"_type":"trace","trace_id":"' || trace_id || '","name":"' || name || '","framework":' ||
+    coalesce('"' || framework || '"', 'null') || ',"started_at":' ||
+    CAST(CAST(started_at AS DECIMAL(20,6)) AS STRING) || ',"ended_at":' ||
+    coalesce(CAST(CAST(ended_at AS DECIMAL(20,6)) AS STRING), 'null') || ',"metadata":' || metadata || '}' AS line
+  FROM ev_traces
+  WHERE (CAST(substr(trace_id, 2, 6) AS INT) + CAST(substr(trace_id, 17, 2) AS INT)) % 37 <> 0
+  UNION ALL
+  SELECT trace_id, CAST((step_index + 1) * 10 AS BIGINT),
+    '{"_type":"step","step_id":"' || step_id || '","parent_step_id":' ||
+    coalesce('"' || parent_step_id || '"', 'null') || ',"kind":"' || kind || '","name":"' || name ||
+    '","started_at":' || CAST(CAST(started_at AS DECIMAL(20,6)) AS STRING) || ',"ended_at":' ||
+    coalesce(CAST(CAST(ended_at AS DECIMAL(20,6)) AS STRING), 'null') || ',"inputs":' || inputs ||
+    ',"outputs":' || outputs || ',"metadata":' || metadata || ',"error":' ||
+    coalesce('"' || error || '"', 'null') || '}'
+  FROM ev_steps
+  UNION ALL SELECT trace_id, CAST((step_index + 1) * 10 + 1 AS BIGINT), 'garbage {not json'
+  FROM ev_steps WHERE CAST(substr(step_id, 2) AS BIGINT) % 50 = 1
+  UNION ALL SELECT trace_id, CAST((step_index + 1) * 10 + 2 AS BIGINT), '[1,2]'
+  FROM ev_steps WHERE CAST(substr(step_id, 2) AS BIGINT) % 75 = 2
+  UNION ALL SELECT trace_id, CAST((step_index + 1) * 10 + 3 AS BIGINT), '   '
+  FROM ev_steps WHERE CAST(substr(step_id, 2) AS BIGINT) % 40 = 3
+  UNION ALL SELECT trace_id, CAST((step_index + 1) * 10 + 4 AS BIGINT), '{"_type":"note","n":1} trailing'
+  FROM ev_steps WHERE CAST(substr(step_id, 2) AS BIGINT) % 60 = 4
+  UNION ALL SELECT trace_id, CAST((step_index + 1) * 10 + 5 AS BIGINT), '{"_type":"note","n":2}'
+  FROM ev_steps WHERE CAST(substr(step_id, 2) AS BIGINT) % 45 = 5
+  UNION ALL SELECT trace_id, CAST(1000000 AS BIGINT),
+    '{"_type":"trace","trace_id":"' || trace_id || '","name":"renamed","framework":null,' ||
+    '"started_at":1.5,"ended_at":null,"metadata":{}}'
+  FROM ev_traces
+  WHERE (CAST(substr(trace_id, 2, 6) AS INT) + CAST(substr(trace_id, 17, 2) AS INT)) % 41 = 0
+) l GROUP BY trace_id
+""")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 
