@@ -37,14 +37,14 @@ def _parts_text(arr: Column) -> Column:
 
     def lines(m: Column) -> Column:
         role = F.coalesce(F.try_variant_get(m, "$.role", "string"), F.lit("?"))
-        content0 = F.variant_get(m, "$.content")
+        content0 = F.variant_get(m, "$.content", "variant")
         falsy = (content0.isNull() | (vtype(content0) == "VOID")
                  | (F.try_variant_get(content0, "$", "string") == "")
                  | (F.coalesce(F.size(F.try_variant_get(content0, "$", "array<variant>")), F.lit(-1)) == 0))
-        content = F.when(falsy, F.variant_get(m, "$.parts")).otherwise(content0)
+        content = F.when(falsy, F.variant_get(m, "$.parts", "variant")).otherwise(content0)
         items = F.try_variant_get(content, "$", "array<variant>")
         item_lines = F.transform(
-            F.filter(items, lambda c: (_is(c, "OBJECT") & _is(F.variant_get(c, "$.text"), "STRING"))
+            F.filter(items, lambda c: (_is(c, "OBJECT") & _is(F.variant_get(c, "$.text", "variant"), "STRING"))
                      | _is(c, "STRING")),
             lambda c: F.concat(F.lit("["), role, F.lit("] "),
                                F.when(_is(c, "STRING"), F.variant_get(c, "$", "string"))
@@ -63,7 +63,7 @@ def prompt_text(inputs, max_chars: int = PROMPT_MAX_CHARS) -> Column:
     message list) -> ``messages`` (string or list) as '[role] text' lines;
     cut to ``max_chars`` (the defined output size); '' when none."""
     v = F.try_parse_json(_c(inputs))
-    p, c, m = F.variant_get(v, "$.prompt"), F.variant_get(v, "$.contents"), F.variant_get(v, "$.messages")
+    p, c, m = F.variant_get(v, "$.prompt", "variant"), F.variant_get(v, "$.contents", "variant"), F.variant_get(v, "$.messages", "variant")
 
     def s(x: Column) -> Column:
         return F.variant_get(x, "$", "string")
@@ -78,7 +78,7 @@ def prompt_text(inputs, max_chars: int = PROMPT_MAX_CHARS) -> Column:
 def response_text(outputs, max_chars: int = PROMPT_MAX_CHARS) -> Column:
     """``outputs.text`` if a string, else ``outputs.answer``, else ''."""
     v = F.try_parse_json(_c(outputs))
-    t, a = F.variant_get(v, "$.text"), F.variant_get(v, "$.answer")
+    t, a = F.variant_get(v, "$.text", "variant"), F.variant_get(v, "$.answer", "variant")
     text = (F.when(_is(t, "STRING"), F.variant_get(t, "$", "string"))
             .when(_is(a, "STRING"), F.variant_get(a, "$", "string")).otherwise(F.lit("")))
     return F.substring(text, 1, max_chars)

@@ -226,6 +226,39 @@ FROM (
 """)
 
 
+view("trace_docs", ["ev_traces", "ev_steps"], """
+SELECT t.trace_id AS doc_id,
+  '{' ||
+  CASE WHEN u % 19 = 0 THEN '"trace_id":"bad/' || t.trace_id || '",'
+       WHEN u % 29 = 0 THEN '' ELSE '"trace_id":"' || t.trace_id || '",' END ||
+  CASE WHEN u % 11 = 0 THEN '' ELSE '"name":"' || t.name || '",' END ||
+  '"framework":' || coalesce('"' || t.framework || '"', 'null') || ',' ||
+  CASE WHEN u % 23 = 0 THEN '' ELSE '"started_at":' || CAST(CAST(t.started_at AS DECIMAL(20,6)) AS STRING) || ',' END ||
+  '"ended_at":' || CASE WHEN u % 23 = 0 THEN 'null'
+                        ELSE coalesce(CAST(CAST(t.ended_at AS DECIMAL(20,6)) AS STRING), 'null') END || ',' ||
+  '"metadata":' || t.metadata || ',' ||
+  '"steps":' || CASE WHEN u % 17 = 0 THEN '"not a list"' ELSE '[' || coalesce(s.steps, '') || ']' END ||
+  '}' AS doc
+FROM (SELECT *, CAST(substr(trace_id, 2, 6) AS INT) AS u FROM ev_traces) t
+LEFT JOIN (
+  SELECT trace_id, STRAGG(sj, ',', step_index) AS steps FROM (
+    SELECT trace_id, step_index,
+      '{' || CASE WHEN CAST(substr(trace_id, 2, 6) AS INT) % 29 = 0 THEN ''
+                  ELSE '"step_id":"' || step_id || '",' END ||
+      '"parent_step_id":' || coalesce('"' || parent_step_id || '"', 'null') ||
+      ',"kind":"' || CASE WHEN CAST(substr(trace_id, 2, 6) AS INT) % 13 = 0 AND step_index = 0
+                          THEN repeat('k', 65) ELSE kind END ||
+      '","name":"' || name || '",' ||
+      CASE WHEN CAST(substr(trace_id, 2, 6) AS INT) % 23 = 0 THEN ''
+           ELSE '"started_at":' || CAST(CAST(started_at AS DECIMAL(20,6)) AS STRING) || ',' END ||
+      '"ended_at":' || coalesce(CAST(CAST(ended_at AS DECIMAL(20,6)) AS STRING), 'null') ||
+      ',"inputs":' || inputs || ',"outputs":' || outputs || ',"metadata":' || metadata ||
+      ',"error":' || coalesce('"' || error || '"', 'null') || '}' AS sj
+    FROM ev_steps) x
+  GROUP BY trace_id) s ON t.trace_id = s.trace_id
+""")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 
