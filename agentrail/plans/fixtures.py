@@ -259,6 +259,20 @@ LEFT JOIN (
 """)
 
 
+view("replay_results", ["benchmark"], """
+SELECT 'lb-' || CAST(item_id AS STRING) AS id, item_id % 3 <> 0 AS ok,
+  CASE WHEN item_id % 3 = 0 THEN 'replay failed: ' || substr(text, 1, 20) END AS error
+FROM benchmark
+""")
+
+view("corpus_categories", ["benchmark"], """
+SELECT 'lb-' || CAST(item_id AS STRING) AS id,
+  CASE item_id % 4 WHEN 0 THEN 'hallucination' WHEN 1 THEN 'loop' WHEN 2 THEN 'tool-misuse'
+       ELSE 'off-task' END AS category
+FROM benchmark WHERE item_id % 10 <> 0
+""")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 
