@@ -25,10 +25,17 @@ AS_OF = 1706659200.0
 VIEWS: dict[str, tuple[list[str], str]] = {}
 
 
-def view(name: str, deps: list[str], sql: str) -> None:
+def view(name: str, deps: list[str], sql) -> None:
+    """Register a stand-in view; ``sql`` is one text for both engines or a
+    dict {'spark': ..., 'duckdb': ...} where the dialects differ."""
     VIEWS[name] = (deps, sql)
 
 
+def _sql_for(name: str, dialect: str) -> str:
+    sql = VIEWS[name][1]
+    return sql[dialect] if isinstance(sql, dict) else sql
+
+
 # -- events -> one step per event -------------------------------------------
 view("ev_base", ["events"], """
 SELECT event_id, user_id, event_type, ts, k, epoch, trace_id, step_id,
@@ -273,6 +280,47 @@ FROM benchmark WHERE item_id % 10 <> 0
 """)
 
 
+_EMB_SPARK = """SELECT vec_id, label, p.pos AS pos, CAST(p.v AS DOUBLE) AS v
+  FROM embeddings LATERAL VIEW posexplode(embedding) p AS pos, v"""
+_EMB_DUCK = """SELECT vec_id, label, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos,
+  CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"""
+
+_FEAT_ANN = """
+SELECT 'e' || lpad(CAST(IDIV(vec_id, 4) AS STRING), 6, '0') AS trace_id,
+  'v' || lpad(CAST(vec_id AS STRING), 8, '0') AS step_id,
+  CASE label % 6 WHEN 0 THEN 'hallucination' WHEN 1 THEN 'loop' WHEN 2 THEN 'tool-misuse'
+       WHEN 3 THEN 'off-task' WHEN 4 THEN 'context-drop' ELSE 'other' END AS failure_category,
+  '{"model":"gpt2-small","sae":"gpt2-small-res-jb","method":"sae","top_features":[' ||
+    STRAGG(fj, ',', rk) || ']}' AS circuit_attribution
+FROM (
+  SELECT vec_id, label, rk,
+    '{"feature_id":' || CAST(pos AS STRING) || ',"activation":' || CAST(v AS STRING) ||
+    ',"layer":"blocks.6.hook_resid_pre"' ||
+    CASE WHEN pos % 5 = 0 THEN ',"description":"feature ' || CAST(pos AS STRING) || ' of ' ||
+      CAST(label AS STRING) || '"' ELSE '' END || '}' AS fj
+  FROM (SELECT vec_id, label, pos, v,
+          row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, pos) AS rk
+        FROM (@EMB@) e WHERE v > 0) r
+  WHERE rk <= 8) f
+GROUP BY vec_id, label
+"""
+view("feat_annotations", ["embeddings"], {"spark": _FEAT_ANN.replace("@EMB@", _EMB_SPARK),
+                                          "duckdb": _FEAT_ANN.replace("@EMB@", _EMB_DUCK)})
+
+_ACTS = """
+SELECT IDIV(vec_id, 10) AS step, CAST(vec_id % 10 AS BIGINT) AS token, CAST(pos AS BIGINT) AS feature, v AS value
+FROM (@EMB@) e
+"""
+view("activations", ["embeddings"], {"spark": _ACTS.replace("@EMB@", _EMB_SPARK),
+                                     "duckdb": _ACTS.replace("@EMB@", _EMB_DUCK)})
+
+view("explanations", ["embeddings"], """
+SELECT 'gpt2-small' AS model, '6-res-jb' AS layer, CAST(f AS BIGINT) AS feature_id,
+  'explains feature ' || CAST(f AS STRING) AS text
+FROM (SELECT DISTINCT CAST(vec_id % 64 AS BIGINT) AS f FROM embeddings) x WHERE f % 3 <> 2
+""")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 
@@ -290,7 +338,7 @@ def _order(names: list[str]) -> list[str]:
 
 def cte(names: list[str]) -> str:
     """``WITH`` clause (DuckDB dialect) defining ``names`` and their deps."""
-    parts = [f"{n} AS ({render(VIEWS[n][1], 'duckdb').strip()})" for n in _order(names)]
+    parts = [f"{n} AS ({render(_sql_for(n, 'duckdb'), 'duckdb').strip()})" for n in _order(names)]
     return "WITH " + ",\n".join(parts) + "\n"
 
 
@@ -311,8 +359,8 @@ class Fixtures:
         if name in BASE_TABLES:
             return self.table(name)
         if name not in self._cache:
-            deps, sql = VIEWS[name]
-            text = render(sql, "spark")
+            deps = VIEWS[name][0]
+            text = render(_sql_for(name, "spark"), "spark")
             for d in deps:
                 alias = f"_ar{id(self):x}_{d}"
                 self.get(d).createOrReplaceTempView(alias)
