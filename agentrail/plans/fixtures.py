@@ -321,6 +321,62 @@ FROM (SELECT DISTINCT CAST(vec_id % 64 AS BIGINT) AS f FROM embeddings) x WHERE
 """)
 
 
+view("http_calls", ["ev_base"], """
+SELECT event_id AS call_id,
+  CASE WHEN fam = 0 THEN 'api.anthropic.com'
+       WHEN fam = 1 AND user_id % 5 = 0 THEN 'llm-gateway.internal'
+       WHEN fam = 1 THEN 'api.openai.com'
+       WHEN user_id % 4 = 0 THEN 'us-central1-aiplatform.googleapis.com'
+       ELSE 'generativelanguage.googleapis.com' END AS host,
+  'POST' AS method,
+  CASE WHEN fam = 0 THEN '/v1/messages'
+       WHEN fam = 1 AND user_id % 5 = 0 THEN '/proxy/chat'
+       WHEN fam = 1 THEN '/v1/chat/completions'
+       ELSE '/v1beta/models/gemini-2.5-flash:generateContent' END AS path,
+  CASE WHEN fam = 0 THEN '{"model":"claude-haiku-4-5","max_tokens":256,"messages":[{"role":"user","content":"q ' ||
+         CAST(event_id AS STRING) || '"}]}'
+       WHEN fam = 1 THEN '{"model":"gpt-4o","stream":false,"messages":[{"role":"user","content":"q ' ||
+         CAST(event_id AS STRING) || '"}]}'
+       ELSE '{"contents":[{"role":"user","parts":[{"text":"q ' || CAST(event_id AS STRING) || '"}]}]}' END
+    AS request_body,
+  http_status AS status,
+  CASE WHEN http_status = 429 THEN '{"error":{"code":429,"message":"rate limited"}}'
+       WHEN http_status >= 500 THEN '{"error":{"message":"upstream boom"}}'
+       WHEN fam = 0 THEN '{"id":"msg_' || CAST(event_id AS STRING) || '","content":[{"type":"text","text":"a ' ||
+         CAST(event_id AS STRING) || '"}' ||
+         CASE WHEN event_type = 'click' THEN ',{"type":"tool_use","id":"tu_' || CAST(event_id AS STRING) ||
+           '","name":"search","input":{"q":"k' || CAST(k AS STRING) || '"}}' ELSE '' END ||
+         '],"stop_reason":"end_turn","usage":{"input_tokens":' || coalesce(CAST(input_tokens AS STRING), 'null') ||
+         ',"output_tokens":' || coalesce(CAST(output_tokens AS STRING), 'null') || '}}'
+       WHEN fam = 1 THEN '{"choices":[{"message":{"role":"assistant","content":"a ' || CAST(event_id AS STRING) || '"' ||
+         CASE WHEN event_type = 'click' THEN ',"tool_calls":[{"id":"call_' || CAST(event_id AS STRING) ||
+           '","type":"function","function":{"name":"lookup","arguments":"[' || CAST(k AS STRING) || ']"}}]'
+           ELSE '' END ||
+         '},"finish_reason":"stop"}],"usage":{"prompt_tokens":' || coalesce(CAST(input_tokens AS STRING), 'null') ||
+         ',"completion_tokens":' || coalesce(CAST(output_tokens AS STRING), 'null') || '}}'
+       ELSE '{"candidates":[{"content":{"parts":[' ||
+         CASE WHEN event_type = 'click' THEN '{"functionCall":{"name":"fetch","args":{"k":' || CAST(k AS STRING) ||
+           '}}}' ELSE '{"text":"a ' || CAST(event_id AS STRING) || '"}' END ||
+         ']}}],"usageMetadata":{"promptTokenCount":' || coalesce(CAST(input_tokens AS STRING), 'null') ||
+         ',"candidatesTokenCount":' || coalesce(CAST(output_tokens AS STRING), 'null') || '}}' END
+    AS response_body,
+  CAST(NULL AS STRING) AS error, epoch AS started_at, epoch + 0.5 AS ended_at
+FROM (SELECT *, k % 3 AS fam FROM ev_base) b
+""")
+
+view("hosts", ["pages"], """
+SELECT page_id, CASE page_id % 12
+    WHEN 0 THEN 'api.anthropic.com' WHEN 1 THEN 'eu.api.openai.com' WHEN 2 THEN 'api.openai.com.evil.net'
+    WHEN 3 THEN 'bedrock-runtime.us-east-1.amazonaws.com' WHEN 4 THEN 'us-central1-aiplatform.googleapis.com'
+    WHEN 5 THEN 'localhost' WHEN 6 THEN '127.0.0.1' WHEN 7 THEN 'openrouter.ai' WHEN 8 THEN 'API.GROQ.COM'
+    WHEN 9 THEN 'lambda.amazonaws.com' WHEN 10 THEN 'unknown.example.com'
+    ELSE regexp_extract(url, '^https?://([^/:?#]+)', 1) END AS host,
+  CASE page_id % 4 WHEN 0 THEN '/v1/messages' WHEN 1 THEN '/api/v1/chat/completions'
+    WHEN 2 THEN '/v1beta/models/gemini-2.0-flash:streamGenerateContent' ELSE '/healthz' END AS path
+FROM pages
+""")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 
