@@ -92,45 +92,113 @@ def truncate_text(col, limit: int = TRUNCATE_LIMIT) -> Column:
 
 def format_usd(cost) -> Column:
     """'—' unknown, '$0.00' zero, '<$0.0001' tiny, 4 decimals below 1,
-    else thousands separators and 2 decimals (half-even like Python's
-    format)."""
+    else thousands separators and 2 decimals.  Rounding is half-even on
+    the decimal value (Python rounds the binary value; they differ only
+    on exact decimal ties)."""
     x = _c(cost)
     return (F.when(x.isNull(), F.lit("—"))
             .when(x == 0, F.lit("$0.00"))
             .when(x < 0.0001, F.lit("<$0.0001"))
-            .when(x < 1, F.concat(F.lit("$"), F.format_string("%.4f", x)))
+            .when(x < 1, F.concat(F.lit("$"), F.format_string("%.4f", F.bround(x, 4))))
             .otherwise(F.concat(F.lit("$"), F.format_number(F.bround(x, 2), 2))))
 
 
 def format_duration(ms) -> Column:
-    """Milliseconds for display: '—' null, 'N ms' under 1 s, 'N.N s' under a
-    minute, else 'Nm Ss'."""
-    x = _c(ms)
-    return (F.when(x.isNull(), F.lit("—"))
-            .when(x < 1000, F.concat(F.round(x).cast("bigint").cast("string"), F.lit(" ms")))
-            .when(x < 60000, F.concat(F.format_string("%.1f", x / 1000), F.lit(" s")))
-            .otherwise(F.concat((x / 60000).cast("bigint").cast("string"), F.lit("m "),
-                                ((x % 60000) / 1000).cast("bigint").cast("string"), F.lit("s"))))
+    """Milliseconds for display: '—' for null / negative, '<1 ms', 'N.N ms'
+    under 10 ms, 'N ms' under a second, else 'N.NN s'."""
+    x = _c(ms).cast("double")
+    return (F.when(x.isNull() | (x < 0) | F.isnan(x), F.lit("—"))
+            .when(x < 1, F.lit("<1 ms"))
+            .when(x < 10, F.concat(F.format_string("%.1f", F.bround(x, 1)), F.lit(" ms")))
+            .when(x < 1000, F.concat(F.format_string("%.0f", F.bround(x, 0)), F.lit(" ms")))
+            .otherwise(F.concat(F.format_string("%.2f", F.bround(x / 1000, 2)), F.lit(" s"))))
 
 
 def human_bytes(n) -> Column:
-    """Bytes for display: B under 1 KiB, else one decimal KB / MB / GB (1024 steps)."""
+    """Bytes for display: 'N B' under 1 KiB, 'N.N KB' under 1 MiB, else 'N.NN MB'."""
     x = _c(n).cast("double")
-    return (F.when(x.isNull(), F.lit("—"))
+    return (F.when(x.isNull() | F.isnan(x), F.lit("?"))
             .when(x < 1024, F.concat(x.cast("bigint").cast("string"), F.lit(" B")))
-            .when(x < 1024 ** 2, F.concat(F.format_string("%.1f", x / 1024), F.lit(" KB")))
-            .when(x < 1024 ** 3, F.concat(F.format_string("%.1f", x / 1024 ** 2), F.lit(" MB")))
-            .otherwise(F.concat(F.format_string("%.1f", x / 1024 ** 3), F.lit(" GB"))))
+            .when(x < 1024 ** 2, F.concat(F.format_string("%.1f", F.bround(x / 1024, 1)), F.lit(" KB")))
+            .otherwise(F.concat(F.format_string("%.2f", F.bround(x / 1024 / 1024, 2)), F.lit(" MB"))))
+
+
+def format_age(seconds) -> Column:
+    """Coarse age: '1.5d', '3.0h', '12.0m' or '42s' (largest unit >= 1)."""
+    x = _c(seconds).cast("double")
+    return (F.when(x >= 86400, F.concat(F.format_string("%.1f", F.bround(x / 86400, 1)), F.lit("d")))
+            .when(x >= 3600, F.concat(F.format_string("%.1f", F.bround(x / 3600, 1)), F.lit("h")))
+            .when(x >= 60, F.concat(F.format_string("%.1f", F.bround(x / 60, 1)), F.lit("m")))
+            .otherwise(F.concat(F.format_string("%.0f", F.bround(x, 0)), F.lit("s"))))
+
+
+def relative_time(seconds_ago) -> Column:
+    """'Ns ago' / 'Nm ago' / 'Nh ago' / 'Nd ago' on whole seconds."""
+    s = F.greatest(F.lit(0), _c(seconds_ago).cast("double").cast("bigint"))
+    return (F.when(s < 60, F.concat(s.cast("string"), F.lit("s ago")))
+            .when(s < 3600, F.concat((s / 60).cast("bigint").cast("string"), F.lit("m ago")))
+            .when(s < 86400, F.concat((s / 3600).cast("bigint").cast("string"), F.lit("h ago")))
+            .otherwise(F.concat((s / 86400).cast("bigint").cast("string"), F.lit("d ago"))))
+
+
+def duration_ms(start, end, clamp: bool = False) -> Column:
+    """(end - start) * 1000, null while open; ``clamp`` floors it at 0."""
+    d = (_c(end) - _c(start)) * F.lit(1000.0)
+    return F.greatest(d, F.lit(0.0)) if clamp else d
+
+
+# Fixed value: 9 levels, space = empty ... full block.
+SPARK_BLOCKS = " ▁▂▃▄▅▆▇█"
+
+
+def sparkline(values, width: int | None = None) -> Column:
+    """Block sparkline of an array of numbers: values scaled by the maximum
+    to levels 0..8 (half-even rounding like Python); '' when empty or all
+    zero.  With ``width`` smaller than the series, chunks are averaged."""
+    v = _c(values).cast("array<double>")
+    if width is not None and width > 0:
+        n = F.size(v)
+        chunk = n / F.lit(float(width))
+
+        def cell(i: Column) -> Column:
+            lo = F.floor(i * chunk).cast("int")
+            hi = F.greatest(lo + 1, F.floor((i + 1) * chunk).cast("int"))
+            w = F.slice(v, lo + 1, hi - lo)
+            return F.aggregate(w, F.lit(0.0), lambda acc, y: acc + y) / F.size(w)
+
+        v = F.when(n > width, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), cell)).otherwise(v)
+    vmax = F.array_max(v)
+    lvl = F.transform(v, lambda y: F.least(F.lit(8), F.bround(y / vmax * 8, 0).cast("int")))
+    chars = F.transform(lvl, lambda i: F.substring(F.lit(SPARK_BLOCKS), i + 1, 1))
+    return F.when((F.size(v) == 0) | (vmax == 0) | vmax.isNull(), F.lit("")).otherwise(F.array_join(chars, ""))
 
 
 def parse_duration_seconds(text) -> Column:
-    """'7d' / '24h' / '30m' / '3600s' / '90' -> seconds (double); anything
-    else, or negative, -> null."""
+    """'7d' / '24h' / '30m' / '3600s' / '90' -> seconds (double): a unit
+    suffix multiplies the number before it; no suffix means seconds.
+    Empty, unparsable or negative -> null (the driver-side twin raises)."""
     x = F.lower(F.trim(_c(text)))
-    m = F.regexp_extract(x, r"^([0-9]+(?:\.[0-9]+)?)([dhms]?)$", 1)
-    u = F.regexp_extract(x, r"^([0-9]+(?:\.[0-9]+)?)([dhms]?)$", 2)
-    mult = (F.when(u == "d", 86400).when(u == "h", 3600).when(u == "m", 60).otherwise(1))
-    return F.when(m != "", m.cast("double") * mult)
+    unit = F.substring(x, -1, 1)
+    has_unit = unit.isin("s", "m", "h", "d")
+    num = F.when(has_unit, x.substr(F.lit(1), F.length(x) - 1)).otherwise(x)
+    mult = F.when(unit == "d", 86400).when(unit == "h", 3600).when(unit == "m", 60).otherwise(1)
+    secs = F.trim(num).try_cast("double") * mult
+    return F.when((F.length(x) > 0) & (secs >= 0), secs)
+
+
+def parse_duration(text: str) -> float:
+    """Driver-side twin for CLI-style parameters: raises ValueError."""
+    if not text:
+        raise ValueError("empty duration")
+    t = text.strip().lower()
+    units = {"s": 1, "m": 60, "h": 3600, "d": 86400}
+    try:
+        secs = float(t[:-1]) * units[t[-1]] if t[-1:] in units else float(t)
+    except ValueError as e:
+        raise ValueError(f"invalid duration {text!r}") from e
+    if secs < 0:
+        raise ValueError("duration must be non-negative")
+    return secs
 
 
 def safe_int(json_text, json_type: Column | None = None) -> Column:

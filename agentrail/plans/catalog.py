@@ -38,9 +38,11 @@ def register(name: str, views: list[str] | None = None, sql: str | None = None):
         QUERIES[name] = run
         if sql is not None:
             body = sql.strip()
-            if views:
-                head = cte(views).rstrip()
+            head = cte(views).rstrip() if views else ""
+            if head:
                 body = head + ("\n" if not body.startswith(",") else "") + body
+            elif body.startswith(","):
+                body = "WITH " + body[1:].lstrip()
             ORACLES[name] = render(body, "duckdb")
         return fn
 

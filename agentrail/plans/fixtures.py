@@ -377,6 +377,33 @@ FROM pages
 """)
 
 
+_SECRET = """CASE n % 9 WHEN 0 THEN 'Bearer ' || substr(md5(CAST(n AS STRING)), 1, 12)
+  WHEN 1 THEN 'sk-' || substr(md5(CAST(n AS STRING)), 1, 20)
+  WHEN 2 THEN 'sk-ant-' || substr(md5(CAST(n AS STRING)), 1, 24)
+  WHEN 3 THEN 'sk-or-' || substr(md5(CAST(n AS STRING)), 1, 18)
+  WHEN 4 THEN 'gsk_' || substr(md5(CAST(n AS STRING)), 1, 22)
+  WHEN 5 THEN 'gho_' || substr(md5(CAST(n AS STRING)), 1, 22)
+  WHEN 6 THEN 'ghp_' || substr(md5(CAST(n AS STRING)), 1, 22)
+  WHEN 7 THEN 'AIza' || substr(md5(CAST(n AS STRING)), 1, 24)
+  ELSE 'eyJ' || substr(md5(CAST(n AS STRING)), 1, 10) || '.' || substr(md5(CAST(n AS STRING)), 11, 10) || '.' ||
+       substr(md5(CAST(n AS STRING)), 21, 10) END"""
+
+view("secrets_text", ["documents", "conversations"], """
+SELECT src, n AS id, CASE WHEN n % 7 = 0 THEN text || ' ' || """ + _SECRET + """ ELSE text END AS text
+FROM (SELECT 'doc' AS src, doc_id AS n, text FROM documents
+      UNION ALL SELECT 'conv', conv_id * 100 + turn, text FROM conversations) t
+""")
+
+view("duration_texts", ["events"], """
+SELECT event_id, CASE event_id % 8
+    WHEN 0 THEN CAST(value AS STRING) || 'd' WHEN 1 THEN ' ' || CAST(CAST(floor(value) AS BIGINT) AS STRING) || 'H '
+    WHEN 2 THEN CAST(CAST(floor(value) AS BIGINT) AS STRING) || 'm' WHEN 3 THEN CAST(CAST(floor(value) AS BIGINT) AS STRING) || 's'
+    WHEN 4 THEN CAST(CAST(floor(value) AS BIGINT) AS STRING) WHEN 5 THEN '-' || CAST(CAST(floor(value) AS BIGINT) AS STRING) || 'h'
+    WHEN 6 THEN event_type || 'd' ELSE '' END AS text
+FROM events
+""")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 
@@ -395,7 +422,7 @@ def _order(names: list[str]) -> list[str]:
 def cte(names: list[str]) -> str:
     """``WITH`` clause (DuckDB dialect) defining ``names`` and their deps."""
     parts = [f"{n} AS ({render(_sql_for(n, 'duckdb'), 'duckdb').strip()})" for n in _order(names)]
-    return "WITH " + ",\n".join(parts) + "\n"
+    return ("WITH " + ",\n".join(parts) + "\n") if parts else ""
 
 
 class Fixtures:
