@@ -57,49 +57,111 @@ def latest_annotations(annotations: DataFrame, order_col: str = "seq") -> DataFr
             .select("trace_id", "step_id", *[F.col(f"_a.{c}").alias(c) for c in cols]))
 
 
+def _vt(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit("ABSENT"))
+
+
+def _vstr(v: Column) -> Column:
+    return F.when(_vt(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _blocks_text(content: Column, kind_filter: bool = True) -> Column:
+    """Text blocks of a content list joined by newline ('' when none)."""
+    blocks = F.try_variant_get(content, "$", "array<variant>")
+    keep = F.filter(blocks, lambda b: (F.try_variant_get(b, "$.type", "string") == "text")
+                    & (_vt(F.variant_get(b, "$.text", "variant")) == "STRING"))
+    return F.array_join(F.transform(keep, lambda b: F.try_variant_get(b, "$.text", "string")), "\n")
+
+
 def last_user_turn(steps: DataFrame) -> DataFrame:
-    """Per step: the text of the last user message in ``inputs.messages``
-    (content string, or text blocks joined by newline), else
-    ``inputs.prompt``."""
-    ins = P.fields("inputs", "messages", "contents", "prompt")
-    msgs = F.from_json(ins["messages"], "array<struct<role:string, content:string>>")
-    users = F.filter(msgs, lambda m: m["role"] == "user")
-    last = F.element_at(users, -1)
-    content = last["content"]
-    blocks = F.from_json(content, "array<struct<type:string, text:string>>")
-    block_text = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"),
-                                          lambda b: b["text"]), "\n")
-    text = F.when(F.size(users) > 0,
-                  F.when(F.ltrim(content).startswith("["), block_text).otherwise(content))
-    return steps.select("trace_id", "step_id", F.coalesce(text, ins["prompt"]).alias("last_user_text"))
+    """Per step: the last user message's text (string content, or its text
+    blocks joined by newline), else the last Gemini ``contents`` entry with
+    role user or none (its string parts joined), else a string ``prompt``,
+    else ''."""
+    v = F.try_parse_json("inputs")
+    s = steps.select("trace_id", "step_id", v.alias("_v"))
+    msgs = F.try_variant_get(F.col("_v"), "$.messages", "array<variant>")
+
+    def cand(m: Column) -> Column:
+        c = F.variant_get(m, "$.content", "variant")
+        return F.when(F.try_variant_get(m, "$.role", "string") == "user",
+                      F.when(_vt(c) == "STRING", _vstr(c))
+                      .when(_vt(c).startswith("ARRAY"), F.nullif(_blocks_text(c), F.lit(""))))
+
+    from_msgs = F.try_element_at(F.filter(F.transform(msgs, cand), lambda x: x.isNotNull()), F.lit(-1))
+    contents = F.try_variant_get(F.col("_v"), "$.contents", "array<variant>")
+
+    def ccand(c: Column) -> Column:
+        role = F.variant_get(c, "$.role", "variant")
+        parts = F.try_variant_get(c, "$.parts", "array<variant>")
+        texts = F.transform(F.filter(parts, lambda p: _vt(F.variant_get(p, "$.text", "variant")) == "STRING"),
+                            lambda p: F.try_variant_get(p, "$.text", "string"))
+        ok_role = role.isNull() | (_vt(role) == "VOID") | (F.try_variant_get(role, "$", "string") == "user")
+        return F.when(_vt(c).startswith("OBJECT") & ok_role & (F.size(texts) > 0), F.array_join(texts, "\n"))
+
+    from_contents = F.try_element_at(F.filter(F.transform(contents, ccand), lambda x: x.isNotNull()), F.lit(-1))
+    prompt = _vstr(F.variant_get(F.col("_v"), "$.prompt", "variant"))
+    return s.select("trace_id", "step_id",
+                    F.coalesce(from_msgs, from_contents, prompt, F.lit("")).alias("last_user_text"))
 
 
 def replay_inputs(steps: DataFrame) -> DataFrame:
     """Per trace: the prompt and model a replay would use, in file order.
 
-    prompt = first of: a ``plan`` step's non-blank ``outputs.q`` (only if it
-    comes before any llm-call that fills the prompt), the first llm-call's
-    string ``inputs.contents``, or its string message contents joined by
-    newline.  model = first string ``inputs.model``, else the part of the
-    llm-call name after ':'."""
-    ins = P.fields("inputs", "model", "contents", "messages")
-    outs = P.fields("outputs", "q")
-    msgs = F.from_json(ins["messages"], "array<struct<role:string, content:string>>")
-    msg_text = F.array_join(F.transform(F.filter(msgs, lambda m: m["content"].isNotNull()),
-                                        lambda m: m["content"]), "\n")
+    prompt = the first of: a ``plan`` step's non-blank string
+    ``outputs.q``; an llm-call's string ``inputs.contents``; its string
+    message contents joined by newline (an empty result leaves the prompt
+    unfilled for later steps).  model = first non-empty string
+    ``inputs.model`` of an llm-call, else the part of its name after ':'."""
+    s = steps.select("trace_id", "step_index", "kind", "name",
+                     F.try_parse_json("inputs").alias("_i"), F.try_parse_json("outputs").alias("_o"))
+    q = _vstr(F.variant_get(F.col("_o"), "$.q", "variant"))
+    plan_q = F.when((F.col("kind") == "plan") & (F.length(F.trim(q)) > 0), q)
+    contents = _vstr(F.variant_get(F.col("_i"), "$.contents", "variant"))
+    msgs = F.try_variant_get(F.col("_i"), "$.messages", "array<variant>")
+    msg_text = F.array_join(F.filter(F.transform(msgs, lambda m: _vstr(F.variant_get(m, "$.content", "variant"))),
+                                     lambda x: x.isNotNull()), "\n")
     is_llm = F.col("kind") == "llm-call"
-    plan_q = F.when((F.col("kind") == "plan") & (F.length(F.trim(outs["q"])) > 0), outs["q"])
-    llm_prompt = F.when(is_llm, F.coalesce(
-        F.when(~F.ltrim(ins["contents"]).startswith("[") & ~F.ltrim(ins["contents"]).startswith("{"),
-               F.nullif(ins["contents"], F.lit(""))),
-        F.nullif(msg_text, F.lit(""))))
-    cand = F.coalesce(plan_q, llm_prompt)
-    model = F.coalesce(F.when(is_llm, F.nullif(ins["model"], F.lit(""))),
-                       F.when(is_llm & (F.instr("name", ":") > 0), P.after_first_colon(F.col("name"))))
-    s = steps.select("trace_id", "step_index", cand.alias("_p"), model.alias("_m"))
-    return s.groupBy("trace_id").agg(
-        F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("step_index"))).alias("prompt"),
-        F.min_by("_m", F.when(F.col("_m").isNotNull(), F.col("step_index"))).alias("model"))
+    has_contents = _vt(F.variant_get(F.col("_i"), "$.contents", "variant")) == "STRING"
+    llm_prompt = F.when(is_llm, F.when(has_contents, F.nullif(contents, F.lit("")))
+                        .otherwise(F.nullif(msg_text, F.lit(""))))
+    m = F.variant_get(F.col("_i"), "$.model", "variant")
+    from_name = F.when(F.instr("name", ":") > 0, F.nullif(P.after_first_colon(F.col("name")), F.lit("")))
+    # a string model (even '') is taken as is; only a non-string falls to the name
+    model = F.when(is_llm, F.when(_vt(m) == "STRING", F.nullif(_vstr(m), F.lit(""))).otherwise(from_name))
+    c = s.select("trace_id", "step_index", F.coalesce(plan_q, llm_prompt).alias("_p"), model.alias("_m"))
+    return c.groupBy("trace_id").agg(
+        F.coalesce(F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("step_index"))), F.lit("")).alias("prompt"),
+        F.coalesce(F.min_by("_m", F.when(F.col("_m").isNotNull(), F.col("step_index"))), F.lit("")).alias("model"))
+
+
+def conversation_bubbles(steps: DataFrame) -> DataFrame:
+    """Chat view of llm-call steps: the request messages then the reply as
+    (pos, role, text, is_reply); role 'model' shows as 'assistant'; list
+    content shows its text blocks, other blocks as placeholders."""
+    s = steps.filter(F.col("kind") == "llm-call").select(
+        "trace_id", "step_id", F.try_parse_json("inputs").alias("_i"), F.try_parse_json("outputs").alias("_o"))
+    msgs = F.coalesce(F.try_variant_get(F.col("_i"), "$.messages", "array<variant>"),
+                      F.array().cast("array<variant>"))
+
+    def text_of(m: Column) -> Column:
+        c = F.variant_get(m, "$.content", "variant")
+        blocks = F.try_variant_get(c, "$", "array<variant>")
+        shown = F.transform(blocks, lambda b: F.coalesce(
+            F.when(F.try_variant_get(b, "$.type", "string") == "text", F.try_variant_get(b, "$.text", "string")),
+            F.concat(F.lit("["), F.coalesce(F.try_variant_get(b, "$.type", "string"), F.lit("block")), F.lit("]"))))
+        return F.when(_vt(c) == "STRING", _vstr(c)).when(_vt(c).startswith("ARRAY"), F.array_join(shown, "\n"))
+
+    items = F.transform(msgs, lambda m: F.struct(
+        F.coalesce(F.try_variant_get(m, "$.role", "string"), F.lit("user")).alias("role"),
+        text_of(m).alias("text"), F.lit(False).alias("is_reply")))
+    reply = _vstr(F.variant_get(F.col("_o"), "$.text", "variant"))
+    all_items = F.when(reply.isNotNull(), F.concat(items, F.array(F.struct(
+        F.lit("assistant").alias("role"), reply.alias("text"), F.lit(True).alias("is_reply"))))).otherwise(items)
+    out = s.select("trace_id", "step_id", F.posexplode(all_items).alias("pos", "b"))
+    return out.select("trace_id", "step_id", F.col("pos").cast("bigint").alias("pos"),
+                      F.when(F.col("b.role") == "model", F.lit("assistant")).otherwise(F.col("b.role")).alias("role"),
+                      F.col("b.text").alias("text"), F.col("b.is_reply").alias("is_reply"))
 
 
 def activation_share(features: DataFrame, key: Sequence[str] = ("annotation_id",)) -> DataFrame:
