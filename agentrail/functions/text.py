@@ -212,21 +212,34 @@ def safe_int(json_text, json_type: Column | None = None) -> Column:
     return val
 
 
+def sse_payload(line) -> Column:
+    """The JSON payload of one SSE / JSON-lines line: stripped, comments
+    (':') and '[DONE]' dropped, a 'data:' prefix removed; null when none."""
+    t = F.trim(_c(line))
+    body = F.when(t.startswith("data:"), F.trim(F.substring(t, 6, 1 << 30))).otherwise(t)
+    return F.when((F.length(t) > 0) & ~t.startswith(":") & (body != "[DONE]") & (F.length(body) > 0), body)
+
+
+def sse_piece(line) -> Column:
+    """Text carried by one stream line: Anthropic ``content_block_delta``
+    ``delta.text``, OpenAI ``choices[0].delta.content`` and every Gemini
+    ``candidates[0].content.parts[*].text``, concatenated; '' otherwise."""
+    v = F.try_parse_json(sse_payload(line))
+
+    def s(path: str) -> Column:
+        x = F.variant_get(v, path, "variant")
+        return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+
+    anth = F.when(F.try_variant_get(v, "$.type", "string") == "content_block_delta", s("$.delta.text"))
+    oai = s("$.choices[0].delta.content")
+    parts = F.try_variant_get(v, "$.candidates[0].content.parts", "array<variant>")
+    gem = F.array_join(F.transform(parts, lambda p: F.when(
+        F.schema_of_variant(F.variant_get(p, "$.text", "variant")) == "STRING",
+        F.try_variant_get(p, "$.text", "string")).otherwise(F.lit(""))), "")
+    return F.concat(F.coalesce(anth, F.lit("")), F.coalesce(oai, F.lit("")), F.coalesce(gem, F.lit("")))
+
+
 def sse_text(body) -> Column:
-    """Concatenated text deltas of a server-sent-event body: lines starting
-    'data:' (prefix and spaces stripped), '[DONE]' and bad JSON skipped;
-    the Anthropic ``delta.text``, OpenAI ``choices[0].delta.content`` and
-    Gemini ``candidates[0].content.parts[0].text`` shapes."""
-    lines = F.split(_c(body), "\r?\n")
-    data = F.transform(F.filter(lines, lambda l: l.startswith("data:")),
-                       lambda l: F.trim(F.substring(l, 6, 1 << 30)))
-    payloads = F.filter(data, lambda d: (d != "[DONE]") & F.try_parse_json(d).isNotNull())
-
-    def piece(d: Column) -> Column:
-        v = F.try_parse_json(d)
-        return F.coalesce(F.try_variant_get(v, "$.delta.text", "string"),
-                          F.try_variant_get(v, "$.choices[0].delta.content", "string"),
-                          F.try_variant_get(v, "$.candidates[0].content.parts[0].text", "string"),
-                          F.lit(""))
-
-    return F.array_join(F.transform(payloads, piece), "")
+    """Concatenated text of a whole SSE body (lines in order)."""
+    lines = F.split(_c(body), "\r\n|\r|\n")
+    return F.array_join(F.transform(lines, sse_piece), "")
