@@ -407,7 +407,8 @@ FROM events
 _PIECES = """
 SELECT 'c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS call_id,
   CASE conv_id % 3 WHEN 0 THEN 'anthropic' WHEN 1 THEN 'openai' ELSE 'gemini' END AS provider,
-  text, length(text) AS n_chars, @N@ AS n_pieces, i, substr(text, CAST(i * 20 + 1 AS INT), 20) AS piece
+  text, length(text) AS n_chars, @N@ AS n_pieces, i, substr(text, CAST(i * 20 + 1 AS INT), 20) AS piece,
+  CAST(1704067200 + conv_id * 3600 + turn * 10 AS DOUBLE) AS t0
 FROM (SELECT *, @EXPLODE@ FROM conversations WHERE role = 'assistant') c
 """
 _N = "CAST(greatest(ceil(length(text) / 20.0), 1) AS BIGINT)"
@@ -418,21 +419,21 @@ _P_DUCK = _PIECES.replace("@N@", _N).replace(
 view("stream_pieces", ["conversations"], {"spark": _P_SPARK, "duckdb": _P_DUCK})
 
 view("stream_events", ["stream_pieces"], """
-SELECT call_id, provider, CAST(i AS BIGINT) AS seq,
+SELECT call_id, provider, t0, CAST(i AS BIGINT) AS seq,
   CASE provider
     WHEN 'anthropic' THEN '{"type":"content_block_delta","index":0,"delta":{"type":"text_delta","text":' || JQ(piece) || '}}'
     WHEN 'openai' THEN '{"choices":[{"index":0,"delta":{"content":' || JQ(piece) || '},"finish_reason":null}]}'
     ELSE '{"candidates":[{"content":{"role":"model","parts":[{"text":' || JQ(piece) || '}]}}]}' END AS event
 FROM stream_pieces
 UNION ALL
-SELECT DISTINCT call_id, provider, CAST(-1 AS BIGINT),
+SELECT DISTINCT call_id, provider, t0, CAST(-1 AS BIGINT),
   CASE provider
     WHEN 'anthropic' THEN '{"type":"message_start","message":{"usage":{"input_tokens":' || CAST(n_chars AS STRING) || ',"output_tokens":1}}}'
     WHEN 'openai' THEN '{"choices":[{"index":0,"delta":{"role":"assistant","content":""},"finish_reason":null}]}'
     ELSE '{"candidates":[{"content":{"role":"model","parts":[]}}]}' END
 FROM stream_pieces
 UNION ALL
-SELECT DISTINCT call_id, provider, CAST(1000000 AS BIGINT),
+SELECT DISTINCT call_id, provider, t0, CAST(1000000 AS BIGINT),
   CASE provider
     WHEN 'anthropic' THEN '{"type":"message_delta","delta":{"stop_reason":"end_turn"},"usage":{"output_tokens":' ||
       CAST(n_pieces AS STRING) || '}}'
@@ -444,9 +445,11 @@ FROM stream_pieces
 """)
 
 view("stream_chunks", ["stream_events"], """
-SELECT call_id, seq, 'data: ' || event AS line FROM stream_events
-UNION ALL SELECT DISTINCT call_id, CAST(-2 AS BIGINT), ': keep-alive' FROM stream_events
-UNION ALL SELECT DISTINCT call_id, CAST(1000001 AS BIGINT), 'data: [DONE]' FROM stream_events
+SELECT call_id, seq, 'data: ' || event AS line,
+  t0 + CASE WHEN seq >= 1000000 THEN 0.9 ELSE CAST(seq + 2 AS DOUBLE) / 1000 END AS received_at
+FROM stream_events
+UNION ALL SELECT DISTINCT call_id, CAST(-2 AS BIGINT), ': keep-alive', t0 FROM stream_events
+UNION ALL SELECT DISTINCT call_id, CAST(1000001 AS BIGINT), 'data: [DONE]', t0 + 0.95 FROM stream_events
 """)
 
 
