@@ -453,6 +453,15 @@ UNION ALL SELECT DISTINCT call_id, CAST(1000001 AS BIGINT), 'data: [DONE]', t0 +
 """)
 
 
+view("secret_json", ["documents"], """
+SELECT doc_id, '{"api_key":"' || md5(CAST(doc_id AS STRING)) || '","note":' || JQ(substr(text, 1, 200)) ||
+  ',"tokens":' || CAST(n_chars AS STRING) || ',"nested":{"Authorization":"Bearer ' || md5(lang) ||
+  '","items":[' || JQ(source) || ',{"password":"x","keep":1}]},"deep":' ||
+  '{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":{"secret":"kept-too-deep"}}}}}}}}}}' AS payload
+FROM documents
+""")
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 
