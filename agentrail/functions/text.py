@@ -243,3 +243,70 @@ def sse_text(body) -> Column:
     """Concatenated text of a whole SSE body (lines in order)."""
     lines = F.split(_c(body), "\r\n|\r|\n")
     return F.array_join(F.transform(lines, sse_piece), "")
+
+
+def _flatten(content: Column) -> Column:
+    """Text of a content list: string items and ``text`` of objects (one
+    level of nested ``parts``), joined by a space, empty pieces skipped."""
+    items = F.try_variant_get(content, "$", "array<variant>")
+
+    def piece(it: Column) -> Column:
+        t = F.schema_of_variant(it)
+        nested = F.try_variant_get(it, "$.parts", "array<variant>")
+        nested_txt = F.array_join(F.filter(F.transform(nested, lambda p: F.coalesce(
+            F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")),
+            F.when(F.schema_of_variant(F.variant_get(p, "$.text", "variant")) == "STRING",
+                   F.try_variant_get(p, "$.text", "string")))), lambda x: x.isNotNull() & (x != "")), " ")
+        return (F.when(t == "STRING", F.try_variant_get(it, "$", "string"))
+                .when(t.startswith("OBJECT") & (F.schema_of_variant(F.variant_get(it, "$.text", "variant")) == "STRING"),
+                      F.try_variant_get(it, "$.text", "string"))
+                .when(t.startswith("OBJECT") & nested.isNotNull(), nested_txt))
+
+    return F.array_join(F.filter(F.transform(items, piece), lambda x: x.isNotNull() & (x != "")), " ")
+
+
+def prompt_preview(inputs) -> Column:
+    """Display prompt: 'role: text' lines of the messages (list content
+    flattened), else string or list ``contents``, else the first non-blank
+    of prompt / input / question / q; '' when none."""
+    v = F.try_parse_json(_c(inputs))
+    msgs = F.try_variant_get(v, "$.messages", "array<variant>")
+
+    def line(m: Column) -> Column:
+        role = F.coalesce(F.try_variant_get(m, "$.role", "string"), F.lit(""))
+        c = F.variant_get(m, "$.content", "variant")
+        text = F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string")).otherwise(_flatten(c))
+        return F.when(F.schema_of_variant(m).startswith("OBJECT") & (F.coalesce(F.length(text), F.lit(0)) > 0),
+                      F.when(role != "", F.concat(role, F.lit(": "), text)).otherwise(text))
+
+    from_msgs = F.nullif(F.array_join(F.filter(F.transform(msgs, line), lambda x: x.isNotNull()), "\n"), F.lit(""))
+    c = F.variant_get(v, "$.contents", "variant")
+    from_contents = (F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string"))
+                     .when(F.schema_of_variant(c).startswith("ARRAY"), F.nullif(_flatten(c), F.lit(""))))
+
+    def key(k: str) -> Column:
+        x = F.variant_get(v, f"$.{k}", "variant")
+        s = F.try_variant_get(x, "$", "string")
+        return F.when((F.schema_of_variant(x) == "STRING") & (F.length(F.trim(s)) > 0), s)
+
+    return F.coalesce(from_msgs, from_contents, key("prompt"), key("input"), key("question"), key("q"), F.lit(""))
+
+
+def reply_preview(outputs) -> Column:
+    """First non-blank string of text / output / reply / completion, else ''."""
+    v = F.try_parse_json(_c(outputs))
+
+    def key(k: str) -> Column:
+        x = F.variant_get(v, f"$.{k}", "variant")
+        s = F.try_variant_get(x, "$", "string")
+        return F.when((F.schema_of_variant(x) == "STRING") & (F.length(F.trim(s)) > 0), s)
+
+    return F.coalesce(key("text"), key("output"), key("reply"), key("completion"), F.lit(""))
+
+
+def token_summary(outputs) -> Column:
+    """'in 12 · out 8 tokens' from integer token counts, '' when none."""
+    o = F.from_json(_c(outputs), "input_tokens bigint, output_tokens bigint")
+    parts = F.concat_ws(" · ", F.when(o["input_tokens"].isNotNull(), F.concat(F.lit("in "), o["input_tokens"].cast("string"))),
+                        F.when(o["output_tokens"].isNotNull(), F.concat(F.lit("out "), o["output_tokens"].cast("string"))))
+    return F.when(parts != "", F.concat(parts, F.lit(" tokens"))).otherwise(F.lit(""))

@@ -334,9 +334,15 @@ SELECT event_id AS call_id,
        WHEN fam = 1 THEN '/v1/chat/completions'
        ELSE '/v1beta/models/gemini-2.5-flash:generateContent' END AS path,
   CASE WHEN fam = 0 THEN '{"model":"claude-haiku-4-5","max_tokens":256,"messages":[{"role":"user","content":"q ' ||
-         CAST(event_id AS STRING) || '"}]}'
+         CAST(event_id AS STRING) || '"}' ||
+         CASE WHEN event_type = 'click' THEN ',{"role":"assistant","content":[{"type":"text","text":"checking"},' ||
+           '{"type":"tool_use","id":"tu_prev_' || CAST(event_id AS STRING) || '","name":"search","input":{"q":"prev"}}]}'
+           ELSE '' END || ']}'
        WHEN fam = 1 THEN '{"model":"gpt-4o","stream":false,"messages":[{"role":"user","content":"q ' ||
-         CAST(event_id AS STRING) || '"}]}'
+         CAST(event_id AS STRING) || '"}' ||
+         CASE WHEN event_type = 'click' THEN ',{"role":"assistant","content":null,"tool_calls":[{"id":"call_prev_' ||
+           CAST(event_id AS STRING) || '","type":"function","function":{"name":"lookup","arguments":"[1]"}}]}'
+           ELSE '' END || ']}'
        ELSE '{"contents":[{"role":"user","parts":[{"text":"q ' || CAST(event_id AS STRING) || '"}]}]}' END
     AS request_body,
   http_status AS status,
