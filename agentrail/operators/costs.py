@@ -52,12 +52,23 @@ def sum_usd(pico_col: str = "cost_pico") -> Column:
 
 
 def _price_lookup(spark, prices: DataFrame | None, defaults: DataFrame | None):
+    """(model -> price row, lower(provider) -> default price row) lookups.
+
+    With the built-in tables both are literal relations (no join at all);
+    user tables are joined with a size-checked broadcast."""
+    price_ddl = "_key string, _price struct<model:string, in_per_m:double, out_per_m:double, provider:string>"
+    if prices is None and defaults is None:
+        rows = {m: (m, i, o, p) for m, i, o, p in dims.PRICES}
+        by_model = spark.createDataFrame([(m, r) for m, r in rows.items()], price_ddl)
+        by_provider = spark.createDataFrame([(prov.lower(), rows[m]) for prov, m in dims.PRICE_DEFAULTS], price_ddl)
+        return F.broadcast(by_model), F.broadcast(by_provider)
     prices = prices if prices is not None else dims.prices_df(spark)
     defaults = defaults if defaults is not None else dims.price_defaults_df(spark)
+    prices = dims.bounded(prices)
     row = F.struct(F.col("model").alias("model"), F.col("in_per_m"), F.col("out_per_m"),
                    F.col("provider").alias("provider"))
     by_model = prices.select(F.col("model").alias("_key"), row.alias("_price"))
-    by_provider = (defaults.alias("d").join(prices.alias("p"), F.col("d.model") == F.col("p.model"))
+    by_provider = (dims.bounded(defaults).alias("d").join(prices.alias("p"), F.col("d.model") == F.col("p.model"))
                    .select(F.lower(F.col("d.provider")).alias("_key"),
                            F.struct(F.col("p.model").alias("model"), F.col("p.in_per_m"),
                                     F.col("p.out_per_m"), F.col("p.provider").alias("provider"))
