@@ -145,7 +145,8 @@ def q_sink_protocol(fx):
     t, s = fx.get("ev_traces"), fx.get("ev_steps")
     for sink in sinks:
         sink.save(t, s)
-    traces, steps = WR.split_traces(WR.trace_lines(WR.read_trace_files(fx.spark, f"{base}/wire/*/*.txt")))
+    from ..sinks.wire import read_wire_lines
+    traces, steps = WR.split_traces(WR.trace_lines(read_wire_lines(fx.spark, f"{base}/wire")))
     flat = X.read_flat_steps(fx.spark, f"{base}/flat")
     return (steps.groupBy("trace_id").agg(F.count(F.lit(1)).alias("wire_steps"))
             .join(flat.groupBy("trace_id").agg(F.count(F.lit(1)).alias("flat_steps")), "trace_id", "full"))

@@ -21,11 +21,30 @@ from .fixtures import AS_OF
 BATCHES = 4
 
 
-def _land(df: DataFrame, path: str, key: str, batches: int = BATCHES):
-    """Write ``df`` as ``batches`` files (hash of ``key``) and return a file
-    stream over them, one file per micro-batch."""
-    df.repartition(batches, key).write.mode("overwrite").parquet(path)
-    return S.parquet_stream(df.sparkSession, path, df.schema, max_files=1)
+def _land(df: DataFrame, path: str, key: str, batches: int = BATCHES, time_col: str | None = None):
+    """Land ``df`` as files and return a file stream over them.
+
+    Without ``time_col`` rows are hashed on ``key`` into ``batches`` files.
+    With it, rows arrive in time order like a live feed: the time range is
+    cut into ``batches`` slices written one after another (the file source
+    replays files in write order), two files per slice, one slice per
+    micro-batch."""
+    spark = df.sparkSession
+    if time_col is None:
+        df.repartition(batches, key).write.mode("overwrite").parquet(path)
+        return S.parquet_stream(spark, path, df.schema, max_files=1)
+    lo, hi = df.agg(F.min(time_col), F.max(time_col)).first()
+    width = max((hi - lo) / batches, 1e-9) if lo is not None else 1.0
+    bucket = F.least(F.floor((F.col(time_col) - F.lit(lo)) / F.lit(width)), F.lit(batches - 1))
+    for b in range(batches):
+        (df.filter(bucket == b).repartition(2, key).write.mode("append").parquet(path))
+    return S.parquet_stream(spark, path, df.schema, max_files=2)
+
+
+# Watermark of the demo jobs: one landing slice (about a week of the
+# 30-day test data), so replayed slices are never late.  Library
+# defaults stay tight (minutes to a day).
+DEMO_WATERMARK = "8 days"
 
 
 def _dirs(fx, name: str):
@@ -67,8 +86,8 @@ def q_stream_dedupe(fx):
     base, src, out, ck = _dirs(fx, "dedupe")
     s = fx.get("ev_steps")
     again = s.filter(F.col("step_index") == 0)  # re-delivery of every trace's first step
-    stream = _land(s.unionByName(again), src, "step_id")
-    S.run_available_now(S.dedupe_stream(stream), out, ck)
+    stream = _land(s.unionByName(again), src, "step_id", time_col="started_at")
+    S.run_available_now(S.dedupe_stream(stream, DEMO_WATERMARK), out, ck)
     return fx.spark.read.parquet(out)
 
 
@@ -77,8 +96,8 @@ def q_stream_daily_cost(fx):
     """Daily spend / calls / rate limits from a step stream (update mode into
     a table keyed by day)."""
     base, src, out, ck = _dirs(fx, "daily-cost")
-    stream = _land(fx.get("ev_steps"), src, "step_id")
-    S.run_available_now(S.daily_cost_stream(stream), out, ck, mode="update", key=["date"])
+    stream = _land(fx.get("ev_steps"), src, "step_id", time_col="started_at")
+    S.run_available_now(S.daily_cost_stream(stream, DEMO_WATERMARK), out, ck, mode="update", key=["date"])
     return SnapshotTable(fx.spark, out).read()
 
 
@@ -86,8 +105,9 @@ def q_stream_daily_cost(fx):
 def q_stream_failure_rate(fx):
     """7-day sliding failure rate from a trace stream."""
     base, src, out, ck = _dirs(fx, "failure-rate")
-    stream = _land(fx.get("ev_traces"), src, "trace_id")
-    S.run_available_now(S.failure_rate_stream(stream), out, ck, mode="update", key=["window_start"])
+    stream = _land(fx.get("ev_traces"), src, "trace_id", time_col="started_at")
+    S.run_available_now(S.failure_rate_stream(stream, watermark=DEMO_WATERMARK), out, ck, mode="update",
+                        key=["window_start"])
     return SnapshotTable(fx.spark, out).read()
 
 
@@ -95,9 +115,9 @@ def q_stream_failure_rate(fx):
 def q_stream_pair_runs(fx):
     """Run start and end events paired by a stream-stream outer join."""
     base, src, out, ck = _dirs(fx, "pairs")
-    starts = _land(fx.get("run_starts"), src + "/starts", "run_id")
-    ends = _land(fx.get("run_ends"), src + "/ends", "run_id")
-    S.run_available_now(S.pair_runs_stream(starts, ends), out, ck)
+    starts = _land(fx.get("run_starts"), src + "/starts", "run_id", time_col="started_at")
+    ends = _land(fx.get("run_ends"), src + "/ends", "run_id", time_col="ended_at")
+    S.run_available_now(S.pair_runs_stream(starts, ends, watermark=DEMO_WATERMARK), out, ck)
     return fx.spark.read.parquet(out)
 
 
@@ -105,12 +125,12 @@ def q_stream_pair_runs(fx):
 def q_stream_events_feed(fx):
     """new_trace / annotation_changed events, de-duplicated."""
     base, src, out, ck = _dirs(fx, "feed")
-    t = _land(fx.get("ev_traces"), src + "/traces", "trace_id")
+    t = _land(fx.get("ev_traces"), src + "/traces", "trace_id", time_col="started_at")
     a0 = fx.get("ev_annotations").join(fx.get("ev_steps").select("trace_id", "step_id", "started_at"),
                                        ["trace_id", "step_id"], "left")
-    a = a0.select("trace_id", "step_id", S.event_time("started_at").alias("ts"))
-    ann = _land(a, src + "/annotations", "trace_id")
-    S.run_available_now(S.events_feed(t, ann), out, ck)
+    a = a0.select("trace_id", "step_id", "started_at", S.event_time("started_at").alias("ts"))
+    ann = _land(a, src + "/annotations", "trace_id", time_col="started_at").drop("started_at")
+    S.run_available_now(S.events_feed(t, ann, DEMO_WATERMARK), out, ck)
     return fx.spark.read.parquet(out)
 
 
@@ -137,7 +157,7 @@ def q_stream_assemble(fx):
     """Streamed chunk lines assembled per call: a session window per call id
     closes one minute after its last chunk; closed calls are emitted."""
     base, src, out, ck = _dirs(fx, "assemble")
-    s = _land(fx.get("stream_chunks"), src, "call_id")
+    s = _land(fx.get("stream_chunks"), src, "call_id", time_col="received_at")
     S.run_available_now(S.assemble_stream(s, gap="1 minute"), out, ck)
     return fx.spark.read.parquet(out)
 

@@ -14,13 +14,23 @@ class Sink(Protocol):
 
 
 class WireSink:
-    """Trace files in the JSONL wire format, one logical file per trace."""
-
-    def __init__(self, path: str):
+    """Traces in the JSONL wire format.  ``layout='packed'`` (default) keeps
+    the lines in a Parquet table keyed by trace id (no small files);
+    ``layout='files'`` writes one logical file per trace, as trace
+    directories of the reference are laid out."""
+
+    def __init__(self, path: str, layout: str = "packed"):
+        if layout not in ("packed", "files"):
+            raise ValueError(f"unknown layout {layout!r}")
         self.path = path
+        self.layout = layout
 
     def save(self, traces: DataFrame, steps: DataFrame) -> None:
-        wire.save_wire(wire.wire_lines(traces, steps), self.path, mode="append")
+        lines = wire.wire_lines(traces, steps)
+        if self.layout == "packed":
+            wire.save_wire_lines(lines, self.path, mode="append")
+        else:
+            wire.save_wire(lines, self.path, mode="append")
 
 
 class FlatParquetSink:

@@ -58,3 +58,16 @@ def trace_texts(lines: DataFrame) -> DataFrame:
                                           lambda x: x["line"]), "\n").alias("text"))
             .select(F.concat(F.lit("traces/"), F.col("trace_id"), F.lit(".jsonl")).alias("file"),
                     F.concat(F.col("text"), F.lit("\n")).alias("text")))
+
+
+def save_wire_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Packed layout for large volumes: the wire lines as a Parquet table
+    (trace_id, pos, line), clustered by trace so a trace's lines sit in one
+    file; no per-trace file or directory is created."""
+    (lines.repartition("trace_id").sortWithinPartitions("trace_id", "pos")
+     .write.mode(mode).option("compression", "zstd").parquet(path))
+
+
+def read_wire_lines(spark, path: str) -> DataFrame:
+    """Packed wire lines -> (file, text) rows for the tolerant reader."""
+    return trace_texts(spark.read.schema("trace_id string, pos bigint, line string").parquet(path))
