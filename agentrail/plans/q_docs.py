@@ -133,13 +133,16 @@ def q_validate_ingest(fx):
     return D.validate(fx.get("trace_docs"), mode="ingest")
 
 
-@register("ingest_documents", ["trace_docs"], INGEST_ERRORS + f"""
+INGEST_TRACES_SQL = INGEST_ERRORS + f"""
 SELECT d.doc_id,
   CASE WHEN {_truthy('d.tt', 'd.tid')} THEN d.tid ELSE substr(sha256(d.doc), 1, 32) END AS trace_id,
   d.nm AS name, d.fw AS framework,
   CASE WHEN {_truthy('d.tsa', 'd.sa')} THEN CAST(d.sa AS DOUBLE) ELSE {AS_OF} END AS started_at,
   CASE WHEN d.tea IS NOT NULL AND d.tea <> 'NULL' THEN CAST(d.ea AS DOUBLE) ELSE {AS_OF} END AS ended_at
-FROM d JOIN ve ON d.doc_id = ve.doc_id WHERE ve.error IS NULL""")
+FROM d JOIN ve ON d.doc_id = ve.doc_id WHERE ve.error IS NULL"""
+
+
+@register("ingest_documents", ["trace_docs"], INGEST_TRACES_SQL)
 def q_ingest_documents(fx):
     """Accepted documents as trace headers with defaults filled."""
     t, _, _ = D.ingest(fx.get("trace_docs"), AS_OF)

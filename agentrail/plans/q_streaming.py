@@ -17,6 +17,10 @@ from ..sources import wire as WR
 from ..streaming import jobs as S
 from .catalog import register
 from .fixtures import AS_OF
+from .q_costs import strict_sql
+from .q_docs import INGEST_TRACES_SQL
+from .q_io import HEADERS, LINES
+from .q_scalars import _duck_redact
 
 BATCHES = 4
 
@@ -52,23 +56,35 @@ def _dirs(fx, name: str):
     return base, f"{base}/in", f"{base}/out", f"{base}/ckpt"
 
 
-@register("stream_traces")
+@register("stream_traces", ["wire_files"], LINES + HEADERS + r"""
+SELECT w.file, coalesce(tr.trace_id, regexp_extract(w.file, '([^/]+?)(\.jsonl)?$', 1)) AS trace_id,
+  json_extract_string(w.line, '$.step_id') AS step_id,
+  CAST(row_number() OVER (PARTITION BY w.file ORDER BY w.pos) - 1 AS BIGINT) AS step_index,
+  json_extract_string(w.line, '$.kind') AS kind, json_extract_string(w.line, '$.name') AS name,
+  TRY_CAST(json_extract_string(w.line, '$.started_at') AS DOUBLE) AS started_at,
+  json_extract_string(w.line, '$.error') AS error
+FROM wr w LEFT JOIN tr ON w.file = tr.file WHERE w.good AND w.rtype = 'step'""")
 def q_stream_traces(fx):
-    """New trace files streamed in: tolerant parse, header / step split."""
+    """New trace files streamed in: tolerant parse, header / step split per
+    micro-batch (a file arrives whole in one batch)."""
     base, src, out, ck = _dirs(fx, "traces")
     files = _land(fx.get("wire_files"), src, "file")
     S.run_batchwise(WR.trace_lines(files), lambda b: WR.split_traces(b)[1], out, ck)
-    return fx.spark.read.parquet(out).drop("batch")
+    return fx.spark.read.parquet(out).select("file", "trace_id", "step_id",
+                                             F.col("step_index").cast("bigint").alias("step_index"),
+                                             "kind", "name", "started_at", "error")
 
 
-@register("stream_upsert_tables")
+@register("stream_upsert_tables", ["wire_files"], LINES + HEADERS + """
+SELECT trace_id, name, framework, started_at, ended_at FROM tr""")
 def q_stream_upsert_tables(fx):
     """Derived trace table maintained by keyed upserts per micro-batch."""
     base, src, out, ck = _dirs(fx, "upsert")
     files = _land(fx.get("wire_files"), src, "file")
     q = S.start_upsert(WR.trace_lines(files), out, ck)
     q.awaitTermination()
-    return SnapshotTable(fx.spark, f"{out}/traces").read()
+    return SnapshotTable(fx.spark, f"{out}/traces").read().select(
+        "trace_id", "name", "framework", "started_at", "ended_at")
 
 
 @register("stream_live_view")
@@ -91,7 +107,12 @@ def q_stream_dedupe(fx):
     return fx.spark.read.parquet(out)
 
 
-@register("stream_daily_cost")
+@register("stream_daily_cost", ["ev_steps"], strict_sql("ev_steps") + """
+, d AS (SELECT CAST(CAST(make_timestamp(CAST(s.started_at * 1000000 AS BIGINT)) AS DATE) AS VARCHAR) AS date,
+          st.cost_pico, st.rl_flag
+        FROM strict st JOIN ev_steps s ON st.step_id = s.step_id)
+SELECT date, coalesce(USD(sum(cost_pico)), 0) AS usd, count(*) AS calls, CAST(sum(rl_flag) AS BIGINT) AS rate_limited
+FROM d GROUP BY date""")
 def q_stream_daily_cost(fx):
     """Daily spend / calls / rate limits from a step stream (update mode into
     a table keyed by day)."""
@@ -134,16 +155,17 @@ def q_stream_events_feed(fx):
     return fx.spark.read.parquet(out)
 
 
-@register("stream_ingest")
+@register("stream_ingest", ["trace_docs"], INGEST_TRACES_SQL)
 def q_stream_ingest(fx):
     """Trace documents streamed in: validated, ingested (rejects dropped)."""
     base, src, out, ck = _dirs(fx, "ingest")
     docs = _land(fx.get("trace_docs"), src, "doc_id")
     S.run_batchwise(docs, lambda b: D.ingest(b, AS_OF)[0], out, ck)
-    return fx.spark.read.parquet(out).drop("batch")
+    return fx.spark.read.parquet(out).select("doc_id", "trace_id", "name", "framework", "started_at", "ended_at")
 
 
-@register("stream_redact")
+@register("stream_redact", ["secrets_text"], f"""
+SELECT src, id, {_duck_redact('text')} AS text FROM secrets_text""")
 def q_stream_redact(fx):
     """Texts redacted on the way in (stateless map on a stream)."""
     base, src, out, ck = _dirs(fx, "redact")

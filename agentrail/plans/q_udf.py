@@ -41,7 +41,10 @@ def q_attribute_steps(fx):
     return U.attribute_steps(fx.get("ev_steps"), "hash")
 
 
-@register("read_annotations")
+@register("read_annotations", ["ev_annotations"], """
+SELECT trace_id, step_id, arg_max(failure_category, seq) AS failure_category, arg_max(severity, seq) AS severity,
+  arg_max(notes, seq) AS notes, arg_max(annotator, seq) AS annotator
+FROM ev_annotations GROUP BY trace_id, step_id""")
 def q_read_annotations(fx):
     """Annotation sidecars (one JSON array per trace) parsed back to rows."""
     a = W.latest_annotations(fx.get("ev_annotations"))
@@ -49,14 +52,19 @@ def q_read_annotations(fx):
                    "annotator", "tags", "circuit_attribution")
     files = (a.groupBy("trace_id").agg(F.to_json(F.array_sort(F.collect_list(ann))).alias("text"))
              .select(F.concat(F.lit("annotations/"), "trace_id", F.lit(".json")).alias("file"), "text"))
-    return SC.parse_annotations(files)
+    return SC.parse_annotations(files).select("trace_id", "step_id", "failure_category", "severity", "notes",
+                                              "annotator")
 
 
-@register("read_corpus")
+@register("read_corpus", ["ev_traces", "ev_steps", "ev_annotations"], """
+, la AS (SELECT DISTINCT trace_id, step_id FROM ev_annotations)
+SELECT 'lb-' || substr(la.trace_id, 1, 8) || '-' || substr(la.step_id, 1, 6) AS id, t.framework, 'CC-BY-4.0' AS license
+FROM la JOIN ev_steps s ON la.trace_id = s.trace_id AND la.step_id = s.step_id
+JOIN ev_traces t ON la.trace_id = t.trace_id""")
 def q_read_corpus(fx):
     """Exported corpus lines written to the shared folder and read back by
     the strict corpus reader."""
     path = scratch_path(fx.spark, "corpus")
     corpus = X.export_corpus(fx.get("ev_traces"), fx.get("ev_steps"), W.latest_annotations(fx.get("ev_annotations")))
     corpus.select("record_json").write.text(path)
-    return SC.read_corpus(fx.spark, path)
+    return SC.read_corpus(fx.spark, path).select("id", "framework", "license")
