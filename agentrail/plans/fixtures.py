@@ -493,6 +493,8 @@ class Fixtures:
     """Spark-side builder: ``fx.get('ev_steps')`` returns the view as a DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        # every day bucket and epoch conversion of the library is UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}

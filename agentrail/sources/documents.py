@@ -21,19 +21,28 @@ MAX_FRAMEWORK_LENGTH = 64
 FORBIDDEN_ID_CHARS = r"[/\\\x00\n\r\t]"
 
 
+_TYPE_NAMES = {"STRING": "string", "BIGINT": "number", "INT": "number", "SMALLINT": "number",
+               "TINYINT": "number", "DOUBLE": "number", "FLOAT": "number", "DECIMAL": "number",
+               "BOOLEAN": "boolean", "VOID": "null", "OBJECT": "object", "ARRAY": "array"}
+
+
 def _t(v: Column) -> Column:
     """JSON type of a VARIANT: string / number / boolean / null / object /
-    array; 'absent' when the key is missing (so every test is null-safe)."""
-    s = F.schema_of_variant(v)
-    return (F.when(v.isNull(), F.lit("absent"))
-            .when(s == "STRING", F.lit("string"))
-            .when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | s.startswith("DECIMAL"),
-                  F.lit("number"))
-            .when(s == "BOOLEAN", F.lit("boolean"))
-            .when(s == "VOID", F.lit("null"))
-            .when(s.startswith("OBJECT"), F.lit("object"))
-            .when(s.startswith("ARRAY"), F.lit("array"))
-            .otherwise(F.lit("other")))
+    array; 'absent' when the key is missing (so every test is null-safe).
+    One ``schema_of_variant`` call, mapped through a literal lookup."""
+    base = F.regexp_replace(F.schema_of_variant(v), "[<(].*$", "")
+    names = F.create_map(*[F.lit(x) for kv in _TYPE_NAMES.items() for x in kv])
+    return F.when(v.isNull(), F.lit("absent")).otherwise(F.coalesce(F.element_at(names, base), F.lit("other")))
+
+
+def _is_obj(v: Column) -> Column:
+    """Object test by cast (a shallow copy), not by computing the schema of
+    the whole sub-tree."""
+    return F.coalesce(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.lit(False))
+
+
+def _is_arr(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>").isNotNull(), F.lit(False))
 
 
 def _str(v: Column) -> Column:
@@ -82,7 +91,7 @@ def _truthy_variant(v: Column) -> Column:
             .when(t == "number", F.try_variant_get(v, "$", "double") != 0)
             .when(t == "string", F.length(_str(v)) > 0)
             .when(t == "array", F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
-            .when(t == "object", F.to_json(v) != "{}")
+            .when(t == "object", F.size(F.try_variant_get(v, "$", "map<string,variant>")) > 0)
             .otherwise(F.lit(True)))
 
 
@@ -104,7 +113,7 @@ def validate(docs: DataFrame, mode: str = "schema") -> DataFrame:
     st, en, md = g("$.started_at"), g("$.ended_at"), g("$.metadata")
     if mode == "schema":
         head = [
-            (_t(v) != "object", "$: must be an object"),
+            (~_is_obj(v), "$: must be an object"),
             (name.isNull(), "$: 'name' is a required property"),
             (steps.isNull(), "$: 'steps' is a required property"),
             (tid.isNotNull() & (_t(tid) != "string"), "$.trace_id: must be a string"),
@@ -117,25 +126,25 @@ def validate(docs: DataFrame, mode: str = "schema") -> DataFrame:
             (F.length(_str(fw)) > MAX_FRAMEWORK_LENGTH, f"$.framework: longer than {MAX_FRAMEWORK_LENGTH}"),
             (st.isNotNull() & (_t(st) != "number"), "$.started_at: must be a number"),
             (en.isNotNull() & ~_t(en).isin("number", "null"), "$.ended_at: must be a number or null"),
-            (md.isNotNull() & (_t(md) != "object"), "$.metadata: must be an object"),
+            (md.isNotNull() & ~_is_obj(md), "$.metadata: must be an object"),
             (g("$.metadata.failed").isNotNull() & (_t(g("$.metadata.failed")) != "boolean"),
              "$.metadata.failed: must be a boolean"),
             (g("$.metadata.error").isNotNull() & (_t(g("$.metadata.error")) != "string"),
              "$.metadata.error: must be a string"),
-            (_t(steps) != "array", "$.steps: must be an array"),
+            (~_is_arr(steps), "$.steps: must be an array"),
         ]
     elif mode == "ingest":
         head = [
-            (_t(v) != "object", "trace payload must be a JSON object"),
+            (~_is_obj(v), "trace payload must be a JSON object"),
             ((_t(name) != "string") | (F.length(_str(name)) == 0),
              "trace.name is required and must be a non-empty string"),
-            (_t(steps) != "array", "trace.steps must be a list (may be empty)"),
+            (~_is_arr(steps), "trace.steps must be a list (may be empty)"),
             (_truthy_variant(tid), safe_id_error(F.coalesce(_str(tid), F.to_json(tid)), "trace_id")),
             (_truthy_variant(st) & ~_t(st).isin("number", "boolean")
              & _str(st).try_cast("double").isNull(), "trace.started_at must be a number"),
             (en.isNotNull() & (_t(en) != "null") & ~_t(en).isin("number", "boolean")
              & _str(en).try_cast("double").isNull(), "trace.ended_at must be a number"),
-            (_truthy_variant(md) & (_t(md) != "object"), "trace.metadata must be an object"),
+            (_truthy_variant(md) & ~_is_obj(md), "trace.metadata must be an object"),
         ]
     else:
         raise ValueError(f"unknown mode {mode!r}")
@@ -153,7 +162,7 @@ def validate(docs: DataFrame, mode: str = "schema") -> DataFrame:
     if mode == "schema":
         p = F.concat(F.lit("$.steps["), idx, F.lit("]"))
         rules = [
-            (_t(sv) != "object", F.concat(p, F.lit(": must be an object"))),
+            (~_is_obj(sv), F.concat(p, F.lit(": must be an object"))),
             (kind.isNull(), F.concat(p, F.lit(": 'kind' is a required property"))),
             (sname.isNull(), F.concat(p, F.lit(": 'name' is a required property"))),
             (sid.isNotNull() & (_t(sid) != "string"), F.concat(p, F.lit(".step_id: must be a string"))),
@@ -172,7 +181,7 @@ def validate(docs: DataFrame, mode: str = "schema") -> DataFrame:
             (sg("$.ended_at").isNotNull() & ~_t(sg("$.ended_at")).isin("number", "null"),
              F.concat(p, F.lit(".ended_at: must be a number or null"))),
         ] + [
-            (sg(f"$.{k}").isNotNull() & (_t(sg(f"$.{k}")) != "object"),
+            (sg(f"$.{k}").isNotNull() & ~_is_obj(sg(f"$.{k}")),
              F.concat(p, F.lit(f".{k}: must be an object"))) for k in ("inputs", "outputs", "metadata")
         ] + [
             (sg("$.error").isNotNull() & ~_t(sg("$.error")).isin("string", "null"),
@@ -180,7 +189,7 @@ def validate(docs: DataFrame, mode: str = "schema") -> DataFrame:
         ]
     else:
         rules = [
-            (_t(sv) != "object", F.concat(loc, F.lit(" must be an object"))),
+            (~_is_obj(sv), F.concat(loc, F.lit(" must be an object"))),
             ((_t(kind) != "string") | (F.length(_str(kind)) == 0),
              F.concat(loc, F.lit(".kind must be a non-empty string"))),
             (F.length(_str(kind)) > MAX_KIND_LENGTH, F.concat(loc, F.lit(f".kind exceeds {MAX_KIND_LENGTH} chars"))),
