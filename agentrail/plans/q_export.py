@@ -51,15 +51,22 @@ def q_export_flat_steps(fx):
     return X.flat_steps(fx.get("ev_traces"), fx.get("ev_steps"))
 
 
-@register("read_flat_steps", ["ev_traces", "ev_steps"], FLAT_SQL + " WHERE starts_with(s.trace_id, 'u00001')")
+@register("read_flat_steps", ["ev_traces", "ev_steps"], FLAT_SQL)
 def q_read_flat_steps(fx):
-    """Flat steps of ids starting 'u00001' written as ZSTD Parquet to the
-    shared checkpoint folder and read back with the fixed schema."""
+    """All flat steps written as ZSTD Parquet to the shared checkpoint
+    folder and read back with the fixed schema."""
     path = scratch_path(fx.spark, "flat-steps")
-    X.save_flat_steps(X.flat_steps(fx.get("ev_traces"), fx.get("ev_steps"), prefix="u00001"), path)
+    X.save_flat_steps(X.flat_steps(fx.get("ev_traces"), fx.get("ev_steps")), path)
     return X.read_flat_steps(fx.spark, path)
 
 
+@register("export_flat_steps_prefix", ["ev_traces", "ev_steps"], FLAT_SQL + " WHERE starts_with(s.trace_id, 'u00001')")
+def q_export_flat_steps_prefix(fx):
+    """The export's id-prefix option (the feature under test): only traces
+    whose id starts with 'u00001'; the filter is pushed to the scan."""
+    return X.flat_steps(fx.get("ev_traces"), fx.get("ev_steps"), prefix="u00001")
+
+
 def _attr_sql(key: str, kind: str, val: str) -> str:
     if kind == "string":
         body = f"'{{\"stringValue\":' || to_json({val}) || '}}'"

@@ -12,17 +12,17 @@ from .q_io import LINES
 
 
 @register("upsert_traces", ["ev_traces"], """
-SELECT trace_id, 'stale' AS name, framework FROM ev_traces
-WHERE CAST(substr(trace_id, 2, 6) AS INT) % 2 = 1
+SELECT trace_id, 'stale' AS name, framework FROM ev_traces WHERE started_at < 1705363200.0
 UNION ALL
-SELECT trace_id, name, framework FROM ev_traces WHERE CAST(substr(trace_id, 2, 6) AS INT) % 2 = 0""")
+SELECT trace_id, name, framework FROM ev_traces WHERE started_at >= 1705363200.0""")
 def q_upsert_traces(fx):
-    """A stale copy of the trace table upserted with a fresh batch (the
-    traces of even users): the batch replaces its ids, others stay."""
-    t = fx.get("ev_traces").select("trace_id", "name", "framework")
-    stale = t.withColumn("name", F.lit("stale"))
-    batch = t.filter(F.expr("CAST(substr(trace_id, 2, 6) AS INT) % 2 = 0"))
-    return TB.upsert(TB.upsert(stale, batch), batch)  # applying a batch twice changes nothing
+    """A stale copy of the whole trace table upserted with a batch of the
+    traces captured from 2024-01-16 on: the batch replaces its ids, the
+    others stay; applying the batch twice changes nothing."""
+    t = fx.get("ev_traces")
+    stale = t.select("trace_id", F.lit("stale").alias("name"), "framework")
+    batch = t.filter(F.col("started_at") >= 1705363200.0).select("trace_id", "name", "framework")
+    return TB.upsert(TB.upsert(stale, batch), batch)
 
 
 @register("remove_traces", ["ev_traces", "ev_annotations"], """
