@@ -53,12 +53,11 @@ def feature_frequency(features: DataFrame, category: str | None = None, top_k: i
     per = f.groupBy("feature_id").agg(
         F.count(F.lit(1)).alias("hits"),
         F.max_by("description", F.when(F.col("description").isNotNull(), order)).alias("explanation"))
-    n = f.select(*ann_key).distinct().agg(F.count(F.lit(1)).alias("_n"), F.lit(1).alias("_one"))
+    n = f.select(*ann_key).distinct().agg(F.count(F.lit(1))).scalar()  # one-row scalar subquery
     k = _clamp_k(top_k)
-    top = per.orderBy(F.col("hits").desc(), F.col("feature_id")).limit(k).withColumn("_one", F.lit(1))
-    return (top.join(F.broadcast(n), "_one")
-            .select("feature_id", "hits", F.round(F.col("hits") / F.greatest(F.col("_n"), F.lit(1)), 6).alias("share"),
-                    F.coalesce("explanation", F.lit("")).alias("explanation")))
+    top = per.orderBy(F.col("hits").desc(), F.col("feature_id")).limit(k)
+    return top.select("feature_id", "hits", F.round(F.col("hits") / F.greatest(n, F.lit(1)), 6).alias("share"),
+                      F.coalesce("explanation", F.lit("")).alias("explanation"))
 
 
 def feature_distinctiveness(features: DataFrame, category: str, top_k: int = 15,
@@ -73,12 +72,11 @@ def feature_distinctiveness(features: DataFrame, category: str, top_k: int = 15,
         F.max_by("description", F.when(inside & F.col("description").isNotNull(),
                                        F.struct(*[F.col(c) for c in ann_key], F.col("pos")))).alias("explanation"))
     anns = features.select(*ann_key, "failure_category").distinct()
-    n = anns.agg(F.count(F.when(F.col("failure_category") == category, 1)).alias("_n_in"),
-                 F.count(F.when(F.col("failure_category") != category, 1)).alias("_n_out"), F.lit(1).alias("_one"))
-    s = (per.filter(F.col("hits_in") > 0).withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")
-         .filter(F.col("_n_out") > 0)
-         .withColumn("score", F.log(((F.col("hits_in") + 1) / (F.col("_n_in") + 1))
-                                    / ((F.col("hits_out") + 1) / (F.col("_n_out") + 1)))))
+    n_in = anns.agg(F.count(F.when(F.col("failure_category") == category, 1))).scalar()
+    n_out = anns.agg(F.count(F.when(F.col("failure_category") != category, 1))).scalar()
+    s = (per.filter((F.col("hits_in") > 0) & (n_out > 0))
+         .withColumn("score", F.log(((F.col("hits_in") + 1) / (n_in + 1))
+                                    / ((F.col("hits_out") + 1) / (n_out + 1)))))
     k = _clamp_k(top_k)
     top = s.orderBy(F.col("score").desc(), F.col("feature_id")).limit(k).filter(F.col("score") > 0)
     return top.select("feature_id", "hits_in", "hits_out", F.round("score", 4).alias("score"),

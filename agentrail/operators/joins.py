@@ -142,15 +142,14 @@ def index_drift(table: DataFrame, files: DataFrame, sample: int = 20,
     on_disk = files.select("trace_id").distinct().withColumn("_disk", F.lit(True))
     t = table.select("trace_id", "started_at").join(on_disk, "trace_id", "left")
     newest = t.orderBy(F.col("started_at").desc_nulls_last(), F.col("trace_id")).limit(sample)
-    head = newest.agg(F.count(F.lit(1)).alias("sampled"),
-                      F.count(F.when(F.col("_disk").isNull(), 1)).alias("sample_phantoms"),
-                      F.lit(1).alias("_one"))
+    sampled = newest.agg(F.count(F.lit(1))).scalar()
+    sample_phantoms = newest.agg(F.count(F.when(F.col("_disk").isNull(), 1))).scalar()
+    disk = files.agg(F.countDistinct("trace_id")).scalar()
     allc = t.agg(F.count(F.lit(1)).alias("table_rows"),
-                 F.count(F.when(F.col("_disk").isNull(), 1)).alias("phantoms"), F.lit(1).alias("_one"))
-    disk = files.agg(F.countDistinct("trace_id").alias("disk_traces"), F.lit(1).alias("_one"))
-    return (allc.join(disk, "_one").join(head, "_one").drop("_one")
-            .withColumn("rebuild", (F.col("sample_phantoms") / F.greatest(F.col("sampled"), F.lit(1)))
-                        > threshold))
+                 F.count(F.when(F.col("_disk").isNull(), 1)).alias("phantoms"))
+    return allc.select("table_rows", "phantoms", disk.alias("disk_traces"), sampled.alias("sampled"),
+                       sample_phantoms.alias("sample_phantoms"),
+                       ((sample_phantoms / F.greatest(sampled, F.lit(1))) > threshold).alias("rebuild"))
 
 
 def detect_provider(calls: DataFrame, host_col: str = "host",

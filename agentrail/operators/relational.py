@@ -105,17 +105,17 @@ def resolve_prefixes(traces: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Per requested ``prefix``: the matching trace (smallest id), the number
     of matches and ``ambiguous``; invalid prefixes resolve to nothing.
 
-    A prefix join is a range predicate on the sorted id: it is expressed
-    as an equi join on the first ``k`` characters (the prefix length
-    class), so no nested-loop join is needed: prefixes are grouped by
-    length and each length class joins on ``substr(trace_id, 1, len)``."""
+    A prefix match is expressed as an equi join on the first ``k``
+    characters: the distinct prefix lengths (at most 128, by validation)
+    arrive as a scalar-subquery array, each id is exploded over the lengths
+    it can match, and ``substr(trace_id, 1, len)`` joins the prefixes on
+    (len, key) - no nested-loop join."""
     p = prefixes.select("prefix", valid_prefix(F.col("prefix")).alias("valid"))
     ok = p.filter("valid").select("prefix", F.length("prefix").alias("_len"))
-    ids = traces.select("trace_id")
-    lens = ok.select("_len").distinct()
-    # one row per (trace, distinct prefix length): ids x (small set of lengths)
-    keyed = ids.join(F.broadcast(lens), F.length("trace_id") >= F.col("_len")).select(
-        "trace_id", "_len", F.expr("substr(trace_id, 1, _len)").alias("_key"))
+    lens = ok.agg(F.collect_set("_len")).scalar()
+    keyed = (traces.select("trace_id", F.explode(lens).alias("_len"))
+             .filter(F.col("_len") <= F.length("trace_id"))
+             .select("trace_id", "_len", F.expr("substr(trace_id, 1, _len)").alias("_key")))
     m = (ok.join(keyed, (ok["_len"] == keyed["_len"]) & (ok["prefix"] == keyed["_key"]))
          .groupBy("prefix").agg(F.min("trace_id").alias("trace_id"),
                                 F.count(F.lit(1)).alias("matches")))

@@ -92,15 +92,14 @@ def trace_stats(traces: DataFrame, steps: DataFrame, annotations: DataFrame | No
          .join(per_trace, "trace_id", "left"))
     head = t.agg(F.count(F.lit(1)).alias("trace_count"),
                  F.sum(F.col("_failed").cast("int")).cast("bigint").alias("failed_count"),
-                 F.coalesce(F.sum("_steps"), F.lit(0)).cast("bigint").alias("step_count"),
-                 F.lit(1).alias("_one"))
-    med = exact_percentiles(t, "duration_ms", [0.5], partitions=partitions,
-                            names=["median_duration_ms"]).withColumn("_one", F.lit(1))
-    out = head.join(med, "_one", "left")
+                 F.coalesce(F.sum("_steps"), F.lit(0)).cast("bigint").alias("step_count"))
+    # one-row results attached as scalar subqueries (no join)
+    med = exact_percentiles(t, "duration_ms", [0.5], partitions=partitions, names=["m"]).agg(F.max("m"))
+    cols = [F.col("trace_count"), F.col("failed_count"), F.col("step_count")]
     if annotations is not None:
-        ann = annotations.agg(F.count(F.lit(1)).alias("annotation_count"), F.lit(1).alias("_one"))
-        out = out.join(ann, "_one", "left")
-    return out.drop("_one")
+        cols.append(annotations.agg(F.count(F.lit(1))).scalar().alias("annotation_count"))
+    cols.append(med.scalar().alias("median_duration_ms"))
+    return head.select(*cols)
 
 
 def traces_by_framework(traces: DataFrame) -> DataFrame:

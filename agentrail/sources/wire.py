@@ -66,12 +66,6 @@ def _num(c: Column) -> Column:
     return c.try_cast("double")
 
 
-def _null_text(c: Column) -> Column:
-    """A raw JSON text field that holds JSON null is SQL null already; a
-    string field is unquoted by the parser."""
-    return c
-
-
 def file_stem(file: Column) -> Column:
     return F.regexp_extract(file, r"([^/]+?)(\.jsonl)?$", 1)
 
@@ -153,8 +147,7 @@ def dashboard_counts(files: DataFrame, annotations: DataFrame | None = None) ->
     out = per.agg(F.count(F.lit(1)).alias("traces"),
                   F.count(F.when(F.col("_hdr") & F.col("_failed"), 1)).alias("failed"),
                   F.coalesce(F.sum(F.when(F.col("_hdr"), F.greatest(F.col("_n") - 1, F.lit(0)))), F.lit(0))
-                  .cast("bigint").alias("steps"), F.lit(1).alias("_one"))
+                  .cast("bigint").alias("steps"))
     if annotations is not None:
-        a = annotations.agg(F.count(F.lit(1)).alias("annotations"), F.lit(1).alias("_one"))
-        out = out.join(a, "_one", "left")
-    return out.drop("_one")
+        out = out.withColumn("annotations", annotations.agg(F.count(F.lit(1))).scalar())
+    return out
