@@ -23,8 +23,8 @@ def _c(col) -> Column:
 def fields(col, *keys: str, types: dict[str, str] | None = None) -> Column:
     """Parse a JSON object column once into a struct of ``keys``.
 
-    All fields are ``string`` unless ``types`` names another Spark type.
-    Keys holding characters outside ``[A-Za-z0-9_]`` are back-quoted.
+    All fields are ``string`` unless ``types`` names another Spark type;
+    every key is back-quoted, so any key text is allowed.
     """
     types = types or {}
     ddl = ", ".join(f"`{k}` {types.get(k, 'string')}" for k in keys)

@@ -41,7 +41,7 @@ def rank_newest(traces: DataFrame) -> DataFrame:
 
     A global ordering is one sort; ``row_number`` over an un-partitioned
     window would pull every row into one task, so the rank is computed
-    from a range-partitioned sort instead (see ``stats.global_rank``)."""
+    from a range-partitioned sort instead (see ``windows.global_rank``)."""
     from .windows import global_rank
     return global_rank(traces.select("trace_id", "started_at"),
                        [F.col("started_at").desc_nulls_last(), F.col("trace_id").asc()],

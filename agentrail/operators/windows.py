@@ -65,7 +65,7 @@ def _vstr(v: Column) -> Column:
     return F.when(_vt(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def _blocks_text(content: Column, kind_filter: bool = True) -> Column:
+def _blocks_text(content: Column) -> Column:
     """Text blocks of a content list joined by newline ('' when none)."""
     blocks = F.try_variant_get(content, "$", "array<variant>")
     keep = F.filter(blocks, lambda b: (F.try_variant_get(b, "$.type", "string") == "text")
