@@ -176,8 +176,10 @@ def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     anything else one bounded count runs on the driver; over the limit the
     table is returned as is and Catalyst / AQE choose a shuffle join.
     """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if plan.getClass().getSimpleName() == "LocalRelation":
-        return F.broadcast(df)
+    try:
+        if df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LocalRelation":
+            return F.broadcast(df)
+    except Exception:  # noqa: BLE001 - no JVM plan access (e.g. Spark Connect): count instead
+        pass
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

@@ -212,10 +212,14 @@ def ingest(docs: DataFrame, as_of: float) -> tuple[DataFrame, DataFrame, DataFra
     missing, so a retried batch produces the same ids; started_at (0 or
     missing) -> ``as_of``; ended_at null / missing -> ``as_of``; a step's
     start -> the trace start; its end -> its start; step_id -> sha256 of
-    document and position (first 12 hex)."""
+    document and position (first 12 hex).  Payload objects are kept as
+    their original JSON text (key order preserved), compacted."""
     val = validate(docs, mode="ingest")
-    good = _parsed(docs.join(val.filter("ok").select("doc_id"), "doc_id", "left_semi"))
     rejects = val.filter(~F.col("ok")).select("doc_id", "error")
+    good = docs.join(val.filter("ok").select("doc_id"), "doc_id", "left_semi")
+    raw_ddl = ("metadata string, steps array<struct<inputs:string, outputs:string, metadata:string>>")
+    good = good.select("doc_id", "doc", F.try_parse_json("doc").alias("_v"),
+                       F.from_json("doc", raw_ddl).alias("_raw"))
     v = F.col("_v")
 
     def g(path: str) -> Column:
@@ -230,11 +234,16 @@ def ingest(docs: DataFrame, as_of: float) -> tuple[DataFrame, DataFrame, DataFra
     start = F.when(_truthy_variant(g("$.started_at")), num(g("$.started_at"))).otherwise(F.lit(float(as_of)))
     end = F.when(g("$.ended_at").isNotNull() & (_t(g("$.ended_at")) != "null"),
                  num(g("$.ended_at"))).otherwise(F.lit(float(as_of)))
-    md = F.when(_truthy_variant(g("$.metadata")), F.to_json(g("$.metadata"))).otherwise(F.lit("{}"))
+    md = F.when(_truthy_variant(g("$.metadata")), F.col("_raw.metadata")).otherwise(F.lit("{}"))
     traces = good.select("doc_id", tid.alias("trace_id"), _str(g("$.name")).alias("name"),
                          _str(g("$.framework")).alias("framework"), start.alias("started_at"),
                          end.alias("ended_at"), md.alias("metadata"))
-    s = _steps(good).join(traces.select("doc_id", "trace_id", F.col("started_at").alias("_ts")), "doc_id")
+    # one explode yields each step as VARIANT (for types) and as raw payload text
+    zipped = F.arrays_zip(F.try_variant_get(v, "$.steps", "array<variant>").alias("s"),
+                          F.col("_raw.steps").alias("r"))
+    s = (good.select("doc_id", "doc", tid.alias("trace_id"), start.alias("_ts"),
+                     F.posexplode(zipped).alias("idx", "_z"))
+         .select("doc_id", "doc", "trace_id", "_ts", "idx", F.col("_z.s").alias("s"), F.col("_z.r").alias("r")))
     sv = F.col("s")
 
     def sg(path: str) -> Column:
@@ -249,14 +258,13 @@ def ingest(docs: DataFrame, as_of: float) -> tuple[DataFrame, DataFrame, DataFra
                      F.substring(F.sha2(F.concat(F.col("doc"), F.lit("#"), F.col("idx").cast("string")), 256),
                                  1, 12))
 
-    def obj(path: str) -> Column:
-        x = sg(path)
-        return F.when(_truthy_variant(x), F.to_json(x)).otherwise(F.lit("{}"))
+    def obj(key: str) -> Column:
+        return F.when(_truthy_variant(sg(f"$.{key}")), F.col(f"r.{key}")).otherwise(F.lit("{}"))
 
     steps = s.select("trace_id", sid.alias("step_id"), F.col("idx").cast("int").alias("step_index"),
                      _str(sg("$.parent_step_id")).alias("parent_step_id"), _str(sg("$.kind")).alias("kind"),
                      _str(sg("$.name")).alias("name"), F.col("_start").alias("started_at"),
-                     s_end.alias("ended_at"), obj("$.inputs").alias("inputs"),
-                     obj("$.outputs").alias("outputs"), obj("$.metadata").alias("metadata"),
+                     s_end.alias("ended_at"), obj("inputs").alias("inputs"),
+                     obj("outputs").alias("outputs"), obj("metadata").alias("metadata"),
                      _str(sg("$.error")).alias("error"))
     return traces, steps, rejects
