@@ -195,17 +195,17 @@ def q_attributable_steps(fx):
 @register("attach_attribution", ["ev_steps", "ev_annotations"], """
 , la AS (SELECT trace_id, step_id, arg_max(failure_category, seq) AS failure_category FROM ev_annotations
          GROUP BY trace_id, step_id),
-res AS (SELECT trace_id, step_id FROM ev_steps WHERE kind = 'llm-call' AND error IS NOT NULL
-        AND CAST(substr(step_id, 2) AS BIGINT) % 3 <> 0)
+res AS (SELECT trace_id, step_id FROM ev_steps WHERE kind = 'llm-call' AND (error IS NOT NULL OR step_index = 0))
 SELECT coalesce(la.trace_id, res.trace_id) AS trace_id, coalesce(la.step_id, res.step_id) AS step_id,
   coalesce(la.failure_category, 'other') AS failure_category, res.step_id IS NOT NULL AS attributed
 FROM la FULL JOIN res ON la.trace_id = res.trace_id AND la.step_id = res.step_id""")
 def q_attach_attribution(fx):
-    """Hash attributions of failing llm-calls merged into the annotations
-    (new annotation with category 'other' where none exists)."""
+    """Hash attributions of every failing llm-call and of each trace's
+    opening llm-call merged into the annotations: an annotated step gets
+    the attribution, an unannotated one a new annotation with category
+    'other'."""
     s = fx.get("ev_steps")
-    cand = s.filter((F.col("kind") == "llm-call") & F.col("error").isNotNull()
-                    & (F.expr("CAST(substr(step_id, 2) AS BIGINT) % 3") != 0))
+    cand = s.filter((F.col("kind") == "llm-call") & (F.col("error").isNotNull() | (F.col("step_index") == 0)))
     res = FT.attribution_json(FT.hash_features(cand))
     a = W.latest_annotations(fx.get("ev_annotations"))
     out = J.attach_attribution(a, res)

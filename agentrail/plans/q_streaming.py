@@ -184,6 +184,17 @@ def q_stream_assemble(fx):
     return fx.spark.read.parquet(out)
 
 
+@register("stream_assemble_stateful", ["stream_pieces"], """
+SELECT DISTINCT call_id, text FROM stream_pieces""")
+def q_stream_assemble_stateful(fx):
+    """Streamed chunk lines assembled per call by a custom stateful operator
+    that emits each call when its [DONE] line arrives."""
+    base, src, out, ck = _dirs(fx, "assemble-stateful")
+    s = _land(fx.get("stream_chunks"), src, "call_id")
+    S.run_available_now(S.assemble_stream_stateful(s), out, ck)
+    return fx.spark.read.parquet(out).select("call_id", "text")
+
+
 @register("latest_annotation_stream")
 def q_latest_annotation_stream(fx):
     """Annotation writes streamed into a keyed table: last write per step wins."""

@@ -22,6 +22,14 @@ from ..operators.stats import failed_flag
 from ..sinks.tables import SnapshotTable
 from ..sources import wire as WR
 
+# The stateful operator below runs in Python workers: ship this module by
+# value so executors need no installed copy of the package.
+import sys as _sys  # noqa: E402
+
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 
 def event_time(col: str = "started_at"):
     return F.timestamp_micros((F.col(col) * F.lit(1_000_000)).cast("long"))
@@ -195,3 +203,53 @@ def run_available_now(df: DataFrame, out_path: str, checkpoint: str, mode: str =
              .option("checkpointLocation", checkpoint).outputMode("update")
              .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+ASSEMBLY_STATE = "pieces string, done boolean"
+
+
+def assemble_stream_stateful(chunks: DataFrame, timeout: str | None = None) -> DataFrame:
+    """Chunk lines -> one row per call, emitted as soon as the call's
+    ``[DONE]`` line arrives; with ``timeout`` set, also (``complete =
+    false``) after that long without new chunks.  Custom stateful operator
+    (``applyInPandasWithState``); the state of a call holds its pieces so
+    far, bounded by one reply, and is removed when the call is emitted.
+    The processing-time timeout is off by default: this Spark build fails
+    to plan it (internal NullPointerException); ``assemble_stream`` gives
+    timeout semantics with a session window instead."""
+    import json
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from ..functions.text import sse_piece
+
+    c = chunks.select("call_id", "seq", sse_piece("line").alias("piece"),
+                      (F.trim(F.regexp_replace("line", r"^\s*data:", "")) == "[DONE]").alias("done"))
+
+    def step(key, pdfs, state):
+        pieces, done = {}, False
+        if state.exists:
+            raw, done = state.get
+            pieces = {int(k): v for k, v in json.loads(raw).items()}
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"call_id": [key[0]], "text": ["".join(pieces[k] for k in sorted(pieces))],
+                                "complete": [False]})
+            return
+        for pdf in pdfs:
+            for sq, p, d in zip(pdf["seq"], pdf["piece"], pdf["done"]):
+                pieces[int(sq)] = p or ""
+                done = done or bool(d)
+        if done:
+            state.remove()
+            yield pd.DataFrame({"call_id": [key[0]], "text": ["".join(pieces[k] for k in sorted(pieces))],
+                                "complete": [True]})
+        else:
+            state.update((json.dumps(pieces), False))
+            if timeout is not None:
+                state.setTimeoutDuration(timeout)
+
+    return c.groupBy("call_id").applyInPandasWithState(
+        step, "call_id string, text string, complete boolean", ASSEMBLY_STATE, "append",
+        GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.ProcessingTimeTimeout)
