@@ -9,7 +9,7 @@ except the deterministic hash scorer, which is pure column math.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ATTRIBUTION_DDL = ("model string, sae string, method string, "

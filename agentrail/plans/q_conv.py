@@ -3,8 +3,6 @@ turn, replay inputs, chat bubbles."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import text as TX
 from ..operators import windows as W
 from .catalog import register

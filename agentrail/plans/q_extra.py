@@ -16,7 +16,6 @@ from ..sinks.protocol import FlatParquetSink, Sink, WireSink
 from ..sources import http as H
 from ..sources import wire as WR
 from ..streaming import jobs as S
-from . import sqlvals
 from .catalog import register
 from .q_costs import priced_sql
 from .q_export import SPAN_FRAGS, _int_sql, _str_sql

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import redact as RD
 from ..functions import text as TX
 from ..operators import costs
-from ..operators import windows as W
 from ..sinks import exports as X
 from .catalog import register
 from .fixtures import AS_OF

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import redact as RD
-from ..operators import features as FT
 from ..operators import udf as U
 from ..session import scratch_path
 from ..sinks import exports as X
