@@ -179,6 +179,7 @@ def q_trace_stats(fx):
 @register("traces_by_framework", ["ev_traces"], """
 SELECT coalesce(framework, '—') AS framework, count(*) AS traces FROM ev_traces GROUP BY 1""")
 def q_traces_by_framework(fx):
+    """Trace count per framework ('—' when missing)."""
     return ST.traces_by_framework(fx.get("ev_traces"))
 
 
@@ -186,6 +187,7 @@ def q_traces_by_framework(fx):
 SELECT coalesce(framework, '—') AS framework, count(*) AS traces FROM ev_traces GROUP BY 1
 ORDER BY traces DESC, framework""")
 def q_top_frameworks(fx):
+    """Frameworks by trace count, most used first."""
     return ST.top_frameworks(fx.get("ev_traces"))
 
 
@@ -201,6 +203,7 @@ def q_failure_categories(fx):
 SELECT count(*) AS annotations, count(DISTINCT trace_id) AS annotated_traces FROM (
   SELECT DISTINCT trace_id, step_id FROM ev_annotations) a""")
 def q_annotation_coverage(fx):
+    """Annotated steps and distinct annotated traces (latest write per step)."""
     return ST.annotation_coverage(_latest(fx))
 
 
@@ -265,6 +268,7 @@ SELECT 'traces' AS "table", count(*) AS rows FROM ev_traces
 UNION ALL SELECT 'steps', count(*) FROM ev_steps
 UNION ALL SELECT 'annotations', count(*) FROM ev_annotations""")
 def q_table_info(fx):
+    """Row counts of the derived trace, step and annotation tables."""
     return ST.table_info(traces=fx.get("ev_traces"), steps=fx.get("ev_steps"),
                          annotations=fx.get("ev_annotations"))
 
@@ -296,6 +300,7 @@ def q_join_annotated_steps(fx):
 SELECT trace_id FROM ev_traces t WHERE NOT EXISTS (
   SELECT 1 FROM ev_annotations a WHERE a.trace_id = t.trace_id)""")
 def q_anti_keep_tagged(fx):
+    """Traces without any annotation (left anti join)."""
     return J.anti_keep_tagged(fx.get("ev_traces"), fx.get("ev_annotations")).select("trace_id")
 
 
@@ -303,6 +308,7 @@ def q_anti_keep_tagged(fx):
 SELECT trace_id, step_id, seq FROM ev_annotations a WHERE NOT EXISTS (
   SELECT 1 FROM ev_traces t WHERE a.trace_id = t.trace_id)""")
 def q_anti_orphan_annotations(fx):
+    """Annotations whose trace no longer exists (left anti join)."""
     return J.anti_orphan_annotations(fx.get("ev_annotations"), fx.get("ev_traces")).select(
         "trace_id", "step_id", "seq")
 
@@ -375,6 +381,7 @@ SELECT trace_id,
   count(CASE WHEN error IS NOT NULL AND error <> '' THEN 1 END) AS failing_steps
 FROM ev_steps GROUP BY trace_id""")
 def q_first_failing_step(fx):
+    """Per trace: index of the first failing step (0 when none) and failing steps."""
     return W.first_failing(fx.get("ev_steps"))
 
 

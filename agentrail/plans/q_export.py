@@ -167,6 +167,7 @@ def q_export_corpus(fx):
 SELECT la.trace_id, la.step_id, 'lb-' || substr(la.trace_id, 1, 8) || '-' || substr(la.step_id, 1, 6) AS id
 FROM la""")
 def q_corpus_record_id(fx):
+    """Corpus record id ('lb-' + 8 + '-' + 6) of every annotated step."""
     a = W.latest_annotations(fx.get("ev_annotations"))
     return a.select("trace_id", "step_id", X.corpus_record_id(F.col("trace_id"), F.col("step_id")).alias("id"))
 

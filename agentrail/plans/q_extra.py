@@ -64,6 +64,7 @@ SPAN_BASE = f"""
 @register("span_kind", ["ev_steps"], SPAN_BASE + """
 SELECT step_id, CASE WHEN k IN ('llm-call', 'tool-call') THEN 3 ELSE 1 END AS kind FROM sp""")
 def q_span_kind(fx):
+    """OTLP span kind of every step (CLIENT for llm and tool calls, else INTERNAL)."""
     return X.spans(fx.get("ev_steps")).select("step_id", "kind")
 
 
@@ -72,12 +73,14 @@ SELECT step_id, CASE WHEN (error IS NOT NULL AND error <> '') OR st >= 500 THEN
   CASE WHEN error IS NOT NULL AND error <> '' THEN error WHEN st >= 500 THEN 'upstream returned ' || CAST(st AS VARCHAR) END
     AS status_message FROM sp""")
 def q_span_status(fx):
+    """OTLP span status of every step (ERROR on error or status >= 500) and its message."""
     return X.spans(fx.get("ev_steps")).select("step_id", "status_code", "status_message")
 
 
 @register("gen_ai_attributes", ["ev_steps"], SPAN_BASE + f"""
 SELECT step_id, '[' || concat_ws(',', {', '.join(SPAN_FRAGS)}) || ']' AS attributes_json FROM sp""")
 def q_gen_ai_attributes(fx):
+    """OTLP attribute list (GenAI conventions, HTTP, tool name) of every step."""
     return X.spans(fx.get("ev_steps")).select("step_id", "attributes_json")
 
 
@@ -98,6 +101,7 @@ def q_prompt_preview(fx):
 SELECT step_id, coalesce(CASE WHEN json_type(outputs, '$.text') = 'VARCHAR' AND length(trim(json_extract_string(outputs, '$.text'))) > 0
   THEN json_extract_string(outputs, '$.text') END, '') AS reply FROM cv_steps""")
 def q_reply_preview(fx):
+    """Display reply of every conversation step (text / output / reply / completion)."""
     return fx.get("cv_steps").select("step_id", TX.reply_preview("outputs").alias("reply"))
 
 
@@ -109,6 +113,7 @@ FROM (SELECT step_id,
   CASE WHEN json_type(outputs, '$.output_tokens') IN ('BIGINT', 'UBIGINT') THEN CAST(json_extract_string(outputs, '$.output_tokens') AS BIGINT) END AS o
   FROM ev_steps) t""")
 def q_token_summary(fx):
+    """'in N · out M tokens' of every step with integer token counts."""
     return fx.get("ev_steps").select("step_id", TX.token_summary("outputs").alias("tokens"))
 
 

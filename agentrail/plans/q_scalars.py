@@ -161,18 +161,21 @@ SPAN_IDS = r"""
 @register("otlp_trace_id", ["ev_steps"], SPAN_IDS + """
 SELECT step_id, CASE WHEN length(th) >= 32 THEN substr(th, 1, 32) ELSE lpad(th, 32, '0') END AS trace_id_hex FROM sp""")
 def q_otlp_trace_id(fx):
+    """OTLP trace id (32 hex) of every step's trace."""
     return _spans(fx).select("step_id", "trace_id_hex")
 
 
 @register("otlp_span_id", ["ev_steps"], SPAN_IDS + """
 SELECT step_id, CASE WHEN length(sh) >= 16 THEN substr(sh, 1, 16) ELSE rpad(sh, 16, '0') END AS span_id_hex FROM sp""")
 def q_otlp_span_id(fx):
+    """OTLP span id (16 hex) of every step."""
     return _spans(fx).select("step_id", "span_id_hex")
 
 
 @register("unix_nanos", ["ev_steps"], """
 SELECT step_id, coalesce(CAST(CAST(trunc(started_at * 1e9) AS BIGINT) AS VARCHAR), '0') AS start_unix_nano FROM ev_steps""")
 def q_unix_nanos(fx):
+    """Step start as OTLP nanosecond text."""
     return _spans(fx).select("step_id", "start_unix_nano")
 
 
