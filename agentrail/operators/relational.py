@@ -16,19 +16,25 @@ def _count_by_trace(df: DataFrame, name: str) -> DataFrame:
 def list_traces(traces: DataFrame, steps: DataFrame, annotations: DataFrame,
                 limit: int | None = 100) -> DataFrame:
     """Newest traces first: id, name, framework, started_at, duration_ms
-    (null while open), step_count, failed, annotation_count.  Counts are
-    pre-aggregated per trace and joined; ``limit`` becomes a top-N
-    (TakeOrderedAndProject), with ``trace_id`` as the tie-break."""
-    t = (traces.select("trace_id", "name", "framework", "started_at",
-                       F.round(duration_ms(), 3).alias("duration_ms"),
-                       failed_flag().alias("failed"))
-         .join(_count_by_trace(steps, "step_count"), "trace_id", "left")
-         .join(_count_by_trace(annotations, "annotation_count"), "trace_id", "left")
-         .withColumn("step_count", F.coalesce("step_count", F.lit(0)).cast("bigint"))
-         .withColumn("annotation_count", F.coalesce("annotation_count", F.lit(0)).cast("bigint")))
-    if not limit:
-        return t
-    return t.orderBy(F.col("started_at").desc_nulls_last(), F.col("trace_id")).limit(limit)
+    (null while open), step_count, failed, annotation_count.
+
+    With a ``limit`` the newest ids are chosen first from the trace table
+    alone (top-N, ``trace_id`` breaking ties); steps and annotations are
+    then counted only for those ids (a broadcast semi join of at most
+    ``limit`` ids), so the step table is never aggregated in full."""
+    t = traces.select("trace_id", "name", "framework", "started_at",
+                      F.round(duration_ms(), 3).alias("duration_ms"), failed_flag().alias("failed"))
+    order = [F.col("started_at").desc_nulls_last(), F.col("trace_id")]
+    if limit:
+        t = t.orderBy(*order).limit(limit)
+        ids = F.broadcast(t.select("trace_id"))  # at most ``limit`` rows
+        steps = steps.join(ids, "trace_id", "left_semi")
+        annotations = annotations.join(ids, "trace_id", "left_semi")
+    out = (t.join(_count_by_trace(steps, "step_count"), "trace_id", "left")
+           .join(_count_by_trace(annotations, "annotation_count"), "trace_id", "left")
+           .withColumn("step_count", F.coalesce("step_count", F.lit(0)).cast("bigint"))
+           .withColumn("annotation_count", F.coalesce("annotation_count", F.lit(0)).cast("bigint")))
+    return out.orderBy(*order) if limit else out
 
 
 def latest_n(traces: DataFrame, n: int = 50) -> DataFrame:
