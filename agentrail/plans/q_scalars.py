@@ -31,7 +31,7 @@ SELECT src, id, {_duck_redact('text')} AS text FROM secrets_text""")
 def q_redact_text(fx):
     """Whole documents and turns with the nine credential shapes redacted."""
     s = fx.get("secrets_text")
-    return s.select("src", "id", RD.redact_text("text").alias("text"))
+    return RD.redact_frame(s, "text").select("src", "id", "text")
 
 
 @register("custom_patterns", ["secrets_text"], f"""
@@ -39,7 +39,7 @@ SELECT src, id, {_duck_redact('text', [CUSTOM[0]])} AS text FROM secrets_text"""
 def q_custom_patterns(fx):
     """Redaction with a user pattern (40 hex digits); an invalid one is skipped."""
     s = fx.get("secrets_text")
-    return s.select("src", "id", RD.redact_text("text", CUSTOM, spark=fx.spark).alias("text"))
+    return RD.redact_frame(s, "text", extra=CUSTOM, spark=fx.spark).select("src", "id", "text")
 
 
 @register("secret_scan", ["secrets_text"], "SELECT src, id, concat_ws(',', " + ", ".join(

@@ -170,7 +170,7 @@ def q_stream_redact(fx):
     """Texts redacted on the way in (stateless map on a stream)."""
     base, src, out, ck = _dirs(fx, "redact")
     s = _land(fx.get("secrets_text"), src, "id")
-    S.run_available_now(s.select("src", "id", RD.redact_text("text").alias("text")), out, ck)
+    S.run_available_now(RD.redact_frame(s, "text").select("src", "id", "text"), out, ck)
     return fx.spark.read.parquet(out)
 
 
