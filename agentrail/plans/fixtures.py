@@ -212,18 +212,13 @@ FROM (
     '","started_at":' || CAST(CAST(started_at AS DECIMAL(20,6)) AS STRING) || ',"ended_at":' ||
     coalesce(CAST(CAST(ended_at AS DECIMAL(20,6)) AS STRING), 'null') || ',"inputs":' || inputs ||
     ',"outputs":' || outputs || ',"metadata":' || metadata || ',"error":' ||
-    coalesce('"' || error || '"', 'null') || '}'
-  FROM ev_steps
-  UNION ALL SELECT trace_id, CAST((step_index + 1) * 10 + 1 AS BIGINT), 'garbage {not json'
-  FROM ev_steps WHERE CAST(substr(step_id, 2) AS BIGINT) % 50 = 1
-  UNION ALL SELECT trace_id, CAST((step_index + 1) * 10 + 2 AS BIGINT), '[1,2]'
-  FROM ev_steps WHERE CAST(substr(step_id, 2) AS BIGINT) % 75 = 2
-  UNION ALL SELECT trace_id, CAST((step_index + 1) * 10 + 3 AS BIGINT), '   '
-  FROM ev_steps WHERE CAST(substr(step_id, 2) AS BIGINT) % 40 = 3
-  UNION ALL SELECT trace_id, CAST((step_index + 1) * 10 + 4 AS BIGINT), '{"_type":"note","n":1} trailing'
-  FROM ev_steps WHERE CAST(substr(step_id, 2) AS BIGINT) % 60 = 4
-  UNION ALL SELECT trace_id, CAST((step_index + 1) * 10 + 5 AS BIGINT), '{"_type":"note","n":2}'
-  FROM ev_steps WHERE CAST(substr(step_id, 2) AS BIGINT) % 45 = 5
+    coalesce('"' || error || '"', 'null') || '}' ||
+    CASE WHEN eid % 50 = 1 THEN chr(10) || 'garbage {not json' ELSE '' END ||
+    CASE WHEN eid % 75 = 2 THEN chr(10) || '[1,2]' ELSE '' END ||
+    CASE WHEN eid % 40 = 3 THEN chr(10) || '   ' ELSE '' END ||
+    CASE WHEN eid % 60 = 4 THEN chr(10) || '{"_type":"note","n":1} trailing' ELSE '' END ||
+    CASE WHEN eid % 45 = 5 THEN chr(10) || '{"_type":"note","n":2}' ELSE '' END
+  FROM (SELECT *, CAST(substr(step_id, 2) AS BIGINT) AS eid FROM ev_steps) s
   UNION ALL SELECT trace_id, CAST(1000000 AS BIGINT),
     '{"_type":"trace","trace_id":"' || trace_id || '","name":"renamed","framework":null,' ||
     '"started_at":1.5,"ended_at":null,"metadata":{}}'
