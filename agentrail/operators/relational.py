@@ -58,16 +58,27 @@ def search_traces(traces: DataFrame, steps: DataFrame, annotations: DataFrame,
                   q: str) -> DataFrame:
     """Case-insensitive substring search.  Header hay = name, framework and id
     joined by spaces; step hay = kind, name and error.  Steps are only
-    consulted for traces whose header missed (anti join first).  An empty
-    query lists everything without match flags."""
+    consulted for traces whose header missed (anti join first), and step /
+    annotation counts are computed only for the matching traces (semi
+    join).  An empty query lists everything without match flags."""
     query = (q or "").strip().lower()
-    base = (traces.select("trace_id", "name", "framework", "started_at")
-            .join(_count_by_trace(steps, "step_count"), "trace_id", "left")
-            .join(_count_by_trace(annotations, "annotation_count"), "trace_id", "left")
-            .withColumn("step_count", F.coalesce("step_count", F.lit(0)).cast("bigint"))
-            .withColumn("annotation_count", F.coalesce("annotation_count", F.lit(0)).cast("bigint")))
+
+    def counts(ids: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        st, an = steps, annotations
+        if ids is not None:
+            st = st.join(ids, "trace_id", "left_semi")
+            an = an.join(ids, "trace_id", "left_semi")
+        return _count_by_trace(st, "step_count"), _count_by_trace(an, "annotation_count")
+
+    def with_counts(df: DataFrame, ids: DataFrame | None) -> DataFrame:
+        sc, ac = counts(ids)
+        return (df.join(sc, "trace_id", "left").join(ac, "trace_id", "left")
+                .withColumn("step_count", F.coalesce("step_count", F.lit(0)).cast("bigint"))
+                .withColumn("annotation_count", F.coalesce("annotation_count", F.lit(0)).cast("bigint")))
+
+    base = traces.select("trace_id", "name", "framework", "started_at")
     if not query:
-        return base
+        return with_counts(base, None)
 
     def hay(*cols: str) -> Column:
         return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in cols]))
@@ -78,9 +89,10 @@ def search_traces(traces: DataFrame, steps: DataFrame, annotations: DataFrame,
     step_hits = (steps.join(missed, "trace_id", "left_semi")
                  .filter(F.instr(hay("kind", "name", "error"), q_lit) > 0)
                  .select("trace_id").distinct().withColumn("match_steps", F.lit(True)))
-    return (hdr.join(step_hits, "trace_id", "left")
-            .withColumn("match_steps", F.coalesce("match_steps", F.lit(False)))
-            .filter(F.col("match_header") | F.col("match_steps")))
+    matched = (hdr.join(step_hits, "trace_id", "left")
+               .withColumn("match_steps", F.coalesce("match_steps", F.lit(False)))
+               .filter(F.col("match_header") | F.col("match_steps")))
+    return with_counts(matched, matched.select("trace_id"))
 
 
 def filter_status(listed: DataFrame, mode: str = "all", q: str = "") -> DataFrame:
