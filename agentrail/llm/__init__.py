@@ -4,21 +4,21 @@ registered queries and their DuckDB SQL."""
 
 from __future__ import annotations
 
-import sys
-
 from pyspark import cloudpickle
 
-from . import line_dedup, mixing, quality_rules
+from . import common, line_dedup, mixing, packing, quality_rules, token_files, tokens
 
 # Functions that run in Python workers are shipped by value: executors need
 # no installed copy of this package.
-for _name in ("common",):
-    cloudpickle.register_pickle_by_value(sys.modules[f"{__name__}.{_name}"])
+for _module in (common, packing, token_files, tokens):
+    cloudpickle.register_pickle_by_value(_module)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_packing": packing.op3_packing,
     "op5_mixing": mixing.op5_mixing,
+    "op7_token_files": token_files.op7_token_files,
 }
 
 ORACLES = {
