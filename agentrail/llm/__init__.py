@@ -6,11 +6,11 @@ from __future__ import annotations
 
 from pyspark import cloudpickle
 
-from . import common, line_dedup, mixing, packing, quality_rules, token_files, tokens
+from . import chat_format, common, fingerprints, line_dedup, mixing, packing, quality_rules, token_files, tokens
 
 # Functions that run in Python workers are shipped by value: executors need
 # no installed copy of this package.
-for _module in (common, packing, token_files, tokens):
+for _module in (chat_format, common, fingerprints, packing, token_files, tokens):
     cloudpickle.register_pickle_by_value(_module)
 
 QUERIES = {
@@ -18,11 +18,14 @@ QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_packing": packing.op3_packing,
     "op5_mixing": mixing.op5_mixing,
+    "op6_chat_format": chat_format.op6_chat_format,
     "op7_token_files": token_files.op7_token_files,
+    "op8_fingerprints": fingerprints.op8_fingerprints,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op6_chat_format": chat_format.OP6_SQL,
 }
