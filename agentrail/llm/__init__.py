@@ -6,11 +6,11 @@ from __future__ import annotations
 
 from pyspark import cloudpickle
 
-from . import chat_format, common, fingerprints, line_dedup, mixing, packing, quality_rules, token_files, tokens
+from . import chat_format, common, fingerprints, language_id, line_dedup, mixing, packing, quality_rules, token_files, tokens, toxicity
 
 # Functions that run in Python workers are shipped by value: executors need
 # no installed copy of this package.
-for _module in (chat_format, common, fingerprints, packing, token_files, tokens):
+for _module in (chat_format, common, fingerprints, language_id, packing, token_files, tokens, toxicity):
     cloudpickle.register_pickle_by_value(_module)
 
 QUERIES = {
@@ -21,6 +21,8 @@ QUERIES = {
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_token_files": token_files.op7_token_files,
     "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op9_language_id": language_id.op9_language_id,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {

@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from hashlib import blake2b, sha256
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,7 +133,6 @@ def _describe(kind):
     def describe(batches):
         """Rows of a part come in order, its guest first; each other row is
         described against the one before it."""
-        import pandas as pd
         ends: dict[bytes, bool] = {}
         held = None
         for df in batches:
@@ -189,8 +189,8 @@ def _places(heads: list, tails: dict):
     """Parts (from 1) that a row goes to; negative as a guest."""
     import bisect
 
-    def places(keys, hashes):
-        import pandas as pd
+    @F.pandas_udf("array<int>")
+    def places(keys: pd.Series, hashes: pd.Series) -> pd.Series:
         out = []
         for k, h in zip(keys.tolist(), hashes.tolist()):
             k = None if k is None or k != k else k
@@ -201,7 +201,7 @@ def _places(heads: list, tails: dict):
             out.append(to)
         return pd.Series(out)
 
-    return F.pandas_udf(places, "array<int>", F.PandasUDFType.SCALAR)
+    return places
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
