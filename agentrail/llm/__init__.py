@@ -6,17 +6,18 @@ from __future__ import annotations
 
 from pyspark import cloudpickle
 
-from . import chat_format, common, fingerprints, language_id, line_dedup, mixing, packing, quality_rules, token_files, tokens, toxicity
+from . import chat_format, common, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, quality_rules, token_files, tokens, toxicity
 
 # Functions that run in Python workers are shipped by value: executors need
 # no installed copy of this package.
-for _module in (chat_format, common, fingerprints, language_id, packing, token_files, tokens, toxicity):
+for _module in (chat_format, common, fingerprints, jaccard_join, language_id, packing, token_files, tokens, toxicity):
     cloudpickle.register_pickle_by_value(_module)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_packing": packing.op3_packing,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_mixing": mixing.op5_mixing,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_token_files": token_files.op7_token_files,
