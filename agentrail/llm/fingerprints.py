@@ -169,7 +169,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("key", F.xxhash64("text").alias("h"), "text")
-    order = rows.select("key", "h").repartitionByRange("key", "h").sortWithinPartitions("key", "h")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # said outright: by the size of keys alone the parts would be few
+    order = rows.select("key", "h").repartitionByRange(n, "key", "h").sortWithinPartitions("key", "h")
     order = saved(order.withColumn("seq", F.monotonically_increasing_id()), "fingerprint-order")
     at = F.struct("seq", "key", "h")
     ends = order.groupBy(F.shiftright("seq", 33).alias("p")).agg(F.min(at).alias("a"), F.max(at).alias("z")).collect()
