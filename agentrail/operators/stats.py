@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import payload as P
+from ..session import materialize
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row-in-partition
 
@@ -49,9 +50,12 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
     nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = (df.select(*by, F.col(value).cast("double").alias("_v"))
          .filter(F.col("_v").isNotNull())
-         .repartitionByRange(nparts, *by, "_v")
-         .sortWithinPartitions(*by, "_v")
-         .withColumn("_id", F.monotonically_increasing_id())
+         .withColumn("_tie", F.monotonically_increasing_id())  # splits a frequent value
+         .repartitionByRange(nparts, *by, "_v", "_tie")
+         .sortWithinPartitions(*by, "_v", "_tie").drop("_tie")
+         .withColumn("_id", F.monotonically_increasing_id()))
+    # written once: counts and positions must come from the same partitions
+    x = (materialize(x, "percentiles")
          .withColumn("_pid", F.shiftright("_id", _LOCAL_BITS))
          .withColumn("_loc", F.col("_id").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
     part = x.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_c"), F.min("_loc").alias("_first"))
@@ -59,8 +63,9 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
     part = (part.withColumn("_before", F.coalesce(F.sum("_c").over(
                 gw.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
             .withColumn("_n", F.sum("_c").over(gw)))
-    # the per-partition table has at most partitions x groups rows
-    ranked = (x.join(F.broadcast(part), ["_pid", *by])
+    # at most one row per partition and group in it; no broadcast is asked for,
+    # as groups may be many
+    ranked = (x.join(part, ["_pid", *by])
               .withColumn("_rank", F.col("_before") + F.col("_loc") - F.col("_first")))
     conds, aggs = [], []
     for p, nm in zip(probs, names):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import payload as P
+from ..session import materialize
 
 _LOCAL_BITS = 33
 
@@ -17,10 +18,15 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank",
                 partitions: int | None = None) -> DataFrame:
     """1-based position of every row in a global order, without pulling the
     table into one task: range-partition + sort, per-partition row counts
-    (one row per partition), running offsets, offset + local position."""
+    (one row per partition), running offsets, offset + local position.  The
+    sorted rows are written once: counts and positions come from the same
+    partitions.  Ties go by a hash of the row, which also splits a frequent
+    value over partitions."""
     nparts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = (df.repartitionByRange(nparts, *order).sortWithinPartitions(*order)
-         .withColumn("_id", F.monotonically_increasing_id())
+    order = [*order, F.xxhash64(*df.columns)]
+    x = materialize(df.repartitionByRange(nparts, *order).sortWithinPartitions(*order)
+                    .withColumn("_id", F.monotonically_increasing_id()), "rank")
+    x = (x
          .withColumn("_pid", F.shiftright("_id", _LOCAL_BITS))
          .withColumn("_loc", F.col("_id").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
     part = x.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_loc").alias("_first"))

@@ -263,7 +263,7 @@ LEFT JOIN (
 
 view("replay_results", ["benchmark"], """
 SELECT 'lb-' || CAST(item_id AS STRING) AS id, item_id % 3 <> 0 AS ok,
-  CASE WHEN item_id % 3 = 0 THEN 'replay failed: ' || substr(text, 1, 20) END AS error
+  CASE WHEN item_id % 3 = 0 THEN 'replay failed: ' || text END AS error
 FROM benchmark
 """)
 
@@ -296,7 +296,7 @@ FROM (
   FROM (SELECT vec_id, label, pos, v,
           row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, pos) AS rk
         FROM (@EMB@) e WHERE v > 0) r
-  WHERE rk <= 8) f
+  ) f
 GROUP BY vec_id, label
 """
 view("feat_annotations", ["embeddings"], {"spark": _FEAT_ANN.replace("@EMB@", _EMB_SPARK),
@@ -455,7 +455,7 @@ UNION ALL SELECT DISTINCT call_id, CAST(1000001 AS BIGINT), 'data: [DONE]', t0 +
 
 
 view("secret_json", ["documents"], """
-SELECT doc_id, '{"api_key":"' || md5(CAST(doc_id AS STRING)) || '","note":' || JQ(substr(text, 1, 200)) ||
+SELECT doc_id, '{"api_key":"' || md5(CAST(doc_id AS STRING)) || '","note":' || JQ(text) ||
   ',"tokens":' || CAST(n_chars AS STRING) || ',"nested":{"Authorization":"Bearer ' || md5(lang) ||
   '","items":[' || JQ(source) || ',{"password":"x","keep":1}]},"deep":' ||
   '{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":{"secret":"kept-too-deep"}}}}}}}}}}' AS payload
@@ -480,7 +480,7 @@ def _order(names: list[str]) -> list[str]:
 
 def cte(names: list[str]) -> str:
     """``WITH`` clause (DuckDB dialect) defining ``names`` and their deps."""
-    parts = [f"{n} AS ({render(_sql_for(n, 'duckdb'), 'duckdb').strip()})" for n in _order(names)]
+    parts = [f"{n} AS MATERIALIZED ({render(_sql_for(n, 'duckdb'), 'duckdb').strip()})" for n in _order(names)]
     return ("WITH " + ",\n".join(parts) + "\n") if parts else ""
 
 

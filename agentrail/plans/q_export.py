@@ -86,7 +86,7 @@ def _str_sql(j: str, path: str) -> str:
 
 
 SPAN_FRAGS = [
-    _attr_sql("loupe.kind", "string", "k"),
+    _attr_sql("agentrail.kind", "string", "k"),
     f"CASE WHEN k = 'llm-call' AND prov IS NOT NULL THEN {_attr_sql('gen_ai.system', 'string', 'prov')} END",
     f"CASE WHEN k = 'llm-call' AND prov IS NOT NULL THEN {_attr_sql('gen_ai.operation.name', 'string', chr(39) + 'chat' + chr(39))} END",
     f"CASE WHEN k = 'llm-call' AND model IS NOT NULL THEN {_attr_sql('gen_ai.request.model', 'string', 'model')} END",
@@ -97,11 +97,11 @@ SPAN_FRAGS = [
     f"CASE WHEN k = 'llm-call' AND otok IS NOT NULL THEN {_attr_sql('gen_ai.usage.output_tokens', 'int', 'otok')} END",
     f"CASE WHEN k = 'llm-call' AND fin IS NOT NULL THEN {_attr_sql('gen_ai.response.finish_reason', 'string', 'fin')} END",
     f"CASE WHEN k = 'llm-call' AND {_truthy_sql('outputs', '$.rate_limited')} THEN {_attr_sql('gen_ai.response.rate_limited', 'bool', '')} END",
-    f"CASE WHEN tr IS NOT NULL THEN {_attr_sql('loupe.transport', 'string', 'tr')} END",
+    f"CASE WHEN tr IS NOT NULL THEN {_attr_sql('agentrail.transport', 'string', 'tr')} END",
     f"CASE WHEN meth IS NOT NULL THEN {_attr_sql('http.request.method', 'string', 'meth')} END",
     f"CASE WHEN upath IS NOT NULL THEN {_attr_sql('url.path', 'string', 'upath')} END",
     f"CASE WHEN st IS NOT NULL THEN {_attr_sql('http.response.status_code', 'int', 'st')} END",
-    f"CASE WHEN k = 'tool-call' AND name IS NOT NULL THEN {_attr_sql('loupe.tool.name', 'string', 'name')} END",
+    f"CASE WHEN k = 'tool-call' AND name IS NOT NULL THEN {_attr_sql('agentrail.tool.name', 'string', 'name')} END",
 ]
 
 

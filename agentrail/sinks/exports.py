@@ -168,7 +168,7 @@ def spans(steps: DataFrame) -> DataFrame:
     fin = F.coalesce(_s("_vo", "$.finish_reason"), _s("_vo", "$.stop_reason"))
     status = int_at("_vo", "$.status")
     frags = [
-        _attr("loupe.kind", "string", kind),
+        _attr("agentrail.kind", "string", kind),
         F.when(llm & prov.isNotNull(), _attr("gen_ai.system", "string", prov)),
         F.when(llm & prov.isNotNull(), _attr("gen_ai.operation.name", "string", F.lit("chat"))),
         F.when(llm & model.isNotNull(), _attr("gen_ai.request.model", "string", model)),
@@ -183,11 +183,11 @@ def spans(steps: DataFrame) -> DataFrame:
         F.when(llm & fin.isNotNull(), _attr("gen_ai.response.finish_reason", "string", fin)),
         F.when(llm & _truthy_v(_g("_vo", "$.rate_limited")),
                _attr("gen_ai.response.rate_limited", "bool", F.lit(True))),
-        F.when(_s("_vm", "$.transport").isNotNull(), _attr("loupe.transport", "string", _s("_vm", "$.transport"))),
+        F.when(_s("_vm", "$.transport").isNotNull(), _attr("agentrail.transport", "string", _s("_vm", "$.transport"))),
         F.when(_s("_vm", "$.method").isNotNull(), _attr("http.request.method", "string", _s("_vm", "$.method"))),
         F.when(_s("_vm", "$.path").isNotNull(), _attr("url.path", "string", _s("_vm", "$.path"))),
         F.when(status.isNotNull(), _attr("http.response.status_code", "int", status)),
-        F.when((kind == "tool-call") & F.col("name").isNotNull(), _attr("loupe.tool.name", "string", F.col("name"))),
+        F.when((kind == "tool-call") & F.col("name").isNotNull(), _attr("agentrail.tool.name", "string", F.col("name"))),
     ]
     has_err = F.col("error").isNotNull() & (F.col("error") != "")
     fallback = F.substring(F.sha2(F.concat_ws("#", "trace_id", F.col("step_index").cast("string")), 256), 1, 16)
@@ -233,12 +233,12 @@ def resource_spans(traces: DataFrame, steps: DataFrame, service_name: str = "age
     res = F.concat_ws(",",
                       _attr("service.name", "string", F.lit(service_name)),
                       _attr("service.namespace", "string", F.lit("agentrail")),
-                      _attr("loupe.trace.name", "string", F.coalesce("name", F.lit(""))),
-                      _attr("loupe.trace.id", "string", F.col("trace_id")),
+                      _attr("agentrail.trace.name", "string", F.coalesce("name", F.lit(""))),
+                      _attr("agentrail.trace.id", "string", F.col("trace_id")),
                       F.when(F.col("framework").isNotNull(),
-                             _attr("loupe.trace.framework", "string", F.col("framework"))),
-                      F.when(P.truthy(md["failed"]), _attr("loupe.trace.failed", "bool", F.lit(True))),
-                      F.when(md["error"].isNotNull(), _attr("loupe.trace.error", "string", md["error"])))
+                             _attr("agentrail.trace.framework", "string", F.col("framework"))),
+                      F.when(P.truthy(md["failed"]), _attr("agentrail.trace.failed", "bool", F.lit(True))),
+                      F.when(md["error"].isNotNull(), _attr("agentrail.trace.error", "string", md["error"])))
     t = traces.select("trace_id", res.alias("_res"))
     return (t.join(per, "trace_id", "left").select(
         "trace_id", F.coalesce("span_count", F.lit(0)).alias("span_count"),

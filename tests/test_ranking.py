@@ -33,3 +33,19 @@ def test_global_rank_is_a_dense_permutation(spark):
     got = sorted(r, key=lambda x: x["rank"])
     assert [x["id"] for x in got] == [e[0] for e in expected]
     assert [x["rank"] for x in got] == list(range(1, 2001))
+
+
+def test_ranks_and_percentiles_hold_with_extra_columns_and_no_exchange_reuse(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(300_000).select(
+            "id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000))).cast("double").alias("v"),
+            F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+        r = global_rank(df, [F.col("v"), F.col("id")], partitions=16).agg(
+            F.countDistinct("rank").alias("n"), F.max("rank").alias("m"), F.min("rank").alias("k")).first()
+        assert (r.n, r.m, r.k) == (300_000, 300_000, 1)
+        got = exact_percentiles(df, "v", [0.5, 0.95], partitions=16).first()
+        vals = np.array([x.v for x in df.select("v").collect()])
+        assert (got.p50, got.p95) == (np.quantile(vals, 0.5), np.quantile(vals, 0.95))
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
