@@ -4,6 +4,7 @@ once in a worker by the tokenizers library."""
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 import re
@@ -14,16 +15,15 @@ import numpy as np
 import regex
 
 #: Parts remembered in a worker; beyond it the newest half goes, which holds
-#: the rare ones.  Bounds a worker's memory to about 120 MB.
-MOST_PARTS = 500_000
+#: the rare ones.  Bounds a worker's memory to about 250 MB.
+MOST_PARTS = 1_000_000
 
 # Unicode white space, as the pattern of byte-level vocabularies sees it.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The vocabulary's pattern cuts before every space, unless white space stands
-#: on both sides of it (or before it, at the end of a text).
-UNSURE = re.compile(f"[{_WS}] (?:[{_WS}]|\\Z)")
-#: For texts with such a space: a space and the run behind it, or the white
-#: space that such a run leaves, which the pattern cuts off as well.
+#: White space but space and line end.
+_OTHER_WS = [c for c in map(chr, range(0x3001)) if re.match(f"[{_WS}]", c) and c not in " \n"]
+#: A space and the run behind it, or the white space that such a run leaves:
+#: the vocabulary's pattern cuts at all these places.
 PARTS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 # Fixed value: the pattern by which byte-level vocabularies cut a text.
@@ -50,35 +50,58 @@ class Encoder:
         to the library, and a part's ids are those of its pieces.  Pieces that
         are a space and letters are encoded many in one text, which the pattern
         cuts between them, and told apart by the bytes their ids stand for."""
-        pieces = {p: PATTERN.findall(p) for p in parts}
-        new = set(itertools.chain.from_iterable(pieces.values())).difference(self.known)
+        known, new, ended, cut = self.known, set(), [], []
+        for p in parts:
+            if p[0] == " " and p[1:].isalpha():
+                new.add(p)
+            elif p[0] == " " and p[-1] in ".,;:!?" and p[1:-1].isalpha():
+                new.add(p[:-1])
+                ended.append(p)
+            else:
+                pieces = PATTERN.findall(p)
+                new.update(pieces)
+                cut.append((p, pieces))
+        new.update(".,;:!?")
+        new.difference_update(known)
         plain = [p for p in new if p[0] == " " and p[1:].isalpha()]
         odd = list(new.difference(plain))
         for piece, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            self.known[piece] = array("I", e.ids).tobytes()
+            known[piece] = array("I", e.ids).tobytes()
         for lo in range(0, len(plain), 200):
             some = plain[lo:lo + 200]
             ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(p.encode()) for p in some])
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in some])
             cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
             raw, first = ids.tobytes(), 0
             for piece, end in zip(some, (cuts * 4).tolist()):
-                self.known[piece] = raw[first:end]
+                known[piece] = raw[first:end]
                 first = end
-        get = self.known.__getitem__
-        for part, of in pieces.items():
-            if len(of) > 1:
-                self.known[part] = b"".join(map(get, of))
+        for p in ended:
+            known[p] = known[p[:-1]] + known[p[-1]]
+        for p, pieces in cut:
+            known[p] = b"".join([known[x] for x in pieces])
 
     @staticmethod
     def _cut(text: str) -> list[str]:
-        if UNSURE.search(text):
+        """Where every space stands alone and the only other white space is
+        line ends, the pattern cuts before every space."""
+        if "  " in text or "\n " in text or text.endswith(" ") or "\0" in text or any(c in text for c in _OTHER_WS):
             return PARTS.findall(text)
-        parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else PARTS.findall(text)
+        parts = text.replace(" ", "\0 ").split("\0")
         return parts if parts[0] else parts[1:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text."""
+        """The ids of every text.  Nothing here refers to itself, so Python's
+        search for cycles among millions of small objects is left out."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
         if len(self.known) > MOST_PARTS:
             self.known = dict(itertools.islice(self.known.items(), MOST_PARTS // 2))
