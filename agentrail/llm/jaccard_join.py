@@ -23,6 +23,8 @@ Shingles are compared by 64-bit hashes of their words, sets by 128-bit sums.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,12 @@ from .common import mix64, saved, span_hashes, text_slices, word_spans
 SHINGLE = 3
 PERCENT = 90
 GROUP = 256
+#: A size class spans so many steps of the threshold; only sets within one
+#: step of its upper end also count as the smaller of a pair in the next.
+STEPS = 4
+#: Bits of a filter of hashes that goes to all tasks: 2^18 numbers at most,
+#: however many hashes there are.  It only spares rows a shuffle.
+FILTER_BITS = 24
 #: Parts beyond D: so many parts must be empty before a link could be missed.
 SPARE_PARTS = 2
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -63,30 +71,36 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int = SHINGLE) -> li
     return out
 
 
-def size_bounds(percent: int, most: int) -> list[int]:
-    """Least sizes of the size classes: sets that link lie in one class or in
-    neighbouring ones."""
-    bounds = [1]
-    while bounds[-1] <= most:
-        bounds.append(max(bounds[-1] + 1, -(-100 * bounds[-1] // percent)))
-    return bounds
+def size_bounds(percent: int, most: int) -> list[tuple[int, int]]:
+    """Size classes: (least size, least size of those that can link with the
+    next class).  Sets that link lie in one class, or the larger is in the next
+    one and the smaller at the upper end of its own."""
+    bounds, n = [], 1
+    while n <= most:
+        edges = [n]
+        for _ in range(STEPS):
+            edges.append(max(edges[-1] + 1, -(-100 * edges[-1] // percent)))
+        bounds.append((n, edges[-2]))
+        n = edges[-1]
+    return bounds + [(n, n)]
 
 
-def parts_of(bounds: list[int], c: int, percent: int) -> int:
+def parts_of(bounds: list[tuple[int, int]], c: int, percent: int) -> int:
     """Parts for pairs whose larger set is of class c; 0 if only equal sets
     can link."""
-    differ = (100 - percent) * 2 * (bounds[c + 1] - 1) // (100 + percent)
+    differ = (100 - percent) * 2 * (bounds[c + 1][0] - 1) // (100 + percent)
     return differ + 1 + SPARE_PARTS if differ else 0
 
 
-def signatures(u: np.ndarray, percent: int, bounds: list[int]) -> np.ndarray:
-    """A hash of each non-empty part of a set, as the larger and as the smaller
-    set of a pair.  Hashes are uniform, so parts are ranges of them."""
-    c = int(np.searchsorted(bounds, len(u), "right")) - 1
+def signatures(u: np.ndarray, percent: int, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """A hash of each non-empty part of a set, in its own size class and, at
+    the upper end of that, in the next.  Hashes are uniform, so parts are
+    ranges of them."""
+    c = bisect.bisect_right(bounds, (len(u), 1 << 62)) - 1
     out = []
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(u ^ _K[1]))])
-        for k in (c, c + 1):
+        for k in (c, c + 1) if len(u) >= bounds[c][1] else (c,):
             m = parts_of(bounds, k, percent)
             if m:
                 step = np.uint64((1 << 64) // m)
@@ -113,7 +127,7 @@ def _sketch(words: int, percent: int, schema):
             for lo, hi, data, offs in text_slices(batch):
                 sets = shingle_sets(data, offs, words)
                 most = max(len(u) for u in sets)
-                if most >= bounds[-3]:
+                if most >= bounds[-3][0]:
                     bounds = size_bounds(percent, 4 * most)
                 with np.errstate(over="ignore"):
                     d1 = np.array([mix64(u ^ _K[0]).sum(dtype=np.uint64) for u in sets], np.uint64).view(np.int64)
@@ -138,17 +152,29 @@ def _tokens(words: int, schema):
     return tokens
 
 
+def _maybe(rows: DataFrame, column: str, hashes: DataFrame) -> DataFrame:
+    """``rows`` less most of those whose ``column`` is not among the hashes
+    (one column): a bit a hash, folded into at most 2^(FILTER_BITS - 6) numbers
+    that are broadcast.  With very many hashes it lets more rows pass."""
+    place = F.pmod(F.col(column), F.lit(1 << FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")
+    bits = hashes.select(F.col(hashes.columns[0]).alias(column)).groupBy(
+        F.shiftright(place, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(bits), "_word").where(
+        F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) of every node in the undirected edges (a, b), root being
     the least node of its component: large and small stars in turn, until the
     edges stay as they are.  Edges are written each time."""
     star = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
     while True:
-        seen = star.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if (seen["n"], seen["h"]) == before:
-            break
-        before = (seen["n"], seen["h"])
+        ends = star.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+            star.select(F.col("b").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        ends = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+        if ends.where("out > 1 or (out = 1 and in = 1)").isEmpty():
+            break                                          # every node has one edge, to a root
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -219,51 +245,52 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     # 1. clusters of classes that agree on a part
     parts = sets.select("d1", F.explode("sigs").alias("sig"))
-    shared = parts.groupBy("sig").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.count(F.lit(1)).alias("c")).where(
-        "lo < hi").select("sig", "lo", "c")
-    meets = saved(parts.join(shared, "sig").groupBy("d1", "lo").agg(F.sum("c").alias("c")), "jaccard-meets")
-    clusters = saved(components(meets.select(F.col("d1").alias("a"), F.col("lo").alias("b")), "jaccard-clusters"), "jaccard-clusters")
-    weight = meets.groupBy("d1").agg(F.sum("c").alias("weight"))
+    shared = saved(parts.groupBy("sig").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.count(F.lit(1)).alias("c")).where(
+        "lo < hi").select("sig", "lo", "c"), "jaccard-shared")
+    meets = saved(_maybe(parts, "sig", shared.select("sig")).join(shared, "sig").groupBy("d1", "lo").agg(
+        F.sum("c").alias("c")), "jaccard-meets")
+    clusters = components(meets.select(F.col("d1").alias("a"), F.col("lo").alias("b")), "jaccard-clusters")
+    clusters = meets.groupBy("d1").agg(F.sum("c").alias("weight")).join(
+        clusters.select(F.col("node").alias("d1"), F.col("root").alias("cluster")), "d1")
 
     # 2. one text of each class in a cluster; its shingles, and the pivots
     rep = F.min(F.struct("key", "txt")).alias("r")
-    classes = sets.select("key", "txt", "n", "d1", "d2").join(
-        clusters.select(F.col("node").alias("d1"), F.col("root").alias("cluster")), "d1").join(weight, "d1")
-    classes = classes.groupBy("cluster", "d1", "d2", "n").agg(rep, F.max("weight").alias("weight"))
-    classes = saved(classes.select("cluster", "d1", "d2", "n", "weight", F.col("r.key").alias("rkey"), F.col("r.txt").alias("rtxt")),
-                    "jaccard-classes")
-    chosen = rows.join(classes, rows["key"].eqNullSafe(classes["rkey"]) & (rows["txt"] == classes["rtxt"])).select(
-        "cluster", "d1", "d2", "n", "weight", "text").dropDuplicates(["cluster", "d1", "d2"])
-    schema = T.StructType([T.StructField(c, long) for c in ("cluster", "d1", "d2", "n", "weight")] + [T.StructField("tokens", many)])
+    classes = sets.select("key", "txt", "n", "d1", "d2").join(clusters, "d1").groupBy("cluster", "d1", "d2", "n").agg(
+        rep, F.max("weight").alias("weight"))
+    classes = saved(classes.withColumn("k", F.xxhash64("r.key", "r.txt")), "jaccard-classes")
+    top = classes.groupBy("cluster").agg(F.max(F.struct("weight", "d1", "d2")).alias("t"))
+    chosen = _maybe(rows.withColumn("k", F.xxhash64("key", "txt")), "k", classes.select("k"))
+    chosen = chosen.join(classes, "k").where(F.col("key").eqNullSafe(F.col("r.key")) & (F.col("txt") == F.col("r.txt")))
+    chosen = chosen.select("k", "cluster", "d1", "d2", "n", "text").dropDuplicates(["k", "d1", "d2"])  # rows that repeat
+    chosen = chosen.join(top, "cluster").withColumn(
+        "pivot", (F.col("t.d1") == F.col("d1")) & (F.col("t.d2") == F.col("d2")))
+    schema = T.StructType([T.StructField(c, long) for c in ("cluster", "d1", "d2", "n")]
+                          + [T.StructField("pivot", T.BooleanType()), T.StructField("tokens", many)])
+    chosen = chosen.select("cluster", "d1", "d2", "n", "pivot", "text")
     members = saved(chosen.mapInArrow(_tokens(words, schema), schema), "jaccard-tokens")
-    top = F.max(F.struct("weight", "d1", "d2")).alias("t")
-    pivots = members.groupBy("cluster").agg(top).select("cluster", F.col("t.d1").alias("d1"), F.col("t.d2").alias("d2"))
-    pivots = saved(members.join(pivots, ["cluster", "d1", "d2"]).select("cluster", "d1", "d2", "n", "tokens"), "jaccard-pivots")
-    tested = members.alias("m").join(pivots.alias("p"), "cluster").select(
-        "cluster", "m.d1", "m.d2", F.col("p.d1").alias("p1"), F.col("p.d2").alias("p2"), _same("m", "p", percent).alias("settled"))
+    tested = members.alias("m").join(members.where("pivot").alias("p"), "cluster").select(
+        "cluster", "m.d1", "m.d2", F.col("p.d1").alias("p1"), F.col("p.d2").alias("p2"), "m.tokens", _same("m", "p", percent).alias("settled"))
     tested = saved(tested, "jaccard-tested")
+    edges = tested.where("settled").select(_key("d1", "d2").alias("a"), _key("p1", "p2").alias("b"))
 
     # 3. the others against groups of their cluster
     size = tested.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum(F.when(~F.col("settled"), 1).otherwise(0)).alias("open"))
     size = size.where("open > 0").select("cluster", F.ceil(F.col("size") / GROUP).alias("groups"), F.ceil(F.col("open") / GROUP).alias("chunks"))
-    todo = members.join(tested.select("cluster", "d1", "d2", "settled"), ["cluster", "d1", "d2"]).join(size, "cluster")
+    todo = tested.join(size, "cluster")
     last = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    as_member = todo.select("cluster", "d1", "d2", "tokens", "settled", F.lit(False).alias("query"),
-                            F.pmod("d1", "groups").alias("g"), F.explode(last("chunks")).alias("j"))
-    as_query = todo.where(~F.col("settled")).select("cluster", "d1", "d2", "tokens", "settled", F.lit(True).alias("query"),
-                                                    F.explode(last("groups")).alias("g"), F.pmod("d2", "chunks").alias("j"))
-    links = as_member.unionByName(as_query).groupBy("cluster", "g", "j").applyInPandas(
+    member = F.transform(last("chunks"), lambda j: F.struct(F.lit(False).alias("query"), F.pmod("d1", "groups").alias("g"), j.alias("j")))
+    query = F.transform(last("groups"), lambda g: F.struct(F.lit(True).alias("query"), g.alias("g"), F.pmod("d2", "chunks").alias("j")))
+    to = F.when(F.col("settled"), member).otherwise(F.concat(member, query))
+    links = todo.select("cluster", "d1", "d2", "tokens", "settled", F.explode(to).alias("to")).select(
+        "cluster", "d1", "d2", "tokens", "settled", "to.*").groupBy("cluster", "g", "j").applyInPandas(
         _block(percent), "a1 long, a2 long, b1 long, b2 long")
-    edges = tested.where("settled").select(_key("d1", "d2").alias("a"), _key("p1", "p2").alias("b")).unionByName(
-        links.select(_key("a1", "a2").alias("a"), _key("b1", "b2").alias("b")))
-    joined = saved(components(edges, "jaccard-links"), "jaccard-links")
+    edges = edges.unionByName(links.select(_key("a1", "a2").alias("a"), _key("b1", "b2").alias("b")))
+    joined = components(edges, "jaccard-links")
 
     # documents take the least document of their component
     node = _key("d1", "d2")
     own = sets.where("n > 0").groupBy(node.alias("node"), "n").agg(rep).join(joined, "node", "left")
-    own = own.select("node", "n", "r", F.coalesce("root", "node").alias("root"))
-    # components of one class need no more; the others take the least of theirs
-    best = own.join(joined.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("r").alias("best"))
+    best = own.where("root is not null").groupBy("root").agg(F.min("r").alias("best"))
     own = own.join(best, "root", "left").select("node", "n", F.coalesce("best", "r").alias("rep"))
     out = sets.select("key", "txt", F.col("n"), node.alias("node")).alias("s").join(
         own.alias("o"), (F.col("s.node") == F.col("o.node")) & (F.col("s.n") == F.col("o.n")), "left")
