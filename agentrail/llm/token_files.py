@@ -1,9 +1,9 @@
 """Token files: ids of whole documents in Parquet list columns.
 
 Documents are range-partitioned and sorted by key before they are encoded, so
-one shuffle of texts gives files in ascending key order.  Ids are dictionary
-encoded (a vocabulary fits a dictionary page), places and lengths delta
-encoded; row groups and pages are small enough that the page indexes let a
+one shuffle of texts gives files in ascending key order.  Ids, places and
+lengths are delta encoded (about 17 bits an id, at less work than a dictionary
+of the vocabulary takes); row groups and pages are small enough that the page indexes let a
 reader skip to a few documents, and a reader of lengths never touches ids.
 
 Columns: the key, ``seq`` (file order; its upper bits number the file part),
@@ -60,10 +60,9 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, key: str = "doc_id", te
                           + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     out = rows.mapInArrow(_encode(vocab, end_id, [f.name for f in kept], schema), schema)
     out = out.withColumn("seq", F.monotonically_increasing_id())
-    (out.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES)
+    (out.write.option("compression", "snappy").option("parquet.block.size", ROW_GROUP_BYTES)
      .option("parquet.page.size", PAGE_BYTES).option("parquet.writer.version", "PARQUET_2_0")
-     .option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#ids.list.element", "true")
-     .parquet(path))
+     .option("parquet.enable.dictionary", "false").parquet(path))
 
 
 def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None, where=None) -> DataFrame:

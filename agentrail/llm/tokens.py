@@ -14,8 +14,8 @@ from array import array
 import numpy as np
 import regex
 
-#: Parts remembered in a worker; beyond it the newest half goes, which holds
-#: the rare ones.  Bounds a worker's memory to about 250 MB.
+#: Parts remembered in a worker; beyond it new ones, which are the rare ones,
+#: are forgotten after use.  Bounds a worker's memory to about 250 MB.
 MOST_PARTS = 1_000_000
 
 # Unicode white space, as the pattern of byte-level vocabularies sees it.
@@ -29,6 +29,9 @@ PARTS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 # Fixed value: the pattern by which byte-level vocabularies cut a text.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
+# Fixed value: how byte-level vocabularies spell a space.
+SPACE = "\u0120"
+
 
 class Encoder:
     """Encodes texts by one tokenizer file; ids come as little-endian unsigned
@@ -40,6 +43,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
         # bytes that each id stands for: a byte-level vocabulary spells each
         # byte as one character
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
@@ -63,6 +67,13 @@ class Encoder:
                 cut.append((p, pieces))
         new.update(".,;:!?")
         new.difference_update(known)
+        # a space and ASCII letters: the library's merges take them as they
+        # are, with the space in the vocabulary's spelling
+        simple = [p for p in new if p[0] == " " and p.isascii() and p[1:].isalpha()]
+        merge = self.merge
+        for p in simple:
+            known[p] = array("I", [t.id for t in merge(SPACE + p[1:])]).tobytes()
+        new.difference_update(simple)
         plain = [p for p in new if p[0] == " " and p[1:].isalpha()]
         odd = list(new.difference(plain))
         for piece, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
@@ -103,13 +114,16 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
-        if len(self.known) > MOST_PARTS:
-            self.known = dict(itertools.islice(self.known.items(), MOST_PARTS // 2))
-        new = set(itertools.chain.from_iterable(cut)).difference(self.known)
+        known, before = self.known, len(self.known)
+        new = set(itertools.chain.from_iterable(cut)).difference(known)
         if new:
             self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+        get = known.__getitem__
+        out = [b"".join(map(get, parts)) for parts in cut]
+        if len(known) > MOST_PARTS:
+            for part in list(itertools.islice(reversed(known), len(known) - max(before, MOST_PARTS))):
+                del known[part]
+        return out
 
 
 def encoder(path: str) -> Encoder:
