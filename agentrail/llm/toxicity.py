@@ -29,6 +29,9 @@ LEAST_DOCS = 3
 #: Labelled documents of each class that a model is trained on, at most; the
 #: ones with the lowest hash of their key.
 LEARN_DOCS = 2000
+#: The softmax's constant terms, not trained: a window of unknown n-grams only
+#: counts as clean.
+BIAS = (1.0, -1.0)
 EPOCHS = 80
 THRESHOLD = 0.7
 SEED = 7
@@ -101,7 +104,7 @@ class Model:
 
     def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         n = len(offs) - 1
-        top = np.full(n, 0.0)
+        top = np.full(n, -np.inf)                   # no words: score 0
         buckets, words, word_row = _bags(data, offs)
         if len(word_row):
             sums = np.bincount(words, self.logit[buckets], len(word_row))
@@ -132,7 +135,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     pair = np.unique(row * np.int64(len(spelt)) + word)
     docs_of = np.repeat(np.bincount(pair % len(spelt), minlength=len(spelt)), numbers)
     known = np.bincount(buckets, docs_of, size) >= LEAST_DOCS
-    emb, soft, bias = rng.normal(0, 0.1, (size, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
+    emb, soft, bias = rng.normal(0, 0.1, (size, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.array(BIAS)
     emb[~known] = 0
     params = [emb, soft, bias]
     moment, speed = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -160,7 +163,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
         p *= weight[rows][:, None]
         back = (p @ soft.T) / np.maximum(total, 1)[:, None]
         g_emb = np.stack([np.bincount(gram, back[gram_doc, d], size) for d in range(DIM)], 1)
-        grads = [np.where(known[:, None], g_emb + 1e-6 * emb, 0), mean.T @ p + 1e-5 * soft, p.sum(0)]
+        grads = [np.where(known[:, None], g_emb + 1e-6 * emb, 0), mean.T @ p + 1e-5 * soft, np.zeros(2)]
         for i, g in enumerate(grads):
             moment[i] = 0.9 * moment[i] + 0.1 * g
             speed[i] = 0.99 * speed[i] + 0.01 * g * g
