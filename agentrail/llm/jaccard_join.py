@@ -35,9 +35,17 @@ from .common import mix64, saved, span_hashes, text_slices, word_spans
 SHINGLE = 3
 PERCENT = 90
 GROUP = 256
-#: A size class spans so many steps of the threshold; only sets within one
-#: step of its upper end also count as the smaller of a pair in the next.
-STEPS = 4
+#: A size class spans about so wide a ratio of sizes, in steps of the
+#: threshold; only sets within one step of its upper end also count as the
+#: smaller of a pair in the next.
+CLASS_RATIO = 1.55
+#: Shingles found ``HOT_COUNT`` times or more in one of ``HOT_SAMPLE`` texts
+#: (the ``HOT_MOST`` most frequent) are left out of the parts.  Any choice is
+#: exact, as sets differ no more without them; it keeps a line that many
+#: documents share from bringing them together.  Sets with less than a share
+#: ``COLD_LEAST`` of other shingles make parts of all their shingles instead.
+HOT_SAMPLE, HOT_COUNT, HOT_MOST = 16, 6, 200_000
+COLD_LEAST = 0.4
 #: Bits of a filter of hashes that goes to all tasks: 2^18 numbers at most,
 #: however many hashes there are.  It only spares rows a shuffle.
 FILTER_BITS = 24
@@ -76,9 +84,10 @@ def size_bounds(percent: int, most: int) -> list[tuple[int, int]]:
     next class).  Sets that link lie in one class, or the larger is in the next
     one and the smaller at the upper end of its own."""
     bounds, n = [], 1
+    steps = max(1, int(np.log(CLASS_RATIO) / np.log(100 / percent)))
     while n <= most:
         edges = [n]
-        for _ in range(STEPS):
+        for _ in range(steps):
             edges.append(max(edges[-1] + 1, -(-100 * edges[-1] // percent)))
         bounds.append((n, edges[-2]))
         n = edges[-1]
@@ -92,15 +101,31 @@ def parts_of(bounds: list[tuple[int, int]], c: int, percent: int) -> int:
     return differ + 1 + SPARE_PARTS if differ else 0
 
 
-def signatures(u: np.ndarray, percent: int, bounds: list[tuple[int, int]]) -> np.ndarray:
-    """A hash of each non-empty part of a set, in its own size class and, at
-    the upper end of that, in the next.  Hashes are uniform, so parts are
-    ranges of them."""
-    c = bisect.bisect_right(bounds, (len(u), 1 << 62)) - 1
+def signatures(u: np.ndarray, percent: int, bounds: list[tuple[int, int]], hot: np.ndarray) -> np.ndarray:
+    """Hashes of a set's parts, without the hot shingles; with them (apart) if
+    few others are left.  Of two linked sets both have the one or the other: if
+    one has less than the least share of cold shingles, the other has less than
+    ``least / t + (1 - t) / t``."""
+    if not len(hot) or not len(u):
+        return part_hashes(u, len(u), percent, bounds)
+    cold = u[hot[np.minimum(np.searchsorted(hot, u), len(hot) - 1)] != u]
+    share, t, out = len(cold) / len(u), percent / 100, []
+    if share >= COLD_LEAST:
+        out.append(part_hashes(cold, len(u), percent, bounds))
+    if share < COLD_LEAST / t + (1 - t) / t:
+        out.append(mix64(part_hashes(u, len(u), percent, bounds)))
+    return np.concatenate(out)
+
+
+def part_hashes(u: np.ndarray, n: int, percent: int, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """A hash of each non-empty part of shingles of a set of size ``n``, in its
+    size class and, at the upper end of that, in the next.  Hashes are uniform,
+    so parts are ranges of them."""
+    c = bisect.bisect_right(bounds, (n, 1 << 62)) - 1
     out = []
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(u ^ _K[1]))])
-        for k in (c, c + 1) if len(u) >= bounds[c][1] else (c,):
+        for k in (c, c + 1) if n >= bounds[c][1] else (c,):
             m = parts_of(bounds, k, percent)
             if m:
                 step = np.uint64((1 << 64) // m)
@@ -118,7 +143,16 @@ def _list(arrays: list[np.ndarray]):
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(flat.view(np.int64)))
 
 
-def _sketch(words: int, percent: int, schema):
+def hot_shingles(rows: DataFrame, words: int) -> np.ndarray:
+    """The frequent shingles, from a sample of texts by their hash; sorted."""
+    some = rows.where(F.pmod(F.col("txt"), F.lit(HOT_SAMPLE)) == 0).select("text")
+    schema = T.StructType([T.StructField("tokens", T.ArrayType(T.LongType()))])
+    found = some.mapInArrow(_tokens(words, schema), schema).select(F.explode("tokens").alias("t")).groupBy("t").count()
+    top = found.where(F.col("count") >= HOT_COUNT).orderBy(F.col("count").desc(), "t").limit(HOT_MOST).select("t").collect()
+    return np.sort(np.array([r["t"] for r in top], np.int64).view(np.uint64))
+
+
+def _sketch(words: int, percent: int, schema, hot):
     def sketch(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -134,7 +168,7 @@ def _sketch(words: int, percent: int, schema):
                     d2 = np.array([mix64(u ^ _K[3]).sum(dtype=np.uint64) for u in sets], np.uint64).view(np.int64)
                 cols = [batch.column(i).slice(lo, hi - lo) for i in range(2)]
                 cols += [pa.array(np.array([len(u) for u in sets], np.int64)), pa.array(d1), pa.array(d2),
-                         _list([signatures(u, percent, bounds) if len(u) else u for u in sets])]
+                         _list([signatures(u, percent, bounds, hot.value) if len(u) else u for u in sets])]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, out_schema)], schema=out_schema)
     return sketch
 
@@ -241,7 +275,8 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("txt"), F.col(text).alias("text"))
     long, many = T.LongType(), T.ArrayType(T.LongType())
     schema = T.StructType([rows.schema["key"], *[T.StructField(c, long) for c in ("txt", "n", "d1", "d2")], T.StructField("sigs", many)])
-    sets = saved(rows.mapInArrow(_sketch(words, percent, schema), schema), "jaccard-sets")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(rows, words))
+    sets = saved(rows.mapInArrow(_sketch(words, percent, schema, hot), schema), "jaccard-sets")
 
     # 1. clusters of classes that agree on a part
     parts = sets.select("d1", F.explode("sigs").alias("sig"))
