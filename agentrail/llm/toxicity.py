@@ -28,7 +28,7 @@ DIM = 8
 LEAST_DOCS = 3
 #: Labelled documents of each class that a model is trained on, at most; the
 #: ones with the lowest hash of their key.
-LEARN_DOCS = 2000
+LEARN_DOCS = 1500
 #: The softmax's constant terms, not trained: a window of unknown n-grams only
 #: counts as clean.
 BIAS = (1.0, -1.0)
