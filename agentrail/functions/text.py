@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the published behaviour.
-PROMPT_MAX_CHARS = 8000
 TRUNCATE_LIMIT = 4000
 TRUNCATE_MARK = "…[truncated]"
 
@@ -58,10 +57,10 @@ def _parts_text(arr: Column) -> Column:
     return F.array_join(F.flatten(F.transform(msgs, lines)), "\n")
 
 
-def prompt_text(inputs, max_chars: int = PROMPT_MAX_CHARS) -> Column:
+def prompt_text(inputs, max_chars: int | None = None) -> Column:
     """Prompt of an llm-call: ``prompt`` string -> ``contents`` (string or
     message list) -> ``messages`` (string or list) as '[role] text' lines;
-    cut to ``max_chars`` (the defined output size); '' when none."""
+    whole unless ``max_chars`` is given; '' when none."""
     v = F.try_parse_json(_c(inputs))
     p, c, m = F.variant_get(v, "$.prompt", "variant"), F.variant_get(v, "$.contents", "variant"), F.variant_get(v, "$.messages", "variant")
 
@@ -72,16 +71,17 @@ def prompt_text(inputs, max_chars: int = PROMPT_MAX_CHARS) -> Column:
             .when(_is(c, "STRING"), s(c)).when(_is(c, "ARRAY"), _parts_text(c))
             .when(_is(m, "STRING"), s(m)).when(_is(m, "ARRAY"), _parts_text(m))
             .otherwise(F.lit("")))
-    return F.substring(text, 1, max_chars)
+    return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
-def response_text(outputs, max_chars: int = PROMPT_MAX_CHARS) -> Column:
-    """``outputs.text`` if a string, else ``outputs.answer``, else ''."""
+def response_text(outputs, max_chars: int | None = None) -> Column:
+    """``outputs.text`` if a string, else ``outputs.answer``, else ''; whole
+    unless ``max_chars`` is given."""
     v = F.try_parse_json(_c(outputs))
     t, a = F.variant_get(v, "$.text", "variant"), F.variant_get(v, "$.answer", "variant")
     text = (F.when(_is(t, "STRING"), F.variant_get(t, "$", "string"))
             .when(_is(a, "STRING"), F.variant_get(a, "$", "string")).otherwise(F.lit("")))
-    return F.substring(text, 1, max_chars)
+    return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
 def truncate_text(col, limit: int = TRUNCATE_LIMIT) -> Column:

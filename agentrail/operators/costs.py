@@ -189,11 +189,13 @@ def day_of(epoch_col: Column) -> Column:
 
 def cost_timeseries(steps: DataFrame, traces: DataFrame, as_of: float, days: int = 14,
                     prices: DataFrame | None = None) -> DataFrame:
-    """Per UTC day of trace start over the last ``days`` days (clamped 1..90)
+    """Per UTC day of trace start over the last ``days`` days
     ending on the day of ``as_of``: usd (strict pricing), llm calls and rate
     limited calls (``outputs.rate_limited`` truthy or status 429).  Missing
     days are zero-filled from a date spine."""
-    n = max(1, min(int(days), 90))
+    n = int(days)
+    if n < 1:
+        raise ValueError("days must be 1 or more")
     spark = steps.sparkSession
     end = F.to_date(F.timestamp_micros(F.lit(int(as_of * 1_000_000))))
     spine = spark.range(1).select(F.explode(F.sequence(F.date_sub(end, n - 1), end)).alias("date"))
@@ -202,7 +204,8 @@ def cost_timeseries(steps: DataFrame, traces: DataFrame, as_of: float, days: int
     priced = priced.withColumn(
         "_rl", (P.truthy(o["rate_limited"]) | (o["status"].try_cast("double") == 429)).cast("int"))
     t = (traces.filter(F.col("started_at").isNotNull())
-         .select("trace_id", day_of(F.col("started_at")).alias("date")))
+         .select("trace_id", day_of(F.col("started_at")).alias("date"))
+         .filter(F.col("date").between(F.date_sub(end, n - 1), end)))
     per_day = (priced.join(t, "trace_id").groupBy("date")
                .agg(F.sum("cost_pico").alias("_usd"), F.count(F.lit(1)).alias("calls"),
                     F.sum("_rl").cast("bigint").alias("rate_limited")))

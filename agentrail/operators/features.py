@@ -38,24 +38,19 @@ def explode_features(annotations: DataFrame, id_cols: tuple[str, ...] = ("trace_
             .filter(F.col("feature_id").isNotNull()))
 
 
-def _clamp_k(top_k: int) -> int:
-    return max(1, min(int(top_k), 100))
-
-
 def feature_frequency(features: DataFrame, category: str | None = None, top_k: int = 15,
                       ann_key: tuple[str, ...] = ("trace_id", "step_id")) -> DataFrame:
     """Most common features (in ``category`` if given): hits (a feature
     repeated inside one annotation counts again), share = hits /
     annotations with features, explanation = last non-empty one seen.
-    Top ``top_k`` (clamped 1..100) by hits, feature id breaking ties."""
+    Top ``top_k`` by hits, feature id breaking ties."""
     f = features if category is None else features.filter(F.col("failure_category") == category)
     order = F.struct(*[F.col(c) for c in ann_key], F.col("pos"))
     per = f.groupBy("feature_id").agg(
         F.count(F.lit(1)).alias("hits"),
         F.max_by("description", F.when(F.col("description").isNotNull(), order)).alias("explanation"))
     n = f.select(*ann_key).distinct().agg(F.count(F.lit(1))).scalar()  # one-row scalar subquery
-    k = _clamp_k(top_k)
-    top = per.orderBy(F.col("hits").desc(), F.col("feature_id")).limit(k)
+    top = per.orderBy(F.col("hits").desc(), F.col("feature_id")).limit(top_k)
     return top.select("feature_id", "hits", F.round(F.col("hits") / F.greatest(n, F.lit(1)), 6).alias("share"),
                       F.coalesce("explanation", F.lit("")).alias("explanation"))
 
@@ -77,8 +72,7 @@ def feature_distinctiveness(features: DataFrame, category: str, top_k: int = 15,
     s = (per.filter((F.col("hits_in") > 0) & (n_out > 0))
          .withColumn("score", F.log(((F.col("hits_in") + 1) / (n_in + 1))
                                     / ((F.col("hits_out") + 1) / (n_out + 1)))))
-    k = _clamp_k(top_k)
-    top = s.orderBy(F.col("score").desc(), F.col("feature_id")).limit(k).filter(F.col("score") > 0)
+    top = s.orderBy(F.col("score").desc(), F.col("feature_id")).limit(top_k).filter(F.col("score") > 0)
     return top.select("feature_id", "hits_in", "hits_out", F.round("score", 4).alias("score"),
                       F.coalesce("explanation", F.lit("")).alias("explanation"))
 

@@ -44,11 +44,15 @@ def anti_orphan_annotations(annotations: DataFrame, traces: DataFrame) -> DataFr
 def link_parents(steps: DataFrame) -> DataFrame:
     """Each step with its parent's kind and name.  The parent reference is a
     step id or, for adapters that record run ids, ``metadata.langchain_run_id``
-    of the parent; both keys are matched (two equi joins, the step id wins)."""
+    of the parent; both keys are matched (two equi joins, the step id wins).
+    Of parents that share an id the first in file order counts, so the result
+    has as many rows as ``steps``."""
     md = P.fields("metadata", "langchain_run_id")
-    par = steps.select("trace_id", "step_id", "kind", "name", md["langchain_run_id"].alias("run_id"))
-    by_id = par.select("trace_id", F.col("step_id").alias("parent_step_id"),
-                       F.col("kind").alias("_k1"), F.col("name").alias("_n1"))
+    par = steps.select("trace_id", "step_id", "step_index", "kind", "name", md["langchain_run_id"].alias("run_id"))
+    by_id = (par.groupBy("trace_id", "step_id")
+             .agg(F.min_by(F.struct("kind", "name"), F.struct("step_index", "kind", "name")).alias("_r"))
+             .select("trace_id", F.col("step_id").alias("parent_step_id"),
+                     F.col("_r.kind").alias("_k1"), F.col("_r.name").alias("_n1")))
     by_run = (par.filter(F.col("run_id").isNotNull())
               .groupBy("trace_id", "run_id").agg(F.min_by(F.struct("kind", "name"), "step_id").alias("_r"))
               .select("trace_id", F.col("run_id").alias("parent_step_id"),
@@ -213,14 +217,15 @@ def match_surrogate(steps: DataFrame, model_col: str = "model",
 
 def join_feature_explanations(features: DataFrame, explanations: DataFrame) -> DataFrame:
     """Attach a description to every activation: left join on (model, layer,
-    feature_id) after de-duplicating the lookups; the layer slug
-    ``blocks.N.hook_*`` becomes ``N-res-jb``."""
+    feature_id) after de-duplicating the lookups (of several texts for one
+    key the least counts); the layer slug ``blocks.N.hook_*`` becomes
+    ``N-res-jb``."""
     slug = F.when(F.col("layer").rlike(r"^blocks\.[0-9]+\.hook_"),
                   F.concat(F.regexp_extract("layer", r"^blocks\.([0-9]+)\.", 1), F.lit("-res-jb"))
                   ).otherwise(F.col("layer"))
     f = features.withColumn("layer_slug", slug)
-    e = explanations.select("model", F.col("layer").alias("layer_slug"), "feature_id",
-                            F.col("text").alias("description"))
+    e = (explanations.groupBy("model", F.col("layer").alias("layer_slug"), "feature_id")
+         .agg(F.min("text").alias("description")))
     return f.join(e, ["model", "layer_slug", "feature_id"], "left")
 
 

@@ -11,19 +11,19 @@ MSGS = "CAST(json_extract(inputs, '$.messages[*]') AS JSON[])"
 
 
 @register("prompt_text", ["cv_steps"], f"""
-SELECT step_id, substr(coalesce(array_to_string(list_transform({MSGS},
+SELECT step_id, coalesce(array_to_string(list_transform({MSGS},
     lambda m: '[' || coalesce(json_extract_string(m, '$.role'), '?') || '] ' || json_extract_string(m, '$.content')),
-    chr(10)), ''), 1, 8000) AS prompt
+    chr(10)), '') AS prompt
 FROM cv_steps""")
 def q_prompt_text(fx):
-    """Prompt of every conversation step as '[role] text' lines (8000 chars)."""
+    """Prompt of every conversation step as '[role] text' lines."""
     s = fx.get("cv_steps")
     return s.select("step_id", TX.prompt_text("inputs").alias("prompt"))
 
 
 @register("response_text", ["cv_steps"], """
-SELECT step_id, substr(coalesce(CASE WHEN json_type(outputs, '$.text') = 'VARCHAR' THEN json_extract_string(outputs, '$.text') END,
-  CASE WHEN json_type(outputs, '$.answer') = 'VARCHAR' THEN json_extract_string(outputs, '$.answer') END, ''), 1, 8000) AS response
+SELECT step_id, coalesce(CASE WHEN json_type(outputs, '$.text') = 'VARCHAR' THEN json_extract_string(outputs, '$.text') END,
+  CASE WHEN json_type(outputs, '$.answer') = 'VARCHAR' THEN json_extract_string(outputs, '$.answer') END, '') AS response
 FROM cv_steps""")
 def q_response_text(fx):
     """Reply text of every step (text, else answer, else '')."""

@@ -43,6 +43,7 @@ def safe_int_v(v: Column) -> Column:
     s = F.try_variant_get(v, "$", "string")
     return (F.when(v.isNull() | (t == "BOOLEAN") | (t == "VOID"), F.lit(None).cast("bigint"))
             .when(t == "STRING", F.when(s.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(s).try_cast("bigint")))
+            .when(t == "BIGINT", F.try_variant_get(v, "$", "bigint"))
             .otherwise(F.try_variant_get(v, "$", "double").try_cast("bigint")))
 
 

@@ -3,9 +3,9 @@ validation in two modes and ingest into the trace / step tables.
 
 Input: a DataFrame with ``doc_id`` and ``doc`` (JSON text, one document
 per row).  Type tests use VARIANT type names, so ``5`` and ``"5"`` differ.
-Steps are exploded with their position; a document's first failing step
-is found with a ``min_by`` per document (a hash aggregate), so a document
-with many steps is never gathered into one task.
+Every rule is a column expression on the document's own row, the steps'
+rules too (over its step array), so a verdict belongs to its row even where
+``doc_id`` repeats, and validation shuffles nothing.
 """
 
 from __future__ import annotations
@@ -73,17 +73,6 @@ def safe_id(value: Column) -> Column:
     return safe_id_error(value, "id").isNull()
 
 
-def _parsed(docs: DataFrame) -> DataFrame:
-    """Parse each document once into a VARIANT column ``_v``; every rule
-    then reads sub-values of it instead of re-parsing the text."""
-    return docs.select("doc_id", "doc", F.try_parse_json("doc").alias("_v"))
-
-
-def _steps(parsed: DataFrame) -> DataFrame:
-    arr = F.try_variant_get(F.col("_v"), "$.steps", "array<variant>")
-    return parsed.select("doc_id", "doc", F.posexplode(arr).alias("idx", "s"))
-
-
 def _truthy_variant(v: Column) -> Column:
     t = _t(v)
     return (F.when(v.isNull() | (t == "null"), F.lit(False))
@@ -95,24 +84,15 @@ def _truthy_variant(v: Column) -> Column:
             .otherwise(F.lit(True)))
 
 
-def validate(docs: DataFrame, mode: str = "schema") -> DataFrame:
-    """(doc_id, ok, error) for every document; the first failing rule wins.
-
-    ``mode='schema'``: the published JSON schema (name 1..256, framework
-    <= 64, ids 1..128, kind 1..64, step name 1..256, numbers / objects
-    typed).  ``mode='ingest'``: the looser ingest rules (no length limit
-    on names, metadata must be an object only when truthy, ids must be
-    safe file names, numeric times must parse)."""
-    docs = _parsed(docs)
-    v = F.col("_v")
-
+def _head_rules(v: Column, mode: str) -> list:
+    """Rules of the header, in the order in which they are reported."""
     def g(path: str) -> Column:
         return F.variant_get(v, path, "variant")
 
     name, steps, tid, fw = g("$.name"), g("$.steps"), g("$.trace_id"), g("$.framework")
     st, en, md = g("$.started_at"), g("$.ended_at"), g("$.metadata")
     if mode == "schema":
-        head = [
+        return [
             (~_is_obj(v), "$: must be an object"),
             (name.isNull(), "$: 'name' is a required property"),
             (steps.isNull(), "$: 'steps' is a required property"),
@@ -133,35 +113,31 @@ def validate(docs: DataFrame, mode: str = "schema") -> DataFrame:
              "$.metadata.error: must be a string"),
             (~_is_arr(steps), "$.steps: must be an array"),
         ]
-    elif mode == "ingest":
-        head = [
-            (~_is_obj(v), "trace payload must be a JSON object"),
-            ((_t(name) != "string") | (F.length(_str(name)) == 0),
-             "trace.name is required and must be a non-empty string"),
-            (~_is_arr(steps), "trace.steps must be a list (may be empty)"),
-            (_truthy_variant(tid), safe_id_error(F.coalesce(_str(tid), F.to_json(tid)), "trace_id")),
-            (_truthy_variant(st) & ~_t(st).isin("number", "boolean")
-             & _str(st).try_cast("double").isNull(), "trace.started_at must be a number"),
-            (en.isNotNull() & (_t(en) != "null") & ~_t(en).isin("number", "boolean")
-             & _str(en).try_cast("double").isNull(), "trace.ended_at must be a number"),
-            (_truthy_variant(md) & ~_is_obj(md), "trace.metadata must be an object"),
-        ]
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    head_err = _first_error(head)
-
-    s = _steps(docs)
-    sv = F.col("s")
-
+    return [
+        (~_is_obj(v), "trace payload must be a JSON object"),
+        ((_t(name) != "string") | (F.length(_str(name)) == 0),
+         "trace.name is required and must be a non-empty string"),
+        (~_is_arr(steps), "trace.steps must be a list (may be empty)"),
+        (_truthy_variant(tid), safe_id_error(F.coalesce(_str(tid), F.to_json(tid)), "trace_id")),
+        (_truthy_variant(st) & ~_t(st).isin("number", "boolean")
+         & _str(st).try_cast("double").isNull(), "trace.started_at must be a number"),
+        (en.isNotNull() & (_t(en) != "null") & ~_t(en).isin("number", "boolean")
+         & _str(en).try_cast("double").isNull(), "trace.ended_at must be a number"),
+        (_truthy_variant(md) & ~_is_obj(md), "trace.metadata must be an object"),
+    ]
+
+
+def _step_rules(sv: Column, place: Column, mode: str) -> list:
+    """Rules of one step at ``place``, in the order in which they are reported."""
     def sg(path: str) -> Column:
         return F.variant_get(sv, path, "variant")
 
-    idx = F.col("idx").cast("string")
+    idx = place.cast("string")
     loc = F.concat(F.lit("steps["), idx, F.lit("]"))
     kind, sname, sid = sg("$.kind"), sg("$.name"), sg("$.step_id")
     if mode == "schema":
         p = F.concat(F.lit("$.steps["), idx, F.lit("]"))
-        rules = [
+        return [
             (~_is_obj(sv), F.concat(p, F.lit(": must be an object"))),
             (kind.isNull(), F.concat(p, F.lit(": 'kind' is a required property"))),
             (sname.isNull(), F.concat(p, F.lit(": 'name' is a required property"))),
@@ -187,22 +163,41 @@ def validate(docs: DataFrame, mode: str = "schema") -> DataFrame:
             (sg("$.error").isNotNull() & ~_t(sg("$.error")).isin("string", "null"),
              F.concat(p, F.lit(".error: must be a string or null"))),
         ]
-    else:
-        rules = [
-            (~_is_obj(sv), F.concat(loc, F.lit(" must be an object"))),
-            ((_t(kind) != "string") | (F.length(_str(kind)) == 0),
-             F.concat(loc, F.lit(".kind must be a non-empty string"))),
-            (F.length(_str(kind)) > MAX_KIND_LENGTH, F.concat(loc, F.lit(f".kind exceeds {MAX_KIND_LENGTH} chars"))),
-            ((_t(sname) != "string") | (F.length(_str(sname)) == 0), F.concat(loc, F.lit(".name is required"))),
-            (_truthy_variant(sid), safe_id_error(F.coalesce(_str(sid), F.to_json(sid)),
-                                                 F.concat(loc, F.lit(".step_id")))),
-        ]
-    step_err = (s.withColumn("_e", _first_error(rules)).filter(F.col("_e").isNotNull())
-                .groupBy("doc_id").agg(F.min_by("_e", "idx").alias("_step_err")))
-    out = (docs.select("doc_id", head_err.alias("_head_err"))
-           .join(step_err, "doc_id", "left")
-           .select("doc_id", F.coalesce("_head_err", "_step_err").alias("error")))
-    return out.select("doc_id", F.col("error").isNull().alias("ok"), "error")
+    return [
+        (~_is_obj(sv), F.concat(loc, F.lit(" must be an object"))),
+        ((_t(kind) != "string") | (F.length(_str(kind)) == 0),
+         F.concat(loc, F.lit(".kind must be a non-empty string"))),
+        (F.length(_str(kind)) > MAX_KIND_LENGTH, F.concat(loc, F.lit(f".kind exceeds {MAX_KIND_LENGTH} chars"))),
+        ((_t(sname) != "string") | (F.length(_str(sname)) == 0), F.concat(loc, F.lit(".name is required"))),
+        (_truthy_variant(sid), safe_id_error(F.coalesce(_str(sid), F.to_json(sid)),
+                                             F.concat(loc, F.lit(".step_id")))),
+    ]
+
+
+def _judged(docs: DataFrame, mode: str) -> DataFrame:
+    """``docs`` (doc_id, doc) with ``_v``, the document parsed once, and
+    ``error``, the message of the first failing rule or null."""
+    if mode not in ("schema", "ingest"):
+        raise ValueError(f"unknown mode {mode!r}")
+    docs = docs.select("doc_id", "doc", F.try_parse_json("doc").alias("_v"))
+    v = F.col("_v")
+    found = F.filter(
+        F.transform(F.try_variant_get(v, "$.steps", "array<variant>"),
+                    lambda s, i: _first_error(_step_rules(s, i, mode))),
+        lambda e: e.isNotNull())
+    return docs.withColumn("error", F.coalesce(_first_error(_head_rules(v, mode)), F.get(found, F.lit(0))))
+
+
+def validate(docs: DataFrame, mode: str = "schema") -> DataFrame:
+    """(doc_id, ok, error) for every document; the first failing rule wins.
+
+    ``mode='schema'``: the published JSON schema (name 1..256, framework
+    <= 64, ids 1..128, kind 1..64, step name 1..256, numbers / objects
+    typed).  ``mode='ingest'``: the looser ingest rules (no length limit
+    on names, metadata must be an object only when truthy, ids must be
+    safe file names, numeric times must parse).  Rows that repeat a
+    ``doc_id`` are judged each on its own."""
+    return _judged(docs, mode).select("doc_id", F.col("error").isNull().alias("ok"), "error")
 
 
 def ingest(docs: DataFrame, as_of: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -214,12 +209,13 @@ def ingest(docs: DataFrame, as_of: float) -> tuple[DataFrame, DataFrame, DataFra
     start -> the trace start; its end -> its start; step_id -> sha256 of
     document and position (first 12 hex).  Payload objects are kept as
     their original JSON text (key order preserved), compacted."""
-    val = validate(docs, mode="ingest")
-    rejects = val.filter(~F.col("ok")).select("doc_id", "error")
-    good = docs.join(val.filter("ok").select("doc_id"), "doc_id", "left_semi")
+    # a generator holds the verdict, so that the filters below stay above it and
+    # do not repeat the parse inside every rule
+    held = _judged(docs, mode="ingest").select(F.inline(F.array(F.struct("doc_id", "doc", "_v", "error"))))
+    rejects = held.filter(F.col("error").isNotNull()).select("doc_id", "error")
+    good = held.filter(F.col("error").isNull())
     raw_ddl = ("metadata string, steps array<struct<inputs:string, outputs:string, metadata:string>>")
-    good = good.select("doc_id", "doc", F.try_parse_json("doc").alias("_v"),
-                       F.from_json("doc", raw_ddl).alias("_raw"))
+    good = good.select("doc_id", "doc", "_v", F.from_json("doc", raw_ddl).alias("_raw"))
     v = F.col("_v")
 
     def g(path: str) -> Column:

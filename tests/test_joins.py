@@ -1,0 +1,39 @@
+"""Lookups with repeated keys multiply no rows; whole texts and integers."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from agentrail.functions import text as TX
+from agentrail.operators import joins as J
+from agentrail.sinks import exports as X
+
+
+def test_repeated_explanations_give_one_row(spark):
+    feats = spark.createDataFrame([("m", "blocks.3.hook_resid_pre", 1)], "model string, layer string, feature_id int")
+    expl = spark.createDataFrame([("m", "3-res-jb", 1, "b"), ("m", "3-res-jb", 1, "a")],
+                                 "model string, layer string, feature_id int, text string")
+    assert [r.description for r in J.join_feature_explanations(feats, expl).collect()] == ["a"]
+
+
+def test_parent_delivered_twice_gives_one_row_a_step(spark):
+    rows = [("t", "p", 0, None, "plan", "first", "{}"), ("t", "p", 1, None, "plan", "second", "{}"),
+            ("t", "c", 2, "p", "io", "child", "{}")]
+    steps = spark.createDataFrame(rows, "trace_id string, step_id string, step_index int, parent_step_id string, "
+                                        "kind string, name string, metadata string")
+    out = J.link_parents(steps).collect()
+    assert len(out) == 3
+    assert [r.parent_name for r in out if r.step_id == "c"] == ["first"]
+
+
+def test_integers_above_two_to_the_53_keep_every_digit(spark):
+    got = spark.createDataFrame([("9007199254740993",), ('"9007199254740993"',), ("7.9",), ("true",)], "j string").select(
+        X.safe_int_v(F.try_parse_json("j")).alias("n")).collect()
+    assert [r.n for r in got] == [9007199254740993, 9007199254740993, 7, None]
+
+
+def test_prompts_and_replies_stay_whole(spark):
+    long = "x" * 20_000
+    r = spark.createDataFrame([(json.dumps({"prompt": long}), json.dumps({"text": long}))], "i string, o string").select(
+        TX.prompt_text("i").alias("p"), TX.response_text("o").alias("r"), TX.prompt_text("i", 10).alias("cut")).first()
+    assert (r.p, r.r, r.cut) == (long, long, long[:10])

@@ -59,3 +59,18 @@ def test_ingest_messages(verdicts):
     assert msgs[4] == "steps[0].kind must be a non-empty string"
     assert msgs[5] == "steps[0].name is required"
     assert msgs[7] == "steps[0].kind exceeds 64 chars"
+
+
+def test_ingest_judges_each_row_of_a_repeated_id(spark):
+    good, bad = json.dumps({"name": "x", "steps": [{"kind": "io", "name": "s"}]}), json.dumps({"steps": []})
+    docs = spark.createDataFrame([("d1", good), ("d1", bad), ("d2", None)], "doc_id string, doc string")
+    traces, steps, rejects = D.ingest(docs, as_of=10.0)
+    assert [(r.doc_id, r.name) for r in traces.collect()] == [("d1", "x")]
+    assert steps.count() == 1
+    assert sorted(r.doc_id for r in rejects.collect()) == ["d1", "d2"]
+
+
+def test_validation_shuffles_nothing(spark):
+    docs = spark.createDataFrame([("d1", "{}")], "doc_id string, doc string")
+    for df in (D.validate(docs), *D.ingest(docs, as_of=1.0)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
