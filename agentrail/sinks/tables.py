@@ -45,7 +45,10 @@ def build_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 class SnapshotTable:
-    """A table stored as numbered snapshot directories under ``base``."""
+    """A table stored as numbered snapshot directories under ``base``.
+
+    A snapshot made by a stream's micro-batch carries the stream's query id
+    and the batch id in its name, so that it commits together with them."""
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
@@ -54,33 +57,35 @@ class SnapshotTable:
         self._path = jvm.org.apache.hadoop.fs.Path(self.base)
         self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
+    def _snapshots(self) -> list[tuple[int, str]]:
+        """(version, directory name) of every committed snapshot, in order."""
         if not self._fs.exists(self._path):
             return []
         out = []
         for st in self._fs.listStatus(self._path):
             name = st.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit():
+            number = name.split(".")[0]
+            if number.startswith("v") and number[1:].isdigit():
                 marker = self.spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")
                 if self._fs.exists(marker):
-                    out.append(int(name[1:]))
+                    out.append((int(number[1:]), name))
         return sorted(out)
 
     def version_path(self, version: int) -> str:
         return f"{self.base}/v{version:08d}"
 
     def current(self) -> int | None:
-        v = self._versions()
-        return v[-1] if v else None
+        s = self._snapshots()
+        return s[-1][0] if s else None
 
     def read(self, schema=None) -> DataFrame | None:
-        v = self.current()
-        if v is None:
+        s = self._snapshots()
+        if not s:
             return None
         r = self.spark.read
         if schema is not None:
             r = r.schema(schema)
-        return r.parquet(self.version_path(v))
+        return r.parquet(f"{self.base}/{s[-1][1]}")
 
     def write(self, df: DataFrame, version: int) -> None:
         """Write ``version``; it must be newer than the version it was built
@@ -97,3 +102,19 @@ class SnapshotTable:
         old = self.read()
         new = batch if old is None else upsert(old, batch, key)
         self.write(new, version)
+
+    def upsert_batch(self, batch: DataFrame, batch_id: int, key="trace_id") -> None:
+        """Upsert a micro-batch as the next version, once per (stream, batch
+        id): a replayed batch is a no-op, while a stream with a new checkpoint,
+        which counts its batches from 0 again, is a stream of its own."""
+        query = self.spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not query:
+            raise RuntimeError("upsert_batch runs inside foreachBatch only")
+        done = self._snapshots()
+        marks = [name.split(".")[1:] for _, name in done]
+        if any(m[0] == query and int(m[1][1:]) >= batch_id for m in marks if len(m) == 2):
+            return
+        old = self.read()
+        new = batch if old is None else upsert(old, batch, key)
+        path = self.version_path(done[-1][0] + 1 if done else 1)
+        new.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}.{query}.b{batch_id:08d}")

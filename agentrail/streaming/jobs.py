@@ -54,15 +54,14 @@ def parquet_stream(spark: SparkSession, path: str, schema: T.StructType, max_fil
 def start_upsert(lines: DataFrame, target_base: str, checkpoint: str, trigger: dict | None = None):
     """Incremental derived tables: each micro-batch of new files is split
     into traces and steps and upserted by trace id into versioned
-    snapshots (``<base>/traces``, ``<base>/steps``); the batch id is the
-    version, so a replayed batch is a no-op."""
+    snapshots (``<base>/traces``, ``<base>/steps``), each batch of a stream
+    once."""
     spark = lines.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         traces, steps = WR.split_traces(batch)
-        version = batch_id + 1
-        SnapshotTable(spark, f"{target_base}/traces").upsert(traces.drop("file"), version)
-        SnapshotTable(spark, f"{target_base}/steps").upsert(steps.drop("file"), version)
+        SnapshotTable(spark, f"{target_base}/traces").upsert_batch(traces.drop("file"), batch_id)
+        SnapshotTable(spark, f"{target_base}/steps").upsert_batch(steps.drop("file"), batch_id)
 
     w = lines.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
@@ -130,9 +129,9 @@ def failure_rate_stream(traces: DataFrame, length: str = "7 days", slide: str =
 
 def keyed_upsert_sink(base: str, key: list[str]) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function writing update-mode output into a
-    versioned snapshot table keyed by ``key`` (idempotent per batch id)."""
+    versioned snapshot table keyed by ``key``, each batch of a stream once."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        SnapshotTable(batch.sparkSession, base).upsert(batch, batch_id + 1, key)
+        SnapshotTable(batch.sparkSession, base).upsert_batch(batch, batch_id, key)
     return apply
 
 

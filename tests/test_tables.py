@@ -59,3 +59,22 @@ def test_strict_corpus_reader_names_the_bad_line(spark, tmpdir_fresh):
     with open(os.path.join(path, "c.jsonl"), "w") as f:
         f.write(good + "\n")
     assert [r.id for r in SC.read_corpus(spark, path).collect()] == ["lb-a"]
+
+
+def test_new_checkpoint_into_an_old_table_loses_nothing(spark, tmp_path):
+    from agentrail.streaming.jobs import keyed_upsert_sink
+    src, base = str(tmp_path / "in"), str(tmp_path / "table")
+
+    def stream(ids, checkpoint):
+        spark.createDataFrame([(i,) for i in ids], "trace_id string").write.mode("append").parquet(src)
+        (spark.readStream.schema("trace_id string").parquet(src).writeStream
+         .foreachBatch(keyed_upsert_sink(base, ["trace_id"]))
+         .option("checkpointLocation", str(tmp_path / checkpoint))
+         .trigger(availableNow=True).start().awaitTermination())
+
+    stream(["a"], "c1")
+    stream(["b"], "c1")                  # the same stream goes on
+    stream(["c"], "c2")                  # a new checkpoint counts from 0
+    t = SnapshotTable(spark, base)
+    assert t.current() == 3
+    assert sorted(r.trace_id for r in t.read().collect()) == ["a", "b", "c"]
