@@ -115,23 +115,27 @@ def header_diff(traces: DataFrame, steps: DataFrame, pairs: DataFrame) -> DataFr
         "left_failed", "right_failed")
 
 
-def bulk_delete_split(traces: DataFrame, ids: DataFrame, max_ids: int = 500) -> DataFrame:
+def bulk_delete_split(traces: DataFrame, ids: DataFrame, max_ids: int | None = None) -> DataFrame:
     """Requested ids (``batch_id``, ``req_pos``, ``id``) -> outcome per id.
 
-    A batch holding more than ``max_ids`` ids is rejected as a whole
-    (outcome ``rejected``; its rows are kept).  Otherwise each id is trimmed
-    and resolved as a prefix (first match = smallest id): blank, invalid
-    or unmatched -> ``not_found``; a trace already deleted by an earlier
-    id of the same batch -> ``not_found``; else ``deleted``."""
+    With ``max_ids`` set, a batch holding more ids than that is rejected as a
+    whole (outcome ``rejected``; its rows are kept); by default no batch is.
+    Otherwise each id is trimmed and resolved as a prefix (first match =
+    smallest id): blank, invalid or unmatched -> ``not_found``; a trace
+    already deleted by an earlier id of the same batch -> ``not_found``;
+    else ``deleted``."""
     from .relational import resolve_prefixes
-    size = ids.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_size"))
-    req = ids.join(size, "batch_id").withColumn("_id", F.trim(F.coalesce("id", F.lit(""))))
+    req = ids.withColumn("_id", F.trim(F.coalesce("id", F.lit(""))))
+    too_many = F.lit(False)
+    if max_ids is not None:
+        req = req.join(ids.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_size")), "batch_id")
+        too_many = F.col("_size") > max_ids
     res = resolve_prefixes(traces, req.select(F.col("_id").alias("prefix")).distinct())
     j = req.join(res, req["_id"] == res["prefix"], "left")
     w = Window.partitionBy("batch_id", "trace_id")
     first = F.min("req_pos").over(w)
     hit = (F.length("_id") > 0) & (F.col("matches") >= 1)
-    outcome = (F.when(F.col("_size") > max_ids, F.lit("rejected"))
+    outcome = (F.when(too_many, F.lit("rejected"))
                .when(hit & (F.col("req_pos") == first), F.lit("deleted"))
                .otherwise(F.lit("not_found")))
     return j.select("batch_id", "req_pos", "id", outcome.alias("outcome"),

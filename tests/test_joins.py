@@ -37,3 +37,22 @@ def test_prompts_and_replies_stay_whole(spark):
     r = spark.createDataFrame([(json.dumps({"prompt": long}), json.dumps({"text": long}))], "i string, o string").select(
         TX.prompt_text("i").alias("p"), TX.response_text("o").alias("r"), TX.prompt_text("i", 10).alias("cut")).first()
     assert (r.p, r.r, r.cut) == (long, long, long[:10])
+
+
+def _outcomes(spark, n, **limit):
+    ids = [f"u{i:05d}" for i in range(n)]
+    traces = spark.createDataFrame([(i,) for i in ids], "trace_id string")
+    req = spark.createDataFrame([(1, p, i) for p, i in enumerate(ids)] + [(2, 0, ids[0]), (2, 1, "nope")],
+                                "batch_id int, req_pos bigint, id string")
+    return sorted((r.batch_id, r.req_pos, r.outcome, r.trace_id) for r in
+                  J.bulk_delete_split(traces, req, **limit).collect())
+
+
+def test_delete_batches_of_any_size_are_resolved(spark):
+    assert _outcomes(spark, 501) == [(1, p, "deleted", f"u{p:05d}") for p in range(501)] + [
+        (2, 0, "deleted", "u00000"), (2, 1, "not_found", None)]
+
+
+def test_delete_batch_over_an_explicit_limit_is_rejected(spark):
+    assert _outcomes(spark, 4, max_ids=3) == [(1, p, "rejected", None) for p in range(4)] + [
+        (2, 0, "deleted", "u00000"), (2, 1, "not_found", None)]
