@@ -142,14 +142,21 @@ def q_stream_pair_runs(fx):
     return fx.spark.read.parquet(out)
 
 
-@register("stream_events_feed")
+@register("stream_events_feed", ["ev_traces", "ev_steps", "ev_annotations"], """
+SELECT 'new_trace' AS event, trace_id, CAST(NULL AS VARCHAR) AS step_id, CAST(NULL AS BIGINT) AS seq,
+  make_timestamp(CAST(trunc(started_at * 1000000) AS BIGINT)) AS ts
+FROM ev_traces
+UNION ALL
+SELECT 'annotation_changed', a.trace_id, a.step_id, CAST(a.seq AS BIGINT),
+  make_timestamp(CAST(trunc(s.started_at * 1000000) AS BIGINT))
+FROM ev_annotations a LEFT JOIN ev_steps s ON a.trace_id = s.trace_id AND a.step_id = s.step_id""")
 def q_stream_events_feed(fx):
-    """new_trace / annotation_changed events, de-duplicated."""
+    """new_trace / annotation_changed events, one per trace and annotation write."""
     base, src, out, ck = _dirs(fx, "feed")
     t = _land(fx.get("ev_traces"), src + "/traces", "trace_id", time_col="started_at")
     a0 = fx.get("ev_annotations").join(fx.get("ev_steps").select("trace_id", "step_id", "started_at"),
                                        ["trace_id", "step_id"], "left")
-    a = a0.select("trace_id", "step_id", "started_at", S.event_time("started_at").alias("ts"))
+    a = a0.select("trace_id", "step_id", "seq", "started_at", S.event_time("started_at").alias("ts"))
     ann = _land(a, src + "/annotations", "trace_id", time_col="started_at").drop("started_at")
     S.run_available_now(S.events_feed(t, ann, DEMO_WATERMARK), out, ck)
     return fx.spark.read.parquet(out)

@@ -69,14 +69,15 @@ def start_upsert(lines: DataFrame, target_base: str, checkpoint: str, trigger: d
 
 def events_feed(traces: DataFrame, annotations: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Dashboard feed: ``new_trace`` per trace and ``annotation_changed`` per
-    annotation write, de-duplicated within the watermark (a re-delivered
-    trace or an unchanged re-save emits nothing new)."""
+    annotation write, de-duplicated within the watermark.  ``seq`` is the
+    version of a write: a re-delivered trace or write emits nothing new, the
+    next write of the same step does."""
     t = traces.select(F.lit("new_trace").alias("event"), "trace_id", F.lit(None).cast("string").alias("step_id"),
-                      event_time("started_at").alias("ts"))
+                      F.lit(None).cast("bigint").alias("seq"), event_time("started_at").alias("ts"))
     a = annotations.select(F.lit("annotation_changed").alias("event"), "trace_id", "step_id",
-                           F.col("ts"))
+                           F.col("seq").cast("bigint").alias("seq"), F.col("ts"))
     u = t.unionByName(a)
-    return u.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event", "trace_id", "step_id"])
+    return u.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event", "trace_id", "step_id", "seq"])
 
 
 def dedupe_stream(steps: DataFrame, watermark: str = "1 hour") -> DataFrame:

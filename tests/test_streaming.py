@@ -34,3 +34,21 @@ def test_stream_upsert_matches_batch_split(spark):
     from agentrail.sources import wire as WR
     t, _ = WR.split_traces(WR.trace_lines(Fixtures(spark, SF).get("wire_files")))
     assert sorted(streamed) == sorted(t.select("trace_id", "name").collect())
+
+
+def test_events_feed_reports_every_write_once(spark, tmp_path):
+    from agentrail.streaming import jobs as S
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    writes = spark.createDataFrame([("t", "s", 1, 10.0), ("t", "s", 2, 10.0), ("t", "other", 3, 20.0)],
+                                   "trace_id string, step_id string, seq long, started_at double")
+    writes.coalesce(1).write.parquet(src)
+    writes.filter("seq < 3").coalesce(1).write.mode("append").parquet(src)  # delivered again
+    traces = spark.createDataFrame([("t", 10.0)], "trace_id string, started_at double")
+    traces.coalesce(1).write.parquet(src + "-traces")
+    ann = S.parquet_stream(spark, src, writes.schema, max_files=1).withColumn("ts", S.event_time("started_at"))
+    S.run_available_now(S.events_feed(S.parquet_stream(spark, src + "-traces", traces.schema), ann), out,
+                        str(tmp_path / "ckpt"))
+    got = spark.read.parquet(out).select("event", "trace_id", "step_id", "seq").collect()
+    assert sorted(got, key=str) == sorted([("new_trace", "t", None, None), ("annotation_changed", "t", "s", 1),
+                                           ("annotation_changed", "t", "s", 2), ("annotation_changed", "t", "other", 3)],
+                                          key=str)
