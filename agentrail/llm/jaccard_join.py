@@ -49,7 +49,8 @@ COLD_LEAST = 0.4
 #: Bits of a filter of hashes that goes to all tasks: 2^18 numbers at most,
 #: however many hashes there are.  It only spares rows a shuffle.
 FILTER_BITS = 24
-#: Parts beyond D: so many parts must be empty before a link could be missed.
+#: Parts beyond D.  Linked sets agree on more than so many parts, so only sets
+#: with more empty ones may agree on empty parts alone; see ``signatures``.
 SPARE_PARTS = 2
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -105,24 +106,31 @@ def signatures(u: np.ndarray, percent: int, bounds: list[tuple[int, int]], hot:
     """Hashes of a set's parts, without the hot shingles; with them (apart) if
     few others are left.  Of two linked sets both have the one or the other: if
     one has less than the least share of cold shingles, the other has less than
-    ``least / t + (1 - t) / t``."""
+    ``least / t + (1 - t) / t``.
+
+    Two linked sets that agree on empty parts only have both more than
+    ``SPARE_PARTS`` of them: such sets make parts of all their shingles as well,
+    and where those leave as many empty, each empty part counts as one too."""
     if not len(hot) or not len(u):
-        return part_hashes(u, len(u), percent, bounds)
+        return part_hashes(u, len(u), percent, bounds, True)[0]
     cold = u[hot[np.minimum(np.searchsorted(hot, u), len(hot) - 1)] != u]
-    share, t, out = len(cold) / len(u), percent / 100, []
+    share, t, out, bare = len(cold) / len(u), percent / 100, [], False
     if share >= COLD_LEAST:
-        out.append(part_hashes(cold, len(u), percent, bounds))
-    if share < COLD_LEAST / t + (1 - t) / t:
-        out.append(mix64(part_hashes(u, len(u), percent, bounds)))
+        found, bare = part_hashes(cold, len(u), percent, bounds)
+        out.append(found)
+    if bare or share < COLD_LEAST / t + (1 - t) / t:
+        out.append(mix64(part_hashes(u, len(u), percent, bounds, True)[0]))
     return np.concatenate(out)
 
 
-def part_hashes(u: np.ndarray, n: int, percent: int, bounds: list[tuple[int, int]]) -> np.ndarray:
+def part_hashes(u: np.ndarray, n: int, percent: int, bounds: list[tuple[int, int]],
+                empty: bool = False) -> tuple[np.ndarray, bool]:
     """A hash of each non-empty part of shingles of a set of size ``n``, in its
-    size class and, at the upper end of that, in the next.  Hashes are uniform,
-    so parts are ranges of them."""
+    size class and, at the upper end of that, in the next; and whether more
+    than ``SPARE_PARTS`` parts of a class are empty (with ``empty``, these have
+    hashes too).  Hashes are uniform, so parts are ranges of them."""
     c = bisect.bisect_right(bounds, (n, 1 << 62)) - 1
-    out = []
+    out, bare = [], False
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(u ^ _K[1]))])
         for k in (c, c + 1) if n >= bounds[c][1] else (c,):
@@ -132,8 +140,11 @@ def part_hashes(u: np.ndarray, n: int, percent: int, bounds: list[tuple[int, int
                 cuts = np.searchsorted(u, np.arange(1, m, dtype=np.uint64) * step)
                 lo, hi = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(u)]])
                 full = np.flatnonzero(hi > lo)
+                if m - len(full) > SPARE_PARTS:
+                    bare = True
+                    full = np.arange(m) if empty else full
                 out.append(mix64((sums[hi] - sums[lo])[full] + full.astype(np.uint64) * _K[2] + np.uint64(k) * _K[3]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), bare
 
 
 def _list(arrays: list[np.ndarray]):

@@ -325,3 +325,19 @@ def test_toxicity_model_knows_misspellings(spark, odd, none):
     keys = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (3, 0), (77, 1)], "key long, label long")
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, None)], "key long, text string")
     assert sorted(toxicity.sample(docs, keys)) == [("", 0), ("a", 1)]
+
+
+@pytest.mark.parametrize("hot_apart", [True, False])
+def test_linked_sets_whose_equal_parts_are_empty_share_a_signature(hot_apart):
+    bounds = jaccard_join.size_bounds(90, 1 << 12)
+    assert jaccard_join.parts_of(bounds, 2, 90) == 4
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        cold = rng.integers(1, 1 << 62, 6, dtype=np.uint64)          # all in the first of four parts
+        hot = rng.integers(1, 1 << 62, 4, dtype=np.uint64) + np.uint64((1 << 62) if hot_apart else 0)
+        larger = np.unique(np.concatenate([cold, hot]))
+        smaller = larger[larger != cold[0]]                           # 9 of 10 shingles: linked at 90 %
+        assert len(smaller) == 9
+        for frequent in (np.sort(hot), np.zeros(0, np.uint64)):
+            a, b = (jaccard_join.signatures(u, 90, bounds, frequent) for u in (smaller, larger))
+            assert len(np.intersect1d(a, b)) and len(np.unique(a)) == len(a)
