@@ -206,13 +206,13 @@ def q_stream_assemble_stateful(fx):
 def q_latest_annotation_stream(fx):
     """Annotation writes streamed into a keyed table: last write per step wins."""
     base, src, out, ck = _dirs(fx, "annotations")
-    a = _land(fx.get("ev_annotations").drop("tags"), src, "trace_id")
+    a = _land(fx.get("ev_annotations"), src, "trace_id")
 
     def apply(batch, batch_id):
         t = SnapshotTable(fx.spark, out)
         old = t.read()
         latest = W.latest_annotations(batch if old is None else old.unionByName(batch))
-        t.write(latest, batch_id + 1)
+        t.upsert_batch(latest, batch_id, ["trace_id", "step_id"])
 
     (a.writeStream.foreachBatch(apply).option("checkpointLocation", ck)
      .trigger(availableNow=True).start().awaitTermination())

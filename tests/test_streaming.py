@@ -52,3 +52,12 @@ def test_events_feed_reports_every_write_once(spark, tmp_path):
     assert sorted(got, key=str) == sorted([("new_trace", "t", None, None), ("annotation_changed", "t", "s", 1),
                                            ("annotation_changed", "t", "s", 2), ("annotation_changed", "t", "other", 3)],
                                           key=str)
+
+
+def test_latest_annotation_stream_keeps_every_column(spark):
+    from agentrail.operators import windows as W
+    got = E.queries()["latest_annotation_stream"](spark, SF)
+    want = W.latest_annotations(Fixtures(spark, SF).get("ev_annotations"))
+    assert "tags" in got.columns and set(got.columns) == set(want.columns)
+    rows = want.collect()
+    assert rows and sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, rows))
