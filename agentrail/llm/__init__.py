@@ -6,11 +6,13 @@ from __future__ import annotations
 
 from pyspark import cloudpickle
 
-from . import chat_format, common, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, quality_rules, token_files, tokens, toxicity
+from . import (alignment, chat_format, common, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, quality_rules,
+               spelling, token_counts, token_files, tokens, toxicity)
 
 # Functions that run in Python workers are shipped by value: executors need
 # no installed copy of this package.
-for _module in (chat_format, common, fingerprints, jaccard_join, language_id, packing, token_files, tokens, toxicity):
+for _module in (alignment, chat_format, common, fingerprints, jaccard_join, language_id, packing, spelling, token_counts, token_files, tokens,
+                toxicity):
     cloudpickle.register_pickle_by_value(_module)
 
 QUERIES = {
@@ -24,6 +26,9 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_language_id": language_id.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_token_counts": token_counts.op11_token_counts,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLES = {
@@ -31,4 +36,5 @@ ORACLES = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op6_chat_format": chat_format.OP6_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }

@@ -33,15 +33,49 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 SPACE = "\u0120"
 
 
+def byte_letters() -> str:
+    """How byte-level vocabularies spell the bytes 0 to 255: visible Latin-1
+    characters as themselves, the others by characters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(spare)) for b in range(256))
+
+
+def special_strings(tokenizer) -> dict[str, int]:
+    """Strings that the library takes for one id wherever a text has them."""
+    added = tokenizer.get_added_tokens_decoder()
+    odd = [t.content for t in added.values() if t.lstrip or t.rstrip or t.single_word or t.normalized]
+    if odd:
+        raise ValueError(f"added tokens that depend on their neighbours are not supported: {odd}")
+    return {t.content: i for i, t in added.items()}
+
+
+def special_pattern(strings) -> re.Pattern | None:
+    return re.compile("(" + "|".join(map(re.escape, sorted(strings, key=len, reverse=True))) + ")") if strings else None
+
+
+def cut_parts(text: str) -> list[str]:
+    """Parts between which the vocabulary's pattern always cuts.  Where every
+    space stands alone and the only other white space is line ends, it cuts
+    before every space."""
+    if "  " in text or "\n " in text or text.endswith(" ") or "\0" in text or any(c in text for c in _OTHER_WS):
+        return PARTS.findall(text)
+    parts = text.replace(" ", "\0 ").split("\0")
+    return parts if parts[0] else parts[1:]
+
+
 class Encoder:
     """Encodes texts by one tokenizer file; ids come as little-endian unsigned
-    32-bit numbers in bytes."""
+    32-bit numbers in bytes.  Special strings inside texts are their own ids,
+    as the library has it by default, or with ``special`` off plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on every core already
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = {s: array("I", [i]).tobytes() for s, i in special_strings(self.tokenizer).items()} if special else {}
+        self.apart = special_pattern(self.special)
+        self.tokenizer.encode_special_tokens = True     # for the parts between them
         self.known: dict[str, bytes] = {}
         self.merge = self.tokenizer.model.tokenize
         # bytes that each id stands for: a byte-level vocabulary spells each
@@ -92,28 +126,24 @@ class Encoder:
         for p, pieces in cut:
             known[p] = b"".join([known[x] for x in pieces])
 
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        """Where every space stands alone and the only other white space is
-        line ends, the pattern cuts before every space."""
-        if "  " in text or "\n " in text or text.endswith(" ") or "\0" in text or any(c in text for c in _OTHER_WS):
-            return PARTS.findall(text)
-        parts = text.replace(" ", "\0 ").split("\0")
-        return parts if parts[0] else parts[1:]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text.  Nothing here refers to itself, so Python's
         search for cycles among millions of small objects is left out."""
         on = gc.isenabled()
         gc.disable()
         try:
-            return self._encode(texts)
+            marked = {i: self.apart.split(t) for i, t in enumerate(texts) if any(s in t for s in self.special)}
+            out = self._encode([t if i not in marked else "" for i, t in enumerate(texts)] if marked else texts)
+            for i, some in marked.items():
+                plain = iter(self._encode(some[::2]))
+                out[i] = b"".join(self.special[x] if k % 2 else next(plain) for k, x in enumerate(some))
+            return out
         finally:
             if on:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
+        cut = [cut_parts(t) for t in texts]
         known, before = self.known, len(self.known)
         new = set(itertools.chain.from_iterable(cut)).difference(known)
         if new:
@@ -126,12 +156,12 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = True) -> Encoder:
     """The worker's encoder for ``path``."""
     store = sys.__dict__.setdefault("_llm_encoders", {})  # outlives one task's copy of this module
-    if path not in store:
-        store[path] = Encoder(path)
-    return store[path]
+    if (path, special) not in store:
+        store[path, special] = Encoder(path, special)
+    return store[path, special]
 
 
 def text_groups(texts: list[str], most: int = 4 << 20):
