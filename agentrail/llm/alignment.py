@@ -21,6 +21,7 @@ too; other columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import sys
 
@@ -34,8 +35,10 @@ from .tokens import byte_letters, encoder, vocabulary
 
 #: Groups with more pairs than this are taken by their distinct ids.
 MANY_PAIRS = 256
-#: Segments remembered in a worker.
-MOST_SEGMENTS = 1_000_000
+#: Segments that each encoder of a worker remembers, and bytes of text in a run
+#: of documents; both bound a worker's memory (to about 600 MB).
+MOST_SEGMENTS = 350_000
+RUN_BYTES = 2 << 20
 _ENDS = ",|;"
 _ALONE = re.compile(r"(?<! ) ")
 
@@ -67,7 +70,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut, known = [self._cut(t) for t in texts], self.known
-        new = list({s for some in cut for s in some if s not in known})
+        new = list(set(itertools.chain.from_iterable(cut)).difference(known))
         for lo in range(0, len(new), 10_000):
             some = new[lo:lo + 10_000]
             known.update(zip(some, (np.array(ids, "<i4").tobytes() for ids in self.model.encode(some, num_threads=1))))
@@ -83,7 +86,7 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         import pyarrow as pa
-        self.a, self.b = encoder(path_a, special=False), PieceEncoder(path_b)
+        self.a, self.b = encoder(path_a, special=False, most=MOST_SEGMENTS), PieceEncoder(path_b)
         back = {c: b for b, c in enumerate(byte_letters())}
         model = self.a.tokenizer
         names = [model.id_to_token(i) or "" for i in range(model.get_vocab_size())]
@@ -216,7 +219,7 @@ def _runs(path_a: str, path_b: str, whole_groups: bool, schema):
             store[path_a, path_b] = Aligner(path_a, path_b)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for lo, hi, data, offs in text_slices(batch):
+            for lo, hi, data, offs in text_slices(batch, most=RUN_BYTES):
                 texts = [t or "" for t in batch.column("text").slice(lo, hi - lo).to_pylist()]
                 n_a, n_b, groups, links, said, table = align_run(store[path_a, path_b], texts, data, offs, whole_groups)
                 partial = table.group_by("pair", use_threads=False).aggregate([("pair", "count")]).sort_by("pair")

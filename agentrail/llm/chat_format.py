@@ -25,8 +25,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
+from .common import keyed
 from .tokens import vocabulary
 
 # Fixed values of the template.
@@ -103,14 +105,13 @@ def chat_tokenizer(path: str):
     return store[path]
 
 
-def _format(vocab: str):
-    def format_(frames):
+def _format(vocab: str, schema):
+    def format_(batches):
         import numpy as np
-        import pandas as pd
         t = chat_tokenizer(vocab)
-        for df in frames:
+        for batch in batches:
             rows = []
-            for turns in df["turns"]:
+            for turns in batch.column("turns").to_pylist():
                 text, spans = render([(x["role"] or "", x["text"] or "") for x in turns])
                 e = t.encode(text, add_special_tokens=False)
                 offs = np.array(e.offsets, np.int64).reshape(-1, 2)
@@ -121,9 +122,7 @@ def _format(vocab: str):
                 empty = np.array([a == b for a, b in spans], bool)
                 end = np.where(empty, first, end)
                 rows.append((text, list(e.ids), first.tolist(), end.tolist()))
-            out = pd.DataFrame(rows, columns=["formatted", "input_ids", "loss_starts", "loss_ends"])
-            out.insert(0, "conv_id", df["conv_id"].to_numpy())
-            yield out
+            yield keyed(batch.column("conv_id"), rows, schema)
     return format_
 
 
@@ -135,27 +134,23 @@ def format_conversations(turns: DataFrame, vocab: str, conv: str = "conv_id", tu
         F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).alias("t"))
     whole = one.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     kind = turns.schema[conv].dataType.simpleString()
-    schema = f"conv_id {kind}, formatted string, input_ids array<int>, loss_starts array<int>, loss_ends array<int>"
-    return whole.mapInPandas(_format(vocab), schema)
+    schema = T.StructType.fromDDL(f"conv_id {kind}, formatted string, input_ids array<int>, loss_starts array<int>, loss_ends array<int>")
+    return whole.mapInArrow(_format(vocab, schema), schema)
 
 
-def _read_back(vocab: str):
-    def read(frames):
+def _read_back(vocab: str, schema):
+    def read(batches):
         import hashlib
-
-        import pandas as pd
         t = chat_tokenizer(vocab)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for df in frames:
+        for batch in batches:
             rows = []
-            for text, ids, starts, ends in zip(df["formatted"], df["input_ids"], df["loss_starts"], df["loss_ends"]):
+            for text, ids, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("formatted", "input_ids", "loss_starts", "loss_ends"))):
                 turns = parse(text)
-                loss = "".join(unescape(t.decode([int(x) for x in ids[a:b]], skip_special_tokens=False))
+                loss = "".join(unescape(t.decode(ids[a:b], skip_special_tokens=False))
                                for a, b in zip(starts, ends))
                 rows.append((len(turns), sha("".join(f"{r}\n{x}\n" for r, x in turns)), len(loss), sha(loss), len(text)))
-            out = pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            out.insert(0, "conv_id", df["conv_id"].to_numpy())
-            yield out
+            yield keyed(batch.column("conv_id"), rows, schema)
     return read
 
 
@@ -164,9 +159,9 @@ def read_back(formatted: DataFrame, vocab: str) -> DataFrame:
     and digest of its turns, length and digest of what the loss mask covers
     (decoded from the masked ids), length of the formatted text."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.mapInPandas(
-        _read_back(vocab), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, "
-        "loss_sha256 string, formatted_chars long")
+    schema = T.StructType.fromDDL(f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, "
+                                  "loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(_read_back(vocab, schema), schema)
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,16 +41,33 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` has not."""
-    have = {c.lower() for c in df.columns}
-    while name.lower() in have:
-        name = "_" + name
-    return name
+def aside(docs: DataFrame, **named: str) -> DataFrame:
+    """The columns of ``docs`` under names of the operator's own, all of them
+    once more in a struct ``row``: no name of a user's column can clash."""
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    return docs.select(*[F.col(f"`{c}`").alias(name) for name, c in named.items()], row.alias("row"))
 
 
-def text_slices(batch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut an Arrow batch into runs of rows of about ``SLICE_BYTES`` of text.
+def back(docs: DataFrame, less: tuple[str, ...] = (), **new: str) -> list[Column]:
+    """The columns of ``docs`` out of ``row``, without those called as in
+    ``less``; ``new`` gives column by column what replaces it."""
+    less = tuple(c.lower() for c in less)
+    return [F.col(new[c]).alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in less]
+
+
+def keyed(keys, rows: list[tuple], schema, which: list[int] | None = None):
+    """An Arrow batch of the key column as it came (for the rows ``which``) and
+    of rows of Python values for the other columns."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    out = to_arrow_schema(schema)
+    keys = keys if which is None else keys.take(pa.array(which, pa.int64()))
+    cols = list(zip(*rows)) if rows else [()] * (len(out) - 1)
+    return pa.RecordBatch.from_arrays([keys.cast(out.field(0).type)] + [pa.array(c, f.type) for c, f in zip(cols, list(out)[1:])], schema=out)
+
+
+def text_slices(batch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut an Arrow batch into runs of rows of about ``most`` bytes of text.
 
     Yields (first row, end row, bytes, offsets): the UTF-8 bytes of the rows'
     texts one after the other, and each row's start in them plus the end.
@@ -68,7 +85,7 @@ def text_slices(batch, column: str = "text") -> Iterator[tuple[int, int, np.ndar
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + SLICE_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
         hi = min(hi, n)
         yield lo, hi, data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
         lo = hi

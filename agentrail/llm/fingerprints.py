@@ -18,15 +18,20 @@ from __future__ import annotations
 from collections import Counter
 from hashlib import blake2b, sha256
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import keyed, saved
 
 #: One word in so many ends a phrase; one paragraph in so many a section.
 PHRASE, SECTION = 6, 4
+#: A longer run of bytes without a space (script without spaces, tables, encoded
+#: data) also ends a phrase inside, after one byte in about ``INSIDE``, where a
+#: hash of the last four says so.
+LONG_WORD, INSIDE = 64, 32
 CODE_BYTES = 3  # of a leaf, in a fingerprint
 
 
@@ -34,10 +39,25 @@ def _digest(data: bytes, size: int = 16) -> bytes:
     return blake2b(data, digest_size=size).digest()
 
 
+def _inside(word: bytes) -> list[bytes]:
+    """A long run of bytes cut by what it holds."""
+    x = np.frombuffer(word, np.uint8).astype(np.uint32)
+    h = x[3:] + x[2:-1] * np.uint32(0x9E37) + x[1:-2] * np.uint32(0x85EBCA6B) + x[:-3] * np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    at = (np.flatnonzero((h >> np.uint32(12)) % np.uint32(INSIDE) == 0) + 4).tolist()
+    return [p for p in (word[a:b] for a, b in zip([0, *at], [*at, len(word)])) if p]
+
+
 def leaves(line: bytes, ends: dict[bytes, bool]) -> list[bytes]:
     """The phrases of a paragraph; ``ends`` remembers which words end one."""
     out, held = [], []
     for word in line.split(b" "):
+        if len(word) > LONG_WORD:
+            *firsts, word = _inside(word)
+            for part in firsts:
+                out.append(b" ".join([*held, part]))
+                held = []
         held.append(word)
         end = ends.get(word)
         if end is None:
@@ -129,25 +149,26 @@ _OUT = [("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerpr
         ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType())]
 
 
-def _describe(kind):
+def _describe(schema):
     def describe(batches):
         """Rows of a part come in order, its guest first; each other row is
         described against the one before it."""
         ends: dict[bytes, bool] = {}
         held = None
-        for df in batches:
-            rows = []
-            for part, guest, key, text in zip(df["part"], df["guest"], df["key"], df["text"]):
+        for batch in batches:
+            rows, own = [], []
+            for i, (part, guest, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "guest", "text")))):
                 known: dict = {}
                 fp = fingerprint(text, ends, known)
                 if not guest:
                     _, following, next_fp = held
                     e = edited(text, following)
                     efp = fingerprint(e, ends, known)
-                    rows.append((key, len(text), sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), fp, efp,
+                    own.append(i)
+                    rows.append((len(text), sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), fp, efp,
                                  likeness(fp, efp), likeness(fp, next_fp)))
                 held = part, text, fp
-            yield pd.DataFrame(rows, columns=["key", *[n for n, _ in _OUT]]).astype({"key": kind} if rows else {})
+            yield keyed(batch.column("key"), rows, schema, own)
     return describe
 
 
@@ -183,24 +204,23 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     dealt = rows.withColumn("to", _places(heads, tails)("key", "h")).select("key", "h", "text", F.explode("to").alias("part"))
     dealt = dealt.select("key", "h", "text", F.abs("part").alias("part"), (F.col("part") < 0).alias("guest"))
     dealt = dealt.repartition("part").sortWithinPartitions("part", F.col("guest").desc(), "key", "h")
-    return dealt.mapInPandas(_describe(object), schema).withColumnRenamed("key", key)
+    return dealt.mapInArrow(_describe(schema), schema).withColumnRenamed("key", key)
 
 
 def _places(heads: list, tails: dict):
     """Parts (from 1) that a row goes to; negative as a guest."""
     import bisect
 
-    @F.pandas_udf("array<int>")
-    def places(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def places(keys: pa.Array, hashes: pa.Array) -> pa.Array:
         out = []
-        for k, h in zip(keys.tolist(), hashes.tolist()):
-            k = None if k is None or k != k else k
+        for k, h in zip(keys.to_pylist(), hashes.to_pylist()):
             me = _sort_key(k, h)
             to = [bisect.bisect_right(heads, me)]
             if me in tails:
                 to.append(-(tails[me] + 1))
             out.append(to)
-        return pd.Series(out)
+        return pa.array(out, pa.list_(pa.int32()))
 
     return places
 

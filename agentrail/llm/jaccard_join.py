@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, saved, span_hashes, text_slices, word_spans
+from .common import aside, back, mix64, saved, span_hashes, text_slices, word_spans
 
 SHINGLE = 3
 PERCENT = 90
@@ -49,9 +49,11 @@ COLD_LEAST = 0.4
 #: Bits of a filter of hashes that goes to all tasks: 2^18 numbers at most,
 #: however many hashes there are.  It only spares rows a shuffle.
 FILTER_BITS = 24
-#: Parts beyond D.  Linked sets agree on more than so many parts, so only sets
-#: with more empty ones may agree on empty parts alone; see ``signatures``.
-SPARE_PARTS = 2
+#: Parts beyond D: so many, and so many percent of D.  Linked sets agree on that
+#: many parts at least, so only sets with as many empty ones may agree on empty
+#: parts alone; see ``signatures``.  Parts hold some 4 shingles, so a set has
+#: few empty ones unless most of its shingles are frequent.
+SPARE_PARTS, SPARE_PERCENT = 3, 8
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -99,7 +101,14 @@ def parts_of(bounds: list[tuple[int, int]], c: int, percent: int) -> int:
     """Parts for pairs whose larger set is of class c; 0 if only equal sets
     can link."""
     differ = (100 - percent) * 2 * (bounds[c + 1][0] - 1) // (100 + percent)
-    return differ + 1 + SPARE_PARTS if differ else 0
+    return differ + SPARE_PARTS + differ * SPARE_PERCENT // 100 if differ else 0
+
+
+def least_agreeing(bounds: list[tuple[int, int]], c: int, percent: int, n: int) -> int:
+    """Parts on which a set of size ``n`` and any set that it links with, the
+    larger of them of class c, agree at least."""
+    other = min(100 * n // percent, bounds[c + 1][0] - 1)
+    return parts_of(bounds, c, percent) - (100 - percent) * (n + other) // (100 + percent)
 
 
 def signatures(u: np.ndarray, percent: int, bounds: list[tuple[int, int]], hot: np.ndarray) -> np.ndarray:
@@ -108,9 +117,10 @@ def signatures(u: np.ndarray, percent: int, bounds: list[tuple[int, int]], hot:
     one has less than the least share of cold shingles, the other has less than
     ``least / t + (1 - t) / t``.
 
-    Two linked sets that agree on empty parts only have both more than
-    ``SPARE_PARTS`` of them: such sets make parts of all their shingles as well,
-    and where those leave as many empty, each empty part counts as one too."""
+    Two linked sets that agree on empty parts only both have as many of them as
+    linked sets agree on at least: such sets make parts of all their shingles as
+    well, and where those leave as many empty, each empty part counts as one
+    too."""
     if not len(hot) or not len(u):
         return part_hashes(u, len(u), percent, bounds, True)[0]
     cold = u[hot[np.minimum(np.searchsorted(hot, u), len(hot) - 1)] != u]
@@ -126,9 +136,10 @@ def signatures(u: np.ndarray, percent: int, bounds: list[tuple[int, int]], hot:
 def part_hashes(u: np.ndarray, n: int, percent: int, bounds: list[tuple[int, int]],
                 empty: bool = False) -> tuple[np.ndarray, bool]:
     """A hash of each non-empty part of shingles of a set of size ``n``, in its
-    size class and, at the upper end of that, in the next; and whether more
-    than ``SPARE_PARTS`` parts of a class are empty (with ``empty``, these have
-    hashes too).  Hashes are uniform, so parts are ranges of them."""
+    size class and, at the upper end of that, in the next; and whether in a
+    class as many parts are empty as linked sets agree on at least (with
+    ``empty``, these have hashes too).  Hashes are uniform, so parts are ranges
+    of them."""
     c = bisect.bisect_right(bounds, (n, 1 << 62)) - 1
     out, bare = [], False
     with np.errstate(over="ignore"):
@@ -140,7 +151,7 @@ def part_hashes(u: np.ndarray, n: int, percent: int, bounds: list[tuple[int, int
                 cuts = np.searchsorted(u, np.arange(1, m, dtype=np.uint64) * step)
                 lo, hi = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(u)]])
                 full = np.flatnonzero(hi > lo)
-                if m - len(full) > SPARE_PARTS:
+                if m - len(full) >= least_agreeing(bounds, k, percent, n):
                     bare = True
                     full = np.arange(m) if empty else full
                 out.append(mix64((sums[hi] - sums[lo])[full] + full.astype(np.uint64) * _K[2] + np.uint64(k) * _K[3]))
@@ -349,10 +360,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw)
     repeat key and text count as one, documents without shingles all stay."""
     found = similar_components(docs, key, text, **kw)
     stay = found.where((F.col(f"rep.key").eqNullSafe(F.col(key)) & (F.col("rep.txt") == F.col("txt"))) | (F.col("n_shingles") == 0))
-    stay = stay.select(F.col(key).alias("_k"), F.col("txt").alias("_t"), (F.col("n_shingles") == 0).alias("_all")).distinct()
-    rows = docs.withColumn("_txt", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.join(stay, rows[key].eqNullSafe(stay["_k"]) & (rows["_txt"] == stay["_t"]))
-    return rows.where("_all").unionByName(rows.where("not _all").dropDuplicates([key, "_txt"])).select(*docs.columns)
+    stay = stay.select(F.col(key).alias("key"), "txt", (F.col("n_shingles") == 0).alias("whole")).distinct()
+    rows = aside(docs, key=key).withColumn("txt", F.xxhash64(F.coalesce(F.col("row").getField(text), F.lit(""))))
+    rows = rows.alias("d").join(stay.alias("s"), F.col("d.key").eqNullSafe(F.col("s.key")) & (F.col("d.txt") == F.col("s.txt"))).select(
+        "d.key", "d.txt", "d.row", "s.whole")
+    rows = rows.where("whole").unionByName(rows.where("not whole").dropDuplicates(["key", "txt"]))
+    return rows.select(*back(docs))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

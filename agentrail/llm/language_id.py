@@ -12,6 +12,7 @@ greatest possible one.
 from __future__ import annotations
 
 import sys
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -163,11 +164,16 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text")
     """``docs`` with lang_pred and score (replaced if there).  A null text or
     one without a letter is ``und`` with score 0."""
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    ranker = docs.sparkSession.sparkContext.broadcast(Ranker(profiles))  # PROFILE numbers a language
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # PROFILE numbers a language; plain, as broadcasts
+    mark = uuid.uuid4().hex                                      # are unpickled without this package
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = ranker.value.predict([t or "" for t in texts])
+        kept = sys.__dict__.setdefault("_llm_rankers", {})       # one at a time outlives a task's copy of this module
+        if mark not in kept:
+            kept.clear()
+            kept[mark] = Ranker(shared.value)
+        langs, scores = kept[mark].predict([t or "" for t in texts])
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     out = docs.select(*keep, judge(F.col(text)).alias("_p"))

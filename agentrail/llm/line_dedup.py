@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, aside, back, saved
 
 MIN_WORDS = 50
 
@@ -147,19 +147,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """``docs`` with ``text`` less the lines of later copies, and ``_n_lines``
     and ``_n_deleted`` (replaced if there).  All rows and columns stay; null
     texts stay null with no lines."""
-    gone = repeated_lines(docs, key, text, min_words).select(
-        F.col("doc").alias("_gdoc"), F.col("txt").alias("_gtxt"), F.col("lines").alias("_gone"))
-    t = F.col(text)
-    out = docs.drop("_n_lines", "_n_deleted").withColumn("_txt", F.xxhash64(t))
-    out = out.join(gone, F.col(key).eqNullSafe(F.col("_gdoc")) & (F.col("_txt") == F.col("_gtxt")), "left")
-    lines = F.split(t, "\n")
-    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("_ls").cast("long") - 1), F.col("_gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_ls"), i.cast("int"))), "\n")
-    out = out.withColumn("_ls", lines).withColumns({
-        "_n_lines": F.coalesce(F.size("_ls"), F.lit(0)).cast("long"),
-        "_n_deleted": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-        text: F.when(F.col("_gone").isNull(), t).otherwise(kept)})
-    return out.select(*[c for c in docs.columns if c not in ("_n_lines", "_n_deleted")], "_n_lines", "_n_deleted")
+    gone = repeated_lines(docs, key, text, min_words)
+    out = aside(docs, key=key, text=text).withColumn("txt", F.xxhash64("text")).alias("d")
+    out = out.join(gone.alias("g"), F.col("d.key").eqNullSafe(F.col("g.doc")) & (F.col("d.txt") == F.col("g.txt")), "left").select(
+        "d.row", "d.text", F.col("g.lines").alias("gone"), F.split("d.text", "\n").alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("lines").cast("long") - 1), F.col("gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i.cast("int"))), "\n")
+    out = out.withColumns({"n_lines": F.coalesce(F.size("lines"), F.lit(0)).cast("long"),
+                           "n_deleted": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
+                           "left": F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)})
+    return out.select(*back(docs, ("_n_lines", "_n_deleted"), **{text: "left"}),
+                      F.col("n_lines").alias("_n_lines"), F.col("n_deleted").alias("_n_deleted"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, word_count
+from .common import WORD, aside, back, saved, word_count
 
 BLOCK_WORDS = 16
 SHARD_WORDS = 1 << 20
@@ -134,18 +134,18 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source"
     often as the mix takes them, and the words of a partial take as a text.
     Takes are joined to the rows on key and hash of the text; rows that repeat
     both share their takes out among themselves by number."""
-    id_ = [F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(source), F.lit(""))).alias("_txt")]
-    copies = Window.partitionBy("_key", "_txt")
-    rows = docs.select("*", *id_)
-    takes = mix(docs.select(key, source, text, *id_), key, source, text, extra=["_key", "_txt"]).select(
-        "_key", "_txt", "times", "lo", "hi", "wrap", "taken")
+    txt = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")))
+    copies = Window.partitionBy("key", "txt")
+    rows = aside(docs, key=key, source=source, text=text).withColumn("txt", txt)
+    takes = mix(rows.select("key", "source", "text", "txt"), "key", "source", "text", extra=["txt"])
+    takes = takes.select("key", "txt", "times", "lo", "hi", "wrap", "taken")
     # rows alike in key, source and text are interchangeable: number both sides
-    takes = takes.withColumn("_nth", F.row_number().over(copies.orderBy("taken", "lo", "wrap")))
-    rows = rows.withColumn("_nth", F.row_number().over(copies.orderBy(F.lit(0))))
-    out = rows.alias("d").join(takes.alias("t"), F.col("d._key").eqNullSafe(F.col("t._key"))
-                               & (F.col("d._txt") == F.col("t._txt")) & (F.col("d._nth") == F.col("t._nth")))
-    pieces = F.regexp_extract_all(F.col(f"d.{text}"), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), 1)
-    whole = F.col(f"d.{text}")
+    takes = takes.withColumn("nth", F.row_number().over(copies.orderBy("taken", "lo", "wrap")))
+    rows = rows.withColumn("nth", F.row_number().over(copies.orderBy(F.lit(0))))
+    out = rows.alias("d").join(takes.alias("t"), F.col("d.key").eqNullSafe(F.col("t.key"))
+                               & (F.col("d.txt") == F.col("t.txt")) & (F.col("d.nth") == F.col("t.nth")))
+    pieces = F.regexp_extract_all(F.col("d.text"), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), 1)
+    whole = F.col("d.text")
     none = F.expr("cast(array() as array<string>)")
 
     def words(lo: Column, n: Column) -> Column:
@@ -153,7 +153,7 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source"
 
     texts = F.concat(F.when(F.col("times") > 0, F.array_repeat(whole, F.col("times").cast("int"))).otherwise(none),
                      words(F.col("lo"), F.col("hi") - F.col("lo")), words(F.lit(0), F.col("wrap")))
-    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns if c != text], F.explode(texts).alias(text)).select(*docs.columns)
+    return out.select("d.row", F.explode(texts).alias("text")).select(*back(docs, **{text: "text"}))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

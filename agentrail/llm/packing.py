@@ -26,7 +26,8 @@ from .tokens import encoder, text_groups, vocabulary
 
 SEQUENCE = 2048
 SEPARATOR = 0
-BUCKETS = 64
+#: Pieces of one length are ranked in buckets of about so many.
+BUCKET_PIECES = 200_000
 
 
 def cut_points(n: int, most: int) -> list[int]:
@@ -119,8 +120,10 @@ def pack(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "text",
     schema = T.StructType([rows.schema["key"], T.StructField("piece", T.IntegerType()),
                            *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]])
     pieces = rows.mapInArrow(_pieces(vocab, most, separator, schema), schema)
-    bucket = F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")
-    pieces = saved(pieces.withColumn("bucket", bucket), "pack-pieces")
+    pieces = saved(pieces.withColumn("h", F.xxhash64("key", "piece", "ids_crc32")), "pack-pieces")
+    lengths = pieces.groupBy("length").count().select("length", F.ceil(F.col("count") / BUCKET_PIECES).alias("buckets"))
+    lengths = spark.createDataFrame([tuple(r) for r in lengths.collect()], "length long, buckets long")  # ``most`` rows
+    pieces = pieces.join(F.broadcast(lengths), "length").withColumn("bucket", F.pmod("h", "buckets").cast("int"))
     counted = pieces.groupBy("length", "bucket").count().collect()
     counts: dict[int, int] = {}
     bases = []

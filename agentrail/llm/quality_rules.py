@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import word_array
+from .common import aside, back, word_array
 
 # Frequent function words of the four languages of the corpus.
 STOP_WORDS = [
@@ -25,8 +25,7 @@ STOP_WORDS = [
     "como", "con", "del", "el", "los", "las", "más", "no", "para", "por", "se", "su", "una", "y",
 ]
 
-#: (measure, least, most); None: open.  ``base`` rules come with the table so
-#: that a caller can read why a document went.
+#: (measure, least, most); None: open.
 BASE_RULES = [
     ("n_words", 50, None),
     ("repeat_share", None, 0.5),
@@ -77,35 +76,32 @@ def _with_covered(df: DataFrame) -> DataFrame:
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts and ratios that the rules read."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_words", word_array(F.col(text)))
-    out = out.withColumn("n_words", F.size("_words").cast("long"))
+    out = aside(docs, text=text)
+    out = out.withColumn("_words", word_array(F.col("text")))
     out = out.withColumn("_wins", _windows(F.col("_words"), F.size("_words")))
-    out = _with_covered(out).withColumn("_lines", _lines(F.col(text)))
+    out = _with_covered(out).withColumn("_lines", _lines(F.col("text")))
     out = out.select(
-        *[c for c in docs.columns if c not in ("n_words",)], "n_words",
-        F.char_length(F.array_join("_words", "")).cast("long").alias("_word_chars"),
-        F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("_n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines"),
-        F.size("_lines").cast("long").alias("_n_lines"),
+        "row", F.size("_words").cast("long").alias("n_words"),
+        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.size("_lines").cast("long").alias("n_lines"),
         # the second term is 0; as it is not deterministic to the optimizer, a
         # filter on the verdict stays above this projection, where it would
         # otherwise be rewritten into the nested expressions below
-        (F.col("_n_repeat_words") + F.floor(F.rand(0))).cast("long").alias("_n_repeat_words"),
-        F.size(F.filter("_words", lambda w: w.isin(STOP_WORDS))).cast("long").alias("_n_stop"),
+        (F.col("_n_repeat_words") + F.floor(F.rand(0))).cast("long").alias("n_repeat_words"),
+        F.size(F.filter("_words", lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop"),
     )
-    names = {"_word_chars": "word_chars", "_n_symbols": "n_symbols", "_n_dup_lines": "n_dup_lines",
-             "_n_lines": "n_lines", "_n_repeat_words": "n_repeat_words", "_n_stop": "n_stop"}
-    out = out.drop(*[v for v in names.values() if v in docs.columns])
-    out = out.withColumnsRenamed(names)
     w = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return out.withColumns({
+    out = out.withColumns({
         "mean_word_chars": F.col("word_chars") / w,
         "symbol_ratio": F.col("n_symbols") / w,
         "stop_ratio": F.col("n_stop") / w,
         "repeat_share": F.col("n_repeat_words") / w,
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
     })
+    found = [c for c in out.columns if c != "row"]
+    return out.select(*back(docs, (*found, "base_failed", "kept")), *found)
 
 
 def compile_rules(rules: list[tuple]) -> Column:
@@ -122,8 +118,7 @@ def compile_rules(rules: list[tuple]) -> Column:
 def judge(docs: DataFrame, text: str = "text", rules: list[tuple] | None = None) -> DataFrame:
     """``docs`` with its measures, ``base_failed`` and ``kept``."""
     m = measures(docs, text)
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return m.withColumn("base_failed", base).withColumn(
+    return m.withColumn("base_failed", ~compile_rules(BASE_RULES)).withColumn(
         "kept", ~F.col("base_failed") & compile_rules(RULES if rules is None else rules))
 
 

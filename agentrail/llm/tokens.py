@@ -69,7 +69,7 @@ class Encoder:
     32-bit numbers in bytes.  Special strings inside texts are their own ids,
     as the library has it by default, or with ``special`` off plain text."""
 
-    def __init__(self, path: str, special: bool = True):
+    def __init__(self, path: str, special: bool = True, most: int = MOST_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on every core already
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -77,6 +77,7 @@ class Encoder:
         self.apart = special_pattern(self.special)
         self.tokenizer.encode_special_tokens = True     # for the parts between them
         self.known: dict[str, bytes] = {}
+        self.most = most
         self.merge = self.tokenizer.model.tokenize
         # bytes that each id stands for: a byte-level vocabulary spells each
         # byte as one character
@@ -150,17 +151,17 @@ class Encoder:
             self._learn(new)
         get = known.__getitem__
         out = [b"".join(map(get, parts)) for parts in cut]
-        if len(known) > MOST_PARTS:
-            for part in list(itertools.islice(reversed(known), len(known) - max(before, MOST_PARTS))):
+        if len(known) > self.most:
+            for part in list(itertools.islice(reversed(known), len(known) - max(before, self.most))):
                 del known[part]
         return out
 
 
-def encoder(path: str, special: bool = True) -> Encoder:
-    """The worker's encoder for ``path``."""
+def encoder(path: str, special: bool = True, most: int = MOST_PARTS) -> Encoder:
+    """The worker's encoder for ``path``, which remembers ``most`` parts."""
     store = sys.__dict__.setdefault("_llm_encoders", {})  # outlives one task's copy of this module
     if (path, special) not in store:
-        store[path, special] = Encoder(path, special)
+        store[path, special] = Encoder(path, special, most)
     return store[path, special]
 
 

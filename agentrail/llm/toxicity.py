@@ -1,38 +1,41 @@
 """Toxicity by bags of subword embeddings.
 
-Every word, with its borders, is a bag of character n-grams (3 to 5 bytes,
+Every word, with its borders, is a bag of character n-grams (3 to 6 bytes,
 lower case) hashed to ``BUCKETS`` embeddings.  A bag of ``WINDOW`` neighbouring
 words is the average of its n-grams' embeddings and goes through a linear
 softmax over two classes; a document scores as its most toxic window, so a few
 words are not lost in a long text.  Embeddings and softmax are trained jointly
-in numpy, on the window that scores highest in each training document.  A
-misspelling never seen shares n-gram vectors with the word it stands for.
+in numpy, on the window that scores highest in each training document; they
+start from how much oftener an n-gram's documents are toxic than chance allows,
+so that the first windows chosen are the telling ones.  A misspelling never seen shares n-gram vectors with the word it stands for.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, text_slices
 from .language_id import held_out
 
 BUCKETS_BITS = 17
-SIZES = (3, 4, 5)
-WINDOW = 4
+SIZES = (3, 4, 5, 6)
+WINDOW = 2
 DIM = 8
 #: An n-gram of fewer training documents keeps a zero embedding: it could only
 #: be learned by heart.
 LEAST_DOCS = 3
-#: Labelled documents of each class that a model is trained on, at most; the
-#: ones with the lowest hash of their key.
-LEARN_DOCS = 1500
-#: The softmax's constant terms, not trained: a window of unknown n-grams only
-#: counts as clean.
-BIAS = (1.0, -1.0)
-EPOCHS = 80
+#: Labelled documents of each class that a model is trained on (expected
+#: number, thinned by a hash of the key), and bytes of their texts; a text over
+#: a twentieth of these is not learned from.
+LEARN_DOCS, LEARN_BYTES = 1500, 24 << 20
+#: Where training starts: constant terms by which unknown n-grams count as
+#: clean, one dimension of the softmax, and the standard errors that log odds
+#: have to be from zero.
+BIAS, START, SURE = (1.0, -1.0), (-1.0, 1.0), 1.64
+EPOCHS, RATE, DECAY = 40, 0.02, 1e-5
 THRESHOLD = 0.7
 SEED = 7
 
@@ -114,6 +117,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(top + self.bias, -40, 40)))
 
 
+def _spread(buckets, begins, numbers, words):
+    """The n-grams of each of ``words`` in turn."""
+    n = numbers[words]
+    return buckets[np.repeat(begins[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     """Joint training by Adam on cross-entropy, classes weighed alike."""
     rng = np.random.default_rng(SEED)
@@ -131,11 +140,18 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     buckets, of = buckets[order], of[order]
     numbers = np.bincount(of, minlength=len(spelt))
     begins = np.concatenate([[0], np.cumsum(numbers)])
-    # documents of each bucket, from the documents of each word
+    # documents of each bucket, from the words of each document
     pair = np.unique(row * np.int64(len(spelt)) + word)
-    docs_of = np.repeat(np.bincount(pair % len(spelt), minlength=len(spelt)), numbers)
-    known = np.bincount(buckets, docs_of, size) >= LEAST_DOCS
-    emb, soft, bias = rng.normal(0, 0.1, (size, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.array(BIAS)
+    said = pair % len(spelt)
+    held = np.unique(np.repeat(pair // len(spelt), numbers[said]) * np.int64(size) + _spread(buckets, begins, numbers, said))
+    of_doc, gram = held // size, held % size
+    n1, n0 = y.sum(), (1 - y).sum()
+    d1, d0 = np.bincount(gram, y[of_doc], size), np.bincount(gram, 1 - y[of_doc], size)
+    known = d1 + d0 >= LEAST_DOCS
+    odds = np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (n0 + 1))
+    odds = np.sign(odds) * np.maximum(np.abs(odds) - SURE * np.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5)), 0)
+    emb, soft, bias = rng.normal(0, 0.01, (size, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.array(BIAS)
+    emb[:, 0], soft[0] = odds, START
     emb[~known] = 0
     params = [emb, soft, bias]
     moment, speed = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -151,8 +167,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
         doc = np.repeat(np.arange(len(rows)), [len(s) for s in span])
         n_each = numbers[chosen]
         total = np.bincount(doc, n_each, len(rows))
-        flat = np.repeat(begins[chosen] - (np.cumsum(n_each) - n_each), n_each) + np.arange(n_each.sum())
-        gram, gram_doc = buckets[flat], np.repeat(doc, n_each)
+        gram, gram_doc = _spread(buckets, begins, numbers, chosen), np.repeat(doc, n_each)
         mean = np.zeros((len(rows), DIM))
         for d in range(DIM):
             mean[:, d] = np.bincount(gram_doc, emb[gram, d], len(rows)) / np.maximum(total, 1)
@@ -163,36 +178,43 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
         p *= weight[rows][:, None]
         back = (p @ soft.T) / np.maximum(total, 1)[:, None]
         g_emb = np.stack([np.bincount(gram, back[gram_doc, d], size) for d in range(DIM)], 1)
-        grads = [np.where(known[:, None], g_emb + 1e-6 * emb, 0), mean.T @ p + 1e-5 * soft, np.zeros(2)]
+        grads = [np.where(known[:, None], g_emb + DECAY * emb, 0), mean.T @ p + 1e-5 * soft, p.sum(0)]
         for i, g in enumerate(grads):
             moment[i] = 0.9 * moment[i] + 0.1 * g
             speed[i] = 0.99 * speed[i] + 0.01 * g * g
-            params[i] -= 0.05 * (moment[i] / (1 - 0.9 ** step)) / (np.sqrt(speed[i] / (1 - 0.99 ** step)) + 1e-8)
+            params[i] -= RATE * (moment[i] / (1 - 0.9 ** step)) / (np.sqrt(speed[i] / (1 - 0.99 ** step)) + 1e-8)
     return Model(emb @ (soft[:, 1] - soft[:, 0]), bias[1] - bias[0])
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = LEARN_DOCS) -> list[tuple[str, int]]:
-    """Texts and labels of at most ``most`` documents of each class, from
-    (key, text) and (key, label).  A key labelled twice counts as its higher
-    label, a key that repeats by its first text."""
-    labels = labels.where("key is not null and label is not null").groupBy("key").agg(F.max("label").cast("int").alias("label"))
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("key"), "key"))
-    some = labels.join(docs.select("key"), "key", "left_semi").withColumn("nth", nth).where(F.col("nth") <= most).select("key", "label")
-    rows = docs.join(F.broadcast(some), "key").groupBy("key", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    return [(r["text"], int(r["label"] > 0)) for r in rows.orderBy("key").collect()]
+def sample(docs: DataFrame, labels: DataFrame, most: int = LEARN_DOCS, most_bytes: int = LEARN_BYTES) -> list[tuple[str, int]]:
+    """Texts and labels of about ``most`` documents of each class, in all of
+    about ``most_bytes``, from (key, text) and (key, label).  A key labelled
+    twice counts as its higher label, a key that repeats by its first text."""
+    labels = labels.where("key is not null and label is not null").groupBy("key").agg((F.max("label") > 0).cast("int").alias("label"))
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    rows = docs.where(size <= most_bytes // 20).join(labels, "key")
+    found = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")).collect()
+    part = {r["label"]: min(1.0, most / r["n"], most_bytes / 2 / max(1, r["size"])) for r in found}
+    if not part:
+        return []
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in part.items() for x in kv]), F.col("label"))
+    some = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share * float(1 << 30))
+    some = some.groupBy("key", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return [(r["text"], r["label"]) for r in some.orderBy("key").collect()]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score and predicted (replaced if there); the whole of
     each text counts, a null one is empty."""
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one number a bucket
+    shared = docs.sparkSession.sparkContext.broadcast((model.logit, model.bias))  # one number a bucket
 
     @F.pandas_udf("double")
     def rate(texts: pd.Series) -> pd.Series:
         import pyarrow as pa
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
-        parts = [shared.value.score(data, offs) for _, _, data, offs in text_slices(batch)]
+        own = Model(*shared.value)
+        parts = [own.score(data, offs) for _, _, data, offs in text_slices(batch)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     out = docs.select(*keep, rate(F.col(text)).alias("score"))

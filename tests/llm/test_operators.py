@@ -323,9 +323,63 @@ def test_toxicity_model_knows_misspellings(spark, odd, none):
     clash = toxicity.score(odd, model)
     assert clash.columns.count("score") == 1 and clash.where("score is null").count() == 0
     assert toxicity.score(none, model).count() == 0 and toxicity.train([], []).bias < 0
-    keys = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (3, 0), (77, 1)], "key long, label long")
-    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, None)], "key long, text string")
-    assert sorted(toxicity.sample(docs, keys)) == [("", 0), ("a", 1)]
+    keys = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (3, 0), (77, 1)] + [(i, i % 2) for i in range(100, 500)], "key long, label long")
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, None)] + [(i, "t" * 40) for i in range(100, 500)], "key long, text string")
+    assert sorted(toxicity.sample(docs.where("key < 4"), keys)) == [("", 0), ("a", 1)]
+    assert len(toxicity.sample(docs, keys)) == 402 and 40 < len(toxicity.sample(docs, keys, most=50)) < 170
+    assert sum(len(t) for t, _ in toxicity.sample(docs, keys, most_bytes=4000)) < 6500
+    assert toxicity.sample(docs.limit(0), keys) == []
+
+
+def test_toxicity_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    got = toxicity.op10_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    n = Counter((r.toxic, r.predicted) for r in got.where("toxic is not null").collect())
+    assert n[(1, 1)] >= 0.85 * (n[(1, 0)] + n[(1, 1)]) and n[(0, 1)] <= 0.05 * (n[(0, 0)] + n[(0, 1)])
+
+
+def test_extra_columns_called_like_an_operator_s_own_come_back(spark, odd):
+    """Every name that an operator gives a column inside, as the user's."""
+    names = ["row", "key", "txt", "nth", "whole", "lines", "gone", "left", "h", "rep", "size", "taken", "_txt", "_nth", "_order", "_ls",
+             "_words", "_lines", "_wins", "_gone", "_k", "_t", "_all", "_key", "_some", "_same", "_starts", "part", "guest", "doc", "d", "t"]
+    names = [n for n in names if n not in odd.columns]
+    mine = odd.withColumns({n: F.concat(F.lit(n + "="), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))) for n in names})
+    for f in (line_dedup.dedup_lines, quality_rules.judge, jaccard_join.one_of_each, mixing.mixed_documents):
+        out = f(mine)
+        assert set(mine.columns) <= set(out.columns), f
+        for r in out.collect():
+            assert all(r[n] == f"{n}={'?' if r.doc_id is None else r.doc_id}" for n in names), f
+
+
+def test_keys_stay_exact_beside_a_null(spark):
+    big = 2 ** 53 + 1
+    rows = [(k, f"text number {i} of some words that differ here", "en") for i, k in enumerate([None, big, big + 2, big + 4, 3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    want = {k for k, _, _ in rows}
+    outs = [fingerprints.fingerprints(docs), packing.pack(docs, tokens.vocabulary()), jaccard_join.similar_components(docs), mixing.mix(docs),
+            quality_rules.judge(docs), line_dedup.dedup_lines(docs), language_id.predict(docs, {"en": [97, 98]}),
+            toxicity.score(docs, toxicity.Model(np.zeros(1 << toxicity.BUCKETS_BITS), 0.0))]
+    for out in outs:
+        assert {r.doc_id for r in out.collect()} == want
+    turns = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "text")
+    chats = chat_format.format_conversations(turns, tokens.vocabulary())
+    assert {r.conv_id for r in chats.collect()} == {r.conv_id for r in chat_format.read_back(chats, tokens.vocabulary()).collect()} == want
+
+
+def test_fingerprints_of_texts_without_spaces():
+    rng = random.Random(3)
+    a = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(3000))
+    b = a[:2000] + "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(1000))
+    assert 0.6 < fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) < 0.75
+    line = ("word " * 40).encode() + b"x" * 300 + b" tail" + b"	cell" * 90
+    assert b" ".join(fingerprints.leaves(line, {})).replace(b" ", b"") == line.replace(b" ", b"")
+
+
+def test_pieces_of_one_length_are_ranked_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 7)
+    docs = spark.createDataFrame([(i, "same text here") for i in range(100)], "doc_id long, text string")
+    got = packing.pack(docs, tokens.vocabulary(), most=16).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == 100 and len({r.sequence_id for r in got}) == 25
 
 
 @pytest.mark.parametrize("hot_apart", [True, False])
