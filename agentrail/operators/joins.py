@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -160,34 +160,88 @@ def index_drift(table: DataFrame, files: DataFrame, sample: int = 20,
                        ((sample_phantoms / F.greatest(sampled, F.lit(1))) > threshold).alias("rebuild"))
 
 
+#: Rows of a user's list that become one expression; a longer list is joined.
+MOST_LITERALS = 1_000
+
+
+def _literals(df: DataFrame | None, rows: list[tuple], order: list[str]) -> list[tuple] | None:
+    """The rows of a list in order of ``priority`` (first column of ``order``):
+    a fixed one as it is, a user's if it is short."""
+    if df is None:
+        return rows
+    found = df.select(*order).limit(MOST_LITERALS + 1).collect()
+    return [tuple(r)[1:] for r in sorted(found, key=lambda r: r[0])] if len(found) <= MOST_LITERALS else None
+
+
+def _first(*options: Column) -> Column:
+    return F.coalesce(*options, F.lit(None).cast("string"))
+
+
+def provider_of(host: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """The first provider of ``rules`` (label, pattern, strategy) that a host
+    name matches: the host or an end of it from a label on is the pattern
+    (``suffix``), or it holds the pattern (``contains``).
+
+    Ends of the host are looked up in a dictionary, so a call costs as many
+    look-ups as its host has labels, however long the list is."""
+    h = F.lower(host)
+    ends: dict[str, tuple[int, str]] = {}
+    inside = []
+    for i, (label, pattern, strategy) in enumerate(rules):
+        if strategy == "contains":
+            inside.append(F.when(F.instr(h, pattern.lower()) > 0, F.struct(F.lit(i).alias("i"), F.lit(label).alias("label"))))
+        else:
+            ends.setdefault(pattern.lower(), (i, label))
+    found = []
+    if ends:
+        lookup = F.create_map(*[x for p, (i, label) in ends.items() for x in (F.lit(p), F.struct(F.lit(i).alias("i"), F.lit(label).alias("label")))])
+        labels = F.split(h, r"\.")
+        found.append(F.transform(F.sequence(F.lit(1), F.size(labels)),
+                                 lambda k: F.try_element_at(lookup, F.array_join(F.slice(labels, k, F.size(labels)), "."))))
+    if inside:
+        found.append(F.array(*inside))
+    if not found:
+        return F.lit(None).cast("string")
+    return F.when(F.length(h) > 0, F.array_min(F.filter(F.concat(*found), lambda x: x.isNotNull()))["label"])
+
+
 def detect_provider(calls: DataFrame, host_col: str = "host",
                     providers: DataFrame | None = None) -> DataFrame:
     """First matching provider of each host in list order: equal to the
     pattern or ending in ``.pattern`` (``suffix``), or containing it
     (``contains``).
 
-    The theta join runs once per distinct host (not per call) against the
-    bounded provider list (broadcast nested loop); the per-host answer is
-    joined back on the host value."""
-    spark = calls.sparkSession
-    prov = dims.bounded(providers if providers is not None else dims.providers_df(spark))
+    The list is one expression over each call (``provider_of``): no join.  A
+    user's list of more than ``MOST_LITERALS`` rows is joined on the ends of
+    the distinct hosts; only its ``contains`` patterns need a nested loop."""
+    order = ["priority", "label", "host_pattern", "strategy"]
+    rules = _literals(providers, [(p[0], p[1], p[4]) for p in dims.PROVIDERS], order)
+    if rules is not None:
+        return calls.withColumn("provider", provider_of(F.col(host_col), rules))
     c = calls.withColumn("_h", F.lower(F.col(host_col)))
-    pat = F.lower(F.col("host_pattern"))
-    cond = F.when(F.col("strategy") == "contains", F.instr(F.col("_h"), pat) > 0).otherwise(
-        (F.col("_h") == pat) | F.col("_h").endswith(F.concat(F.lit("."), pat)))
-    hits = (c.select("_h").filter(F.length("_h") > 0).distinct().join(prov, cond)
-            .groupBy("_h").agg(F.min_by("label", "priority").alias("provider")))
+    hosts = c.select("_h").filter(F.length("_h") > 0).distinct()
+    labels = F.split("_h", r"\.")
+    ends = hosts.select("_h", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)),
+                                                    lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("_end"))
+    rest = providers.filter(F.coalesce(F.col("strategy"), F.lit("suffix")) != "contains").withColumn("_end", F.lower("host_pattern"))
+    part = dims.bounded(providers.filter(F.col("strategy") == "contains"))
+    hits = ends.join(rest, "_end").select("_h", "priority", "label").unionByName(
+        hosts.join(part, F.instr(F.col("_h"), F.lower("host_pattern")) > 0).select("_h", "priority", "label"))
+    hits = hits.groupBy("_h").agg(F.min_by("label", "priority").alias("provider"))
     return c.join(hits, "_h", "left").drop("_h")
 
 
 def detect_provider_path(calls: DataFrame, path_col: str = "path",
                          hints: DataFrame | None = None) -> DataFrame:
     """First path hint (in list order) that the path starts with or contains;
-    evaluated once per distinct path."""
-    spark = calls.sparkSession
-    hint = dims.bounded(hints if hints is not None else dims.path_hints_df(spark))
-    c = calls.withColumn("_p", F.coalesce(F.col(path_col), F.lit("")))
-    hits = (c.select("_p").distinct().join(hint, F.instr(F.col("_p"), F.col("hint")) > 0)
+    one expression over each call.  A user's list of more than
+    ``MOST_LITERALS`` hints is matched once per distinct path."""
+    rows = _literals(hints, dims.PATH_HINTS, ["priority", "hint", "provider"])
+    path = F.coalesce(F.col(path_col), F.lit(""))
+    if rows is not None:
+        return calls.withColumn("path_provider", _first(*[F.when(F.instr(path, hint) > 0, F.lit(p)) for hint, p in rows]))
+    c = calls.withColumn("_p", path)
+    hits = (c.select("_p").distinct().join(dims.bounded(hints), F.instr(F.col("_p"), F.col("hint")) > 0)
             .groupBy("_p").agg(F.min_by("provider", "priority").alias("path_provider")))
     return c.join(hits, "_p", "left").drop("_p")
 
@@ -197,26 +251,17 @@ def match_surrogate(steps: DataFrame, model_col: str = "model",
                     families: DataFrame | None = None) -> DataFrame:
     """Surrogate SAE label for each captured model: exact label -> registry
     model contained either way -> longest family substring (declaration
-    order breaks ties) -> default (first entry).  Resolved once per
-    distinct model name."""
-    spark = steps.sparkSession
-    ent = dims.bounded(entries if entries is not None else dims.sae_entries_df(spark))
-    fam = dims.bounded(families if families is not None else dims.surrogates_df(spark))
-    s = steps.withColumn("_m", F.lower(F.trim(F.coalesce(F.col(model_col), F.lit("")))))
-    base = s.select("_m").filter(F.length("_m") > 0).distinct()
-    exact = (base.join(ent, F.col("_m") == F.lower("label"))
-             .groupBy("_m").agg(F.min_by("label", "priority").alias("_l1")))
-    contains = (base.join(ent, (F.instr("_m", F.lower("model")) > 0)
-                          | (F.instr(F.lower("model"), F.col("_m")) > 0))
-                .groupBy("_m").agg(F.min_by("label", "priority").alias("_l2")))
-    fam_hit = (base.join(fam, F.instr("_m", F.col("family")) > 0)
-               .groupBy("_m").agg(F.min_by("label", F.struct(-F.length("family"), F.col("priority")))
-                                  .alias("_l3")))
-    default = F.lit(dims.SAE_ENTRIES[0][0])
-    res = (base.join(exact, "_m", "left").join(contains, "_m", "left").join(fam_hit, "_m", "left")
-           .select("_m", F.coalesce("_l1", "_l2", "_l3").alias("_sur")))
-    return (s.join(res, "_m", "left")
-            .withColumn("surrogate", F.coalesce("_sur", default)).drop("_m", "_sur"))
+    order breaks ties) -> default (first entry).  One expression over each
+    step; lists are registries of at most ``MOST_LITERALS`` rows."""
+    known = _literals(entries, [(e[0], e[1]) for e in dims.SAE_ENTRIES], ["priority", "label", "model"])
+    kin = _literals(families, dims.SURROGATES, ["priority", "family", "label"])
+    if known is None or kin is None:
+        raise ValueError(f"registries of more than {MOST_LITERALS} rows are not supported")
+    m = F.lower(F.trim(F.coalesce(F.col(model_col), F.lit(""))))
+    exact = [F.when(m == label.lower(), F.lit(label)) for label, _ in known]
+    within = [F.when((F.instr(m, model.lower()) > 0) | (F.instr(F.lit(model.lower()), m) > 0), F.lit(label)) for label, model in known]
+    kind = [F.when(F.instr(m, family) > 0, F.lit(label)) for family, label in sorted(kin, key=lambda r: -len(r[0]))]
+    return steps.withColumn("surrogate", F.coalesce(F.when(F.length(m) > 0, _first(*exact, *within, *kind)), F.lit(dims.SAE_ENTRIES[0][0])))
 
 
 def join_feature_explanations(features: DataFrame, explanations: DataFrame) -> DataFrame:

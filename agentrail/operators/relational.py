@@ -123,20 +123,19 @@ def resolve_prefixes(traces: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Per requested ``prefix``: the matching trace (smallest id), the number
     of matches and ``ambiguous``; invalid prefixes resolve to nothing.
 
-    A prefix match is expressed as an equi join on the first ``k``
-    characters: the distinct prefix lengths (at most 128, by validation)
-    arrive as a scalar-subquery array, each id is exploded over the lengths
-    it can match, and ``substr(trace_id, 1, len)`` joins the prefixes on
-    (len, key) - no nested-loop join."""
+    A prefix match is an equi join with a prefix trie: the distinct prefix
+    lengths (at most 128, by validation) arrive as a scalar-subquery array, each
+    id is exploded over them, and the ids of a trie node (length, first
+    characters) are aggregated map-side to the least id and their number.  One
+    row a node crosses the join, so a short prefix over all ids is no hot key."""
     p = prefixes.select("prefix", valid_prefix(F.col("prefix")).alias("valid"))
     ok = p.filter("valid").select("prefix", F.length("prefix").alias("_len"))
     lens = ok.agg(F.collect_set("_len")).scalar()
-    keyed = (traces.select("trace_id", F.explode(lens).alias("_len"))
-             .filter(F.col("_len") <= F.length("trace_id"))
-             .select("trace_id", "_len", F.expr("substr(trace_id, 1, _len)").alias("_key")))
-    m = (ok.join(keyed, (ok["_len"] == keyed["_len"]) & (ok["prefix"] == keyed["_key"]))
-         .groupBy("prefix").agg(F.min("trace_id").alias("trace_id"),
-                                F.count(F.lit(1)).alias("matches")))
+    trie = (traces.select("trace_id", F.explode(lens).alias("_len"))
+            .filter(F.col("_len") <= F.length("trace_id"))
+            .groupBy(F.expr("substr(trace_id, 1, _len)").alias("prefix"))
+            .agg(F.min("trace_id").alias("trace_id"), F.count(F.lit(1)).alias("matches")))
+    m = ok.select("prefix").distinct().join(trie, "prefix")
     return (p.join(m, "prefix", "left")
             .select("prefix", "valid", "trace_id",
                     F.coalesce("matches", F.lit(0)).cast("bigint").alias("matches"),

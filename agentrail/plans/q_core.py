@@ -110,8 +110,7 @@ def q_resolve_prefix(fx):
 
 
 @register("bulk_delete_split", ["ev_traces", "ev_requests"], """
-, sz AS (SELECT batch_id, count(*) AS n FROM ev_requests GROUP BY batch_id),
-r AS (SELECT q.*, trim(coalesce(q.id, '')) AS tid, sz.n FROM ev_requests q JOIN sz ON q.batch_id = sz.batch_id),
+, r AS (SELECT q.*, trim(coalesce(q.id, '')) AS tid FROM ev_requests q),
 m AS (
   SELECT r.batch_id, r.req_pos, min(t.trace_id) AS trace_id FROM r JOIN ev_traces t
     ON starts_with(t.trace_id, r.tid)
@@ -122,13 +121,12 @@ j AS (SELECT r.*, m.trace_id,
         min(r.req_pos) OVER (PARTITION BY r.batch_id, m.trace_id) AS first_pos
       FROM r LEFT JOIN m ON r.batch_id = m.batch_id AND r.req_pos = m.req_pos)
 SELECT batch_id, req_pos, id,
-  CASE WHEN n > 500 THEN 'rejected' WHEN trace_id IS NOT NULL AND req_pos = first_pos THEN 'deleted'
-       ELSE 'not_found' END AS outcome,
-  CASE WHEN n <= 500 AND trace_id IS NOT NULL AND req_pos = first_pos THEN trace_id END AS trace_id
+  CASE WHEN trace_id IS NOT NULL AND req_pos = first_pos THEN 'deleted' ELSE 'not_found' END AS outcome,
+  CASE WHEN trace_id IS NOT NULL AND req_pos = first_pos THEN trace_id END AS trace_id
 FROM j""")
 def q_bulk_delete_split(fx):
-    """Delete requests split into deleted / not_found / rejected batches."""
-    return J.bulk_delete_split(fx.get("ev_traces"), fx.get("ev_requests"), max_ids=500)
+    """Delete requests split into deleted and not_found."""
+    return J.bulk_delete_split(fx.get("ev_traces"), fx.get("ev_requests"))
 
 
 @register("filter_steps", ["ev_steps"], """

@@ -1,7 +1,7 @@
 """Streaming jobs run over the stand-in tables: the input is landed as
 several Parquet files in the shared checkpoint folder, the job runs with
 ``availableNow`` (one micro-batch per file), and the query returns what
-the job wrote.  Rows-only checks (no SQL oracle for stream state)."""
+the job wrote."""
 
 from __future__ import annotations
 
@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import redact as RD
 from ..operators import windows as W
 from ..session import scratch_path
-from ..sinks.tables import SnapshotTable
+from ..sinks.buckets import BucketTable
 from ..sources import documents as D
 from ..sources import wire as WR
 from ..streaming import jobs as S
+from ..streaming import stateful as ST
 from .catalog import register
 from .fixtures import AS_OF
 from .q_costs import strict_sql
@@ -51,6 +52,16 @@ def _land(df: DataFrame, path: str, key: str, batches: int = BATCHES, time_col:
 DEMO_WATERMARK = "8 days"
 
 
+#: Buckets of the demo tables, which are small.
+DEMO_BUCKETS = 8
+
+
+def _heartbeat(df: DataFrame, path: str, time_col: str, at: float) -> None:
+    """A last file with a heartbeat: a row with a time and nothing else."""
+    row = [F.lit(at if f.name == time_col else None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    df.sparkSession.range(1).coalesce(1).select(*row).write.mode("append").parquet(path)
+
+
 def _dirs(fx, name: str):
     base = scratch_path(fx.spark, f"stream-{name}")
     return base, f"{base}/in", f"{base}/out", f"{base}/ckpt"
@@ -81,22 +92,27 @@ def q_stream_upsert_tables(fx):
     """Derived trace table maintained by keyed upserts per micro-batch."""
     base, src, out, ck = _dirs(fx, "upsert")
     files = _land(fx.get("wire_files"), src, "file")
-    q = S.start_upsert(WR.trace_lines(files), out, ck)
-    q.awaitTermination()
-    return SnapshotTable(fx.spark, f"{out}/traces").read().select(
+    S.start_upsert(WR.trace_lines(files), out, ck, buckets=DEMO_BUCKETS).awaitTermination()
+    return BucketTable(fx.spark, f"{out}/traces").read().select(
         "trace_id", "name", "framework", "started_at", "ended_at")
 
 
-@register("stream_live_view")
+@register("stream_live_view", ["wire_files"], LINES + HEADERS + f"""
+, c AS (SELECT started_at, trace_id, coalesce(nullif(json_extract_string(md, '$.provider'), ''), '—') AS provider,
+          coalesce(nullif(json_extract_string(md, '$.model'), ''), '—') AS model,
+          coalesce(json_extract_string(md, '$.failed') = 'true', false) AS failed
+        FROM (SELECT tr.*, json_extract(hh.h, '$.metadata') AS md FROM tr JOIN hh ON tr.file = hh.file))
+SELECT * FROM c ORDER BY started_at DESC NULLS LAST, trace_id LIMIT 50""")
 def q_stream_live_view(fx):
     """Newest 50 cards of the streamed derived table."""
     base, src, out, ck = _dirs(fx, "live")
     files = _land(fx.get("wire_files"), src, "file")
-    S.start_upsert(WR.trace_lines(files), out, ck).awaitTermination()
-    return S.live_view(SnapshotTable(fx.spark, f"{out}/traces").read(), 50)
+    S.start_upsert(WR.trace_lines(files), out, ck, buckets=DEMO_BUCKETS).awaitTermination()
+    return S.live_view(BucketTable(fx.spark, f"{out}/traces").read(), 50)
 
 
-@register("stream_dedupe")
+@register("stream_dedupe", ["ev_steps"], """
+SELECT trace_id, step_id, CAST(step_index AS BIGINT) AS step_index, kind, name, started_at FROM ev_steps""")
 def q_stream_dedupe(fx):
     """Steps re-delivered in later micro-batches dropped within the watermark."""
     base, src, out, ck = _dirs(fx, "dedupe")
@@ -104,7 +120,8 @@ def q_stream_dedupe(fx):
     again = s.filter(F.col("step_index") == 0)  # re-delivery of every trace's first step
     stream = _land(s.unionByName(again), src, "step_id", time_col="started_at")
     S.run_available_now(S.dedupe_stream(stream, DEMO_WATERMARK), out, ck)
-    return fx.spark.read.parquet(out)
+    return fx.spark.read.parquet(out).select("trace_id", "step_id", F.col("step_index").cast("bigint").alias("step_index"),
+                                             "kind", "name", "started_at")
 
 
 @register("stream_daily_cost", ["ev_steps"], strict_sql("ev_steps") + """
@@ -118,27 +135,45 @@ def q_stream_daily_cost(fx):
     a table keyed by day)."""
     base, src, out, ck = _dirs(fx, "daily-cost")
     stream = _land(fx.get("ev_steps"), src, "step_id", time_col="started_at")
-    S.run_available_now(S.daily_cost_stream(stream, DEMO_WATERMARK), out, ck, mode="update", key=["date"])
-    return SnapshotTable(fx.spark, out).read()
-
-
-@register("stream_failure_rate")
+    S.run_available_now(S.daily_cost_stream(stream, DEMO_WATERMARK), out, ck, mode="update", key=["date"],
+                        buckets=DEMO_BUCKETS)
+    return BucketTable(fx.spark, out).read()
+
+
+@register("stream_failure_rate", ["ev_traces"], """
+, t AS (SELECT make_timestamp(CAST(trunc(started_at * 1000000) AS BIGINT)) AS ts,
+          CASE WHEN coalesce(json_extract_string(metadata, '$.failed') = 'true', false) THEN 1 ELSE 0 END AS f FROM ev_traces),
+w AS (SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS s, f FROM t, range(7) r(k))
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+  count(*) AS traces, CAST(sum(f) AS BIGINT) AS failed, round(sum(f) / count(*), 6) AS failure_rate
+FROM w GROUP BY s""")
 def q_stream_failure_rate(fx):
     """7-day sliding failure rate from a trace stream."""
     base, src, out, ck = _dirs(fx, "failure-rate")
     stream = _land(fx.get("ev_traces"), src, "trace_id", time_col="started_at")
     S.run_available_now(S.failure_rate_stream(stream, watermark=DEMO_WATERMARK), out, ck, mode="update",
-                        key=["window_start"])
-    return SnapshotTable(fx.spark, out).read()
+                        key=["window_start"], buckets=DEMO_BUCKETS)
+    return BucketTable(fx.spark, out).read()
 
 
-@register("stream_pair_runs")
+@register("stream_pair_runs", ["run_starts", "run_ends"], """
+SELECT s.run_id, s.trace_id, s.kind, s.name, s.started_at, e.ended_at, e.error
+FROM run_starts s LEFT JOIN (
+  SELECT s.run_id, min(e.ended_at) AS ended_at, arg_min(e.error, e.ended_at) AS error FROM run_starts s JOIN run_ends e
+  ON s.run_id = e.run_id AND e.ended_at >= s.started_at AND e.ended_at <= s.started_at + 3600 GROUP BY s.run_id) e
+ON s.run_id = e.run_id""")
 def q_stream_pair_runs(fx):
-    """Run start and end events paired by a stream-stream outer join."""
+    """Every run start, with its end if one comes within the hour: open starts
+    leave at their bound, a closing heartbeat flushes the last of them."""
     base, src, out, ck = _dirs(fx, "pairs")
-    starts = _land(fx.get("run_starts"), src + "/starts", "run_id", time_col="started_at")
-    ends = _land(fx.get("run_ends"), src + "/ends", "run_id", time_col="ended_at")
-    S.run_available_now(S.pair_runs_stream(starts, ends, watermark=DEMO_WATERMARK), out, ck)
+    started, ended = fx.get("run_starts"), fx.get("run_ends").select("run_id", "ended_at", "error")
+    starts = _land(started, src + "/starts", "run_id", time_col="started_at")
+    ends = _land(ended, src + "/ends", "run_id", time_col="ended_at")
+    last = (ended.agg(F.max("ended_at")).first()[0] or 0.0) + 30 * 86400.0
+    _heartbeat(started, src + "/starts", "started_at", last)
+    _heartbeat(ended, src + "/ends", "ended_at", last)
+    with ST.state_store(fx.spark):
+        S.run_available_now(ST.pair_runs(starts, ends, watermark=DEMO_WATERMARK), out, ck)
     return fx.spark.read.parquet(out)
 
 
@@ -181,39 +216,46 @@ def q_stream_redact(fx):
     return fx.spark.read.parquet(out)
 
 
-@register("stream_assemble")
+@register("stream_assemble", ["stream_pieces"], """
+SELECT DISTINCT call_id, text, NOT ends_with(call_id, '1') AS complete FROM stream_pieces""")
 def q_stream_assemble(fx):
-    """Streamed chunk lines assembled per call: a session window per call id
-    closes one minute after its last chunk; closed calls are emitted."""
+    """Streamed chunk lines assembled per call; where an id ends in 1 the end
+    mark is lost, and the call comes out incomplete a minute after its last
+    chunk."""
     base, src, out, ck = _dirs(fx, "assemble")
-    s = _land(fx.get("stream_chunks"), src, "call_id", time_col="received_at")
-    S.run_available_now(S.assemble_stream(s, gap="1 minute"), out, ck)
+    chunks = fx.get("stream_chunks").filter((F.col("line") != "data: [DONE]") | ~F.col("call_id").endswith("1"))
+    s = _land(chunks, src, "call_id", time_col="received_at")
+    _heartbeat(chunks, src, "received_at", (chunks.agg(F.max("received_at")).first()[0] or 0.0) + 30 * 86400.0)
+    with ST.state_store(fx.spark):
+        S.run_available_now(ST.assemble(s, gap="1 minute", watermark=DEMO_WATERMARK), out, ck)
     return fx.spark.read.parquet(out)
 
 
 @register("stream_assemble_stateful", ["stream_pieces"], """
 SELECT DISTINCT call_id, text FROM stream_pieces""")
 def q_stream_assemble_stateful(fx):
-    """Streamed chunk lines assembled per call by a custom stateful operator
-    that emits each call when its [DONE] line arrives."""
+    """Streamed chunk lines assembled per call: each call comes out when its
+    [DONE] line arrives."""
     base, src, out, ck = _dirs(fx, "assemble-stateful")
     s = _land(fx.get("stream_chunks"), src, "call_id")
-    S.run_available_now(S.assemble_stream_stateful(s), out, ck)
+    with ST.state_store(fx.spark):
+        S.run_available_now(ST.assemble(s, watermark=DEMO_WATERMARK), out, ck)
     return fx.spark.read.parquet(out).select("call_id", "text")
 
 
-@register("latest_annotation_stream")
+@register("latest_annotation_stream", ["ev_annotations"], """
+SELECT trace_id, step_id, arg_max(failure_category, seq) AS failure_category, arg_max(severity, seq) AS severity,
+  arg_max(notes, seq) AS notes, arg_max(annotator, seq) AS annotator, max(seq) AS seq
+FROM ev_annotations GROUP BY trace_id, step_id""")
 def q_latest_annotation_stream(fx):
     """Annotation writes streamed into a keyed table: last write per step wins."""
     base, src, out, ck = _dirs(fx, "annotations")
     a = _land(fx.get("ev_annotations"), src, "trace_id")
 
     def apply(batch, batch_id):
-        t = SnapshotTable(fx.spark, out)
-        old = t.read()
-        latest = W.latest_annotations(batch if old is None else old.unionByName(batch))
-        t.upsert_batch(latest, batch_id, ["trace_id", "step_id"])
+        t = BucketTable(fx.spark, out, ["trace_id", "step_id"], DEMO_BUCKETS)
+        t.merge(batch, lambda old, new: W.latest_annotations(old.unionByName(new)), t.batch_of(batch_id))
 
     (a.writeStream.foreachBatch(apply).option("checkpointLocation", ck)
      .trigger(availableNow=True).start().awaitTermination())
-    return SnapshotTable(fx.spark, out).read()
+    return BucketTable(fx.spark, out).read().select("trace_id", "step_id", "failure_category", "severity", "notes", "annotator", "seq")

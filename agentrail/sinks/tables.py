@@ -45,10 +45,8 @@ def build_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 class SnapshotTable:
-    """A table stored as numbered snapshot directories under ``base``.
-
-    A snapshot made by a stream's micro-batch carries the stream's query id
-    and the batch id in its name, so that it commits together with them."""
+    """A small table stored as numbered snapshot directories under ``base``;
+    every version is whole.  Tables kept up by batches are ``BucketTable``s."""
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
@@ -102,19 +100,3 @@ class SnapshotTable:
         old = self.read()
         new = batch if old is None else upsert(old, batch, key)
         self.write(new, version)
-
-    def upsert_batch(self, batch: DataFrame, batch_id: int, key="trace_id") -> None:
-        """Upsert a micro-batch as the next version, once per (stream, batch
-        id): a replayed batch is a no-op, while a stream with a new checkpoint,
-        which counts its batches from 0 again, is a stream of its own."""
-        query = self.spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-        if not query:
-            raise RuntimeError("upsert_batch runs inside foreachBatch only")
-        done = self._snapshots()
-        marks = [name.split(".")[1:] for _, name in done]
-        if any(m[0] == query and int(m[1][1:]) >= batch_id for m in marks if len(m) == 2):
-            return
-        old = self.read()
-        new = batch if old is None else upsert(old, batch, key)
-        path = self.version_path(done[-1][0] + 1 if done else 1)
-        new.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}.{query}.b{batch_id:08d}")

@@ -19,11 +19,11 @@ from pyspark.sql import types as T
 
 from ..operators import costs
 from ..operators.stats import failed_flag
-from ..sinks.tables import SnapshotTable
+from ..sinks.buckets import BUCKETS, BucketTable
 from ..sources import wire as WR
 
-# The stateful operator below runs in Python workers: ship this module by
-# value so executors need no installed copy of the package.
+# ``tail`` runs callbacks in Python workers: ship this module by value so
+# executors need no installed copy of the package.
 import sys as _sys  # noqa: E402
 
 from pyspark import cloudpickle as _cloudpickle  # noqa: E402
@@ -51,17 +51,21 @@ def parquet_stream(spark: SparkSession, path: str, schema: T.StructType, max_fil
     return r.parquet(path)
 
 
-def start_upsert(lines: DataFrame, target_base: str, checkpoint: str, trigger: dict | None = None):
+def start_upsert(lines: DataFrame, target_base: str, checkpoint: str, trigger: dict | None = None, buckets: int = BUCKETS):
     """Incremental derived tables: each micro-batch of new files is split
-    into traces and steps and upserted by trace id into versioned
-    snapshots (``<base>/traces``, ``<base>/steps``), each batch of a stream
-    once."""
+    into traces and steps and upserted by trace id into bucketed tables
+    (``<base>/traces``, ``<base>/steps``), each batch of a stream once.  Files
+    are read and parsed once a batch."""
     spark = lines.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        traces, steps = WR.split_traces(batch)
-        SnapshotTable(spark, f"{target_base}/traces").upsert_batch(traces.drop("file"), batch_id)
-        SnapshotTable(spark, f"{target_base}/steps").upsert_batch(steps.drop("file"), batch_id)
+        batch.persist()
+        try:
+            traces, steps = WR.split_traces(batch)
+            BucketTable(spark, f"{target_base}/traces", "trace_id", buckets).upsert_batch(traces.drop("file"), batch_id)
+            BucketTable(spark, f"{target_base}/steps", "trace_id", buckets).upsert_batch(steps.drop("file"), batch_id)
+        finally:
+            batch.unpersist()
 
     w = lines.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
@@ -86,21 +90,6 @@ def dedupe_stream(steps: DataFrame, watermark: str = "1 hour") -> DataFrame:
             .dropDuplicatesWithinWatermark(["trace_id", "step_id"]))
 
 
-def pair_runs_stream(starts: DataFrame, ends: DataFrame, bound: str = "1 hour",
-                     watermark: str = "10 minutes") -> DataFrame:
-    """Stream-stream left outer join of run start and end events on the run
-    id, the end within ``bound`` of the start.  Matched pairs are emitted
-    at once; an unmatched start is emitted (open) once the watermark
-    passes its bound, so state stays bounded."""
-    s = starts.withColumn("start_ts", event_time("started_at")).withWatermark("start_ts", watermark)
-    e = (ends.select(F.col("run_id").alias("end_run_id"), "ended_at", F.col("error").alias("end_error"))
-         .withColumn("end_ts", event_time("ended_at")).withWatermark("end_ts", watermark))
-    cond = ((F.col("run_id") == F.col("end_run_id")) & (F.col("end_ts") >= F.col("start_ts"))
-            & (F.col("end_ts") <= F.col("start_ts") + F.expr(f"INTERVAL {bound}")))
-    return s.join(e, cond, "leftOuter").select("run_id", "trace_id", "kind", "name", "started_at", "ended_at",
-                                                F.col("end_error").alias("error"))
-
-
 def daily_cost_stream(steps: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Tumbling UTC day of each priced llm call's start: usd (strict pricing),
     calls and rate-limited calls.  Partial aggregates live in state until
@@ -128,11 +117,11 @@ def failure_rate_stream(traces: DataFrame, length: str = "7 days", slide: str =
                     F.round(F.col("failed") / F.col("traces"), 6).alias("failure_rate")))
 
 
-def keyed_upsert_sink(base: str, key: list[str]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function writing update-mode output into a
-    versioned snapshot table keyed by ``key``, each batch of a stream once."""
+def keyed_upsert_sink(base: str, key: list[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function writing update-mode output into a bucketed
+    table keyed by ``key``, each batch of a stream once."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        SnapshotTable(batch.sparkSession, base).upsert_batch(batch, batch_id, key)
+        BucketTable(batch.sparkSession, base, key, buckets).upsert_batch(batch, batch_id)
     return apply
 
 
@@ -191,65 +180,15 @@ def run_batchwise(stream: DataFrame, fn: Callable[[DataFrame], DataFrame], out_p
 
 
 def run_available_now(df: DataFrame, out_path: str, checkpoint: str, mode: str = "append",
-                      key: list[str] | None = None) -> None:
+                      key: list[str] | None = None, buckets: int = BUCKETS) -> None:
     """Run a streaming DataFrame over everything available, then stop.
-    Append output goes to Parquet; update output to a keyed snapshot."""
+    Append output goes to Parquet; update output to a keyed, bucketed table."""
     if mode == "append":
         q = (df.writeStream.format("parquet").option("path", out_path)
              .option("checkpointLocation", checkpoint).outputMode("append")
              .trigger(availableNow=True).start())
     else:
-        q = (df.writeStream.foreachBatch(keyed_upsert_sink(out_path, key or []))
+        q = (df.writeStream.foreachBatch(keyed_upsert_sink(out_path, key or [], buckets))
              .option("checkpointLocation", checkpoint).outputMode("update")
              .trigger(availableNow=True).start())
     q.awaitTermination()
-
-
-ASSEMBLY_STATE = "pieces string, done boolean"
-
-
-def assemble_stream_stateful(chunks: DataFrame, timeout: str | None = None) -> DataFrame:
-    """Chunk lines -> one row per call, emitted as soon as the call's
-    ``[DONE]`` line arrives; with ``timeout`` set, also (``complete =
-    false``) after that long without new chunks.  Custom stateful operator
-    (``applyInPandasWithState``); the state of a call holds its pieces so
-    far, bounded by one reply, and is removed when the call is emitted.
-    The processing-time timeout is off by default: this Spark build fails
-    to plan it (internal NullPointerException); ``assemble_stream`` gives
-    timeout semantics with a session window instead."""
-    import json
-
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    from ..functions.text import sse_piece
-
-    c = chunks.select("call_id", "seq", sse_piece("line").alias("piece"),
-                      (F.trim(F.regexp_replace("line", r"^\s*data:", "")) == "[DONE]").alias("done"))
-
-    def step(key, pdfs, state):
-        pieces, done = {}, False
-        if state.exists:
-            raw, done = state.get
-            pieces = {int(k): v for k, v in json.loads(raw).items()}
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"call_id": [key[0]], "text": ["".join(pieces[k] for k in sorted(pieces))],
-                                "complete": [False]})
-            return
-        for pdf in pdfs:
-            for sq, p, d in zip(pdf["seq"], pdf["piece"], pdf["done"]):
-                pieces[int(sq)] = p or ""
-                done = done or bool(d)
-        if done:
-            state.remove()
-            yield pd.DataFrame({"call_id": [key[0]], "text": ["".join(pieces[k] for k in sorted(pieces))],
-                                "complete": [True]})
-        else:
-            state.update((json.dumps(pieces), False))
-            if timeout is not None:
-                state.setTimeoutDuration(timeout)
-
-    return c.groupBy("call_id").applyInPandasWithState(
-        step, "call_id string, text string, complete boolean", ASSEMBLY_STATE, "append",
-        GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -54,10 +54,66 @@ def test_events_feed_reports_every_write_once(spark, tmp_path):
                                           key=str)
 
 
-def test_latest_annotation_stream_keeps_every_column(spark):
+def test_latest_annotation_table_keeps_every_column(spark, tmp_path):
     from agentrail.operators import windows as W
-    got = E.queries()["latest_annotation_stream"](spark, SF)
-    want = W.latest_annotations(Fixtures(spark, SF).get("ev_annotations"))
-    assert "tags" in got.columns and set(got.columns) == set(want.columns)
+    from agentrail.sinks.buckets import BucketTable
+    ann = Fixtures(spark, SF).get("ev_annotations")
+    t = BucketTable(spark, str(tmp_path / "t"), ["trace_id", "step_id"], 4)
+    for part in range(3):
+        t.merge(ann.filter(f"seq % 3 = {part}"), lambda old, new: W.latest_annotations(old.unionByName(new)))
+    want = W.latest_annotations(ann)
+    assert "tags" in t.read().columns and set(t.read().columns) == set(want.columns)
     rows = want.collect()
-    assert rows and sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, rows))
+    assert rows and sorted(map(str, t.read().select(*want.columns).collect())) == sorted(map(str, rows))
+
+
+def _land(spark, path, schema, *files):
+    from agentrail.streaming import jobs as S
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return S.parquet_stream(spark, path, spark.createDataFrame([], schema).schema, max_files=1)
+
+
+def test_every_start_comes_out_once(spark, tmp_path):
+    from agentrail.streaming import jobs as S
+    from agentrail.streaming import stateful as ST
+    start = "run_id string, trace_id string, kind string, name string, started_at double"
+    first = [(f"r{i}", "t", "llm", "n", 1000.0 + i) for i in range(6)]
+    starts = _land(spark, str(tmp_path / "s"), start, first, first[:2],                      # delivered again
+                   [(None, None, None, None, 50_000.0)], [(None, None, None, None, 50_001.0)],  # heartbeats
+                   [("late", "t", "llm", "n", 1000.0)])                                      # later than the watermark
+    ends = _land(spark, str(tmp_path / "e"), "run_id string, ended_at double, error string",
+                 [("r0", 1003.0, "later"), ("r0", 1001.0, None), ("r1", 1002.0, "bad"), ("r2", 9000.0, "too late"), ("r3", 1000.0, "before"),
+                  ("orphan", 1001.0, None)], [("r1", 1005.0, "second")], [("r4", 1004.5, None)])
+    with ST.state_store(spark):
+        S.run_available_now(ST.pair_runs(starts, ends, watermark="3 hours"), str(tmp_path / "o"), str(tmp_path / "c"))
+    got = sorted((r.run_id, r.ended_at, r.error) for r in spark.read.parquet(str(tmp_path / "o")).collect())
+    assert got == [("r0", 1001.0, None), ("r1", 1002.0, "bad"), ("r2", None, None), ("r3", None, None), ("r4", 1004.5, None), ("r5", None, None)]
+
+
+def test_every_reply_comes_out_once(spark, tmp_path):
+    from agentrail.streaming import jobs as S
+    from agentrail.streaming import stateful as ST
+
+    def line(word):
+        return 'data: {"choices":[{"delta":{"content":"%s"}}]}' % word
+
+    chunks = _land(spark, str(tmp_path / "i"), "call_id string, seq long, line string, received_at double",
+                   [("a", 1, line("two"), 10.2), ("b", 0, line("open "), 10.0)],
+                   [("a", 0, line("one "), 10.1), ("a", 1, line("two"), 10.2), ("a", 2, "data: [DONE]", 10.3)],
+                   [("a", 3, line("after the end"), 10.4), ("b", 1, line("still"), 30.0)],
+                   [(None, None, None, 5_000.0)], [(None, None, None, 5_001.0)], [("b", 2, line("too late"), 40.0)],
+                   [(None, None, None, 50_000.0)])
+    with ST.state_store(spark):
+        S.run_available_now(ST.assemble(chunks, gap="1 minute", watermark="1 minute"), str(tmp_path / "o"), str(tmp_path / "c"))
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "o")).collect()))
+    assert got == [("a", "one two", True), ("b", "open still", False)]
+
+
+def test_lengths_of_time():
+    import pytest
+
+    from agentrail.streaming import stateful as ST
+    assert (ST.millis("90 minutes"), ST.millis("1 hour"), ST.millis("2 days")) == (5_400_000, 3_600_000, 172_800_000)
+    with pytest.raises(ValueError):
+        ST.millis("soon")

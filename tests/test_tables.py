@@ -5,6 +5,7 @@ import os
 import pytest
 
 from agentrail.sinks import exports as X
+from agentrail.sinks.buckets import BucketTable, ConcurrentWrite
 from agentrail.sinks.tables import SnapshotTable, remove, upsert
 from agentrail.sources import sidecars as SC
 
@@ -75,6 +76,78 @@ def test_new_checkpoint_into_an_old_table_loses_nothing(spark, tmp_path):
     stream(["a"], "c1")
     stream(["b"], "c1")                  # the same stream goes on
     stream(["c"], "c2")                  # a new checkpoint counts from 0
-    t = SnapshotTable(spark, base)
+    t = BucketTable(spark, base)
     assert t.current() == 3
     assert sorted(r.trace_id for r in t.read().collect()) == ["a", "b", "c"]
+
+
+def _table(spark, base, **kw):
+    return BucketTable(spark, base, "trace_id", **kw)
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame(rows, "trace_id string, v int")
+
+
+def test_upsert_rewrites_the_touched_buckets_only(spark, tmp_path):
+    t = _table(spark, str(tmp_path / "t"), buckets=16)
+    t.upsert(_frame(spark, [(f"id{i}", 0) for i in range(1000)]))
+    first = t.manifest()["where"]
+    assert len(first) == 16 and len(set(first.values())) == 1
+    t.upsert(_frame(spark, [("id1", 1), ("id2", 1), ("new", 1)]))
+    second = t.manifest()["where"]
+    moved = [b for b in second if second[b] != first[b]]
+    assert 1 <= len(moved) <= 3
+    got = {r.trace_id: r.v for r in t.read().collect()}
+    assert len(got) == 1001 and {k for k, v in got.items() if v} == {"id1", "id2", "new"}
+    assert t.read(version=1).count() == 1000 and t.versions() == [1, 2]
+    assert {r.trace_id for r in t.lookup(_frame(spark, [("id2", 0), ("none", 0)])).collect()} == {"id2"}
+
+
+def test_remove_compact_and_expire(spark, tmp_path):
+    t = _table(spark, str(tmp_path / "t"), buckets=4)
+    for k in range(4):
+        t.upsert(_frame(spark, [(f"id{i}", k) for i in range(k, 40)]))
+    t.remove(_frame(spark, [(f"id{i}", 0) for i in range(30)]))
+    want = sorted((f"id{i}", 3) for i in range(30, 40))
+    assert sorted(map(tuple, t.read().collect())) == want
+    t.compact(buckets=8)
+    assert t.manifest()["buckets"] == 8 and len(set(t.manifest()["where"].values())) == 1
+    versions, gone = t.expire(keep=1)
+    assert versions == 5 and gone > 0 and t.versions() == [6]
+    assert sorted(map(tuple, t.read().collect())) == want
+    data = os.path.join(tmp_path, "t", "data")
+    assert os.listdir(data) == list(set(t.manifest()["where"].values()))
+    t.remove(_frame(spark, want))
+    assert t.read().count() == 0 and t.read().columns == ["trace_id", "v"]
+    with pytest.raises(ValueError):
+        t.expire(keep=0)
+
+
+def test_replayed_stream_batches_are_left_out(spark, tmp_path):
+    t = _table(spark, str(tmp_path / "t"), buckets=2)
+    t.upsert(_frame(spark, [("a", 1)]), stream=("q", 0))
+    t.upsert(_frame(spark, [("a", 9)]), stream=("q", 0))
+    t.upsert(_frame(spark, [("a", 2)]), stream=("q", 1))
+    t.upsert(_frame(spark, [("a", 1)]), stream=("q", 0))
+    t.upsert(_frame(spark, [("b", 3)]), stream=("other", 0))     # a stream of its own counts from 0
+    assert t.current() == 3 and sorted(map(tuple, t.read().collect())) == [("a", 2), ("b", 3)]
+    with pytest.raises(RuntimeError):
+        t.upsert_batch(_frame(spark, [("c", 1)]), 0)
+
+
+def test_a_version_is_committed_once(spark, tmp_path):
+    t = _table(spark, str(tmp_path / "t"), buckets=2)
+    t.upsert(_frame(spark, [("a", 1)]))
+
+    def meanwhile(old, new):
+        _table(spark, str(tmp_path / "t")).upsert(_frame(spark, [("b", 1)]))
+        return upsert(old, new)
+
+    with pytest.raises(ConcurrentWrite):
+        t.merge(_frame(spark, [("c", 1)]), meanwhile)
+    assert sorted(r.trace_id for r in t.read().collect()) == ["a", "b"]
+    # a writer that died while it wrote its manifest blocks its number only
+    (tmp_path / "t" / "manifests" / "v00000003.json").write_text('{"version": 3, "wh')
+    t.upsert(_frame(spark, [("c", 1)]))
+    assert t.current() == 4 and t.versions() == [1, 2, 4] and t.read().count() == 3
