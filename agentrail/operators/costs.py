@@ -187,27 +187,47 @@ def day_of(epoch_col: Column) -> Column:
     return F.to_date(F.timestamp_micros((epoch_col * F.lit(1000000)).cast("long")))
 
 
+#: Partition column of traces and steps laid out by day (``sinks.by_day``).
+START_DAY = "start_day"
+
+
+def started_between(df: DataFrame, lo: float, hi: float) -> DataFrame:
+    """The rows of traces started from ``lo`` to ``hi`` (Unix seconds), and some
+    more: of tables laid out by day only the days' folders are read, and of
+    traces the times go to the scan.  Exact bounds follow where they matter."""
+    if START_DAY in df.columns:
+        day = [F.to_date(F.timestamp_micros(F.lit(int(x * 1_000_000)))) for x in (lo - 1, hi + 1)]
+        df = df.where(F.col(START_DAY).between(*day))
+    return df
+
+
 def cost_timeseries(steps: DataFrame, traces: DataFrame, as_of: float, days: int = 14,
                     prices: DataFrame | None = None) -> DataFrame:
     """Per UTC day of trace start over the last ``days`` days
     ending on the day of ``as_of``: usd (strict pricing), llm calls and rate
     limited calls (``outputs.rate_limited`` truthy or status 429).  Missing
-    days are zero-filled from a date spine."""
+    days are zero-filled from a date spine.  Only steps of traces of these days
+    are priced; with tables laid out by day only those days are read."""
     n = int(days)
     if n < 1:
         raise ValueError("days must be 1 or more")
     spark = steps.sparkSession
     end = F.to_date(F.timestamp_micros(F.lit(int(as_of * 1_000_000))))
     spine = spark.range(1).select(F.explode(F.sequence(F.date_sub(end, n - 1), end)).alias("date"))
-    priced = price_steps(steps, prices=prices, mode="strict")
+    hi = (as_of // 86400 + 1) * 86400.0
+    lo = hi - n * 86400.0
+    t = (started_between(traces, lo, hi).filter(F.col("started_at").between(lo - 1, hi + 1))
+         .select("trace_id", day_of(F.col("started_at")).alias("date"))
+         .filter(F.col("date").between(F.date_sub(end, n - 1), end)))
+    recent = started_between(steps, lo, hi).join(t.select("trace_id"), "trace_id", "left_semi")
+    priced = price_steps(recent, prices=prices, mode="strict")
     o = P.fields("outputs", "rate_limited", "status")
     priced = priced.withColumn(
         "_rl", (P.truthy(o["rate_limited"]) | (o["status"].try_cast("double") == 429)).cast("int"))
-    t = (traces.filter(F.col("started_at").isNotNull())
-         .select("trace_id", day_of(F.col("started_at")).alias("date"))
-         .filter(F.col("date").between(F.date_sub(end, n - 1), end)))
-    per_day = (priced.join(t, "trace_id").groupBy("date")
-               .agg(F.sum("cost_pico").alias("_usd"), F.count(F.lit(1)).alias("calls"),
+    per_trace = priced.groupBy("trace_id").agg(F.sum("cost_pico").alias("cost_pico"), F.count(F.lit(1)).alias("_n"),
+                                               F.sum("_rl").alias("_rl"))
+    per_day = (per_trace.join(t, "trace_id").groupBy("date")
+               .agg(F.sum("cost_pico").alias("_usd"), F.sum("_n").alias("calls"),
                     F.sum("_rl").cast("bigint").alias("rate_limited")))
     return (spine.join(per_day, "date", "left")
             .select(F.col("date").cast("string").alias("date"),
@@ -220,8 +240,10 @@ def activity_24h(traces: DataFrame, steps: DataFrame, as_of: float,
                  prices: DataFrame | None = None) -> DataFrame:
     """One row: traces, last_capture_at, and for traces started in the 24 h
     before ``as_of``: llm calls, strict-priced cost (model from
-    ``inputs.model`` only), failed traces."""
+    ``inputs.model`` only), failed traces.  Only steps of these traces are priced."""
     lo = as_of - 24 * 3600
+    ids = started_between(traces, lo, as_of).filter(F.col("started_at").between(lo, as_of)).select("trace_id")
+    steps = started_between(steps, lo, as_of).join(ids, "trace_id", "left_semi")
     priced = price_steps(steps, prices=prices, mode="strict", model_from_name=False)
     per_trace = priced.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_calls"),
                                                F.sum("cost_pico").alias("_usd"))

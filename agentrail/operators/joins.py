@@ -26,10 +26,36 @@ def first_step_per_id(steps: DataFrame) -> DataFrame:
             .select("trace_id", "step_id", *[F.col(f"_s.{c}").alias(c) for c in cols]))
 
 
+#: Words of 64 bits of a key filter: its broadcast table has this many rows at
+#: most (some 30 MB), whatever the number of keys.
+FILTER_WORDS = 1 << 20
+
+
+def may_match(rows: DataFrame, keys: DataFrame, on: list[str], words: int = FILTER_WORDS) -> DataFrame:
+    """The rows whose key may be one of ``keys``, before they are shuffled.
+
+    The keys' hashes set bits of a bit map of ``words`` 64-bit words; rows whose
+    bit is not set are dropped where they are read.  No row of a key is lost;
+    another row passes with a chance of (distinct keys) / (64 x words) at most, so
+    a join must follow.  With very many keys the filter passes more, and the
+    result is the same."""
+    def place(part: str) -> Column:
+        h = F.pmod(F.xxhash64(*on), F.lit(64 * words))
+        return F.shiftright(h, 6) if part == "word" else h.bitwiseAND(F.lit(63)).cast("int")
+
+    word, bits = [next(n for n in (base + "_" * i for i in range(99)) if n not in rows.columns) for base in ("_word", "_bits")]
+    found = keys.groupBy(place("word").alias(word)).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place("bit"))).alias(bits))
+    return (rows.withColumn(word, place("word")).join(F.broadcast(found), word)
+            .where(F.bit_get(F.col(bits), place("bit")) == 1).select(*rows.columns))
+
+
 def join_annotated_steps(steps: DataFrame, annotations: DataFrame) -> DataFrame:
     """Annotation joined to the first step carrying its id; annotations whose
-    step is missing are dropped (inner join)."""
-    return annotations.join(first_step_per_id(steps), ["trace_id", "step_id"], "inner")
+    step is missing are dropped (inner join).  Steps without an annotation are
+    dropped at the scan, so few payloads are shuffled."""
+    on = ["trace_id", "step_id"]
+    return annotations.join(first_step_per_id(may_match(steps, annotations, on)), on, "inner")
 
 
 def anti_keep_tagged(traces: DataFrame, annotations: DataFrame) -> DataFrame:

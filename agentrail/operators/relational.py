@@ -54,45 +54,48 @@ def rank_newest(traces: DataFrame) -> DataFrame:
                        "rank")
 
 
-def search_traces(traces: DataFrame, steps: DataFrame, annotations: DataFrame,
-                  q: str) -> DataFrame:
-    """Case-insensitive substring search.  Header hay = name, framework and id
-    joined by spaces; step hay = kind, name and error.  Steps are only
-    consulted for traces whose header missed (anti join first), and step /
-    annotation counts are computed only for the matching traces (semi
-    join).  An empty query lists everything without match flags."""
-    query = (q or "").strip().lower()
+def _hay(*cols: str) -> Column:
+    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in cols]))
+
+
+def header_hay() -> Column:
+    """What a search looks through in a trace header."""
+    return _hay("name", "framework", "trace_id")
+
+
+def step_hay() -> Column:
+    """What a search looks through in a step."""
+    return _hay("kind", "name", "error")
 
-    def counts(ids: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        st, an = steps, annotations
-        if ids is not None:
-            st = st.join(ids, "trace_id", "left_semi")
-            an = an.join(ids, "trace_id", "left_semi")
-        return _count_by_trace(st, "step_count"), _count_by_trace(an, "annotation_count")
 
-    def with_counts(df: DataFrame, ids: DataFrame | None) -> DataFrame:
-        sc, ac = counts(ids)
-        return (df.join(sc, "trace_id", "left").join(ac, "trace_id", "left")
-                .withColumn("step_count", F.coalesce("step_count", F.lit(0)).cast("bigint"))
-                .withColumn("annotation_count", F.coalesce("annotation_count", F.lit(0)).cast("bigint")))
+def search_text(q: str | None) -> str:
+    """A query as it is looked for: trimmed, lower case."""
+    return (q or "").strip().lower()
 
+
+def search_traces(traces: DataFrame, steps: DataFrame, annotations: DataFrame,
+                  q: str) -> DataFrame:
+    """Case-insensitive substring search.  Header hay = name, framework and id
+    joined by spaces; step hay = kind, name and error; ``match_steps`` is set
+    only where the header missed.  Steps are read once: their number and the
+    hit of a trace come out of one aggregate that is combined before the
+    shuffle.  An empty query lists everything without match flags.  For a search
+    that does not read every step see ``search_index.TraceIndex``."""
+    query = search_text(q)
     base = traces.select("trace_id", "name", "framework", "started_at")
-    if not query:
-        return with_counts(base, None)
-
-    def hay(*cols: str) -> Column:
-        return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in cols]))
-
-    q_lit = F.lit(query)
-    hdr = base.withColumn("match_header", F.instr(hay("name", "framework", "trace_id"), q_lit) > 0)
-    missed = hdr.filter(~F.col("match_header")).select("trace_id")
-    step_hits = (steps.join(missed, "trace_id", "left_semi")
-                 .filter(F.instr(hay("kind", "name", "error"), q_lit) > 0)
-                 .select("trace_id").distinct().withColumn("match_steps", F.lit(True)))
-    matched = (hdr.join(step_hits, "trace_id", "left")
-               .withColumn("match_steps", F.coalesce("match_steps", F.lit(False)))
+    per_trace = steps.groupBy("trace_id").agg(
+        F.count(F.lit(1)).alias("step_count"),
+        *([F.max(F.instr(step_hay(), F.lit(query)) > 0).alias("_hit")] if query else []))
+    out = base.join(per_trace, "trace_id", "left")
+    if query:
+        out = (out.withColumn("match_header", F.instr(header_hay(), F.lit(query)) > 0)
+               .withColumn("match_steps", ~F.col("match_header") & F.coalesce("_hit", F.lit(False)))
                .filter(F.col("match_header") | F.col("match_steps")))
-    return with_counts(matched, matched.select("trace_id"))
+    out = (out.join(_count_by_trace(annotations, "annotation_count"), "trace_id", "left")
+           .withColumn("step_count", F.coalesce("step_count", F.lit(0)).cast("bigint"))
+           .withColumn("annotation_count", F.coalesce("annotation_count", F.lit(0)).cast("bigint")))
+    flags = ["match_header", "match_steps"] if query else []
+    return out.select(*base.columns, *flags, "step_count", "annotation_count")
 
 
 def filter_status(listed: DataFrame, mode: str = "all", q: str = "") -> DataFrame:

@@ -211,8 +211,10 @@ def daily_series(df: DataFrame, ts: str, val: str, days: int, as_of: float) -> D
     end = F.to_date(F.timestamp_micros(F.lit(int(as_of * 1_000_000))))
     spine = spark.range(1).select(
         F.posexplode(F.sequence(F.date_sub(end, days - 1), end)).alias("idx", "day"))
+    hi = (as_of // 86400 + 1) * 86400.0 + 1     # a second more on both sides; the spine has the exact days
+    lo = hi - days * 86400.0 - 2
     v = (df.select(F.col(ts).try_cast("double").alias("_t"), F.col(val).try_cast("double").alias("_v"))
-         .filter(F.col("_t").isNotNull())
+         .filter(F.col("_t").between(lo, hi))
          .groupBy(day_of(F.col("_t")).alias("day")).agg(F.sum("_v").alias("_s")))
     return (spine.join(v, "day", "left")
             .select(F.col("day").cast("string").alias("day"), F.col("idx").cast("int").alias("idx"),

@@ -6,6 +6,8 @@ the schema and the last batch applied of each stream.  An upsert writes the
 touched buckets to a folder of its own and commits by creating the next
 manifest, which fails if another writer took the number: folders are never
 changed, so readers, lost executors and retried batches see whole versions.
+``append`` adds a folder to the touched buckets and reads none of their rows, for
+tables in which a repeated row does no harm (the postings of a search index).
 
 ``<base>/manifests/v00000007.json``, ``<base>/data/<id>/bucket=<n>/part-*.parquet``
 """
@@ -73,13 +75,14 @@ class BucketTable:
         m = self.manifest()
         return m and m["version"]
 
-    def _commit(self, old: dict | None, **new) -> int:
+    def _commit(self, old: dict | None, where: dict[int, list[str]], **new) -> int:
         taken = [int(n[1:-5]) for n in self._names("manifests") if n.endswith(".json")]
         seen = old["version"] if old else 0
         if any(v > seen and self._manifest(f"v{v:08d}.json") is not None for v in taken):
             raise ConcurrentWrite(f"{self.base}: version {max(taken)} was committed meanwhile")
         version = max([seen, *taken]) + 1
-        body = json.dumps({"version": version, "keys": self.keys, **new}).encode()
+        named = {b: f if len(f) > 1 else f[0] for b, f in where.items()}
+        body = json.dumps({"version": version, "keys": self.keys, **new, "where": named}).encode()
         try:
             out = self._fs.create(self._path("manifests", f"v{version:08d}.json"), False)
         except Exception as e:
@@ -101,13 +104,14 @@ class BucketTable:
         df.write.partitionBy(BUCKET).option("compression", "zstd").parquet(f"{self.base}/data/{folder}")
         return folder, [int(x.partition("=")[2]) for x in self._names("data", folder) if x.startswith(BUCKET + "=")]
 
-    def _rows(self, where: dict[int, str], schema: T.StructType) -> DataFrame:
-        paths = [f"{self.base}/data/{folder}/{BUCKET}={b}" for b, folder in sorted(where.items())]
+    def _rows(self, where: dict[int, list[str]], schema: T.StructType) -> DataFrame:
+        paths = [f"{self.base}/data/{folder}/{BUCKET}={b}" for b, folders in sorted(where.items()) for folder in folders]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     @staticmethod
-    def _where(manifest: dict) -> dict[int, str]:
-        return {int(b): folder for b, folder in manifest["where"].items()}
+    def _where(manifest: dict) -> dict[int, list[str]]:
+        """Folders of every bucket, oldest first (one, unless rows were appended)."""
+        return {int(b): [f] if isinstance(f, str) else list(f) for b, f in manifest["where"].items()}
 
     def read(self, version: int | None = None) -> DataFrame | None:
         m = self.manifest(version)
@@ -139,13 +143,41 @@ class BucketTable:
         where = self._where(old) if old else {}
         schema = T.StructType.fromJson(old["schema"]) if old else batch.schema
         folder, touched = self._write(batch, n, False)
-        arrived = self._rows({b: folder for b in touched}, batch.schema)
+        arrived = self._rows({b: [folder] for b in touched}, batch.schema)
         before = self._rows({b: where[b] for b in touched if b in where}, schema)
         rows = combine(before, arrived)
         new, filled = self._write(rows, n, True)
-        where = {b: f for b, f in where.items() if b not in touched} | {b: new for b in filled}
+        where = {b: f for b, f in where.items() if b not in touched} | {b: [new] for b in filled}
         return self._commit(old, buckets=n, schema=rows.schema.jsonValue(), streams=streams, where=where)
 
+    def append(self, batch: DataFrame, stream: tuple[str, int] | None = None, spread: int = 4) -> int:
+        """The next version: the batch's rows in a further folder of their
+        buckets, sorted by key so that a lookup skips row groups.  No row of the
+        table is read.  Rows of one bucket are written by ``spread`` tasks, so a
+        key with very many rows is not one task's.  ``stream`` as in ``merge``."""
+        if BUCKET in batch.columns:
+            raise ValueError(f"a column is called {BUCKET}")
+        old = self.manifest()
+        streams = dict(old["streams"]) if old else {}
+        if stream is not None:
+            if streams.get(stream[0], -1) >= stream[1]:
+                return old["version"]
+            streams[stream[0]] = stream[1]
+        n = old["buckets"] if old else self.buckets
+        where = self._where(old) if old else {}
+        schema = T.StructType.fromJson(old["schema"]) if old else batch.schema
+        if batch.columns != schema.fieldNames():
+            raise ValueError(f"the table has the columns {schema.fieldNames()}")
+        folder = uuid.uuid4().hex[:16]
+        dealt = (batch.withColumn(BUCKET, self._bucket(n))
+                 .repartition(n * spread, BUCKET, F.pmod(F.xxhash64(*batch.columns), F.lit(spread)))
+                 .sortWithinPartitions(BUCKET, *self.keys))
+        dealt.write.partitionBy(BUCKET).option("compression", "zstd").parquet(f"{self.base}/data/{folder}")
+        for name in self._names("data", folder):
+            if name.startswith(BUCKET + "="):
+                where.setdefault(int(name.partition("=")[2]), []).append(folder)
+        return self._commit(old, buckets=n, schema=schema.jsonValue(), streams=streams, where=where)
+
     def upsert(self, batch: DataFrame, stream: tuple[str, int] | None = None) -> int:
         """Every row of a key in ``batch`` replaced by the batch's rows."""
         return self.merge(batch, lambda old, new: upsert(old, new, self.keys), stream)
@@ -166,16 +198,16 @@ class BucketTable:
 
     # upkeep
 
-    def compact(self, buckets: int | None = None) -> int:
-        """The whole table written anew, one file a bucket, with another number
-        of buckets if it has outgrown its own."""
+    def compact(self, buckets: int | None = None, distinct: bool = False) -> int:
+        """The whole table written anew, one folder a bucket, with another number
+        of buckets if it has outgrown its own; ``distinct`` drops repeated rows."""
         old = self.manifest()
         if old is None:
             raise ValueError("an empty table has nothing to compact")
         n = buckets or old["buckets"]
         rows = self._rows(self._where(old), T.StructType.fromJson(old["schema"]))
-        folder, filled = self._write(rows, n, True)
-        return self._commit(old, buckets=n, schema=old["schema"], streams=old["streams"], where={b: folder for b in filled})
+        folder, filled = self._write(rows.distinct() if distinct else rows, n, True)
+        return self._commit(old, buckets=n, schema=old["schema"], streams=old["streams"], where={b: [folder] for b in filled})
 
     def expire(self, keep: int = 2) -> tuple[int, int]:
         """Versions but the newest ``keep`` forgotten, with the buckets that no
@@ -185,7 +217,7 @@ class BucketTable:
             raise ValueError("the newest version stays")
         versions = self.versions()
         kept = versions[-keep:]
-        used = {(f, b) for v in kept for b, f in self._where(self.manifest(v)).items()}
+        used = {(f, b) for v in kept for b, folders in self._where(self.manifest(v)).items() for f in folders}
         for v in versions[:-keep]:
             self._fs.delete(self._path("manifests", f"v{v:08d}.json"), False)
         gone = 0

@@ -256,11 +256,10 @@ def corpus_record_id(trace_id: Column, step_id: Column) -> Column:
 
 def export_corpus(traces: DataFrame, steps: DataFrame, annotations: DataFrame,
                   license: str = "CC-BY-4.0") -> DataFrame:
-    """One record per annotation whose step exists (two inner joins):
+    """One record per annotation whose step and trace exist (two inner joins):
     id, framework, trace, step, annotation, license (``record_json``)."""
-    from ..operators.joins import first_step_per_id
-    st = first_step_per_id(steps)
-    j = (annotations.join(st, ["trace_id", "step_id"], "inner")
+    from ..operators.joins import join_annotated_steps
+    j = (join_annotated_steps(steps, annotations)
          .join(traces.select("trace_id", F.col("name").alias("trace_name"), "framework",
                              F.col("started_at").alias("trace_started_at"),
                              F.col("ended_at").alias("trace_ended_at")), "trace_id", "inner"))
