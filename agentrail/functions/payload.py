@@ -62,13 +62,15 @@ def model_id(inputs_model, name) -> Column:
     return F.coalesce(F.nullif(m, F.lit("")), after_first_colon(F.coalesce(_c(name), F.lit(""))))
 
 
-def canonical_tokens(inputs, outputs):
+def canonical_tokens(inputs, outputs, include_openai_names: bool = False):
     """(input_tokens, output_tokens): first non-null of
     ``outputs.input_tokens``, ``outputs.input``, ``inputs.input_tokens``
-    (resp. ``output_tokens`` / ``output``).  Zero is kept: the test is on
-    null, not on truthiness.  Returned as BIGINT (text parsed, floats cut)."""
-    o = fields(outputs, "input_tokens", "input", "output_tokens", "output")
+    (resp. ``output_tokens`` / ``output``) and, if asked for, of
+    ``outputs.prompt_tokens`` (``completion_tokens``).  Zero is kept: the test is
+    on null, not on truthiness.  Returned as BIGINT (text parsed, floats cut)."""
+    more = ("prompt_tokens", "completion_tokens") if include_openai_names else ()
+    o = fields(outputs, "input_tokens", "input", "output_tokens", "output", *more)
     i = fields(inputs, "input_tokens", "output_tokens")
-    tin = to_long(F.coalesce(o["input_tokens"], o["input"], i["input_tokens"]))
-    tout = to_long(F.coalesce(o["output_tokens"], o["output"], i["output_tokens"]))
+    tin = to_long(F.coalesce(o["input_tokens"], o["input"], i["input_tokens"], *[o[n] for n in more[:1]]))
+    tout = to_long(F.coalesce(o["output_tokens"], o["output"], i["output_tokens"], *[o[n] for n in more[1:]]))
     return tin, tout

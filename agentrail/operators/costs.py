@@ -83,7 +83,7 @@ def _attach(df: DataFrame, lookup: DataFrame, key: Column, name: str) -> DataFra
 
 def price_steps(steps: DataFrame, prices: DataFrame | None = None,
                 defaults: DataFrame | None = None, mode: str = "rollup",
-                model_from_name: bool = True) -> DataFrame:
+                model_from_name: bool = True, include_openai_names: bool = False) -> DataFrame:
     """llm-call steps with ``model_id, provider_hint, input_tokens,
     output_tokens, price_model, price_provider, cost_usd`` added.
 
@@ -92,13 +92,15 @@ def price_steps(steps: DataFrame, prices: DataFrame | None = None,
     ``mode='strict'``: exact -> after ``:``; tokens must be JSON integers
     in ``outputs``; ``model_from_name=False`` additionally drops the
     step-name fallback for the model (the 24 h activity rule).
+    ``include_openai_names`` (rollup): counts that one adapter records as
+    ``prompt_tokens`` / ``completion_tokens`` are priced too.
     """
     spark = steps.sparkSession
     by_model, by_provider = _price_lookup(spark, prices, defaults)
     ins = P.fields("inputs", "model", "provider", "input_tokens", "output_tokens")
     s = steps.filter(F.col("kind") == "llm-call").withColumn("_in", ins)
     if mode == "rollup":
-        tin, tout = P.canonical_tokens("inputs", "outputs")
+        tin, tout = P.canonical_tokens("inputs", "outputs", include_openai_names)
         s = s.withColumn("input_tokens", tin).withColumn("output_tokens", tout)
     elif mode == "strict":
         o = P.fields("outputs", "input_tokens", "output_tokens",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import windows as W
 from ..session import scratch_path
 from ..sinks import exports as X
+from ..dims import CORPUS_CATEGORIES
 from .catalog import register
 
 FAILED = "coalesce(json_extract_string(t.metadata, '$.failed') = 'true', false)"
@@ -105,7 +106,7 @@ SPAN_FRAGS = [
 ]
 
 
-@register("export_spans", ["ev_steps"], f"""
+SPANS_SQL = f"""
 , sp AS (SELECT *, coalesce(nullif(kind, ''), 'custom') AS k,
     {_str_sql('inputs', '$.provider')} AS prov, {_str_sql('inputs', '$.model')} AS model,
     {_int_sql('inputs', '$.max_tokens')} AS maxt, {_int_sql('outputs', '$.input_tokens')} AS itok,
@@ -131,25 +132,49 @@ SELECT trace_id, step_id, step_index,
   CASE WHEN (error IS NOT NULL AND error <> '') OR st >= 500 THEN 2 ELSE 1 END AS status_code,
   CASE WHEN error IS NOT NULL AND error <> '' THEN error
        WHEN st >= 500 THEN 'upstream returned ' || CAST(st AS VARCHAR) END AS status_message
-FROM sp""")
+FROM sp"""
+
+
+@register("export_spans", ["ev_steps"], SPANS_SQL)
 def q_export_spans(fx):
     """Every step as an OTLP span (ids, nanos, kind, status, GenAI attributes)."""
     return X.spans(fx.get("ev_steps")).withColumn("step_index", F.col("step_index").cast("int"))
 
 
-@register("export_resource_spans")
+_SPANS_CTE, _, _SPANS_BODY = SPANS_SQL.partition("\nSELECT trace_id, step_id, step_index,")
+
+
+@register("export_resource_spans", ["ev_traces", "ev_steps"], _SPANS_CTE + f"""
+, one AS (SELECT trace_id, step_id, step_index,{_SPANS_BODY}),
+per AS (SELECT trace_id, count(*) AS n, string_agg('{{"traceId":"' || trace_id_hex || '","spanId":"' || span_id_hex ||
+    coalesce('","parentSpanId":"' || parent_span_id_hex, '') || '","name":' || to_json(name) || ',"kind":' || kind ||
+    ',"startTimeUnixNano":"' || start_unix_nano || '","endTimeUnixNano":"' || end_unix_nano || '","attributes":' || attributes_json ||
+    ',"status":{{"code":' || status_code || coalesce(',"message":' || to_json(status_message), '') || '}}}}', ','
+    ORDER BY step_index) AS spans FROM one GROUP BY trace_id)
+SELECT t.trace_id, coalesce(per.n, 0) AS span_count, '{{"resource":{{"attributes":[' || concat_ws(',',
+    {_attr_sql('service.name', 'string', "'agentrail'")}, {_attr_sql('service.namespace', 'string', "'agentrail'")},
+    {_attr_sql('agentrail.trace.name', 'string', "coalesce(t.name, '')")}, {_attr_sql('agentrail.trace.id', 'string', 't.trace_id')},
+    CASE WHEN t.framework IS NOT NULL THEN {_attr_sql('agentrail.trace.framework', 'string', 't.framework')} END,
+    CASE WHEN json_extract_string(t.metadata, '$.failed') = 'true'
+      THEN '{{"key":"agentrail.trace.failed","value":{{"boolValue":true}}}}' END,
+    CASE WHEN json_extract_string(t.metadata, '$.error') IS NOT NULL
+      THEN {_attr_sql('agentrail.trace.error', 'string', "json_extract_string(t.metadata, '$.error')")} END) ||
+  ']}},"scopeSpans":[{{"scope":{{"name":"agentrail"}},"spans":[' || coalesce(per.spans, '') || ']}}]}}' AS resource_spans
+FROM ev_traces t LEFT JOIN per ON t.trace_id = per.trace_id""")
 def q_export_resource_spans(fx):
     """One OTLP resourceSpans JSON document per trace."""
     return X.resource_spans(fx.get("ev_traces"), fx.get("ev_steps"))
 
 
-CORPUS_SQL = """
+CORPUS_NOTES = """
 , la AS (SELECT trace_id, step_id, arg_max(failure_category, seq) AS failure_category,
-           arg_max(severity, seq) AS severity FROM ev_annotations GROUP BY trace_id, step_id)
+           arg_max(severity, seq) AS severity FROM ev_annotations GROUP BY trace_id, step_id)"""
+CORPUS_ROWS = """
 SELECT 'lb-' || substr(la.trace_id, 1, 8) || '-' || substr(la.step_id, 1, 6) AS id, t.framework,
   la.trace_id, la.step_id, la.failure_category, la.severity, 'CC-BY-4.0' AS license
 FROM la JOIN ev_steps s ON la.trace_id = s.trace_id AND la.step_id = s.step_id
 JOIN ev_traces t ON la.trace_id = t.trace_id"""
+CORPUS_SQL = CORPUS_NOTES + CORPUS_ROWS
 
 
 def _corpus(fx):
@@ -172,10 +197,13 @@ def q_corpus_record_id(fx):
     return a.select("trace_id", "step_id", X.corpus_record_id(F.col("trace_id"), F.col("step_id")).alias("id"))
 
 
-@register("validate_corpus")
+@register("validate_corpus", ["ev_traces", "ev_steps", "ev_annotations"], CORPUS_NOTES + f"""
+, rec AS ({CORPUS_ROWS})
+SELECT id, regexp_full_match(id, 'lb-[a-z0-9-]+') AS id_ok, '' AS missing_keys, failure_category AS category,
+  failure_category IN ({", ".join(f"'{c}'" for c in CORPUS_CATEGORIES)}) AS category_ok FROM rec""")
 def q_validate_corpus(fx):
     """Exported corpus lines checked for id pattern, keys and category."""
-    return X.validate_corpus(_corpus(fx).select("record_json"))
+    return X.validate_corpus(_corpus(fx).select("record_json")).drop("record_json")
 
 
 @register("leaderboard", ["replay_results", "corpus_categories"], """
@@ -207,18 +235,74 @@ def q_gate(fx):
     return X.gate(t, "fail-rate=20%")
 
 
-@register("trace_document", ["ev_traces", "ev_steps", "ev_annotations"], """
-, sc AS (SELECT trace_id, count(*) AS n FROM ev_steps GROUP BY trace_id),
-ac AS (SELECT trace_id, count(*) AS n FROM (SELECT DISTINCT trace_id, step_id FROM ev_annotations) d GROUP BY trace_id)
-SELECT t.trace_id, coalesce(sc.n, 0) AS step_count, coalesce(ac.n, 0) AS annotation_count
-FROM ev_traces t LEFT JOIN sc ON t.trace_id = sc.trace_id LEFT JOIN ac ON t.trace_id = ac.trace_id""")
-def q_trace_document(fx):
-    """Per trace JSON document with its steps and annotations (counts checked)."""
-    d = X.trace_documents(fx.get("ev_traces"), fx.get("ev_steps"), W.latest_annotations(fx.get("ev_annotations")))
-    return d.select("trace_id", "step_count", "annotation_count")
+def _j(col: str) -> str:
+    return f"coalesce(CAST(to_json({col}) AS VARCHAR), 'null')"
+
+
+def _n(col: str) -> str:
+    return f"coalesce(CAST({col} AS VARCHAR), 'null')"
 
 
-@register("case_file_markdown")
+def _object(**fields: str) -> str:
+    """SQL text of a JSON object, given the SQL of its values."""
+    return "'{' || " + " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in fields.items()) + " || '}'"
+
+
+STEP_OBJECT = _object(step_id=_j("step_id"), kind=_j("kind"), name=_j("name"), started_at=_n("started_at"), ended_at=_n("ended_at"),
+                      inputs="inputs", outputs="outputs", error=_j("error"))
+NOTE_OBJECT = _object(step_id=_j("step_id"), failure_category=_j("failure_category"), severity=_j("severity"), notes=_j("notes"))
+TRACE_OBJECT = _object(trace_id=_j("t.trace_id"), name=_j("t.name"), framework=_j("t.framework"), started_at=_n("t.started_at"),
+                       ended_at=_n("t.ended_at"), metadata="t.metadata", steps="'[' || coalesce(sc.j, '') || ']'",
+                       annotations="'[' || coalesce(ac.j, '') || ']'")
+LATEST_NOTES = """
+, la AS (SELECT trace_id, step_id, max(seq) AS seq, arg_max(failure_category, seq) AS failure_category,
+  arg_max(severity, seq) AS severity, arg_max(notes, seq) AS notes, arg_max(mitigation, seq) AS mitigation,
+  arg_max(annotator, seq) AS annotator, arg_max(tags, seq) AS tags FROM ev_annotations GROUP BY trace_id, step_id)"""
+
+
+@register("trace_document", ["ev_traces", "ev_steps", "ev_annotations"], LATEST_NOTES + f"""
+, sc AS (SELECT trace_id, count(*) AS n, string_agg({STEP_OBJECT}, ',' ORDER BY step_index) AS j FROM ev_steps GROUP BY trace_id),
+ac AS (SELECT trace_id, count(*) AS n, string_agg({NOTE_OBJECT}, ',' ORDER BY step_id) AS j FROM la GROUP BY trace_id)
+SELECT t.trace_id, coalesce(sc.n, 0) AS step_count, coalesce(ac.n, 0) AS annotation_count, {TRACE_OBJECT} AS document
+FROM ev_traces t LEFT JOIN sc ON t.trace_id = sc.trace_id LEFT JOIN ac ON t.trace_id = ac.trace_id""")
+def q_trace_document(fx):
+    """Per trace JSON document with its steps and annotations."""
+    return X.trace_documents(fx.get("ev_traces"), fx.get("ev_steps"), W.latest_annotations(fx.get("ev_annotations")))
+
+
+WHOLE_NOTE = _object(trace_id=_j("la.trace_id"), step_id=_j("la.step_id"), failure_category=_j("failure_category"),
+                     severity=_j("severity"), notes=_j("notes"), mitigation=_j("mitigation"), annotator=_j("annotator"),
+                     tags=_j("tags"), circuit_attribution="'null'")
+FENCE = "chr(10) || '```'"
+
+
+@register("case_file_markdown", ["ev_traces", "ev_steps", "ev_annotations"], LATEST_NOTES + f"""
+, nt AS (SELECT *, {WHOLE_NOTE} AS j FROM la),
+an AS (SELECT trace_id, string_agg(concat_ws(chr(10), '', '### ' || failure_category || ' · ' || severity, '', notes, '',
+    '**Mitigation:** ' || mitigation, '', '**Tags:** ' || array_to_string(tags, ', '), '', '*— annotated by ' || annotator || '*'),
+    chr(10) ORDER BY seq) AS blocks FROM nt GROUP BY trace_id),
+st AS (SELECT s.trace_id, s.step_index,
+    '| ' || (s.step_index + 1) || ' | `' || s.kind || '` | ' || s.name || CASE WHEN nt.j IS NOT NULL THEN ' ◉' ELSE '' END ||
+      ' | ' || printf('%.1f', coalesce((s.ended_at - s.started_at) * 1000, 0)) || ' ms | ' ||
+      CASE WHEN s.error IS NOT NULL THEN '**failed**' ELSE 'ok' END || ' |' AS line,
+    CASE WHEN s.error IS NOT NULL THEN concat_ws(chr(10), '', '### Step `' || s.name || '` (' || s.kind || ')',
+      '```', s.error || {FENCE}, '', '**Inputs**', '```json', s.inputs || {FENCE}, '', '**Outputs**', '```json', s.outputs || {FENCE},
+      chr(10) || '**Annotation**' || chr(10) || '```json' || chr(10) || nt.j || {FENCE}) END AS detail
+  FROM ev_steps s LEFT JOIN nt ON s.trace_id = nt.trace_id AND s.step_id = nt.step_id),
+sa AS (SELECT trace_id, string_agg(line, chr(10) ORDER BY step_index) AS lines,
+  string_agg(detail, chr(10) ORDER BY step_index) AS details FROM st GROUP BY trace_id),
+tt AS (SELECT *, json_extract_string(metadata, '$.failed') = 'true' AS failed, json_extract_string(metadata, '$.error') AS err FROM ev_traces)
+SELECT t.trace_id, concat_ws(chr(10), '# Case File · ' || t.name, '',
+  '> `' || substr(t.trace_id, 1, 12) || '` · ' || coalesce(t.framework, 'untagged') || ' · ' ||
+    strftime(make_timestamp(CAST(trunc(t.started_at * 1000000) AS BIGINT)), '%Y-%m-%d %H:%M:%S') || ' · ' ||
+    printf('%.0f', coalesce((t.ended_at - t.started_at) * 1000, 0)) || ' ms · **' ||
+    CASE WHEN t.failed THEN '❗ failed' ELSE '✓ ok' END || '**', '',
+  CASE WHEN t.failed THEN concat_ws(chr(10), '## Top-level error', '```', t.err, '```', '') END,
+  '## Annotations' || chr(10) || an.blocks || chr(10),
+  '## Steps', '', '| # | kind | name | duration | status |', '|---|------|------|---------:|--------|', sa.lines,
+  chr(10) || '## Failure detail' || chr(10) || sa.details) AS markdown
+FROM tt t LEFT JOIN sa ON t.trace_id = sa.trace_id LEFT JOIN an ON t.trace_id = an.trace_id""")
 def q_case_file_markdown(fx):
-    """Markdown case file per trace (badge, top error, annotations, steps)."""
+    """Markdown case file per trace: badge, error, annotations, steps and the
+    detail of every failing step."""
     return X.case_files(fx.get("ev_traces"), fx.get("ev_steps"), W.latest_annotations(fx.get("ev_annotations")))

@@ -140,7 +140,8 @@ def q_otlp_any_value(fx):
     return fx.get("ev_steps").select("step_id", U.otlp_any_value("inputs").alias("any_value"))
 
 
-@register("sink_protocol")
+@register("sink_protocol", ["ev_steps"], """
+SELECT trace_id, count(*) AS wire_steps, count(*) AS flat_steps FROM ev_steps GROUP BY trace_id""")
 def q_sink_protocol(fx):
     """Traces saved through the Sink protocol (wire files and flat Parquet)
     and read back."""
@@ -156,7 +157,8 @@ def q_sink_protocol(fx):
             .join(flat.groupBy("trace_id").agg(F.count(F.lit(1)).alias("flat_steps")), "trace_id", "full"))
 
 
-@register("step_tail")
+@register("step_tail", ["ev_steps"], """
+SELECT count(*) AS callbacks, count(CASE WHEN step_index = 0 THEN 1 END) AS failures FROM ev_steps WHERE ended_at IS NOT NULL""")
 def q_step_tail(fx):
     """Finished steps handed to a callback per micro-batch (on the
     executors); a failing callback does not stop the stream."""
@@ -164,12 +166,11 @@ def q_step_tail(fx):
     s = fx.get("ev_steps")
     s.repartition(4, "step_id").write.parquet(f"{base}/in")
     stream = S.parquet_stream(fx.spark, f"{base}/in", s.schema, max_files=1)
-    seen = fx.spark.sparkContext.accumulator(0)
 
     def callback(row):
-        seen.add(1)
         if row["step_index"] == 0:
             raise RuntimeError("callback failure is swallowed")
 
-    S.tail(stream, callback, f"{base}/ckpt").awaitTermination()
-    return fx.spark.range(1).select(F.lit(seen.value).cast("bigint").alias("callbacks"))
+    S.tail(stream, callback, f"{base}/ckpt", report=f"{base}/report").awaitTermination()
+    return S.tail_report(fx.spark, f"{base}/report").agg(
+        F.sum("calls").alias("callbacks"), F.sum("failures").alias("failures"))

@@ -254,6 +254,18 @@ def corpus_record_id(trace_id: Column, step_id: Column) -> Column:
     return F.concat(F.lit("lb-"), F.substring(trace_id, 1, 8), F.lit("-"), F.substring(step_id, 1, 6))
 
 
+def annotation_json() -> Column:
+    """An annotation as one JSON object."""
+    return F.concat(
+        F.lit('{"trace_id":'), json_string("trace_id"), F.lit(',"step_id":'), json_string("step_id"),
+        F.lit(',"failure_category":'), json_string("failure_category"), F.lit(',"severity":'), json_string("severity"),
+        F.lit(',"notes":'), json_string("notes"), F.lit(',"mitigation":'), json_string("mitigation"),
+        F.lit(',"annotator":'), json_string("annotator"),
+        F.lit(',"tags":'), F.coalesce(F.to_json("tags"), F.lit("[]")),
+        F.lit(',"circuit_attribution":'), F.coalesce(json_compact("circuit_attribution", "null"), F.lit("null")),
+        F.lit("}"))
+
+
 def export_corpus(traces: DataFrame, steps: DataFrame, annotations: DataFrame,
                   license: str = "CC-BY-4.0") -> DataFrame:
     """One record per annotation whose step and trace exist (two inner joins):
@@ -270,19 +282,11 @@ def export_corpus(traces: DataFrame, steps: DataFrame, annotations: DataFrame,
         F.lit(',"started_at":'), json_number("started_at"), F.lit(',"ended_at":'), json_number("ended_at"),
         F.lit(',"inputs":'), json_compact("inputs"), F.lit(',"outputs":'), json_compact("outputs"),
         F.lit(',"metadata":'), json_compact("metadata"), F.lit(',"error":'), json_string("error"), F.lit("}"))
-    ann_json = F.concat(
-        F.lit('{"trace_id":'), json_string("trace_id"), F.lit(',"step_id":'), json_string("step_id"),
-        F.lit(',"failure_category":'), json_string("failure_category"), F.lit(',"severity":'), json_string("severity"),
-        F.lit(',"notes":'), json_string("notes"), F.lit(',"mitigation":'), json_string("mitigation"),
-        F.lit(',"annotator":'), json_string("annotator"),
-        F.lit(',"tags":'), F.coalesce(F.to_json("tags"), F.lit("[]")),
-        F.lit(',"circuit_attribution":'), F.coalesce(json_compact("circuit_attribution", "null"), F.lit("null")),
-        F.lit("}"))
     rec = F.concat(
         F.lit('{"id":'), json_string(rid), F.lit(',"framework":'), json_string("framework"),
         F.lit(',"trace":{"trace_id":'), json_string("trace_id"), F.lit(',"name":'), json_string("trace_name"),
         F.lit(',"started_at":'), json_number("trace_started_at"), F.lit(',"ended_at":'), json_number("trace_ended_at"),
-        F.lit('},"step":'), step_json, F.lit(',"annotation":'), ann_json,
+        F.lit('},"step":'), step_json, F.lit(',"annotation":'), annotation_json(),
         F.lit(',"license":'), json_string(F.lit(license)), F.lit("}"))
     return j.select(rid.alias("id"), "framework", "trace_id", "step_id", "failure_category", "severity",
                     F.lit(license).alias("license"), rec.alias("record_json"))
@@ -374,36 +378,75 @@ def trace_documents(traces: DataFrame, steps: DataFrame, annotations: DataFrame)
                     F.coalesce("annotation_count", F.lit(0)).alias("annotation_count"), doc.alias("document")))
 
 
+def _fence(text: Column, language: str = "") -> Column:
+    return F.concat(F.lit(f"```{language}\n"), text, F.lit("\n```"))
+
+
+def _json_block(title: str, text: Column) -> Column:
+    return F.concat(F.lit(f"\n**{title}**\n"), _fence(text, "json"))
+
+
+def _given(col: Column) -> Column:
+    return F.nullif(col, F.lit(""))
+
+
 def case_files(traces: DataFrame, steps: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Markdown case file per trace: status badge, top error, annotations,
-    a step table, and the detail of the first failing step."""
-    from ..functions.text import format_duration
-    st = steps.select("trace_id", "step_index", "error", F.concat(
-        F.lit("| "), F.col("step_index").cast("string"), F.lit(" | "), F.col("kind"), F.lit(" | "),
-        F.regexp_replace(F.coalesce("name", F.lit("")), r"\|", "\\\\|"), F.lit(" | "),
-        format_duration(((F.col("ended_at") - F.col("started_at")) * 1000)), F.lit(" | "),
-        F.coalesce(F.col("error"), F.lit("")), F.lit(" |")).alias("row"))
-    sa = st.groupBy("trace_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_index", "row"))), lambda x: x["row"]),
-                     "\n").alias("_rows"),
-        F.min_by("error", F.when(F.col("error").isNotNull(), F.col("step_index"))).alias("_first_err"),
-        F.min(F.when(F.col("error").isNotNull(), F.col("step_index"))).alias("_first_idx"))
-    aa = (annotations.select("trace_id", "step_id", F.concat(
-        F.lit("- **"), F.col("failure_category"), F.lit("** ("), F.coalesce("severity", F.lit("?")),
-        F.lit(") on `"), F.col("step_id"), F.lit("`: "), F.coalesce("notes", F.lit(""))).alias("line"))
-        .groupBy("trace_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("_ann")))
+    """Markdown case file per trace: badge line, top-level error of a failed
+    trace, annotations (category, severity, notes, mitigation, tags, annotator)
+    in order of writing, a table of all steps (◉ = annotated) and the detail of
+    every failing step with its inputs, outputs and annotation.
+
+    ``annotations`` has one row a step (``windows.latest_annotations``).  Payloads
+    are in the file as compact JSON, and only those of failing steps are
+    shuffled."""
+    ms = F.coalesce(F.greatest(F.lit(0.0), (F.col("ended_at") - F.col("started_at")) * 1000), F.lit(0.0))
+    kind, name = F.coalesce("kind", F.lit("")), F.coalesce("name", F.lit(""))
+    error = _given(F.col("error"))
+
+    def payload(title: str, col: str) -> Column:
+        text = json_compact(col)
+        return F.when(~text.isin("{}", "[]", "null", '""'), _json_block(title, text))
+
+    st = steps.select("trace_id", F.struct(
+        "step_index", "step_id",
+        F.concat(F.lit("| "), (F.col("step_index") + 1).cast("string"), F.lit(" | `"), kind, F.lit("` | "),
+                 F.replace(name, F.lit("|"), F.lit("\\|"))).alias("head"),
+        F.concat(F.lit(" | "), F.format_string("%.1f", ms), F.lit(" ms | "),
+                 F.when(error.isNotNull(), "**failed**").otherwise("ok"), F.lit(" |")).alias("tail"),
+        F.when(error.isNotNull(), F.concat_ws(
+            "\n", F.lit(""), F.concat(F.lit("### Step `"), name, F.lit("` ("), kind, F.lit(")")), _fence(error),
+            payload("Inputs", "inputs"), payload("Outputs", "outputs"))).alias("detail")).alias("s"))
+    sa = st.groupBy("trace_id").agg(F.array_sort(F.collect_list("s")).alias("_steps"))
+    line = lambda label, col, end="": F.when(_given(col).isNotNull(), F.concat(F.lit(f"\n{label}"), col, F.lit(end)))
+    order = F.col("seq") if "seq" in annotations.columns else F.col("step_id")
+    aa = annotations.select("trace_id", F.struct(
+        order.alias("at"), "step_id", annotation_json().alias("json"),
+        F.concat_ws("\n", F.concat(F.lit("\n### "), F.coalesce("failure_category", F.lit("")), F.lit(" · "),
+                                   F.coalesce("severity", F.lit(""))),
+                    line("", F.col("notes")), line("**Mitigation:** ", F.col("mitigation")),
+                    line("**Tags:** ", F.array_join("tags", ", ")),
+                    line("*— annotated by ", F.col("annotator"), "*")).alias("text")).alias("a")
+    ).groupBy("trace_id").agg(F.array_sort(F.collect_list("a")).alias("_notes"))
+
+    def note(s: Column) -> Column:
+        return F.try_element_at(F.filter("_notes", lambda a: a["step_id"] == s["step_id"]), F.lit(1))["json"]
+
+    rows = F.transform("_steps", lambda s: F.concat(s["head"], F.when(note(s).isNotNull(), " ◉").otherwise(""), s["tail"]))
+    details = F.transform(F.filter("_steps", lambda s: s["detail"].isNotNull()),
+                          lambda s: F.concat_ws("\n", s["detail"], _json_block("Annotation", note(s))))
     failed = failed_flag()
-    md = F.concat(
-        F.lit("# "), F.coalesce("name", F.lit("(unnamed)")), F.lit("\n\n"),
-        F.when(failed, F.lit("**FAILED**")).otherwise(F.lit("**OK**")), F.lit(" · `"), F.col("trace_id"),
-        F.lit("`\n\n"),
-        F.when(F.col("_first_err").isNotNull(), F.concat(F.lit("Top error: "), F.col("_first_err"), F.lit("\n\n")))
-        .otherwise(F.lit("")),
-        F.lit("## Annotations\n\n"), F.coalesce("_ann", F.lit("_none_")), F.lit("\n\n"),
-        F.lit("## Steps\n\n| # | kind | name | duration | error |\n|---|---|---|---|---|\n"),
-        F.coalesce("_rows", F.lit("")), F.lit("\n"),
-        F.when(F.col("_first_idx").isNotNull(),
-               F.concat(F.lit("\n## Failure detail\n\nStep "), F.col("_first_idx").cast("string"), F.lit(": "),
-                        F.col("_first_err"), F.lit("\n"))).otherwise(F.lit("")))
+    top = F.when(failed, _given(P.fields("metadata", "error")["error"]))
+    started = F.date_format(F.timestamp_micros((F.col("started_at") * 1000000).cast("long")), "yyyy-MM-dd HH:mm:ss")
+    md = F.concat_ws(
+        "\n", F.concat(F.lit("# Case File · "), F.coalesce("name", F.lit("(unnamed)")), F.lit("\n")),
+        F.concat(F.lit("> `"), F.substring("trace_id", 1, 12), F.lit("` · "), F.coalesce(_given(F.col("framework")), F.lit("untagged")),
+                 F.lit(" · "), F.coalesce(started, F.lit("—")), F.lit(" · "), F.format_string("%.0f", ms), F.lit(" ms · **"),
+                 F.when(failed, "❗ failed").otherwise("✓ ok"), F.lit("**\n")),
+        F.when(top.isNotNull(), F.concat(F.lit("## Top-level error\n"), _fence(top), F.lit("\n"))),
+        F.when(F.col("_notes").isNotNull(), F.concat(
+            F.lit("## Annotations\n"), F.array_join(F.transform("_notes", lambda a: a["text"]), "\n"), F.lit("\n"))),
+        F.lit("## Steps\n\n| # | kind | name | duration | status |\n|---|------|------|---------:|--------|"),
+        F.array_join(rows, "\n"),
+        F.when(F.size(details) > 0, F.concat(F.lit("\n## Failure detail\n"), F.array_join(details, "\n"))))
     return (traces.join(sa, "trace_id", "left").join(aa, "trace_id", "left")
             .select("trace_id", md.alias("markdown")))

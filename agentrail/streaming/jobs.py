@@ -125,24 +125,47 @@ def keyed_upsert_sink(base: str, key: list[str], buckets: int = BUCKETS) -> Call
     return apply
 
 
-def tail(stream: DataFrame, fn: Callable[[object], None], checkpoint: str, trigger: dict | None = None):
+def tail(stream: DataFrame, fn: Callable[[object], None], checkpoint: str, trigger: dict | None = None,
+         report: str | None = None):
     """Call ``fn(row)`` for every finished step of each micro-batch, on the
-    executors (``foreachPartition``); errors in ``fn`` are swallowed, a
-    callback must never stop capture."""
-    def per_partition(rows) -> None:
+    executors; errors in ``fn`` are swallowed, a callback must never stop capture.
+
+    With ``report``, a folder shared by all executors, every partition writes how
+    many calls it made and how many failed (``tail_report``): committed once a
+    batch, so a repeated task or a replayed batch counts once there, though its
+    rows may reach ``fn`` again."""
+    def per_partition(rows):
+        calls = failures = 0
         for row in rows:
+            calls += 1
             try:
                 fn(row)
             except Exception:  # noqa: BLE001 - user callback errors are swallowed
-                continue
+                failures += 1
+        if calls:
+            yield calls, failures
 
-    def apply(batch: DataFrame, _batch_id: int) -> None:
-        batch.filter(F.col("ended_at").isNotNull()).foreachPartition(per_partition)
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        done = batch.filter(F.col("ended_at").isNotNull())
+        if report is None:
+            done.foreachPartition(lambda rows: list(per_partition(rows)))
+            return
+        counts = batch.sparkSession.createDataFrame(done.rdd.mapPartitions(per_partition), TAIL_SCHEMA)
+        counts.write.mode("overwrite").parquet(f"{report}/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+TAIL_SCHEMA = "calls bigint, failures bigint"
+
+
+def tail_report(spark: SparkSession, report: str) -> DataFrame:
+    """Calls and failed calls of a ``tail`` by micro-batch."""
+    rows = spark.read.schema(TAIL_SCHEMA + ", batch_id bigint").parquet(report)
+    return rows.groupBy("batch_id").agg(F.sum("calls").alias("calls"), F.sum("failures").alias("failures"))
+
+
 def live_view(table: DataFrame, n: int = 50, failed_only: bool = False) -> DataFrame:
     """Newest ``n`` trace cards of the derived table (optionally failed only)."""
     from ..operators.relational import latest_n, trace_cards
