@@ -59,11 +59,11 @@ n1 AS (
       AS BIGINT) AS output_tokens,
     coalesce(status = 429 OR (json_type(r, '$.error') = 'OBJECT' AND TRY_CAST(json_extract_string(r, '$.error.code') AS BIGINT) = 429),
              false) AS rate_limited,
-    coalesce(error, CASE WHEN status >= 400 THEN substr('HTTP ' || CAST(status AS VARCHAR) || ': ' || coalesce(
+    coalesce(error, CASE WHEN status >= 400 THEN 'HTTP ' || CAST(status AS VARCHAR) || ': ' || coalesce(
         CASE WHEN json_type(r, '$.error.message') = 'VARCHAR' THEN json_extract_string(r, '$.error.message') END,
         CASE WHEN json_type(r, '$.error') = 'VARCHAR' THEN json_extract_string(r, '$.error') END,
         CASE WHEN json_type(r, '$.message') = 'VARCHAR' THEN json_extract_string(r, '$.message') END,
-        response_body, ''), 1, 500) END) AS err,
+        response_body, '') END) AS err,
     CASE WHEN provider = 'anthropic' THEN coalesce(len(list_filter(CAST(json_extract(r, '$.content[*]') AS JSON[]),
                 lambda b: json_extract_string(b, '$.type') = 'tool_use')), 0)
          WHEN provider = 'openai' OR starts_with(provider, 'openai-compatible:')

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import detect_provider, detect_provider_path
 
-ERROR_TEXT_LIMIT = 500
-
 
 def _t(v: Column) -> Column:
     return F.schema_of_variant(v)
@@ -86,13 +84,14 @@ def response_summary(resp: Column) -> dict[str, Column]:
     }
 
 
-def error_message(status: Column, resp_text: Column, resp: Column) -> Column:
+def error_message(status: Column, resp_text: Column, resp: Column, limit: int | None = None) -> Column:
     """'HTTP <status>: <msg>' for status >= 400, msg = error.message ->
-    error (text) -> message -> raw body; cut to 500 characters."""
+    error (text) -> message -> raw body; whole, or its first ``limit``
+    characters."""
     msg = F.coalesce(_str(resp, "$.error.message"), _str(resp, "$.error"), _str(resp, "$.message"), resp_text,
                      F.lit(""))
     full = F.concat(F.lit("HTTP "), status.cast("string"), F.lit(": "), msg)
-    return F.when(status >= 400, F.substring(full, 1, ERROR_TEXT_LIMIT))
+    return F.when(status >= 400, full if limit is None else F.substring(full, 1, limit))
 
 
 def response_tool_calls(provider: Column, resp: Column) -> Column:
@@ -130,9 +129,10 @@ def response_tool_calls(provider: Column, resp: Column) -> Column:
             .when(provider == "gemini", F.coalesce(gem, empty)).otherwise(empty))
 
 
-def normalize_llm_calls(calls: DataFrame, forced_provider: str | None = None) -> DataFrame:
+def normalize_llm_calls(calls: DataFrame, forced_provider: str | None = None, error_limit: int | None = None) -> DataFrame:
     """One llm-call row per HTTP call with typed summary columns and the
-    step's ``inputs`` / ``outputs`` / ``metadata`` JSON."""
+    step's ``inputs`` / ``outputs`` / ``metadata`` JSON.  Error texts are whole,
+    or cut to ``error_limit`` characters."""
     c = calls.select("*", F.try_parse_json("request_body").alias("_req"),
                      F.try_parse_json("response_body").alias("_resp"))
     if forced_provider:
@@ -154,7 +154,7 @@ def normalize_llm_calls(calls: DataFrame, forced_provider: str | None = None) ->
         summ["stop_reason"].alias("stop_reason"), summ["input_tokens"].alias("input_tokens"),
         summ["output_tokens"].alias("output_tokens"), F.coalesce(rl, F.lit(False)).alias("rate_limited"),
         response_tool_calls(F.coalesce(F.col("provider"), F.lit("")), resp).alias("tool_calls"),
-        F.coalesce(F.col("error"), error_message(F.col("status"), F.col("response_body"), resp)).alias("error"),
+        F.coalesce(F.col("error"), error_message(F.col("status"), F.col("response_body"), resp, error_limit)).alias("error"),
         F.when(_is_arr(_g(req, "$.messages")), F.to_json(_g(req, "$.messages"))).alias("_messages"),
         F.try_variant_get(req, "$.max_tokens", "bigint").alias("_max_tokens"))
     return out.withColumn("name", F.concat(F.coalesce("provider", F.lit("unknown")), F.lit(":"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from agentrail.functions import payload as P
 from agentrail.operators import costs
 from agentrail.sinks import exports as X
+from agentrail.sources import http as H
 from agentrail.streaming import jobs as S
 
 STEP = ("trace_id string, step_id string, step_index int, kind string, name string, started_at double, ended_at double, "
@@ -71,3 +72,10 @@ def test_openai_token_names_are_read_when_asked_for(spark):
     assert [s.select(*P.canonical_tokens("inputs", "outputs", more)).first()[0] for more in (False, True)] == [None, 1000000]
     assert costs.price_steps(s).first().cost_usd is None
     assert costs.price_steps(s, include_openai_names=True).first().cost_usd > 0
+
+
+def test_error_texts_are_whole_unless_a_limit_is_given(spark):
+    long = "x" * 5_000
+    r = spark.createDataFrame([(500, long), (200, long)], "status int, body string").select(
+        *[H.error_message(F.col("status"), F.col("body"), F.try_parse_json("body"), n).alias(f"e{n}") for n in (None, 20)]).collect()
+    assert [tuple(x) for x in r] == [("HTTP 500: " + long, "HTTP 500: " + "x" * 10), (None, None)]
