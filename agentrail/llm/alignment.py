@@ -232,6 +232,8 @@ def _runs(path_a: str, path_b: str, whole_groups: bool, schema):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64())] + [_one_list(c, f.type) for c, f in zip(cells[1:], list(out_schema)[1:])], schema=out_schema)
                 number += 1
+                del n_a, n_b, groups, links, said, table, partial, distinct, doc, order, place, cells
+                pa.default_memory_pool().release_unused()     # or a worker keeps the pages of its largest run
     return runs
 
 
