@@ -24,6 +24,7 @@ import hashlib
 import itertools
 import re
 import sys
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -73,7 +74,7 @@ class PieceEncoder:
         new = list(set(itertools.chain.from_iterable(cut)).difference(known))
         for lo in range(0, len(new), 10_000):
             some = new[lo:lo + 10_000]
-            known.update(zip(some, (np.array(ids, "<i4").tobytes() for ids in self.model.encode(some, num_threads=1))))
+            known.update(zip(some, (array("i", ids).tobytes() for ids in self.model.encode(some, num_threads=1))))
         out = [b"".join(map(known.__getitem__, some)) for some in cut]
         if len(known) > MOST_SEGMENTS:
             for s in new:
