@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import numbered_lines
+
 ANNOTATION_DDL = ("array<struct<trace_id:string, step_id:string, failure_category:string, notes:string, "
                   "mitigation:string, severity:string, annotator:string, tags:array<string>, "
                   "circuit_attribution:string>>")
@@ -41,23 +43,20 @@ def check_corpus(lines: DataFrame) -> DataFrame:
 
 def corpus_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines of the corpus files with their 1-based line number
-    inside their file (each file read whole; corpus files are capped)."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    lines = files.select("file", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("pos", "line"))
-    return lines.filter(F.length(F.trim("line")) > 0).select("file", (F.col("pos") + 1).alias("line_no"), "line")
+    inside their file; large files are read by many tasks."""
+    return numbered_lines(spark, path)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Strict corpus reader: the first bad line (or an empty corpus) raises
-    an error naming the file and line; only that one row reaches the
-    driver."""
+    an error naming the file and line.  One job looks at all lines; one row
+    with their number and the first bad one reaches the driver."""
     lines = corpus_lines(spark, path)
-    first = (check_corpus(lines).filter(F.col("error").isNotNull())
-             .orderBy("file", "line_no").limit(1).collect())
-    if first:
-        raise ValueError(f"{first[0]['file']}: line {first[0]['line_no']}: {first[0]['error']}")
-    if not lines.limit(1).count():
+    bad = F.when(F.col("error").isNotNull(), F.struct("file", "line_no", "error"))
+    seen = check_corpus(lines).agg(F.count(F.lit(1)).alias("n"), F.min(bad).alias("bad")).first()
+    if seen.bad:
+        raise ValueError(f"{seen.bad.file}: line {seen.bad.line_no}: {seen.bad.error}")
+    if not seen.n:
         raise ValueError("corpus is empty")
     r = F.from_json("line", "id string, framework string, license string")
     return lines.select("file", "line_no", r.alias("r"), "line").select("file", "line_no", "r.*", "line")

@@ -4,10 +4,11 @@
 Reading is tolerant: a blank line is dropped; a line that is not JSON, or
 is JSON but not an object, is counted as skipped and never fails the job.
 
-Scale notes: each file is one row (``wholetext``), so a file must fit in
-a task's memory (trace files are KB-sized); all per-file work is then a
-``posexplode`` plus per-file aggregates keyed by the file path, so the
-only shuffles are the ``file`` group-bys, which combine map-side.
+Scale notes: ``read_trace_lines`` reads large files by split, many tasks a
+file, with line numbers from counts by split (``sources/lines.py``).  Where a
+file's whole text is wanted (``read_trace_files``) it is one row and must fit
+in a task's memory.  Per-file work is aggregates keyed by the file path, so
+the only shuffles are the ``file`` group-bys, which combine map-side.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lines import numbered_lines
+
 # Envelope keys of a wire record (all read as raw JSON text, then typed).
 ENVELOPE = ["_type", "trace_id", "name", "framework", "started_at", "ended_at", "metadata",
             "step_id", "parent_step_id", "kind", "inputs", "outputs", "error"]
@@ -45,7 +48,11 @@ def trace_lines(files: DataFrame) -> DataFrame:
     ``file, pos, line, good, rec`` where ``rec`` is the parsed envelope
     (all fields as raw JSON text) for good lines."""
     lines = files.select("file", F.posexplode(F.split(F.col("text"), "\r\n|\r|\n")).alias("pos", "line"))
-    lines = lines.filter(~F.col("line").rlike(r"^\s*$"))
+    return parsed_lines(lines.filter(~F.col("line").rlike(r"^\s*$")))
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """Non-blank lines (file, pos, line) with ``good`` and ``rec``."""
     ddl = ", ".join(f"`{k}` string" for k in ENVELOPE)
     good = is_json_object(F.col("line"))
     return lines.select("file", "pos", "line", good.alias("good"),
@@ -53,7 +60,9 @@ def trace_lines(files: DataFrame) -> DataFrame:
 
 
 def read_trace_lines(spark: SparkSession, path: str) -> DataFrame:
-    return trace_lines(read_trace_files(spark, path))
+    """``trace_lines`` of the files under ``path`` (glob allowed), read by
+    split; ``pos`` is the 0-based physical line."""
+    return parsed_lines(numbered_lines(spark, path).select("file", (F.col("line_no") - 1).alias("pos"), "line"))
 
 
 def corrupt_line_report(lines: DataFrame) -> DataFrame:
