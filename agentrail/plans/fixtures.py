@@ -463,6 +463,27 @@ FROM documents
 """)
 
 
+# Request bodies with inline media in the known shapes (the media are the
+# documents' texts), secrets in and beside them, and counts of tokens.
+_B64 = {
+    "spark": "regexp_replace(base64(CAST(text AS BINARY)), '[^A-Za-z0-9+/=]', '')",
+    "duckdb": "to_base64(encode(text))",
+}
+_MEDIA_CALLS = """
+SELECT doc_id, text, CASE doc_id %% 4
+  WHEN 0 THEN '{"model":"m","max_tokens":256,"usage":{"total_tokens":7},"messages":[{"role":"user","content":[' ||
+    '{"type":"image","source":{"type":"base64","media_type":"image/png","data":"' || %(b64)s ||
+    '"}},{"type":"text","text":"key sk-' || md5(CAST(doc_id AS STRING)) || '"}]}]}'
+  WHEN 1 THEN '{"stream":true,"token":"x","messages":[{"role":"user","content":[{"type":"image_url","image_url":' ||
+    '{"url":"data:image/png;base64,' || %(b64)s || '"}},{"type":"image_url","image_url":{"url":"https://a.example/b"}}]}]}'
+  WHEN 2 THEN '{"api_key":"k","contents":[{"role":"user","parts":[{"inlineData":{"mimeType":"image/png","data":"' ||
+    %(b64)s || '"}},{"password":"p"}]}]}'
+  ELSE '{"stream":false,"max_tokens":5,"prompt":"use sk-' || md5(CAST(doc_id AS STRING)) || ' now"}' END AS body
+FROM documents
+"""
+view("media_calls", ["documents"], {d: _MEDIA_CALLS % {"b64": b} for d, b in _B64.items()})
+
+
 def _order(names: list[str]) -> list[str]:
     out: list[str] = []
 

@@ -9,6 +9,7 @@ from ..session import scratch_path
 from ..sinks import exports as X
 from ..dims import CORPUS_CATEGORIES
 from .catalog import register
+from .fixtures import AS_OF
 
 FAILED = "coalesce(json_extract_string(t.metadata, '$.failed') = 'true', false)"
 
@@ -226,6 +227,32 @@ def q_leaderboard_categories(fx):
     return c
 
 
+@register("leaderboard_entry", ["replay_results", "corpus_categories"], """
+, c AS (SELECT coalesce(c.category, 'unknown') AS category, count(CASE WHEN r.ok THEN 1 END) AS replayed,
+    count(CASE WHEN NOT r.ok THEN 1 END) AS errors
+  FROM replay_results r LEFT JOIN corpus_categories c ON r.id = c.id GROUP BY 1)
+SELECT 'benchmark' AS corpus, (SELECT count(*) FROM corpus_categories) AS corpus_size, 'openai' AS provider,
+  'gpt-4o' AS model, CAST(sum(replayed + errors) AS BIGINT) AS total, CAST(sum(replayed) AS BIGINT) AS replayed,
+  CAST(sum(errors) AS BIGINT) AS errors, sum(errors) / sum(replayed + errors) AS fail_rate,
+  '{' || string_agg('"' || category || '":{"replayed":' || replayed || ',"errors":' || errors || '}', ',' ORDER BY category) ||
+    '}' AS categories, '2024-01-31T00:00:00+00:00' AS timestamp, '1' AS version
+FROM c""")
+def q_leaderboard_entry(fx):
+    """The leaderboard's entry: header, totals and counts by category."""
+    cats = fx.get("corpus_categories")
+    e = X.leaderboard_entry(fx.get("replay_results"), cats, "benchmark", cats.count(), "openai", "gpt-4o", AS_OF)
+    return e.withColumn("categories", F.to_json("categories"))
+
+
+@register("leaderboard_records", ["replay_results"], """
+SELECT id, '{"id":' || JQ(id) || ',"ok":' || CAST(ok AS VARCHAR) ||
+  CASE WHEN error IS NULL THEN '' ELSE ',"error":' || JQ(error) END || '}' AS line
+FROM replay_results""")
+def q_leaderboard_records(fx):
+    """The leaderboard's records, one JSON line a replay result."""
+    return X.leaderboard_records(fx.get("replay_results"))
+
+
 @register("gate", ["replay_results"], """
 SELECT 'fail-rate' AS metric, count(CASE WHEN NOT ok THEN 1 END) / count(*) AS actual, 0.2 AS threshold,
   count(CASE WHEN NOT ok THEN 1 END) / count(*) > 0.2 AS breach FROM replay_results""")

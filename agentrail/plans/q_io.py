@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ..sinks import wire as WS
 from ..sources import wire as WR
+from ..sources.lines import numbered_lines
 from .catalog import register
 
 # DuckDB: wire_files -> non-blank lines with a validity flag.
@@ -44,6 +46,28 @@ def q_read_trace_lines(fx):
         "pos", F.col("pos").cast("bigint"))
 
 
+@register("trace_lines_by_split", ["wire_files"], LINES + """
+SELECT good, rtype AS record_type,
+  CASE WHEN good THEN coalesce(json_extract_string(line, '$.step_id'), json_extract_string(line, '$.trace_id')) END
+    AS record_id, true AS in_order
+FROM wr""")
+def q_trace_lines_by_split(fx):
+    """Lines written to files in the shared folder, each with its place in its
+    file, and read back by split: records, and whether the place is the number."""
+    path = scratch_path(fx.spark, "lines")
+    own = _lines(fx).select("line").withColumn("nth", F.monotonically_increasing_id())
+    place = F.col("nth") - F.shiftleft(F.shiftright("nth", 33), 33)
+    own.select(F.concat(place.cast("string"), F.lit(" "), "line")).write.text(path)
+    got = numbered_lines(fx.spark, path)
+    cut = F.locate(" ", F.col("line"))
+    ln = WR.parsed_lines(got.select("file", (F.col("line_no") - 1).alias("pos"),
+                                    F.substring("line", F.lit(1), cut - 1).cast("bigint").alias("place"),
+                                    F.expr("substring(line, locate(' ', line) + 1)").alias("line")), ["place"])
+    return ln.select("good", F.col("rec._type").alias("record_type"),
+                     F.coalesce(F.col("rec.step_id"), F.col("rec.trace_id")).alias("record_id"),
+                     (F.col("place") == F.col("pos")).alias("in_order"))
+
+
 @register("corrupt_line_report", ["wire_files"], LINES + """
 SELECT file, count(CASE WHEN good THEN 1 END) AS records, count(CASE WHEN NOT good THEN 1 END) AS skipped
 FROM wr GROUP BY file""")

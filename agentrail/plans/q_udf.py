@@ -22,18 +22,55 @@ def q_sequence_diff(fx):
 
 @register("redact_json")
 def q_redact_json(fx):
-    """JSON payloads redacted by key name and value pattern (depth-capped)."""
+    """JSON payloads redacted by key name and value pattern, at any depth."""
     s = fx.get("secret_json")
     return s.select("doc_id", RD.redact_json("payload").alias("payload"))
 
 
-@register("scrub_media")
+# The bodies of media_calls with their media summed up, in SQL.
+SUMMARY = """
+, m AS (SELECT *, doc_id % 4 AS shape, to_base64(encode(text)) AS b64,
+    '{"_media_summary":true,"media_type":"image/png","size_bytes":' || CAST(strlen(text) AS VARCHAR) ||
+    ',"sha256":"' || sha256(text) || '"}' AS summary FROM media_calls),
+scrubbed AS (SELECT doc_id, shape, CASE
+    WHEN shape = 0 AND length(b64) > 64 THEN replace(body,
+      '{"type":"base64","media_type":"image/png","data":"' || b64 || '"}', summary)
+    WHEN shape = 1 AND length(b64) + 22 > 64 THEN replace(body, '{"url":"data:image/png;base64,' || b64 || '"}', summary)
+    WHEN shape = 2 AND length(b64) > 64 THEN replace(body,
+      '{"mimeType":"image/png","data":"' || b64 || '"}', summary)
+    ELSE body END AS body FROM m)"""
+
+
+@register("scrub_media", ["media_calls"], SUMMARY + """
+SELECT doc_id, body FROM scrubbed""")
 def q_scrub_media(fx):
-    """Request bodies with inline base64 media replaced by summaries."""
+    """Request bodies whose inline media (the documents) are replaced by
+    summaries; remote images stay."""
+    return fx.get("media_calls").select("doc_id", U.scrub_media("body").alias("body"))
+
+
+@register("scrub_media_calls", ["http_calls"], """
+SELECT call_id, request_body FROM http_calls""")
+def q_scrub_media_calls(fx):
+    """Request bodies without media come back as they are."""
     c = fx.get("http_calls")
     return c.select("call_id", U.scrub_media("request_body").alias("request_body"))
 
 
+@register("captured_inputs", ["media_calls"], SUMMARY + """
+SELECT doc_id, CASE shape
+  WHEN 0 THEN '{' || replace(substr(body, strpos(body, '"messages":'), length(body) - strpos(body, '"messages":')),
+    'sk-' || md5(CAST(doc_id AS VARCHAR)), '[redacted]') || ',"max_tokens":256}'
+  WHEN 1 THEN '{' || substr(body, strpos(body, '"messages":'), length(body) - strpos(body, '"messages":')) || ',"stream":true}'
+  WHEN 2 THEN '{' || replace(substr(body, strpos(body, '"contents":')), '{"password":"p"}', '{"password":"[redacted]"}')
+  ELSE '{"prompt":"use [redacted] now","max_tokens":5}' END AS inputs
+FROM scrubbed""")
+def q_captured_inputs(fx):
+    """What is stored of request bodies: spoken members only, media summed up
+    before secrets inside them are redacted."""
+    return fx.get("media_calls").select("doc_id", U.captured_inputs("body").alias("inputs"))
+
+
 @register("attribute_steps")
 def q_attribute_steps(fx):
     """Feature attribution of llm-call steps with the built-in hash scorer."""

@@ -326,6 +326,36 @@ def leaderboard(results: DataFrame, record_categories: DataFrame) -> tuple[DataF
     return totals, cats
 
 
+def leaderboard_entry(results: DataFrame, record_categories: DataFrame, corpus: str, corpus_size: int,
+                      provider: str, model: str, as_of: float, version: str = "1") -> DataFrame:
+    """One row: what was replayed (corpus, its size, provider, model), totals,
+    fail rate, ``categories`` as a map from category to counts, the time in ISO
+    form and the version.  One pass groups the results by category (their
+    vocabulary is small), and the totals are sums over the categories.  No
+    results: totals 0, fail rate 0, an empty map.  The single results are lines
+    of their own (``leaderboard_records``), never gathered into the row."""
+    _, cats = leaderboard(results, record_categories)
+    counts = F.struct("category", F.struct("replayed", "errors").alias("counts"))
+    row = cats.agg(F.coalesce(F.sum("replayed"), F.lit(0)).alias("replayed"),
+                   F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"),
+                   F.map_from_entries(F.array_sort(F.collect_list(counts))).alias("categories"))
+    total = F.col("replayed") + F.col("errors")
+    return row.select(
+        F.lit(corpus).alias("corpus"), F.lit(corpus_size).cast("bigint").alias("corpus_size"),
+        F.lit(provider).alias("provider"), F.lit(model).alias("model"),
+        total.alias("total"), "replayed", "errors",
+        F.when(total > 0, F.col("errors") / total).otherwise(F.lit(0.0)).alias("fail_rate"), "categories",
+        F.date_format(F.timestamp_micros(F.lit(int(as_of * 1_000_000))), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("timestamp"),
+        F.lit(version).alias("version"))
+
+
+def leaderboard_records(results: DataFrame) -> DataFrame:
+    """(id, line): each replay result as one JSON line with ``id``, ``ok`` (a
+    null counts as failed) and ``error`` where there is one."""
+    rec = F.struct("id", F.coalesce("ok", F.lit(False)).alias("ok"), "error")
+    return results.select("id", F.to_json(rec).alias("line"))
+
+
 def parse_gate(spec: str) -> tuple[str, float]:
     """'fail-rate=20%' or 'fail-rate=0.2' -> ('fail-rate', 0.2); other metric
     or a non-number raises."""

@@ -51,11 +51,12 @@ def trace_lines(files: DataFrame) -> DataFrame:
     return parsed_lines(lines.filter(~F.col("line").rlike(r"^\s*$")))
 
 
-def parsed_lines(lines: DataFrame) -> DataFrame:
-    """Non-blank lines (file, pos, line) with ``good`` and ``rec``."""
+def parsed_lines(lines: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Non-blank lines (file, pos, line) with ``good`` and ``rec``, and the
+    columns named by ``keep``."""
     ddl = ", ".join(f"`{k}` string" for k in ENVELOPE)
     good = is_json_object(F.col("line"))
-    return lines.select("file", "pos", "line", good.alias("good"),
+    return lines.select("file", "pos", "line", *keep, good.alias("good"),
                         F.when(good, F.from_json("line", ddl)).alias("rec"))
 
 

@@ -79,3 +79,20 @@ def test_error_texts_are_whole_unless_a_limit_is_given(spark):
     r = spark.createDataFrame([(500, long), (200, long)], "status int, body string").select(
         *[H.error_message(F.col("status"), F.col("body"), F.try_parse_json("body"), n).alias(f"e{n}") for n in (None, 20)]).collect()
     assert [tuple(x) for x in r] == [("HTTP 500: " + long, "HTTP 500: " + "x" * 10), (None, None)]
+
+
+def test_leaderboard_entry_and_records(spark):
+    from agentrail.sinks.exports import leaderboard_entry, leaderboard_records
+    ddl = "id string, ok boolean, error string"
+    cats = spark.createDataFrame([("a", "loop"), ("b", "loop"), ("c", "off")], "id string, category string")
+    res = spark.createDataFrame([("a", True, None), ("b", False, "x"), ("c", None, 'q"'), ("d", True, None)], ddl)
+    e = leaderboard_entry(res, cats, "c.jsonl", 4, "p", "m", 1706659200.0, "2").first()
+    assert (e.corpus, e.corpus_size, e.provider, e.model, e.version) == ("c.jsonl", 4, "p", "m", "2")
+    assert (e.total, e.replayed, e.errors, e.fail_rate) == (4, 2, 2, 0.5)
+    assert {k: tuple(v) for k, v in e.categories.items()} == {"loop": (1, 1), "off": (0, 1), "unknown": (1, 0)}
+    assert e.timestamp == "2024-01-31T00:00:00+00:00"
+    lines = {r.id: r.line for r in leaderboard_records(res).collect()}
+    assert lines == {"a": '{"id":"a","ok":true}', "b": '{"id":"b","ok":false,"error":"x"}',
+                     "c": '{"id":"c","ok":false,"error":"q\\""}', "d": '{"id":"d","ok":true}'}
+    none = leaderboard_entry(res.limit(0), cats, "c", 0, "p", "m", 0.0).first()
+    assert (none.total, none.fail_rate, none.categories) == (0, 0.0, {})
