@@ -458,7 +458,7 @@ view("secret_json", ["documents"], """
 SELECT doc_id, '{"api_key":"' || md5(CAST(doc_id AS STRING)) || '","note":' || JQ(text) ||
   ',"tokens":' || CAST(n_chars AS STRING) || ',"nested":{"Authorization":"Bearer ' || md5(lang) ||
   '","items":[' || JQ(source) || ',{"password":"x","keep":1}]},"deep":' ||
-  '{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":{"secret":"kept-too-deep"}}}}}}}}}}' AS payload
+  '{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":{"secret":"x"}}}}}}}}}}}' AS payload
 FROM documents
 """)
 

@@ -134,7 +134,32 @@ def q_message_tool_calls(fx):
     return H.explode_tool_calls(c).select("call_id", "name", "arguments")
 
 
-@register("otlp_any_value")
+def _any_string(path: str) -> str:
+    x = f"json_extract_string(inputs, '{path}')"
+    return f"""'{{"stringValue":' || coalesce(JQ({x}), '""') || '}}'"""
+
+
+def _any_object(members: dict[str, str]) -> str:
+    """SQL text of an AnyValue object from its members' AnyValues."""
+    inside = " || '},' || ".join(f"""'{{"key":"{k}","value":' || {v}""" for k, v in members.items())
+    return f"""'{{"kvlistValue":{{"values":[' || {inside} || '}}]}}}}'"""
+
+
+def _any_message(i: int) -> str:
+    return _any_object({k: _any_string(f"$.messages[{i}].{k}") for k in ("role", "content")})
+
+
+ANY_MESSAGES = f"""'{{"arrayValue":{{"values":[' || {_any_message(0)} || ',' || {_any_message(1)} || ']}}}}'"""
+ANY_COUNT = """'{"intValue":"' || json_extract_string(inputs, '$.arguments.k') || '"}'"""
+
+
+@register("otlp_any_value", ["ev_steps"], f"""
+SELECT step_id, CASE kind
+  WHEN 'llm-call' THEN {_any_object({"model": _any_string("$.model"), "provider": _any_string("$.provider"),
+                                     "messages": ANY_MESSAGES})}
+  WHEN 'tool-call' THEN {_any_object({"tool": _any_string("$.tool"), "arguments": _any_object({"k": ANY_COUNT})})}
+  ELSE {_any_object({"prompt": _any_string("$.prompt")})} END AS any_value
+FROM ev_steps""")
 def q_otlp_any_value(fx):
     """Step inputs rendered as OTLP AnyValue JSON (recursive tagged union)."""
     return fx.get("ev_steps").select("step_id", U.otlp_any_value("inputs").alias("any_value"))

@@ -165,19 +165,30 @@ PROMPT_SQL = ("array_to_string(list_transform(CAST(json_extract(inputs, '$.messa
               "json_extract_string(m, '$.content')), chr(10))")
 
 
-@register("hash_features", ["ev_steps"], f"""
-, a AS (SELECT trace_id, step_id, {PROMPT_SQL} AS prompt,
-          coalesce(CASE WHEN json_type(outputs, '$.text') = 'VARCHAR' THEN json_extract_string(outputs, '$.text') END,
-                   CASE WHEN json_type(outputs, '$.answer') = 'VARCHAR' THEN json_extract_string(outputs, '$.answer') END,
-                   '') AS response
-        FROM ev_steps WHERE kind = 'llm-call'),
+RESPONSE_SQL = ("coalesce(CASE WHEN json_type(outputs, '$.text') = 'VARCHAR' THEN json_extract_string(outputs, '$.text') END, "
+                "CASE WHEN json_type(outputs, '$.answer') = 'VARCHAR' THEN json_extract_string(outputs, '$.answer') END, '')")
+SPOKEN_SQL = f"""
+, a AS (SELECT trace_id, step_id, error, step_index, {PROMPT_SQL} AS prompt, {RESPONSE_SQL} AS response
+        FROM ev_steps WHERE kind = 'llm-call')"""
+
+
+def hash_rows(condition: str) -> str:
+    """SQL of the hash scorer over the llm-calls that meet ``condition``."""
+    return f"""{SPOKEN_SQL},
 h AS (SELECT trace_id, step_id, sha256(trace_id || '::' || step_id || '::' || prompt || '::' || response) AS h
-      FROM a WHERE length(trim(prompt)) > 0 OR length(trim(response)) > 0),
-r AS (SELECT trace_id, step_id, h, unnest(generate_series(0, 7)) AS rank FROM h)
-SELECT trace_id, step_id, CAST(rank AS BIGINT) AS rank,
+      FROM a WHERE {condition}),
+r AS (SELECT trace_id, step_id, h, unnest(generate_series(0, 7)) AS rank FROM h),
+hashed AS (SELECT trace_id, step_id, CAST(rank AS BIGINT) AS rank,
   CAST(('0x' || substr(h, CAST((rank * 4) % 32 AS INT) * 2 + 1, 8)) AS BIGINT) % 16384 AS feature_id,
-  round(5.0 - rank * (4.5 / 8), 4) AS activation, 'mock.layer.resid_post' AS layer
-FROM r""")
+  round(5.0 - rank * (4.5 / 8), 4) AS activation, 'mock.layer.resid_post' AS layer FROM r)"""
+
+
+ANY_TEXT = "(length(trim(prompt)) > 0 OR length(trim(response)) > 0)"
+HASH_SQL = hash_rows(ANY_TEXT) + """
+SELECT * FROM hashed"""
+
+
+@register("hash_features", ["ev_steps"], HASH_SQL)
 def q_hash_features(fx):
     """Deterministic hash attribution of every attributable llm-call step."""
     return FT.hash_features(R.attributable(fx.get("ev_steps")))
@@ -192,12 +203,15 @@ def q_attributable_steps(fx):
     return R.attributable(fx.get("ev_steps")).select("trace_id", "step_id")
 
 
-@register("attach_attribution", ["ev_steps", "ev_annotations"], """
-, la AS (SELECT trace_id, step_id, arg_max(failure_category, seq) AS failure_category FROM ev_annotations
-         GROUP BY trace_id, step_id),
-res AS (SELECT trace_id, step_id FROM ev_steps WHERE kind = 'llm-call' AND (error IS NOT NULL OR step_index = 0))
+@register("attach_attribution", ["ev_steps", "ev_annotations"], hash_rows("error IS NOT NULL OR step_index = 0") + """,
+la AS (SELECT trace_id, step_id, arg_max(failure_category, seq) AS failure_category FROM ev_annotations
+       GROUP BY trace_id, step_id),
+res AS (SELECT trace_id, step_id, '{"model":"mock","sae":"mock","method":"mock-hash-topk","top_features":[' ||
+    string_agg('{"feature_id":' || feature_id || ',"activation":' || CAST(CAST(activation AS DOUBLE) AS VARCHAR) ||
+               ',"layer":"' || layer || '"}', ',' ORDER BY rank) || ']}' AS doc
+  FROM hashed GROUP BY trace_id, step_id)
 SELECT coalesce(la.trace_id, res.trace_id) AS trace_id, coalesce(la.step_id, res.step_id) AS step_id,
-  coalesce(la.failure_category, 'other') AS failure_category, res.step_id IS NOT NULL AS attributed
+  coalesce(la.failure_category, 'other') AS failure_category, res.doc AS circuit_attribution
 FROM la FULL JOIN res ON la.trace_id = res.trace_id AND la.step_id = res.step_id""")
 def q_attach_attribution(fx):
     """Hash attributions of every failing llm-call and of each trace's
@@ -209,8 +223,7 @@ def q_attach_attribution(fx):
     res = FT.attribution_json(FT.hash_features(cand))
     a = W.latest_annotations(fx.get("ev_annotations"))
     out = J.attach_attribution(a, res)
-    return out.select("trace_id", "step_id", "failure_category",
-                      F.col("circuit_attribution").isNotNull().alias("attributed"))
+    return out.select("trace_id", "step_id", "failure_category", "circuit_attribution")
 
 
 @register("match_surrogate", ["ev_steps"], f""",

@@ -16,7 +16,7 @@ from .q_costs import priced_sql
 CUSTOM = [r"\b[0-9a-f]{40}\b", "([unclosed"]
 
 
-def _duck_redact(col: str, extra: list[str] = ()) -> str:
+def duck_redact(col: str, extra: list[str] = ()) -> str:
     out = col
     for _, p in RD.SECRET_VALUE_PATTERNS:
         pat = p.replace("(?iU)", "(?i)").replace("(?U)", "")
@@ -27,7 +27,7 @@ def _duck_redact(col: str, extra: list[str] = ()) -> str:
 
 
 @register("redact_text", ["secrets_text"], f"""
-SELECT src, id, {_duck_redact('text')} AS text FROM secrets_text""")
+SELECT src, id, {duck_redact('text')} AS text FROM secrets_text""")
 def q_redact_text(fx):
     """Whole documents and turns with the nine credential shapes redacted."""
     s = fx.get("secrets_text")
@@ -35,7 +35,7 @@ def q_redact_text(fx):
 
 
 @register("custom_patterns", ["secrets_text"], f"""
-SELECT src, id, {_duck_redact('text', [CUSTOM[0]])} AS text FROM secrets_text""")
+SELECT src, id, {duck_redact('text', [CUSTOM[0]])} AS text FROM secrets_text""")
 def q_custom_patterns(fx):
     """Redaction with a user pattern (40 hex digits); an invalid one is skipped."""
     s = fx.get("secrets_text")

@@ -21,7 +21,7 @@ from .fixtures import AS_OF
 from .q_costs import strict_sql
 from .q_docs import INGEST_TRACES_SQL
 from .q_io import HEADERS, LINES
-from .q_scalars import _duck_redact
+from .q_scalars import duck_redact
 
 BATCHES = 4
 
@@ -207,7 +207,7 @@ def q_stream_ingest(fx):
 
 
 @register("stream_redact", ["secrets_text"], f"""
-SELECT src, id, {_duck_redact('text')} AS text FROM secrets_text""")
+SELECT src, id, {duck_redact('text')} AS text FROM secrets_text""")
 def q_stream_redact(fx):
     """Texts redacted on the way in (stateless map on a stream)."""
     base, src, out, ck = _dirs(fx, "redact")

@@ -12,6 +12,8 @@ from ..sinks import exports as X
 from ..sources import sidecars as SC
 from ..operators import windows as W
 from .catalog import register
+from .q_features import ANY_TEXT, HASH_SQL, SPOKEN_SQL
+from .q_scalars import duck_redact
 
 
 @register("sequence_diff")
@@ -20,7 +22,12 @@ def q_sequence_diff(fx):
     return U.sequence_diff(fx.get("ev_steps"), fx.get("ev_pairs"))
 
 
-@register("redact_json")
+@register("redact_json", ["secret_json"], f"""
+, clean AS (SELECT doc_id, {duck_redact('text')} AS note, {duck_redact('source')} AS source FROM documents)
+SELECT doc_id, '{{"api_key":"[redacted]","note":' || JQ(note) || ',"tokens":"[redacted]","nested":' ||
+  '{{"Authorization":"[redacted]","items":[' || JQ(source) || ',{{"password":"[redacted]","keep":1}}]}},"deep":' ||
+  '{{"a":{{"b":{{"c":{{"d":{{"e":{{"f":{{"g":{{"h":{{"i":{{"secret":"[redacted]"}}}}}}}}}}}}}}}}}}}}}}' AS payload
+FROM clean""")
 def q_redact_json(fx):
     """JSON payloads redacted by key name and value pattern, at any depth."""
     s = fx.get("secret_json")
@@ -71,12 +78,37 @@ def q_captured_inputs(fx):
     return fx.get("media_calls").select("doc_id", U.captured_inputs("body").alias("inputs"))
 
 
-@register("attribute_steps")
+@register("attribute_steps", ["ev_steps"], HASH_SQL)
 def q_attribute_steps(fx):
     """Feature attribution of llm-call steps with the built-in hash scorer."""
     return U.attribute_steps(fx.get("ev_steps"), "hash")
 
 
+@register("attribute_steps_scorer", ["ev_steps"], SPOKEN_SQL + f"""
+, l AS (SELECT trace_id, step_id, unnest(regexp_extract_all(prompt || response, '[a-z]')) AS letter FROM a WHERE {ANY_TEXT}),
+n AS (SELECT trace_id, step_id, letter, count(*) AS n FROM l GROUP BY trace_id, step_id, letter),
+k AS (SELECT *, row_number() OVER (PARTITION BY trace_id, step_id ORDER BY n DESC, letter) - 1 AS rank FROM n)
+SELECT trace_id, step_id, rank, CAST(ascii(letter) AS BIGINT) AS feature_id, CAST(n AS DOUBLE) AS activation,
+  'letters' AS layer FROM k WHERE rank < 3""")
+def q_attribute_steps_scorer(fx):
+    """Feature attribution of llm-call steps with a user's scorer, one Arrow
+    batch at a time.  The scorer is a local function, so it travels by value."""
+    def letters(frame):
+        """The commonest letters of prompt and response, each a feature by its
+        code point with its number as activation."""
+        from collections import Counter
+
+        import pandas as pd
+        rows = []
+        for t, s, text in zip(frame["trace_id"], frame["step_id"], frame["prompt"] + frame["response"]):
+            seen = Counter(c for c in text if "a" <= c <= "z")
+            best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:3]
+            rows += [(t, s, k, ord(c), float(n), "letters") for k, (c, n) in enumerate(best)]
+        return pd.DataFrame(rows, columns=["trace_id", "step_id", "rank", "feature_id", "activation", "layer"])
+
+    return U.attribute_steps(fx.get("ev_steps"), letters)
+
+
 @register("read_annotations", ["ev_annotations"], """
 SELECT trace_id, step_id, arg_max(failure_category, seq) AS failure_category, arg_max(severity, seq) AS severity,
   arg_max(notes, seq) AS notes, arg_max(annotator, seq) AS annotator
