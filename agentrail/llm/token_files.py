@@ -24,6 +24,9 @@ from .tokens import encoder, text_groups, vocabulary
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
+#: Rows of a page at most: keys are small, and a reader of one document opens
+#: the ids of all rows of its key's page.
+PAGE_ROWS = 1000
 
 
 def _encode(vocab: str, end_id: int, keep: list[str], schema):
@@ -61,7 +64,8 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, key: str = "doc_id", te
     out = rows.mapInArrow(_encode(vocab, end_id, [f.name for f in kept], schema), schema)
     out = out.withColumn("seq", F.monotonically_increasing_id())
     (out.write.option("compression", "snappy").option("parquet.block.size", ROW_GROUP_BYTES)
-     .option("parquet.page.size", PAGE_BYTES).option("parquet.writer.version", "PARQUET_2_0")
+     .option("parquet.page.size", PAGE_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS)
+     .option("parquet.writer.version", "PARQUET_2_0")
      .option("parquet.enable.dictionary", "false").parquet(path))
 
 

@@ -264,6 +264,49 @@ def test_token_files_round_trip(spark, odd, none, tmpdir_fresh):
         token_files.write_tokens(odd.withColumn("seq", F.lit(1)), f"{tmpdir_fresh}/x", tokens.vocabulary(), meta=["seq"])
 
 
+def _token_parts(path):
+    import glob
+
+    import pyarrow.parquet as pq
+    return [pq.ParquetFile(f) for f in sorted(glob.glob(f"{path}/*.parquet"))]
+
+
+def test_token_files_are_delta_encoded_with_page_indexes(spark, odd, tmpdir_fresh):
+    token_files.write_tokens(odd, f"{tmpdir_fresh}/d", tokens.vocabulary(), meta=["lang"])
+    seen = 0
+    for part in _token_parts(f"{tmpdir_fresh}/d"):
+        for g in range(part.metadata.num_row_groups):
+            cols = [part.metadata.row_group(g).column(c) for c in range(part.metadata.row_group(g).num_columns)]
+            for c in cols:
+                if c.path_in_schema.split(".")[0] in ("doc_id", "seq", "n_tokens", "ids") and c.num_values:
+                    assert "DELTA_BINARY_PACKED" in c.encodings and not c.has_dictionary_page, c.path_in_schema
+                    assert c.has_offset_index and c.has_column_index, c.path_in_schema
+                    seen += 1
+    assert seen >= 4
+
+
+def _scanned(df):
+    """Rows that the Parquet reader handed over when ``df`` was collected."""
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_selective_reads_open_few_pages(spark, tmpdir_fresh):
+    """A reader of one document gets the rows of its pages, by the column
+    indexes, and not its row group; a reader of lengths never opens ids."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the and of "), F.col("id").cast("string")).alias("text"))
+    token_files.write_tokens(docs, f"{tmpdir_fresh}/p", tokens.vocabulary())
+    path = f"{tmpdir_fresh}/p"
+    assert max(p.metadata.row_group(0).num_rows for p in _token_parts(path)) > 3 * token_files.PAGE_ROWS
+    one = token_files.read_tokens(spark, path, ["doc_id", "ids"], F.col("doc_id") == 12_345)
+    assert [r.doc_id for r in one.collect()] == [12_345]
+    assert 1 <= _scanned(one) <= token_files.PAGE_ROWS
+    lengths = token_files.read_tokens(spark, path, ["doc_id", "n_tokens"])
+    assert len(lengths.collect()) == _scanned(lengths) == 30_000
+    schema = lengths._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert "n_tokens" in schema and "ids" not in schema
+
+
 def test_fingerprints_follow_the_order_and_locate_edits(odd, none):
     rows = [r for r in odd_rows() if r[0] is not None and r[0] != 7]
     got = {}
