@@ -68,3 +68,21 @@ def test_calls_to_the_state_store_go_with_slots_not_with_runs():
     left = pd.concat(pairs.handleExpiredTimer((0,), _At(1_000_000 + 3_600_000 + 450_000), _At(4_600_000)))
     assert sorted(left["run_id"]) == sorted(f"r{i}" for i in range(400, 450)) and left["ended_at"].isna().all()
     assert min(store.timers - {4_600_000}) == 1_450_000 + 3_600_000 and store.calls < 30
+
+
+def test_landed_files_are_written_by_as_many_tasks_as_a_shuffle_has(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id % 5000 as k", "cast(id as double) as at")
+    for name, time_col in (("plain", None), ("timed", "at")):
+        path = str(tmp_path / name)
+        stream = QS._land(rows, path, "k", batches=2, time_col=time_col)
+        files = spark.read.parquet(path).inputFiles()
+        assert len(files) == 8                     # the test session's shuffle partitions
+        seen = []
+        q = (stream.writeStream.foreachBatch(lambda b, i: seen.append(b.selectExpr("count(*)", "min(at)", "max(at)").first()[:]))
+             .option("checkpointLocation", f"{path}-c").trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert len(seen) == 2 and sum(s[0] for s in seen) == 20_000
+        if time_col:
+            assert [s[1:] for s in seen] == [(0.0, 9999.0), (10_000.0, 19_999.0)]
+    keyed = spark.read.parquet(str(tmp_path / "plain")).selectExpr("k", "_metadata.file_name f").distinct()
+    assert keyed.count() == 5000                   # a key's rows lie in one file
