@@ -97,10 +97,14 @@ class BucketTable:
         return F.pmod(F.xxhash64(*self.keys), F.lit(n)).cast("int")
 
     def _write(self, df: DataFrame, n: int, by_bucket: bool) -> tuple[str, list[int]]:
-        """Rows written by bucket; the folder and the buckets that have rows."""
+        """Rows written by bucket; the folder and the buckets that have rows.
+        With ``by_bucket`` a bucket's rows go to few files, each of them whole
+        keys: one task a bucket would take the whole table's share of it."""
         folder = uuid.uuid4().hex[:16]
         df = df.withColumn(BUCKET, self._bucket(n))
-        df = df.repartition(n, BUCKET) if by_bucket else df
+        if by_bucket:
+            spread = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // n)
+            df = df.repartition(BUCKET, F.pmod(F.shiftright(F.xxhash64(*self.keys), 32), F.lit(spread)))
         df.write.partitionBy(BUCKET).option("compression", "zstd").parquet(f"{self.base}/data/{folder}")
         return folder, [int(x.partition("=")[2]) for x in self._names("data", folder) if x.startswith(BUCKET + "=")]
 

@@ -86,3 +86,16 @@ def test_landed_files_are_written_by_as_many_tasks_as_a_shuffle_has(spark, tmp_p
             assert [s[1:] for s in seen] == [(0.0, 9999.0), (10_000.0, 19_999.0)]
     keyed = spark.read.parquet(str(tmp_path / "plain")).selectExpr("k", "_metadata.file_name f").distinct()
     assert keyed.count() == 5000                   # a key's rows lie in one file
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table = BucketTable(spark, str(tmp_path / "t"), "k", 2)
+        table.upsert(spark.range(1000).selectExpr("id % 500 as k", "id as v"))
+        table.upsert(spark.range(400).selectExpr("id as k", "-id as v"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    per = table.read().selectExpr("k", "_metadata.file_path f")
+    assert per.count() == 600 and per.select("f").distinct().count() > 2
+    assert per.distinct().count() == 500           # a key's rows lie in one file
