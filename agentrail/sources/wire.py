@@ -95,11 +95,14 @@ def split_traces(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("h.framework").alias("framework"),
         _num(F.col("h.started_at")).alias("started_at"), _num(F.col("h.ended_at")).alias("ended_at"),
         F.coalesce(F.col("h.metadata"), F.lit("{}")).alias("metadata"))
-    w = Window.partitionBy("file").orderBy("pos")
-    st = (good.filter(F.col("rec._type") == "step")
-          .withColumn("step_index", (F.row_number().over(w) - 1).cast("int")))
-    ids = traces.select("file", F.col("trace_id").alias("_tid"))
-    steps = (st.join(ids, "file", "left")
+    # records are read and dealt by file once; headers come first there, so that
+    # every step meets the last of them in a running window
+    upto = Window.partitionBy("file").orderBy("_step", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head = F.when(~F.col("_step") & F.col("file").isNotNull(), F.struct("pos", F.col("rec.trace_id").alias("id")))
+    st = (good.filter(F.col("rec._type").isin("step", "trace")).withColumn("_step", F.col("rec._type") == "step")
+          .withColumn("_tid", F.max(head).over(upto)["id"])
+          .withColumn("step_index", (F.row_number().over(Window.partitionBy("file", "_step").orderBy("pos")) - 1).cast("int")))
+    steps = (st.filter("_step")
              .select("file", F.coalesce("_tid", file_stem(F.col("file"))).alias("trace_id"),
                      F.col("rec.step_id").alias("step_id"), "step_index",
                      F.col("rec.parent_step_id").alias("parent_step_id"),

@@ -99,3 +99,22 @@ def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
     per = table.read().selectExpr("k", "_metadata.file_path f")
     assert per.count() == 600 and per.select("f").distinct().count() > 2
     assert per.distinct().count() == 500           # a key's rows lie in one file
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_meet_their_header_without_a_second_read(spark):
+    text = "\n".join(['{"_type":"step","step_id":"s0"}', '{"_type":"trace","trace_id":"first"}', "{'a':1}", "[1]", '{"_type":"step","step_id":"s1"}',
+                      '{"a":"tab\there"}', '{"_type":"trace","trace_id":"last"} x', '{"_type":"trace","trace_id":"last"}'])
+    files = spark.createDataFrame([("x/a.jsonl", text), ("x/b.jsonl", '{"_type":"step","step_id":"s2"}'),
+                                   (None, text)], "file string, text string")
+    lines = WR.trace_lines(files)
+    _, steps = WR.split_traces(lines)
+    assert "Join" not in _plan(steps) and _plan(steps).count("Exchange hash") == 1
+    got = sorted(map(tuple, steps.select("file", "trace_id", "step_id", "step_index").collect()), key=str)
+    assert got == [("x/a.jsonl", "last", "s0", 0), ("x/a.jsonl", "last", "s1", 1), ("x/b.jsonl", "b", "s2", 0),
+                   (None, None, "s0", 0), (None, None, "s1", 1)]
+    good = [r.good for r in lines.where("file = 'x/a.jsonl'").orderBy("pos").collect()]
+    assert good == [r.good for r in lines.where("file = 'x/a.jsonl'").orderBy("pos").select(WR.is_json_object("line").alias("good")).collect()]
