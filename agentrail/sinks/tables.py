@@ -10,7 +10,7 @@ same version again (a re-delivered micro-batch) is idempotent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,8 +36,13 @@ def build_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     per_file = lines.groupBy("file").agg(
         F.count(F.when(~F.col("good"), 1)).alias("_bad"),
         F.count(F.when(F.col("good") & (F.col("rec._type") == "trace"), 1)).alias("_hdr"))
-    ok_files = per_file.filter((F.col("_bad") == 0) & (F.col("_hdr") > 0)).select("file")
-    traces, steps = WR.split_traces(lines.join(ok_files, "file", "left_semi"))
+    # lines are dealt by file once; bad ones and headers come first there, so that
+    # a running window tells whether the file is taken
+    hdr = F.coalesce(F.col("good") & (F.col("rec._type") == "trace"), F.lit(False))
+    upto = (Window.partitionBy("file").orderBy(F.when(~F.col("good"), 0).when(hdr, 1).otherwise(2))
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    judged = lines.withColumn("_bad", F.max(~F.col("good")).over(upto)).withColumn("_hdr", F.max(hdr).over(upto))
+    traces, steps = WR.split_traces(judged.filter(F.col("file").isNotNull() & ~F.col("_bad") & F.col("_hdr")))
     report = per_file.agg(
         F.count(F.when((F.col("_bad") == 0) & (F.col("_hdr") > 0), 1)).alias("indexed"),
         F.count(F.when((F.col("_bad") > 0) | (F.col("_hdr") == 0), 1)).alias("skipped"))
