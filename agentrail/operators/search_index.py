@@ -34,12 +34,15 @@ def query_grams(query: str) -> list[str]:
 
 
 def postings(traces: DataFrame, steps: DataFrame) -> DataFrame:
-    """(gram, trace_id, part), each once.  Rows without a trace id have none."""
+    """(gram, trace_id, part), each once.  Rows without a trace id have none.
+    Texts are dealt by trace before they are cut, so postings, which are many
+    times as large, are not shuffled to find the repeated ones."""
     def of(df: DataFrame, hay: Column, part: str) -> DataFrame:
-        return df.where(F.col("trace_id").isNotNull()).select(
-            F.explode(grams(hay)).alias("gram"), "trace_id", F.lit(part).alias("part"))
+        texts = df.where(F.col("trace_id").isNotNull()).select("trace_id", hay.alias("hay")).repartition("trace_id")
+        return (texts.select(F.explode(grams(F.col("hay"))).alias("gram"), "trace_id").distinct()
+                .withColumn("part", F.lit(part)))
 
-    return of(traces, header_hay(), HEADER).unionByName(of(steps, step_hay(), STEPS)).distinct()
+    return of(traces, header_hay(), HEADER).unionByName(of(steps, step_hay(), STEPS))
 
 
 class TraceIndex:

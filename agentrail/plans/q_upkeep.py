@@ -8,7 +8,7 @@ from ..operators import annotations as A
 from ..operators import costs
 from ..operators import windows as W
 from ..operators.search_index import TraceIndex
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sinks import by_day
 from ..sinks.buckets import BucketTable
 from .catalog import ORACLES, register
@@ -21,7 +21,7 @@ def q_search_traces_indexed(fx):
     """Traces whose header or steps contain 'HTTP 429', by the trigram index:
     built in two batches, of which the second is replayed; traces and steps are
     read from tables bucketed by trace."""
-    traces, steps = fx.get("ev_traces"), fx.get("ev_steps")
+    traces, steps = materialize(fx.get("ev_traces"), "traces"), materialize(fx.get("ev_steps"), "steps")
     base = scratch_path(fx.spark, "search-index")
     tables = {"traces": BucketTable(fx.spark, f"{base}/traces", buckets=DEMO_BUCKETS), "steps": BucketTable(fx.spark, f"{base}/steps", buckets=DEMO_BUCKETS)}
     tables["traces"].append(traces)

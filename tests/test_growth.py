@@ -118,3 +118,13 @@ def test_steps_meet_their_header_without_a_second_read(spark):
                    (None, None, "s0", 0), (None, None, "s1", 1)]
     good = [r.good for r in lines.where("file = 'x/a.jsonl'").orderBy("pos").collect()]
     assert good == [r.good for r in lines.where("file = 'x/a.jsonl'").orderBy("pos").select(WR.is_json_object("line").alias("good")).collect()]
+
+
+def test_postings_are_not_shuffled_to_drop_repeated_ones(spark):
+    traces = spark.createDataFrame([("t", "abcd", "f", "{}"), (None, "abcd", "f", "{}")], "trace_id string, name string, framework string, metadata string")
+    steps = spark.createDataFrame([("t", "xyzxyz", "k", "{}", "{}", None), ("t", "xyz", "k", "{}", "{}", None)],
+                                  "trace_id string, name string, kind string, inputs string, outputs string, error string")
+    found = SI.postings(traces, steps)
+    assert "hashpartitioning(gram" not in _plan(found)
+    rows = list(map(tuple, found.collect()))
+    assert len(rows) == len(set(rows)) and ("xyz", "t", "steps") in rows and ("abc", "t", "header") in rows
