@@ -10,7 +10,7 @@ from ..functions import text as TX
 from ..operators import costs
 from ..operators import features as FT
 from ..operators import udf as U
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sinks import exports as X
 from ..sinks.protocol import FlatParquetSink, Sink, WireSink
 from ..sources import http as H
@@ -172,7 +172,7 @@ def q_sink_protocol(fx):
     and read back."""
     base = scratch_path(fx.spark, "sinks")
     sinks: list[Sink] = [WireSink(f"{base}/wire"), FlatParquetSink(f"{base}/flat")]
-    t, s = fx.get("ev_traces"), fx.get("ev_steps")
+    t, s = materialize(fx.get("ev_traces"), "traces"), materialize(fx.get("ev_steps"), "steps")   # read by each sink
     for sink in sinks:
         sink.save(t, s)
     from ..sinks.wire import read_wire_lines
