@@ -35,6 +35,8 @@ LEARN_DOCS, LEARN_BYTES = 1500, 24 << 20
 #: clean, one dimension of the softmax, and the standard errors that log odds
 #: have to be from zero.
 BIAS, START, SURE = (1.0, -1.0), (-1.0, 1.0), 1.64
+#: N-grams of documents that are counted at a time (more for one larger document).
+COUNTED = 2_000_000
 EPOCHS, RATE, DECAY = 40, 0.02, 1e-5
 THRESHOLD = 0.7
 SEED = 7
@@ -142,11 +144,20 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     begins = np.concatenate([[0], np.cumsum(numbers)])
     # documents of each bucket, from the words of each document
     pair = np.unique(row * np.int64(len(spelt)) + word)
-    said = pair % len(spelt)
-    held = np.unique(np.repeat(pair // len(spelt), numbers[said]) * np.int64(size) + _spread(buckets, begins, numbers, said))
-    of_doc, gram = held // size, held % size
+    said, at = pair % len(spelt), pair // len(spelt)
     n1, n0 = y.sum(), (1 - y).sum()
-    d1, d0 = np.bincount(gram, y[of_doc], size), np.bincount(gram, 1 - y[of_doc], size)
+    d1, d0 = np.zeros(size), np.zeros(size)
+    starts = np.searchsorted(at, np.arange(len(y) + 1))
+    before = np.concatenate([[0], np.cumsum(numbers[said])])[starts]      # n-grams of the documents before each
+    first = 0
+    while first < len(y):
+        end = max(first + 1, int(np.searchsorted(before, before[first] + COUNTED, "right")) - 1)
+        some = slice(starts[first], starts[end])
+        held = np.unique(np.repeat(at[some], numbers[said[some]]) * np.int64(size) + _spread(buckets, begins, numbers, said[some]))
+        d1 += np.bincount(held % size, y[held // size], size)
+        d0 += np.bincount(held % size, 1 - y[held // size], size)
+        first = end
+    del pair, said, at
     known = d1 + d0 >= LEAST_DOCS
     odds = np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (n0 + 1))
     odds = np.sign(odds) * np.maximum(np.abs(odds) - SURE * np.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5)), 0)

@@ -128,3 +128,19 @@ def test_postings_are_not_shuffled_to_drop_repeated_ones(spark):
     assert "hashpartitioning(gram" not in _plan(found)
     rows = list(map(tuple, found.collect()))
     assert len(rows) == len(set(rows)) and ("xyz", "t", "steps") in rows and ("abc", "t", "header") in rows
+
+
+def test_toxicity_training_counts_n_grams_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from agentrail.llm.toxicity import train
+    rng = np.random.default_rng(0)
+    words = ["".join(map(chr, rng.integers(97, 123, 12))) for _ in range(8000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 8000, 2500)) for _ in range(120)]
+    tracemalloc.start()
+    model = train(texts, [i % 2 for i in range(120)], epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(model.logit).all() and peak < 200 << 20
