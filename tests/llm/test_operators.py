@@ -374,6 +374,21 @@ def test_toxicity_model_knows_misspellings(spark, odd, none):
     assert toxicity.sample(docs.limit(0), keys) == []
 
 
+def test_toxicity_sample_shuffles_no_texts(spark):
+    docs = spark.createDataFrame([(i % 90, f"text {i}") for i in range(100)], "key long, text string")
+    keys = spark.createDataFrame([(i, i % 2) for i in range(90)], "key long, label int")
+
+    def bare_joins(plan):
+        inner = [j for i in range(plan.children().size()) for j in bare_joins(plan.children().apply(i))]
+        return inner + [plan] * (plan.nodeName() == "Join" and "broadcast" not in plan.hint().toString())
+
+    some = toxicity.chosen(docs, keys, most=10)
+    joins = bare_joins(some._jdf.queryExecution().optimizedPlan())
+    assert joins and not any("text" in j.output().mkString(",") for j in joins)
+    assert {r.key: r.text for r in toxicity.chosen(docs, keys).collect()} == {
+        i: min([f"text {i}"] + [f"text {i + 90}"] * (i < 10)) for i in range(90)}
+
+
 def test_toxicity_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.op10_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
