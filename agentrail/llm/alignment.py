@@ -37,9 +37,9 @@ from .tokens import byte_letters, encoder, vocabulary
 #: Groups with more pairs than this are taken by their distinct ids.
 MANY_PAIRS = 256
 #: Segments that each encoder of a worker remembers, and bytes of text in a run
-#: of documents; both bound a worker's memory (to about 600 MB).
-MOST_SEGMENTS = 350_000
-RUN_BYTES = 2 << 20
+#: of documents; both bound a worker's memory (to about 350 MB).
+MOST_SEGMENTS = 250_000
+RUN_BYTES = 1 << 20
 _ENDS = ",|;"
 _ALONE = re.compile(r"(?<! ) ")
 
@@ -165,6 +165,7 @@ def align_run(aligner: Aligner, texts: list[str], data: np.ndarray, offs: np.nda
     n_groups = int(last_a.sum())
     ca, cb = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
     sa, sb = _starts(ca), _starts(cb)
+    del left, right, both, key_a, key_b
     doc = doc_a[last_a > 0]
     groups = np.bincount(doc, minlength=n_docs)
     links = np.concatenate([[0], np.cumsum(ca * cb)])
@@ -182,6 +183,7 @@ def align_run(aligner: Aligner, texts: list[str], data: np.ndarray, offs: np.nda
     body = memoryview(spelt.buffers()[2] or b"")
     said = [(bytes(body[x:y]).decode() if whole_groups else hashlib.sha256(body[x:y]).hexdigest()) if x < y else ""
             for x, y in zip(at[:-1], at[1:])]
+    del lists, names, spelt, body, at, tail, last_a, last_b, group_a, group_b, doc_a, doc_b
 
     # links by id pair: common groups token by token, the others by distinct ids
     product = ca * cb
@@ -189,7 +191,9 @@ def align_run(aligner: Aligner, texts: list[str], data: np.ndarray, offs: np.nda
     of = np.repeat(some, product[some])
     k = np.arange(len(of)) - np.repeat(_starts(product[some]), product[some])
     wide_a, wide_b = id_a.astype(np.int64) << 32, id_b.astype(np.int64)
+    del id_a, id_b
     pairs, docs, times = [wide_a[sa[of] + k // cb[of]] | wide_b[sb[of] + k % cb[of]]], [doc[of]], [np.ones(len(of), np.int64)]
+    del of, k
     for g in np.flatnonzero(product > MANY_PAIRS):
         x, nx = np.unique(wide_a[sa[g]:sa[g] + ca[g]], return_counts=True)
         y, ny = np.unique(wide_b[sb[g]:sb[g] + cb[g]], return_counts=True)
@@ -197,6 +201,7 @@ def align_run(aligner: Aligner, texts: list[str], data: np.ndarray, offs: np.nda
         times.append((nx[:, None] * ny[None]).ravel())
         docs.append(np.full(len(pairs[-1]), doc[g]))
     table = pa.table({"doc": np.concatenate(docs), "pair": np.concatenate(pairs), "n": np.concatenate(times)})
+    del pairs, docs, times, wide_a, wide_b
     table = table.group_by(["doc", "pair"], use_threads=False).aggregate([("n", "sum")])
     return n_a, n_b, groups, links, said, table
 

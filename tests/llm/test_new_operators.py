@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -213,3 +214,20 @@ def test_spelling_of_odd_tables(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert {tuple(r) for r in spelling.spelling_variants(odd).collect()} == brute_spelling(rows)
     assert spelling.spelling_variants(none).count() == 0
+
+
+def test_a_run_of_alignment_is_small():
+    import tracemalloc
+
+    from agentrail.llm.common import text_slices
+    texts = [" ".join(f"word{i * 7919 % 997}ing {k} thing" for i in range(60)) for k in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    lo, hi, data, offs = next(text_slices(batch, most=alignment.RUN_BYTES))
+    both = alignment.Aligner(VOCAB, PIECES)
+    alignment.align_run(both, texts[lo:hi], data, offs, False)       # what an encoder remembers is not counted
+    tracemalloc.start()
+    try:
+        alignment.align_run(both, texts[lo:hi], data, offs, False)
+        assert tracemalloc.get_traced_memory()[1] < 90 << 20
+    finally:
+        tracemalloc.stop()
