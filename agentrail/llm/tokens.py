@@ -8,6 +8,7 @@ import gc
 import itertools
 import os
 import re
+import string
 import sys
 from array import array
 
@@ -31,6 +32,8 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 
 # Fixed value: how byte-level vocabularies spell a space.
 SPACE = "\u0120"
+#: Marks that the pattern cuts off behind a word, as one run.
+MARKS = string.punctuation
 
 
 def byte_letters() -> str:
@@ -41,6 +44,9 @@ def byte_letters() -> str:
     return "".join(chr(b if b in plain else next(spare)) for b in range(256))
 
 
+_LETTERS = dict(enumerate(byte_letters()))
+
+
 def special_strings(tokenizer) -> dict[str, int]:
     """Strings that the library takes for one id wherever a text has them."""
     added = tokenizer.get_added_tokens_decoder()
@@ -64,6 +70,55 @@ def cut_parts(text: str) -> list[str]:
     return parts if parts[0] else parts[1:]
 
 
+class _Known(dict):
+    """Ids by part.  A part looked up for the first time is merged at once if
+    the pattern surely leaves it whole or cuts it at its line ends and before
+    its last marks only; any other is None and kept in ``odd`` until learned."""
+
+    def __init__(self, merge):
+        self.merge, self.odd, self.missed = merge, set(), 0
+
+    def __missing__(self, part: str) -> bytes | None:
+        if part[0] == " " and part[1:].isalpha():
+            ids = self._merged(part)
+        elif "\n" in part:
+            line, end, rest = part.partition("\n")
+            # no other white space beside the line end
+            ids = (self._joined(line, end, rest)
+                   if line and rest and not line[-1].isspace() and not rest[0].isspace() else None)
+        else:
+            word = part.rstrip(MARKS)
+            if word == part:
+                ids = self._merged(part) if part.isalpha() else None
+            elif word == "" or word == " ":
+                ids = self._merged(part)
+            else:
+                ids = self._joined(word, part[len(word):]) if word[word[0] == " ":].isalpha() else None
+        if ids is None:
+            self.odd.add(part)
+            self.missed += 1
+        else:
+            self[part] = ids
+        return ids
+
+    def _joined(self, *parts: str) -> bytes | None:
+        found = [self[p] for p in parts]
+        return None if None in found else b"".join(found)
+
+    def _merged(self, piece: str) -> bytes | None:
+        """A piece of the pattern, spelt byte by byte.  Letters beyond Latin-1
+        are left to the library, which may know others than Python."""
+        if piece.isascii():
+            spelt = piece.replace(" ", SPACE)
+        else:
+            try:
+                piece.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+            spelt = piece.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.merge(spelt)]).tobytes()
+
+
 class Encoder:
     """Encodes texts by one tokenizer file; ids come as little-endian unsigned
     32-bit numbers in bytes.  Special strings inside texts are their own ids,
@@ -76,13 +131,14 @@ class Encoder:
         self.special = {s: array("I", [i]).tobytes() for s, i in special_strings(self.tokenizer).items()} if special else {}
         self.apart = special_pattern(self.special)
         self.tokenizer.encode_special_tokens = True     # for the parts between them
-        self.known: dict[str, bytes] = {}
         self.most = most
         self.merge = self.tokenizer.model.tokenize
+        self.known = _Known(self.merge)
         # bytes that each id stands for: a byte-level vocabulary spells each
         # byte as one character
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.sizes = np.array([len(n) for n in names], np.int64)
+        self._learn({"\n"})
 
     def _learn(self, parts: set[str]) -> None:
         """Cut by the vocabulary's pattern; what is new among the pieces goes
@@ -144,13 +200,20 @@ class Encoder:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [cut_parts(t) for t in texts]
-        known, before = self.known, len(self.known)
-        new = set(itertools.chain.from_iterable(cut)).difference(known)
-        if new:
-            self._learn(new)
-        get = known.__getitem__
-        out = [b"".join(map(get, parts)) for parts in cut]
+        known, before, get, out, late = self.known, len(self.known), self.known.__getitem__, [], []
+        for i, text in enumerate(texts):
+            parts, missed = cut_parts(text), known.missed
+            ids = list(map(get, parts))
+            if known.missed > missed:                    # some parts are not learned yet
+                late.append((i, parts))
+                out.append(ids)
+            else:
+                out.append(b"".join(ids))
+        if late:
+            odd, known.odd = known.odd, set()
+            self._learn(odd)
+            for i, parts in late:
+                out[i] = b"".join([known[p] if x is None else x for p, x in zip(parts, out[i])])
         if len(known) > self.most:
             for part in list(itertools.islice(reversed(known), len(known) - max(before, self.most))):
                 del known[part]

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -216,6 +217,18 @@ def test_spelling_of_odd_tables(odd, none):
     assert spelling.spelling_variants(none).count() == 0
 
 
+def test_common_parts_are_merged_as_they_are_looked_up():
+    own, library = tokens.Encoder(VOCAB), Tokenizer.from_file(VOCAB)
+    texts = ["Über den Fluß, ñandú!!! kommt\nDie Öre... nada\nvoilà; ça ### (so) end.\nLast", "again, Über\nden"]
+    learned, learn = [], own._learn
+    own._learn = lambda parts: (learned.extend(parts), learn(parts))
+    assert [array("I", raw).tolist() for raw in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not [p for p in learned if "(" not in p]
+    odd = ["it's, a1 €... \n x\n\ny \n", " \n\n", "\na\tb\n c", "日本 語, ﬁ'll 'll 's", "a\n'll !\n! \x1c\nq\n\x1d", "a\u2028b\nc d\xa0\ne"]
+    for _ in range(2):
+        assert [array("I", raw).tolist() for raw in own.encode(odd)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+
+
 def test_a_run_of_alignment_is_small():
     import tracemalloc
 
