@@ -11,30 +11,41 @@ returned.  Documents with equal sets are one class from the start.
    documents share do not join them, as a part holds other shingles as well.
 2. The class of each cluster that shares most is its pivot; every class is
    compared with its pivot only (a number of pairs linear in the classes).
-3. Classes not linked to their pivot are queries.  Their cluster is split into
-   groups of about ``GROUP`` classes; a group's row of the matrix is the union
-   of its shingles.  A query's overlap with the union bounds its overlap with
-   every member, so a group is opened, and its members compared, only when the
-   bound reaches the threshold.  Groups and queries meet in blocks of bounded
-   size; a block returns spanning links, not all pairs.
+3. Classes not linked to their pivot are queries.  Members and queries of a
+   cluster meet in blocks with ``SIDE_TOKENS`` shingles a side; a class goes once
+   to each block of its row and column.  In a block, members are taken in groups
+   of ``GROUP``; a group's row of the matrix is the union of its shingles.  A
+   query's overlap with the union bounds its overlap with every member, so a
+   group is opened, and its members compared, only when the bound reaches the
+   threshold.  A block returns spanning links, not all pairs.
 
 Shingles are compared by 64-bit hashes of their words, sets by 128-bit sums.
+Part hashes are dealt out in ``SLICES``, one shuffled at a time; tables that
+nothing reads any more are deleted.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aside, back, mix64, saved, span_hashes, text_slices, word_spans
+from .common import aside, back, discard, mix64, saved, span_hashes, text_slices, tidy, word_spans
 
 SHINGLE = 3
 PERCENT = 90
 GROUP = 256
+#: Shingles of a block's members, and of its queries, on average: about 8 MB each
+#: in a worker.  A class of a cluster with s times as many is copied 2 s times.
+SIDE_TOKENS = 1 << 20
+#: Part hashes go by their upper bits to so many columns (a power of two).  Only
+#: one column is shuffled at a time, which bounds the disk, and one filter holds
+#: fewer of them.
+SLICES = 4
 #: A size class spans about so wide a ratio of sizes, in steps of the
 #: threshold; only sets within one step of its upper end also count as the
 #: smaller of a pair in the next.
@@ -169,8 +180,9 @@ def hot_shingles(rows: DataFrame, words: int) -> np.ndarray:
     """The frequent shingles, from a sample of texts by their hash; sorted."""
     some = rows.where(F.pmod(F.col("txt"), F.lit(HOT_SAMPLE)) == 0).select("text")
     schema = T.StructType([T.StructField("tokens", T.ArrayType(T.LongType()))])
-    found = some.mapInArrow(_tokens(words, schema), schema).select(F.explode("tokens").alias("t")).groupBy("t").count()
-    top = found.where(F.col("count") >= HOT_COUNT).orderBy(F.col("count").desc(), "t").limit(HOT_MOST).select("t").collect()
+    with tidy(rows.sparkSession):
+        found = some.mapInArrow(_tokens(words, schema), schema).select(F.explode("tokens").alias("t")).groupBy("t").count()
+        top = found.where(F.col("count") >= HOT_COUNT).orderBy(F.col("count").desc(), "t").limit(HOT_MOST).select("t").collect()
     return np.sort(np.array([r["t"] for r in top], np.int64).view(np.uint64))
 
 
@@ -189,8 +201,10 @@ def _sketch(words: int, percent: int, schema, hot):
                     d1 = np.array([mix64(u ^ _K[0]).sum(dtype=np.uint64) for u in sets], np.uint64).view(np.int64)
                     d2 = np.array([mix64(u ^ _K[3]).sum(dtype=np.uint64) for u in sets], np.uint64).view(np.int64)
                 cols = [batch.column(i).slice(lo, hi - lo) for i in range(2)]
+                sigs = [signatures(u, percent, bounds, hot.value) if len(u) else u for u in sets]
+                slices = [x >> np.uint64(65 - SLICES.bit_length()) for x in sigs] if SLICES > 1 else [x ^ x for x in sigs]
                 cols += [pa.array(np.array([len(u) for u in sets], np.int64)), pa.array(d1), pa.array(d2),
-                         _list([signatures(u, percent, bounds, hot.value) if len(u) else u for u in sets])]
+                         *[_list([x[s == i] for x, s in zip(sigs, slices)]) for i in range(SLICES)]]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, out_schema)], schema=out_schema)
     return sketch
 
@@ -208,16 +222,18 @@ def _tokens(words: int, schema):
     return tokens
 
 
-def _maybe(rows: DataFrame, column: str, hashes: DataFrame) -> DataFrame:
+def _maybe(rows: DataFrame, column: str, hashes: DataFrame, others: bool = False) -> DataFrame:
     """``rows`` less most of those whose ``column`` is not among the hashes
     (one column): a bit a hash, folded into at most 2^(FILTER_BITS - 6) numbers
-    that are broadcast.  With very many hashes it lets more rows pass."""
+    that are broadcast.  With very many hashes it lets more rows pass.  With
+    ``others``, the rows that it does not let pass."""
     place = F.pmod(F.col(column), F.lit(1 << FILTER_BITS))
     bit = F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")
     bits = hashes.select(F.col(hashes.columns[0]).alias(column)).groupBy(
         F.shiftright(place, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    return rows.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(bits), "_word").where(
-        F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+    found = rows.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(bits), "_word", "left" if others else "inner")
+    held = F.col("_bits").bitwiseAND(bit) != 0
+    return found.where(~F.coalesce(held, F.lit(False)) if others else held).drop("_word", "_bits")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -236,7 +252,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        star = saved(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), name)
+        last, star = star, saved(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), name)
+        discard(last)
     roots = star.select(F.col("b").alias("node")).distinct()
     return star.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root")))
@@ -250,12 +267,8 @@ def _same(x: str, y: str, percent: int) -> Column:
 def _block(percent: int):
     def block(df):
         import pandas as pd
-        members, queries = df[~df["query"]], df[df["query"]]
-        sets = [np.asarray(t, np.int64) for t in members["tokens"]]
-        ids, settled = list(zip(members["d1"], members["d2"])), members["settled"].to_numpy()
-        union, at = np.unique(np.concatenate(sets), return_inverse=True)  # the group's row of the matrix
-        starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1]
-        sizes = np.array([len(s) for s in sets])
+        members, queries = df[df["member"]], df[df["query"]]
+        asked = [((d1, d2), np.asarray(t, np.int64)) for d1, d2, t in zip(queries["d1"], queries["d2"], queries["tokens"])]
         root: dict = {}
 
         def find(x):
@@ -264,21 +277,27 @@ def _block(percent: int):
             return x
 
         links = []
-        for d1, d2, tokens in zip(queries["d1"], queries["d2"], queries["tokens"]):
-            q = np.asarray(tokens, np.int64)
-            place = np.minimum(np.searchsorted(union, q), len(union) - 1)
-            mark = np.zeros(len(union), bool)
-            mark[place[union[place] == q]] = True
-            if 100 * int(mark.sum()) < percent * len(q):
-                continue                                   # bound too low: the group stays closed
-            common = np.add.reduceat(mark[at], starts)
-            for i in np.flatnonzero(100 * common >= percent * (sizes + len(q) - common)):
-                if ids[i] == (d1, d2):
-                    continue
-                a, b = find((d1, d2)), find("pivot" if settled[i] else ids[i])
-                if a != b:                                  # one link joins two parts of the block
-                    root[a] = b
-                    links.append((d1, d2, *ids[i]))
+        for lo in range(0, len(members), GROUP):
+            group = members.iloc[lo:lo + GROUP]
+            sets = [np.asarray(t, np.int64) for t in group["tokens"]]
+            ids, settled = list(zip(group["d1"], group["d2"])), group["settled"].to_numpy()
+            union, at = np.unique(np.concatenate(sets), return_inverse=True)  # the group's row of the matrix
+            starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1]
+            sizes = np.array([len(s) for s in sets])
+            for own, q in asked:
+                place = np.minimum(np.searchsorted(union, q), len(union) - 1)
+                mark = np.zeros(len(union), bool)
+                mark[place[union[place] == q]] = True
+                if 100 * int(mark.sum()) < percent * len(q):
+                    continue                                # bound too low: the group stays closed
+                common = np.add.reduceat(mark[at], starts)
+                for i in np.flatnonzero(100 * common >= percent * (sizes + len(q) - common)):
+                    if ids[i] == own:
+                        continue
+                    a, b = find(own), find("pivot" if settled[i] else ids[i])
+                    if a != b:                              # one link joins two parts of the block
+                        root[a] = b
+                        links.append((*own, *ids[i]))
         return pd.DataFrame(links, columns=["a1", "a2", "b1", "b2"])
     return block
 
@@ -296,16 +315,23 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     repeat or be null: the least is then over the keys there are."""
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("txt"), F.col(text).alias("text"))
     long, many = T.LongType(), T.ArrayType(T.LongType())
-    schema = T.StructType([rows.schema["key"], *[T.StructField(c, long) for c in ("txt", "n", "d1", "d2")], T.StructField("sigs", many)])
+    schema = T.StructType([rows.schema["key"], *[T.StructField(c, long) for c in ("txt", "n", "d1", "d2")],
+                           *[T.StructField(f"sigs{i}", many) for i in range(SLICES)]])
     hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(rows, words))
-    sets = saved(rows.mapInArrow(_sketch(words, percent, schema, hot), schema), "jaccard-sets")
+    drawn = saved(rows.mapInArrow(_sketch(words, percent, schema, hot), schema), "jaccard-signatures")
 
     # 1. clusters of classes that agree on a part
-    parts = sets.select("d1", F.explode("sigs").alias("sig"))
-    shared = saved(parts.groupBy("sig").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.count(F.lit(1)).alias("c")).where(
-        "lo < hi").select("sig", "lo", "c"), "jaccard-shared")
-    meets = saved(_maybe(parts, "sig", shared.select("sig")).join(shared, "sig").groupBy("d1", "lo").agg(
-        F.sum("c").alias("c")), "jaccard-meets")
+    met = []
+    for i in range(SLICES):
+        parts = drawn.select("d1", F.explode(f"sigs{i}").alias("sig"))
+        shared = saved(parts.groupBy("sig").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.count(F.lit(1)).alias("c")).where(
+            "lo < hi").select("sig", "lo", "c"), "jaccard-shared")
+        met.append(saved(_maybe(parts, "sig", shared.select("sig")).join(shared, "sig").groupBy("d1", "lo").agg(
+            F.sum("c").alias("c")), "jaccard-meets"))
+        discard(shared)
+    meets = functools.reduce(DataFrame.unionByName, met)
+    sets = saved(drawn.select("key", "txt", "n", "d1", "d2"), "jaccard-sets")
+    discard(drawn)
     clusters = components(meets.select(F.col("d1").alias("a"), F.col("lo").alias("b")), "jaccard-clusters")
     clusters = meets.groupBy("d1").agg(F.sum("c").alias("weight")).join(
         clusters.select(F.col("node").alias("d1"), F.col("root").alias("cluster")), "d1")
@@ -315,34 +341,38 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = sets.select("key", "txt", "n", "d1", "d2").join(clusters, "d1").groupBy("cluster", "d1", "d2", "n").agg(
         rep, F.max("weight").alias("weight"))
     classes = saved(classes.withColumn("k", F.xxhash64("r.key", "r.txt")), "jaccard-classes")
+    discard(*met)
     top = classes.groupBy("cluster").agg(F.max(F.struct("weight", "d1", "d2")).alias("t"))
+    named = classes.join(top, "cluster").withColumn("pivot", (F.col("t.d1") == F.col("d1")) & (F.col("t.d2") == F.col("d2")))
     chosen = _maybe(rows.withColumn("k", F.xxhash64("key", "txt")), "k", classes.select("k"))
-    chosen = chosen.join(classes, "k").where(F.col("key").eqNullSafe(F.col("r.key")) & (F.col("txt") == F.col("r.txt")))
-    chosen = chosen.select("k", "cluster", "d1", "d2", "n", "text").dropDuplicates(["k", "d1", "d2"])  # rows that repeat
-    chosen = chosen.join(top, "cluster").withColumn(
-        "pivot", (F.col("t.d1") == F.col("d1")) & (F.col("t.d2") == F.col("d2")))
+    chosen = chosen.join(named, "k").where(F.col("key").eqNullSafe(F.col("r.key")) & (F.col("txt") == F.col("r.txt")))
+    chosen = chosen.select("k", "cluster", "d1", "d2", "n", "pivot", "text").dropDuplicates(["k", "d1", "d2"])  # rows that repeat
     schema = T.StructType([T.StructField(c, long) for c in ("cluster", "d1", "d2", "n")]
                           + [T.StructField("pivot", T.BooleanType()), T.StructField("tokens", many)])
     chosen = chosen.select("cluster", "d1", "d2", "n", "pivot", "text")
     members = saved(chosen.mapInArrow(_tokens(words, schema), schema), "jaccard-tokens")
     tested = members.alias("m").join(members.where("pivot").alias("p"), "cluster").select(
-        "cluster", "m.d1", "m.d2", F.col("p.d1").alias("p1"), F.col("p.d2").alias("p2"), "m.tokens", _same("m", "p", percent).alias("settled"))
+        "cluster", "m.d1", "m.d2", "m.n", F.col("p.d1").alias("p1"), F.col("p.d2").alias("p2"), _same("m", "p", percent).alias("settled"))
     tested = saved(tested, "jaccard-tested")
     edges = tested.where("settled").select(_key("d1", "d2").alias("a"), _key("p1", "p2").alias("b"))
 
-    # 3. the others against groups of their cluster
-    size = tested.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum(F.when(~F.col("settled"), 1).otherwise(0)).alias("open"))
-    size = size.where("open > 0").select("cluster", F.ceil(F.col("size") / GROUP).alias("groups"), F.ceil(F.col("open") / GROUP).alias("chunks"))
-    todo = tested.join(size, "cluster")
+    # 3. the others against all of their cluster: members by row g, queries by
+    # column j; in the block where a class is both it is there once
+    size = tested.groupBy("cluster").agg(F.sum("n").alias("size"), F.sum(F.when(~F.col("settled"), F.col("n")).otherwise(0)).alias("open"))
+    size = size.where("open > 0").select("cluster", F.ceil(F.col("size") / SIDE_TOKENS).alias("rows"), F.ceil(F.col("open") / SIDE_TOKENS).alias("columns"))
+    todo = members.select("cluster", "d1", "d2", "n", "tokens").join(tested.join(size, "cluster"), ["cluster", "d1", "d2", "n"])
+    row, column = F.pmod("d1", "rows"), F.pmod("d2", "columns")
     last = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    member = F.transform(last("chunks"), lambda j: F.struct(F.lit(False).alias("query"), F.pmod("d1", "groups").alias("g"), j.alias("j")))
-    query = F.transform(last("groups"), lambda g: F.struct(F.lit(True).alias("query"), g.alias("g"), F.pmod("d2", "chunks").alias("j")))
+    to = lambda member, query, g, j: F.struct(member.alias("member"), query.alias("query"), g.alias("g"), j.alias("j"))
+    member = F.transform(last("columns"), lambda j: to(F.lit(True), ~F.col("settled") & (j == column), row, j))
+    query = F.transform(F.filter(last("rows"), lambda g: g != row), lambda g: to(F.lit(False), F.lit(True), g, column))
     to = F.when(F.col("settled"), member).otherwise(F.concat(member, query))
     links = todo.select("cluster", "d1", "d2", "tokens", "settled", F.explode(to).alias("to")).select(
         "cluster", "d1", "d2", "tokens", "settled", "to.*").groupBy("cluster", "g", "j").applyInPandas(
         _block(percent), "a1 long, a2 long, b1 long, b2 long")
     edges = edges.unionByName(links.select(_key("a1", "a2").alias("a"), _key("b1", "b2").alias("b")))
     joined = components(edges, "jaccard-links")
+    discard(members, tested, classes)
 
     # documents take the least document of their component
     node = _key("d1", "d2")
@@ -358,14 +388,20 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """``docs`` with the least document of each component only; rows that
     repeat key and text count as one, documents without shingles all stay."""
-    found = similar_components(docs, key, text, **kw)
-    stay = found.where((F.col(f"rep.key").eqNullSafe(F.col(key)) & (F.col("rep.txt") == F.col("txt"))) | (F.col("n_shingles") == 0))
-    stay = stay.select(F.col(key).alias("key"), "txt", (F.col("n_shingles") == 0).alias("whole")).distinct()
+    found = similar_components(docs, key, text, **kw).where("n_shingles > 0")
+    # only documents that go or repeat, and those that share a bit with one, are
+    # shuffled; the others stay where they are
+    least = F.col("rep.key").eqNullSafe(F.col(key)) & (F.col("rep.txt") == F.col("txt"))
+    odd = found.groupBy(F.col(key).alias("key"), "txt").agg(F.first(least).alias("least"), F.count(F.lit(1)).alias("c"))
+    odd = saved(odd.where("c > 1 or not least").withColumn("k", F.xxhash64("key", "txt")), "jaccard-odd")
     rows = aside(docs, key=key).withColumn("txt", F.xxhash64(F.coalesce(F.col("row").getField(text), F.lit(""))))
-    rows = rows.alias("d").join(stay.alias("s"), F.col("d.key").eqNullSafe(F.col("s.key")) & (F.col("d.txt") == F.col("s.txt"))).select(
-        "d.key", "d.txt", "d.row", "s.whole")
-    rows = rows.where("whole").unionByName(rows.where("not whole").dropDuplicates(["key", "txt"]))
-    return rows.select(*back(docs))
+    rows = rows.withColumn("k", F.xxhash64("key", "txt"))
+    some = _maybe(rows, "k", odd.select("k")).alias("d").join(
+        odd.alias("s"), F.col("d.key").eqNullSafe(F.col("s.key")) & (F.col("d.txt") == F.col("s.txt")), "left").select(
+        "d.key", "d.txt", "d.row", "s.least")
+    stay = [_maybe(rows, "k", odd.select("k"), others=True).select("row"), some.where("least is null").select("row"),
+            some.where("least").dropDuplicates(["key", "txt"]).select("row")]
+    return functools.reduce(DataFrame.unionByName, stay).select(*back(docs))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

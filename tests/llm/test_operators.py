@@ -48,6 +48,11 @@ def words(t):
     return WORDS.findall(t or "")
 
 
+def shingles(t, n=3):
+    w = words(re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+    return frozenset(tuple(w[k:k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
 def test_quality_measures_equal_brute_force(odd, none):
     got = quality_rules.judge(odd)
     assert got.columns.count("n_words") == 1 and "lang" in got.columns
@@ -173,6 +178,49 @@ def test_jaccard_blocks_find_what_the_pivot_does_not(spark, monkeypatch):
     assert {r.rep.key for r in got} == {0}
 
 
+@pytest.mark.parametrize("side, copies", [(1 << 20, 30), (1000, 210)])
+def test_jaccard_blocks_copy_a_class_once_a_row_and_column(spark, monkeypatch, side, copies):
+    """30 classes of 118 shingles: one block, or 4 rows and at most 4 columns."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 4)
+    monkeypatch.setattr(jaccard_join, "SIDE_TOKENS", side, raising=False)
+    block, read = jaccard_join._block, spark.sparkContext.accumulator(0)
+
+    def counted(percent):
+        def one(df):
+            read.add(len(df))
+            return block(percent)(df)
+        return one
+
+    monkeypatch.setattr(jaccard_join, "_block", counted)
+    rows = [(k, " ".join(f"c{i}" for i in range(4 * k, 4 * k + 120))) for k in range(30)]
+    got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.rep.key for r in got} == {0} and 0 < read.value <= copies
+
+
+def test_one_of_each_keeps_its_scratch_small(spark, odd):
+    """Tables of signatures, shingles and pairs go when they are read; shuffle
+    files go with their query, and of texts only some are shuffled."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda: {f.getPath().getName() for f in fs.listStatus(base)}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = there(), spark.conf.get(setting)
+    kept = jaccard_join.one_of_each(odd)
+    left = {x.rpartition("-")[0] for x in there() - before}
+    assert left <= {"jaccard-sets", "jaccard-clusters", "jaccard-links", "jaccard-odd"}
+    assert spark.conf.get(setting) == was
+    own = {(r[0], r[1]): shingles(r[1]) for r in odd_rows()}
+    group = {x: x for x in own if own[x]}
+    for x in group:
+        for y in group:
+            if 100 * len(own[x] & own[y]) >= 90 * len(own[x] | own[y]):
+                old, new = group[x], group[y]
+                group = {z: new if g == old else g for z, g in group.items()}
+    first = lambda g: min((x for x in group if group[x] == g), key=lambda x: (x[0] is not None, x[0]))
+    want = Counter(first(g) for g in set(group.values())) + Counter((r[0], r[1]) for r in odd_rows() if not own[r[0], r[1]])
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
+
+
 def test_mixing_meets_targets_and_caps(spark, odd, none):
     got = mixing.mix(odd, block=1).collect()
     assert len(got) == odd.count() and all(0 <= r.taken <= 3 * r.size for r in got)
