@@ -20,6 +20,7 @@ too; other columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import itertools
 import re
@@ -37,9 +38,15 @@ from .tokens import byte_letters, encoder, vocabulary
 #: Groups with more pairs than this are taken by their distinct ids.
 MANY_PAIRS = 256
 #: Segments that each encoder of a worker remembers, and bytes of text in a run
-#: of documents; both bound a worker's memory (to about 350 MB).
-MOST_SEGMENTS = 250_000
+#: of documents and in what is aligned at once; they bound a worker's memory.
+MOST_SEGMENTS = 150_000
 RUN_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
+#: Bytes in a batch of texts, of which an executor holds one a task inside and
+#: outside of its Python workers, and runs in a row group of their table, which
+#: is read whole.
+BATCH_BYTES = 8 << 20
+GROUP_RUNS = 4
 _ENDS = ",|;"
 _ALONE = re.compile(r"(?<! ) ")
 
@@ -147,7 +154,22 @@ def _starts(counts: np.ndarray) -> np.ndarray:
 def align_run(aligner: Aligner, texts: list[str], data: np.ndarray, offs: np.ndarray, whole_groups: bool):
     """Per document n_a, n_b, n_groups, n_links and groups (digest or text), and
     a table (doc, pair, n) of linked id pairs: the ids, 32 bits each, in one
-    number."""
+    number.  Documents are aligned about ``PIECE_BYTES`` of text at a time."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    found, tables, lo = [], [], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + PIECE_BYTES, "right")) - 1)
+        hi = min(hi, len(texts))
+        *counts, table = _align_piece(aligner, texts[lo:hi], data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo], whole_groups)
+        found.append(counts)
+        tables.append(table.set_column(table.schema.get_field_index("doc"), "doc", pc.add(table["doc"], lo)))
+        lo = hi
+    n_a, n_b, groups, links, said = zip(*found)
+    return *map(np.concatenate, (n_a, n_b, groups, links)), list(itertools.chain.from_iterable(said)), pa.concat_tables(tables)
+
+
+def _align_piece(aligner: Aligner, texts: list[str], data: np.ndarray, offs: np.ndarray, whole_groups: bool):
     import pyarrow as pa
     n_docs = len(texts)
     lists = [aligner.tokens(texts, side) for side in (0, 1)]
@@ -259,7 +281,8 @@ def aligned_runs(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id",
                           + [T.StructField(c, long) for c in ("n_a", "n_b", "n_groups", "n_links")]
                           + [T.StructField("groups", T.ArrayType(T.StringType())), T.StructField("pair", long), T.StructField("docs", long),
                              T.StructField("pairs", long), T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("times", long)])
-    return saved(rows.mapInArrow(_runs(path_a, path_b, whole_groups, schema), schema), "alignment-runs")
+    return saved(rows.mapInArrow(_runs(path_a, path_b, whole_groups, schema), schema), "alignment-runs",
+                 {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}, **{"parquet.block.row.count.limit": GROUP_RUNS})
 
 
 def pair_counts(runs: DataFrame) -> DataFrame:
@@ -277,6 +300,9 @@ def pair_counts(runs: DataFrame) -> DataFrame:
 def _score(left, right):
     """Documents of one run, with the counts of its pairs."""
     import pyarrow as pa
+    if sys.__dict__.pop("_llm_aligners", None):           # nothing is left to align: the worker's memory goes back
+        sys.__dict__.pop("_llm_encoders", None)
+        gc.collect()
     row = {c: left.column(c).combine_chunks().flatten() for c in left.column_names if c != "run"}
     n_pairs = np.asarray(row["pairs"])
     count, best = np.zeros(len(right), np.int64), np.zeros(len(right), bool)

@@ -244,3 +244,42 @@ def test_a_run_of_alignment_is_small():
         assert tracemalloc.get_traced_memory()[1] < 90 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_a_run_of_alignment_goes_in_pieces(monkeypatch):
+    import tracemalloc
+
+    from agentrail.llm.common import text_slices
+    texts = [" ".join(f"word{i * 7919 % 997}ing {k} thing" for i in range(60)) for k in range(3000)] + [""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    lo, hi, data, offs = next(text_slices(batch, most=1 << 20))
+    both = alignment.Aligner(VOCAB, PIECES)
+
+    def of_each():
+        *counts, said, table = alignment.align_run(both, texts[lo:hi], data, offs, False)
+        return [c.tolist() for c in counts], said, sorted(zip(*(table[c].to_pylist() for c in ("doc", "pair", "n_sum"))))
+
+    got = of_each()                                                 # what an encoder remembers is not counted
+    tracemalloc.start()
+    try:
+        alignment.align_run(both, texts[lo:hi], data, offs, False)
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
+    for most in (1, 1 << 30):
+        monkeypatch.setattr(alignment, "PIECE_BYTES", most, raising=False)
+        assert of_each() == got
+
+
+def test_runs_of_alignment_come_in_small_batches_and_row_groups(spark, monkeypatch):
+    """An executor holds a batch of texts, and reads a row group, as a whole."""
+    import pyarrow.parquet as pq
+    df = spark.createDataFrame([(i, f"text number {i} " * 20) for i in range(400)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(alignment, "BATCH_BYTES", 10_000, raising=False)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+    runs = alignment.aligned_runs(df, VOCAB, PIECES)
+    assert spark.conf.get(setting, None) == before
+    assert sorted(k for r in runs.select("key").collect() for k in r.key) == list(range(400)) and runs.count() >= 10
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in runs.inputFiles()]
+    assert max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) <= 4
